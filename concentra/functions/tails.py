@@ -165,6 +165,24 @@ def log_norm_two_sided(z: float) -> float:
     return -x * x - math.log(x * math.sqrt(math.pi)) + math.log(s)
 
 
+def log_ks_upper(d: float, n: float) -> float:
+    """ln P(D > d) for the one-sample KS distance, asymptotic Kolmogorov
+    distribution with the usual small-sample scaling of the argument."""
+    en = math.sqrt(n)
+    lam = (en + 0.12 + 0.11 / en) * d
+    if lam < 0.2:
+        return 0.0
+    total, sign = 0.0, 1.0
+    for k in range(1, 101):
+        term = math.exp(-2.0 * k * k * lam * lam)
+        total += sign * term
+        sign = -sign
+        if term < 1e-300:
+            break
+    p = min(1.0, max(0.0, 2.0 * total))
+    return math.log(p) if p > 0 else -math.inf
+
+
 def t_quantile(p: float, df: float) -> float:
     """Two-sided critical value: P(|T| > t) = 1 - p (bisection on the tail)."""
     target = math.log(1.0 - p)
@@ -284,6 +302,10 @@ def log_p(kind: str, stat, df1, df2) -> float:
             return log_chi2_upper(stat, float(df1))
         if kind == "z":
             return log_norm_two_sided(stat)
+        if kind == "ks":
+            if df1 is None or df1 <= 0:
+                return math.nan
+            return log_ks_upper(stat, float(df1))
         if kind == "tukey":
             if df1 is None or df1 < 2:
                 return math.nan
@@ -313,7 +335,7 @@ def _p_udf(kind: pd.Series, stat: pd.Series, df1: pd.Series, df2: pd.Series) ->
 
 
 def p_value_struct(kind, stat, df1=None, df2=None) -> Column:
-    k = F.lit(kind) if isinstance(kind, str) and kind in ("t", "f", "chi2", "z", "tukey") else F.col(kind)
+    k = F.lit(kind) if isinstance(kind, str) and kind in ("t", "f", "chi2", "z", "tukey", "ks") else F.col(kind)
     a = F.lit(None).cast("double") if df1 is None else F.col(df1).cast("double") if isinstance(df1, str) else df1.cast("double")
     b = F.lit(None).cast("double") if df2 is None else F.col(df2).cast("double") if isinstance(df2, str) else df2.cast("double")
     s = F.col(stat).cast("double") if isinstance(stat, str) else stat.cast("double")
