@@ -50,33 +50,51 @@ def temper(scores, temp) -> Column:
     return F.transform(_col(scores), lambda x: x.cast("double") / t)
 
 
-def _shift_sums(scores, temp):
-    x = _col(scores)
-    t = _temp(temp)
-    m = F.array_max(x).cast("double")
-    s = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp((v.cast("double") - m) / t))
-    q = F.aggregate(
-        x,
-        F.lit(0.0),
-        lambda acc, v: acc
-        + F.exp((v.cast("double") - m) / t) * ((v.cast("double") - m) / t),
-    )
-    return m, s, q, t
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Expressions inside a higher-order lambda are re-evaluated for every
+    element; a per-row constant such as ``array_max(scores)`` must therefore
+    be bound outside (here: a one-element ``transform``), or the cost per
+    vector grows with the square of its width.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _exp_sum(x: Column, m: Column, t: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp((v.cast("double") - m) / t))
 
 
 def softmax(scores, temp=None) -> Column:
     """Max-shifted softmax of (scores / temp), double precision."""
     x = _col(scores)
-    m, s, _, t = _shift_sums(x, temp)
-    return F.transform(x, lambda v: F.exp((v.cast("double") - m) / t) / s)
+    t = _temp(temp)
+    return _bind(
+        F.array_max(x).cast("double"),
+        lambda m: _bind(
+            _exp_sum(x, m, t),
+            lambda s: F.transform(x, lambda v: F.exp((v.cast("double") - m) / t) / s),
+        ),
+    )
 
 
 def ned(scores, temp=None) -> Column:
     """Normalised entropy deficit of softmax(scores / temp)."""
     x = _col(scores)
-    _, s, q, _ = _shift_sums(x, temp)
+    t = _temp(temp)
     ln_n = F.log(F.size(x).cast("double"))
-    return F.lit(1.0) + (q / s - F.log(s)) / F.nullif(ln_n, F.lit(0.0))
+
+    def with_max(m):
+        s = _exp_sum(x, m, t)
+        q = F.aggregate(
+            x,
+            F.lit(0.0),
+            lambda acc, v: acc
+            + F.exp((v.cast("double") - m) / t) * ((v.cast("double") - m) / t),
+        )
+        return F.lit(1.0) + (q / s - F.log(s)) / F.nullif(ln_n, F.lit(0.0))
+
+    return _bind(F.array_max(x).cast("double"), with_max)
 
 
 def argmax_token(scores) -> Column:
