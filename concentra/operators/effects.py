@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordinal import materialize
 from .ranks import average_ranks, value_counts
 from .stats import _null, _num, _nz, lag_pairs, ttest_1samp
 
@@ -99,7 +100,7 @@ def mann_whitney(df: DataFrame, y: str, by: str) -> DataFrame:
     clean = df.select(F.col(by).alias("g"), _num(y).alias("v")).where(
         F.col("g").isNotNull() & F.col("v").isNotNull()
     )
-    gv = value_counts(clean, "v", by=["g"])
+    gv = materialize(value_counts(clean, "v", by=["g"]))  # one scan of the input
     pairs = _pair_list(gv)  # k (k - 1) / 2 rows
     side1 = gv.join(F.broadcast(pairs), gv["g"] == pairs["g1"]).select("g1", "g2", "v", F.col("cnt").alias("c1"), F.lit(0).cast("bigint").alias("c2"))
     side2 = gv.join(F.broadcast(pairs), gv["g"] == pairs["g2"]).select("g1", "g2", "v", F.lit(0).cast("bigint").alias("c1"), F.col("cnt").alias("c2"))

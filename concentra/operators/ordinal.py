@@ -21,7 +21,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from pyspark import StorageLevel
+
+from ..session import ensure_checkpoint_dir, scratch_path
 
 _ROW_BITS = 33  # monotonically_increasing_id puts the partition index above bit 33
 
@@ -49,12 +51,18 @@ def global_ordinal(
     ensure_checkpoint_dir(spark)
     keys = [F.col(c) if isinstance(c, str) else c for c in (*by, *order_cols)]
     n = _partitions(df, partitions)
-    ranged = (
+    sorted_parts = (
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())
-        .checkpoint(eager=True)
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    # a reliable checkpoint runs its plan once to count and once to write;
+    # the persisted copy makes the second run a read
+    try:
+        ranged = sorted_parts.checkpoint(eager=True)
+    finally:
+        sorted_parts.unpersist()
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # at most `n` rows: one per partition
     offsets = counts.withColumn(
@@ -84,6 +92,15 @@ def global_ordinal(
     return out.drop("_pid", "_off", "_local")
 
 
+def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
+    """Write a reused intermediate (aggregated counts, token tables) once as
+    parquet under the shared checkpoint folder and read it back, so that its
+    several consumers do not each rescan the raw input; lineage is cut there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def quantile_boundaries(df: DataFrame, col: str, buckets: int, rel_err: float = 0.001) -> list[float]:
     """``buckets - 1`` distinct cut points of ``col`` (a bounded driver-side list)."""
     if buckets <= 1:

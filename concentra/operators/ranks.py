@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinal import bucket_of, quantile_boundaries
+from .ordinal import bucket_of, materialize, quantile_boundaries
 
 DEFAULT_BUCKETS = 64
 
@@ -42,7 +42,8 @@ def average_ranks(
     """
     by = list(by)
     v = (F.col(value).cast("double") + F.lit(0.0)).alias(value)
-    base = counts.select(*by, v, F.col(count).cast("bigint").alias(count))
+    # value counts are small (a hot value is one row) and read three times
+    base = materialize(counts.select(*by, v, F.col(count).cast("bigint").alias(count)))
     cuts = quantile_boundaries(base, value, buckets)
     b = base.withColumn("_bkt", bucket_of(F.col(value), cuts))
     totals = b.groupBy(*by, "_bkt").agg(F.sum(count).alias("_bcnt"))

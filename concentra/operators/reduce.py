@@ -59,6 +59,39 @@ def ned_from_counts(
     return agg.withColumn("ned", ned).drop("_s", "_q")
 
 
+def ned_from_counts_temps(
+    counts: DataFrame, keys: Sequence[str], count: str = "cnt", temps=(0.7, 1.0, 1.3), vocab_size=None
+) -> DataFrame:
+    """C7 at several temperatures in ONE aggregation: the sums for every
+    temperature are computed side by side, and the rows are multiplied by the
+    temperatures only after the shuffle (one output row per key and temp)."""
+    c = F.col(count).cast("double")
+    lnc = F.log(c)
+    aggs = [
+        F.sum(count).cast("bigint").alias("n_total"),
+        F.count(F.lit(1)).cast("bigint").alias("n_items"),
+    ]
+    for i, t in enumerate(temps):
+        lnw = lnc / F.lit(float(t))
+        aggs += [F.sum(F.exp(lnw)).alias(f"_s{i}"), F.sum(F.exp(lnw) * lnw).alias(f"_q{i}")]
+    agg = counts.where(F.col(count) > 0).groupBy(*keys).agg(*aggs)
+    if vocab_size is None:
+        v = F.col("n_items").cast("double")
+    else:
+        v = F.col(vocab_size).cast("double") if isinstance(vocab_size, str) else F.lit(float(vocab_size))
+    ln_v = F.nullif(F.log(v), F.lit(0.0))
+    per_t = F.array(
+        *[
+            F.struct(
+                F.lit(float(t)).alias("temp"),
+                (F.lit(1.0) + (F.col(f"_q{i}") / F.col(f"_s{i}") - F.log(F.col(f"_s{i}"))) / ln_v).alias("ned"),
+            )
+            for i, t in enumerate(temps)
+        ]
+    )
+    return agg.select(*keys, "n_total", "n_items", F.inline(per_t))
+
+
 def profile(df: DataFrame, dims: Sequence[str], value: str = "ned_mean", margins: str | None = None) -> DataFrame:
     """Mean / sample std / n by dimensions; ``margins`` = 'rollup' or 'cube'
     adds all margins in the same aggregation (grouping id in ``level``)."""

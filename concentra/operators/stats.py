@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import tukey_quantile_udf, with_p_value
+from .ordinal import materialize
 from .ranks import average_ranks, value_counts
 
 STAT_COLS = ["test_id", "statistic", "df1", "df2", "estimate", "n", "note"]
@@ -337,7 +338,7 @@ def kruskal(df: DataFrame, y: str = "ned_mean", by: str = "domain", test_id: str
     clean = df.select(F.col(by).alias("g"), _num(y).alias("v")).where(
         F.col("g").isNotNull() & F.col("v").isNotNull()
     )
-    gv = value_counts(clean, "v", by=["g"])
+    gv = materialize(value_counts(clean, "v", by=["g"]))  # one scan of the input
     vc = gv.groupBy("v").agg(F.sum("cnt").alias("cnt"))
     ranked = average_ranks(vc, "v").select("v", "rank", F.col("cnt").alias("t"))
     per_group = (

@@ -154,17 +154,63 @@ def usage(prompts: DataFrame, lang: str = "lang", text: str = "text") -> DataFra
         F.count(F.lit(1)).cast("bigint").alias("n_prompts"),
     )
     used = (
-        d.select("language", F.explode(prompt_tokens(d, "text")).alias("token"))
+        d.select("language", F.explode_outer(prompt_tokens(d, "text")).alias("token"))
+        .where(F.col("token").isNotNull())
         .groupBy("language")
         .agg(F.countDistinct("token").cast("bigint").alias("vocab_used"))
     )
     return stats.join(used, "language", "left")
 
 
+def doc_token_counts(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id",
+                     extra: Sequence[str] = ("source",)) -> DataFrame:
+    """One tokenisation pass: (key, lang, extra..., text_md5, token, cnt).
+
+    Usage, top-k shares, the vocabulary and the per-document metric all read
+    this table, so the text is split once; ``text_md5`` identifies copies of
+    the same prompt for the distinct-prompt statistics.
+    """
+    # hash each text before the explode, so it is hashed once, not per token
+    per_doc = docs.select(
+        key, F.col(lang).alias("language"), *extra, F.md5(F.col(text)).alias("text_md5"),
+        F.split(F.lower(F.col(text)), r"\s+").alias("_toks"),
+    )
+    # explode_outer: a plain explode makes Catalyst add size(split(..)) > 0
+    # in front, which would split every text a second time
+    toks = per_doc.select(key, "language", *extra, "text_md5", F.explode_outer("_toks").alias("token")).where(
+        F.col("token") != ""
+    )
+    return toks.groupBy(key, "language", *extra, "text_md5", "token").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def usage_from_tokens(docs: DataFrame, token_counts: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """G6 from a shared token-count table: per-prompt sizes from one scan of
+    the texts (a regex count, no explode), distinct tokens from the table."""
+    d = docs.select(
+        F.col(lang).alias("language"),
+        F.md5(F.col(text)).alias("text_md5"),
+        F.regexp_count(F.lower(F.col(text)), F.lit(r"\S+")).alias("n_tok"),
+        F.length(F.col(text)).alias("n_chr"),
+    ).dropDuplicates(["language", "text_md5"])
+    stats = d.groupBy("language").agg(
+        F.avg("n_tok").alias("mean_prompt_tokens"),
+        F.avg(F.when(F.col("n_chr") > 0, F.col("n_tok") / F.col("n_chr"))).alias("mean_fertility"),
+        F.count(F.lit(1)).cast("bigint").alias("n_prompts"),
+    )
+    used = token_counts.groupBy("language").agg(F.countDistinct("token").cast("bigint").alias("vocab_used"))
+    return stats.join(used, "language", "left")
+
+
+def distinct_prompt_token_counts(token_counts: DataFrame) -> DataFrame:
+    """(language, token, cnt) over distinct prompts (copies of a text count once)."""
+    d = token_counts.select("language", "text_md5", "token", "cnt").dropDuplicates(["language", "text_md5", "token"])
+    return d.groupBy("language", "token").agg(F.sum("cnt").alias("cnt"))
+
+
 def usage_approx(prompts: DataFrame, lang: str = "lang", text: str = "text", rsd: float = 0.02) -> DataFrame:
     """Distinct tokens per language from HyperLogLog++ sketches."""
-    d = prompts.select(F.col(lang).alias("language"), F.explode(prompt_tokens(prompts, text)).alias("token"))
-    return d.groupBy("language").agg(F.approx_count_distinct("token", rsd).cast("bigint").alias("vocab_used_approx"))
+    d = prompts.select(F.col(lang).alias("language"), F.explode_outer(prompt_tokens(prompts, text)).alias("token"))
+    return d.where(F.col("token").isNotNull()).groupBy("language").agg(F.approx_count_distinct("token", rsd).cast("bigint").alias("vocab_used_approx"))
 
 
 def topk_share(token_counts: DataFrame, ks: Sequence[int] = (100, 1000, 5000), lang: str = "language",

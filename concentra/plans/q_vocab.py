@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import vocab as vb
+from ..operators.ordinal import materialize
 from ..functions import metric
 from ..functions.tails import with_p_value
 from ..session import table
@@ -243,12 +244,19 @@ _SUMMARY_CTES = (DOC_WORDS, RUNS_DOCS, _VOCAB_SQL, _ALLOC_SQL, _USAGE_SQL, _SUMM
 
 
 def language_summary(spark, sf_dir):
-    """One row per language: metric mean (temp 1.0), allocation, usage, top-k shares."""
-    runs = fx.runs_docs(spark, sf_dir)
+    """One row per language: metric mean (temp 1.0), allocation, usage, top-k shares.
+
+    The documents are tokenised once; the token-count table is materialised
+    and feeds the metric, the vocabulary, usage and the top-k shares.
+    """
+    docs = _docs(spark, sf_dir)
+    tc = materialize(vb.doc_token_counts(docs))
+    runs = fx.runs_docs(spark, sf_dir, token_counts=tc)
     m = runs.where(F.col("temp") == 1.0).groupBy("language").agg(F.avg("ned_mean").alias("ned_mean"))
-    alloc = vb.allocated_vocab(_scripts(spark, sf_dir), LANGS)
-    use = vb.usage(_docs(spark, sf_dir))
-    top = vb.topk_share(_token_counts(spark, sf_dir))
+    vocab = tc.select("token").distinct()
+    alloc = vb.allocated_vocab(vb.token_scripts(vocab), LANGS)
+    use = vb.usage_from_tokens(docs, tc)
+    top = vb.topk_share(vb.distinct_prompt_token_counts(tc))
     j = m.join(alloc, "language").join(use, "language").join(top, "language")
     return j.select(
         "language",

@@ -108,7 +108,8 @@ def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
             "doc_id",
             "lang",
             "source",
-            F.explode(F.split(F.lower(F.col("text")), r"\s+")).alias("word"),
+            # explode_outer: no inferred size(split(..)) filter splitting twice
+            F.explode_outer(F.split(F.lower(F.col("text")), r"\s+")).alias("word"),
         )
         .where(F.col("word") != "")
     )
@@ -121,19 +122,20 @@ def doc_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def runs_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs_docs(spark: SparkSession, sf_dir: str, token_counts: DataFrame | None = None) -> DataFrame:
     """V3: one run row per (document, temp).
 
     The word counts of a document are its distribution, ln(count) its scores;
     tempering gives p ~ count^(1/temp). ned uses the number of distinct words
     as the width (one-word documents: NULL).
     """
-    from ..operators.reduce import ned_from_counts
+    from ..operators.reduce import ned_from_counts_temps
 
-    wc = doc_word_counts(spark, sf_dir).select(
-        "doc_id", "lang", "source", "cnt", temps_col().alias("temp")
-    )
-    per_doc = ned_from_counts(wc, ["doc_id", "lang", "source", "temp"], "cnt", temp="temp")
+    if token_counts is None:
+        wc = doc_word_counts(spark, sf_dir)
+    else:  # shared tokenisation (see operators.vocab.doc_token_counts)
+        wc = token_counts.select("doc_id", F.col("language").alias("lang"), "source", "cnt")
+    per_doc = ned_from_counts_temps(wc, ["doc_id", "lang", "source"], "cnt", TEMPS)
     runs = per_doc.select(
         "doc_id",
         "temp",

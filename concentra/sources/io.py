@@ -10,7 +10,6 @@ bundle-index parsers (B6).
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.parsers import bundle_index, strip_ws
 from ..operators.ordinal import global_ordinal
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 
 # Run row (D4): the columns of a result table, with nullable optional columns.
 RUN_SCHEMA = T.StructType(
@@ -50,8 +49,7 @@ PROMPT_JSON = T.StructType(
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    return scratch_path(spark, name)
 
 
 # --- A1 / A1b: prompt files --------------------------------------------------
