@@ -51,12 +51,13 @@ def sentence_array(text, lang) -> Column:
 
 def split_sentences(df: DataFrame, text: str = "text", lang: str = "lang", keys=("doc_id",)) -> DataFrame:
     """One row per non-empty stripped sentence: keys, lang, sent_no, sentence."""
-    # posexplode_outer: a plain posexplode makes Catalyst add a size(..) > 0
-    # filter that would run the regex split a second time
-    exploded = df.select(*keys, lang, F.posexplode_outer(sentence_array(text, lang)).alias("sent_no", "_s"))
-    return exploded.select(*keys, lang, "sent_no", strip_ws("_s").alias("sentence")).where(
-        F.col("sentence") != ""
-    )
+    # Pieces are stripped inside the array, so the filters below read a
+    # generator output and never re-evaluate the regex; posexplode_outer,
+    # because a plain posexplode makes Catalyst add a size(..) > 0 filter
+    # that would split every text a second time.
+    pieces = F.transform(sentence_array(text, lang), lambda x: strip_ws(x))
+    exploded = df.select(*keys, lang, F.posexplode_outer(pieces).alias("sent_no", "sentence"))
+    return exploded.where(F.col("sentence") != "")
 
 
 def word_count(c) -> Column:
@@ -65,38 +66,41 @@ def word_count(c) -> Column:
     return F.regexp_count(col, F.lit(r"\S+"))
 
 
-def valid_sentence(sentence, lang, min_words: int = 5, max_words: int = 40) -> Column:
+def _within(x: Column, lo: int, hi: int) -> Column:
+    """lo <= x <= hi with x evaluated once (``between`` expands to two comparisons)."""
+    return F.abs(x * 2 - (lo + hi)) <= (hi - lo)
+
+
+def valid_sentence(sentence, lang, min_words: int = 5, max_words: int = 40, stripped: bool = True) -> Column:
     """zh/ja 6 to 150 characters; other languages 5 to 40 words
-    (the English builder: min_words=1)."""
-    s = strip_ws(F.col(sentence) if isinstance(sentence, str) else sentence)
+    (the English builder: min_words=1). Sentences of ``split_sentences`` are
+    already stripped."""
+    s = F.col(sentence) if isinstance(sentence, str) else sentence
+    if not stripped:
+        s = strip_ws(s)
     lg = F.col(lang) if isinstance(lang, str) else lang
-    n_chr = F.length(s)
-    n_w = word_count(s)
-    return (s != "") & F.when(lg.isin(*CHAR_LENGTH_LANGS), n_chr.between(6, 150)).otherwise(
-        n_w.between(min_words, max_words)
+    return (s != "") & F.when(lg.isin(*CHAR_LENGTH_LANGS), _within(F.length(s), 6, 150)).otherwise(
+        _within(word_count(s), min_words, max_words)
     )
 
 
-def quota_sample(
-    sentences: DataFrame, group: str, quota: int, seed=42, doc: str = "doc_id", pos: str = "sent_no"
-) -> DataFrame:
-    """Per group, candidates are collected in source order, whole documents
-    at a time, until more than 3 x quota are held; then ``quota`` are drawn
-    without replacement (all candidates when there are fewer).
+def _included_docs(per_doc: DataFrame, group: str, doc: str, quota: int) -> DataFrame:
+    """Documents read before the candidate pool exceeds 3 x quota, per group.
 
     Each included document holds at least one candidate, so at most
     3 x quota + 1 documents per group can be included: a rank filter that
     Spark plans as a per-partition limit before the shuffle, so a hot group
     never moves whole.
     """
-    per_doc = sentences.groupBy(group, doc).agg(F.count(F.lit(1)).alias("_n"))
     w_first = Window.partitionBy(group).orderBy(doc)
     first_docs = per_doc.withColumn("_rn", F.row_number().over(w_first)).where(F.col("_rn") <= 3 * quota + 1)
     w_cum = w_first.rowsBetween(Window.unboundedPreceding, -1)
-    included = first_docs.withColumn("_before", F.coalesce(F.sum("_n").over(w_cum), F.lit(0))).where(
+    return first_docs.withColumn("_before", F.coalesce(F.sum("_n").over(w_cum), F.lit(0))).where(
         F.col("_before") <= 3 * quota
-    )
-    cand = sentences.join(included.select(group, doc), [group, doc], "left_semi")
+    ).select(group, doc)
+
+
+def _draw(cand: DataFrame, group: str, quota: int, seed, doc: str, pos: str) -> DataFrame:
     w_draw = Window.partitionBy(group).orderBy(shuffle_key(seed, doc, pos), F.col(doc), F.col(pos))
     return (
         cand.withColumn("draw", F.row_number().over(w_draw))
@@ -105,6 +109,35 @@ def quota_sample(
     )
 
 
+def quota_sample(
+    sentences: DataFrame, group: str, quota: int, seed=42, doc: str = "doc_id", pos: str = "sent_no"
+) -> DataFrame:
+    """P3 on a sentence table: per group, candidates are collected in source
+    order, whole documents at a time, until more than 3 x quota are held;
+    then ``quota`` are drawn without replacement (all when there are fewer)."""
+    per_doc = sentences.groupBy(group, doc).agg(F.count(F.lit(1)).alias("_n"))
+    included = _included_docs(per_doc, group, doc, quota)
+    cand = sentences.join(included, [group, doc], "left_semi")
+    return _draw(cand, group, quota, seed, doc, pos)
+
+
+def valid_sentences(docs: DataFrame, text: str = "text", lang: str = "lang", keys=("doc_id",)) -> DataFrame:
+    """P1 + P2: the valid sentences of a document table."""
+    return split_sentences(docs, text, lang, keys).where(valid_sentence("sentence", lang))
+
+
+def quota_sample_docs(docs: DataFrame, quota: int, seed=42, lang: str = "lang", doc: str = "doc_id",
+                      text: str = "text") -> DataFrame:
+    """P3 straight from documents: the first pass only counts valid sentences
+    per document; the second pass splits just the included documents (at most
+    3 x quota + 1 per language) instead of the whole corpus again."""
+    per_doc = valid_sentences(docs, text, lang, (doc,)).groupBy(lang, doc).agg(F.count(F.lit(1)).alias("_n"))
+    included = _included_docs(per_doc, lang, doc, quota)
+    few = docs.join(F.broadcast(included.select(doc)), doc, "left_semi")  # <= groups x (3 quota + 1) ids
+    cand = valid_sentences(few, text, lang, (doc,))
+    return _draw(cand, lang, quota, seed, doc, "sent_no")
+
+
 def snippet_prompts(
     pages: DataFrame, html: str = "html", key: str = "page_id", n: int | None = None,
     instruction: str = CODE_INSTRUCTION, min_words: int = 3, max_words: int = 30,
@@ -117,7 +150,7 @@ def snippet_prompts(
     src = F.when(block != "", block).otherwise(title)
     snippet = strip_ws(F.substring_index(strip_ws(src), "\n", 1))
     out = pages.select(key, snippet.alias("snippet")).where(
-        (F.col("snippet") != "") & word_count("snippet").between(min_words, max_words)
+        (F.col("snippet") != "") & _within(word_count("snippet"), min_words, max_words)
     )
     out = out.select(key, F.concat(F.lit(instruction + "\n"), F.col("snippet")).alias("prompt"))
     if n is not None:
@@ -273,4 +306,4 @@ def assemble(sets: dict[str, DataFrame], seed=42, key: str = "prompt_key") -> Da
 
 def length_band(df: DataFrame, prompt: str = "prompt", center: int = 16, width: int = 4) -> DataFrame:
     """Prompts of center +- width words."""
-    return df.where(word_count(prompt).between(center - width, center + width))
+    return df.where(_within(word_count(prompt), center - width, center + width))

@@ -78,10 +78,13 @@ def char_script(ch) -> Column:
 
 def token_scripts(vocab: DataFrame, token: str = "token") -> DataFrame:
     """Dominant script per token (ties: the script seen first; '' -> 'empty')."""
-    chars = vocab.select(token, F.posexplode(F.split(F.col(token), "")).alias("pos", "ch")).where(
+    chars = vocab.select(token, F.posexplode_outer(F.split(F.col(token), "")).alias("pos", "ch")).where(
         F.col("ch") != ""
     )
-    per = chars.groupBy(token, char_script("ch").alias("script")).agg(
+    # classify each distinct character once (a few thousand at most, bounded
+    # by the Unicode repertoire), not every character of every token
+    classes = chars.select("ch").distinct().select("ch", char_script("ch").alias("script"))
+    per = chars.join(classes, "ch").groupBy(token, "script").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")
     )
     best = per.groupBy(token).agg(
@@ -164,23 +167,30 @@ def usage(prompts: DataFrame, lang: str = "lang", text: str = "text") -> DataFra
 
 def doc_token_counts(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id",
                      extra: Sequence[str] = ("source",)) -> DataFrame:
-    """One tokenisation pass: (key, lang, extra..., text_md5, token, cnt).
+    """One tokenisation pass: (key, language, extra..., token, cnt).
 
     Usage, top-k shares, the vocabulary and the per-document metric all read
-    this table, so the text is split once; ``text_md5`` identifies copies of
-    the same prompt for the distinct-prompt statistics.
+    this table, so the text is split once.
     """
-    # hash each text before the explode, so it is hashed once, not per token
     per_doc = docs.select(
-        key, F.col(lang).alias("language"), *extra, F.md5(F.col(text)).alias("text_md5"),
-        F.split(F.lower(F.col(text)), r"\s+").alias("_toks"),
+        key, F.col(lang).alias("language"), *extra, F.split(F.lower(F.col(text)), r"\s+").alias("_toks")
     )
     # explode_outer: a plain explode makes Catalyst add size(split(..)) > 0
     # in front, which would split every text a second time
-    toks = per_doc.select(key, "language", *extra, "text_md5", F.explode_outer("_toks").alias("token")).where(
+    toks = per_doc.select(key, "language", *extra, F.explode_outer("_toks").alias("token")).where(
         F.col("token") != ""
     )
-    return toks.groupBy(key, "language", *extra, "text_md5", "token").agg(F.count(F.lit(1)).alias("cnt"))
+    return toks.groupBy(key, "language", *extra, "token").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def first_copies(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One document id per distinct (language, text): copies of a prompt count once."""
+    return (
+        docs.select(key, F.col(lang).alias("language"), F.md5(F.col(text)).alias("text_md5"))
+        .groupBy("language", "text_md5")
+        .agg(F.min(key).alias(key))
+        .select(key)
+    )
 
 
 def usage_from_tokens(docs: DataFrame, token_counts: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -201,9 +211,9 @@ def usage_from_tokens(docs: DataFrame, token_counts: DataFrame, lang: str = "lan
     return stats.join(used, "language", "left")
 
 
-def distinct_prompt_token_counts(token_counts: DataFrame) -> DataFrame:
+def distinct_prompt_token_counts(token_counts: DataFrame, firsts: DataFrame, key: str = "doc_id") -> DataFrame:
     """(language, token, cnt) over distinct prompts (copies of a text count once)."""
-    d = token_counts.select("language", "text_md5", "token", "cnt").dropDuplicates(["language", "text_md5", "token"])
+    d = token_counts.join(firsts, key, "left_semi")
     return d.groupBy("language", "token").agg(F.sum("cnt").alias("cnt"))
 
 

@@ -49,8 +49,7 @@ def _sentences(spark, sf_dir):
 
 
 def _valid(spark, sf_dir):
-    s = _sentences(spark, sf_dir)
-    return s.where(cp.valid_sentence("sentence", "lang"))
+    return cp.valid_sentences(table(spark, sf_dir, "documents"))
 
 
 @register(
@@ -89,7 +88,7 @@ WHERE draw <= {QUOTA}""",
     ),
 )
 def p3_quota_sample(spark, sf_dir):
-    s = cp.quota_sample(_valid(spark, sf_dir), "lang", QUOTA, seed=42)
+    s = cp.quota_sample_docs(table(spark, sf_dir, "documents"), QUOTA, seed=42)
     return s.select("lang", "doc_id", F.col("sent_no").cast("int").alias("sent_no"), "draw")
 
 
@@ -178,7 +177,7 @@ def _assembled(spark, sf_dir):
     snip = cp.snippet_prompts(table(spark, sf_dir, "pages"), n=N_SNIPPETS).select(
         "prompt", F.lit("snippet").alias("domain"), F.col("page_id").alias("prompt_key")
     )
-    wiki = cp.quota_sample(_valid(spark, sf_dir), "lang", QUOTA, seed=42).select(
+    wiki = cp.quota_sample_docs(table(spark, sf_dir, "documents"), QUOTA, seed=42).select(
         F.col("sentence").alias("prompt"),
         F.concat(F.lit("wiki_"), F.col("lang")).alias("domain"),
         "lang",

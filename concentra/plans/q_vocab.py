@@ -256,7 +256,7 @@ def language_summary(spark, sf_dir):
     vocab = tc.select("token").distinct()
     alloc = vb.allocated_vocab(vb.token_scripts(vocab), LANGS)
     use = vb.usage_from_tokens(docs, tc)
-    top = vb.topk_share(vb.distinct_prompt_token_counts(tc))
+    top = vb.topk_share(vb.distinct_prompt_token_counts(tc, vb.first_copies(docs)))
     j = m.join(alloc, "language").join(use, "language").join(top, "language")
     return j.select(
         "language",
