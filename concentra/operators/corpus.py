@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsers import strip_ws
 from ..operators.grid import shuffle_key
+from ..operators.ordinal import broadcast_if_small, materialize
 
 MARK = "\u0001"
 
@@ -132,8 +133,9 @@ def quota_sample_docs(docs: DataFrame, quota: int, seed=42, lang: str = "lang",
     per document; the second pass splits just the included documents (at most
     3 x quota + 1 per language) instead of the whole corpus again."""
     per_doc = valid_sentences(docs, text, lang, (doc,)).groupBy(lang, doc).agg(F.count(F.lit(1)).alias("_n"))
-    included = _included_docs(per_doc, lang, doc, quota)
-    few = docs.join(F.broadcast(included.select(doc)), doc, "left_semi")  # <= groups x (3 quota + 1) ids
+    # small (<= groups x (3 quota + 1) ids): written once, broadcast behind a size check
+    included = materialize(_included_docs(per_doc, lang, doc, quota).select(doc))
+    few = docs.join(broadcast_if_small(included), doc, "left_semi")
     cand = valid_sentences(few, text, lang, (doc,))
     return _draw(cand, lang, quota, seed, doc, "sent_no")
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinal import materialize
+from .ordinal import broadcast_if_small, materialize
 from .ranks import average_ranks, value_counts
 from .stats import _null, _num, _nz, lag_pairs, ttest_1samp
 
@@ -101,9 +101,9 @@ def mann_whitney(df: DataFrame, y: str, by: str) -> DataFrame:
         F.col("g").isNotNull() & F.col("v").isNotNull()
     )
     gv = materialize(value_counts(clean, "v", by=["g"]))  # one scan of the input
-    pairs = _pair_list(gv)  # k (k - 1) / 2 rows
-    side1 = gv.join(F.broadcast(pairs), gv["g"] == pairs["g1"]).select("g1", "g2", "v", F.col("cnt").alias("c1"), F.lit(0).cast("bigint").alias("c2"))
-    side2 = gv.join(F.broadcast(pairs), gv["g"] == pairs["g2"]).select("g1", "g2", "v", F.lit(0).cast("bigint").alias("c1"), F.col("cnt").alias("c2"))
+    pairs = broadcast_if_small(materialize(_pair_list(gv)))  # k (k - 1) / 2 rows, size checked
+    side1 = gv.join(pairs, gv["g"] == pairs["g1"]).select("g1", "g2", "v", F.col("cnt").alias("c1"), F.lit(0).cast("bigint").alias("c2"))
+    side2 = gv.join(pairs, gv["g"] == pairs["g2"]).select("g1", "g2", "v", F.lit(0).cast("bigint").alias("c1"), F.col("cnt").alias("c2"))
     pooled = side1.unionByName(side2).groupBy("g1", "g2", "v").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
     pooled = pooled.withColumn("cnt", F.col("c1") + F.col("c2"))
     ranked = average_ranks(pooled.select("g1", "g2", "v", "cnt"), "v", by=["g1", "g2"]).drop("cnt")

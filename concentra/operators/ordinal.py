@@ -101,6 +101,16 @@ def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+BROADCAST_MAX_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint only behind a checked size: ``df`` must be cheap to
+    count (small or materialised); above ``max_rows`` the planner decides."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 def quantile_boundaries(df: DataFrame, col: str, buckets: int, rel_err: float = 0.001) -> list[float]:
     """``buckets - 1`` distinct cut points of ``col`` (a bounded driver-side list)."""
     if buckets <= 1:
