@@ -141,7 +141,21 @@ def bucket_of(value: Column, cuts: Sequence[float]) -> Column:
     return expr.otherwise(F.lit(0))
 
 
+CASE_CHAIN_MAX = 64
+
+
 def range_bucket(df: DataFrame, col: str, buckets: int = 64, name: str = "_bkt") -> DataFrame:
-    """Add an order-preserving bucket id for numeric ``col``."""
+    """Add an order-preserving bucket id for numeric ``col`` (number of cut
+    points <= value). Up to 64 cuts: a CASE chain inside whole-stage codegen;
+    more: Spark ML's ``Bucketizer`` (binary search)."""
     cuts = quantile_boundaries(df, col, buckets)
-    return df.withColumn(name, bucket_of(F.col(col).cast("double"), cuts))
+    if len(cuts) <= CASE_CHAIN_MAX:
+        return df.withColumn(name, bucket_of(F.col(col).cast("double"), cuts))
+    from pyspark.ml.feature import Bucketizer
+
+    tmp = f"{name}_in"
+    b = Bucketizer(
+        splits=[float("-inf"), *cuts, float("inf")], inputCol=tmp, outputCol=name, handleInvalid="keep"
+    )
+    out = b.transform(df.withColumn(tmp, F.col(col).cast("double")))
+    return out.withColumn(name, F.col(name).cast("int")).drop(tmp)

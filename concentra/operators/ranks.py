@@ -22,9 +22,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinal import bucket_of, materialize, quantile_boundaries
+from .ordinal import materialize, range_bucket
 
 DEFAULT_BUCKETS = 64
+VALUES_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 20_000
 
 
 def average_ranks(
@@ -32,7 +34,7 @@ def average_ranks(
     value: str,
     count: str = "cnt",
     by: Sequence[str] = (),
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
     name: str = "rank",
 ) -> DataFrame:
     """Add ``name`` = average (mid) rank of ``value`` within ``by``, weighted by ``count``.
@@ -44,8 +46,12 @@ def average_ranks(
     v = (F.col(value).cast("double") + F.lit(0.0)).alias(value)
     # value counts are small (a hot value is one row) and read three times
     base = materialize(counts.select(*by, v, F.col(count).cast("bigint").alias(count)))
-    cuts = quantile_boundaries(base, value, buckets)
-    b = base.withColumn("_bkt", bucket_of(F.col(value), cuts))
+    if buckets is None:
+        # about VALUES_PER_BUCKET distinct values per bucket, so the window
+        # inside a bucket stays a bounded sort whatever the table size
+        n_values = base.count()
+        buckets = int(min(MAX_BUCKETS, max(DEFAULT_BUCKETS, -(-n_values // VALUES_PER_BUCKET))))
+    b = range_bucket(base, value, buckets, "_bkt")
     totals = b.groupBy(*by, "_bkt").agg(F.sum(count).alias("_bcnt"))
     w_off = (
         Window.partitionBy(*by).orderBy("_bkt")

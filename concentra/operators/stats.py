@@ -411,15 +411,21 @@ def battery(
     seq_len: str = "seq_len",
     domain: str = "domain",
     rank: str = "rank",
-    chkpt: Sequence[str] = ("chkpt_id",),
+    chkpt: Sequence[str] | None = None,
     extra: DataFrame | None = None,
 ) -> DataFrame:
     """F1..F8 in order with p-values; a missing column gives a NULL row.
 
     F1, F3 (without extra runs), F4, F6 and F8 read their moments from ONE
     aggregation; F2, F5 and F7 need one shuffle each.
+
+    F5 groups by (model, chkpt_id) when there is a model column, so that
+    checkpoint ids of different runs in a combined table are not chained
+    together; ``chkpt=("chkpt_id",)`` reproduces grouping by checkpoint only.
     """
     cols = set(df.columns)
+    if chkpt is None:
+        chkpt = ("model", "chkpt_id") if "model" in cols else ("chkpt_id",)
     rows: list[DataFrame] = []
     has = lambda *c: all(x in cols for x in c)
 

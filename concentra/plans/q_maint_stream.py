@@ -101,6 +101,7 @@ FROM (
 )
 def m3_progress(spark, sf_dir):
     """Events per user read as finished generations of a run of 100."""
+    _utc(spark)
     ev = table(spark, sf_dir, "events").withColumn("gen_time", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return rounded(mt.progress(ev, 100, "gen_time", "value", by=["user_id"], tiebreak=["event_id"]))
 
@@ -108,6 +109,13 @@ def m3_progress(spark, sf_dir):
 # ---------------------------------------------------------------- S1-S5
 
 
+def _utc(spark):
+    """Event times are wall-clock (TIMESTAMP_NTZ) and become instants in the
+    session time zone; windows and formatted bounds are defined in UTC."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def _scratch(spark, name):
     base = scratch_dir(spark, name)
     return os.path.join(base, "out"), os.path.join(base, "checkpoint")
@@ -143,6 +151,7 @@ FROM events GROUP BY ALL""",
     doubles=["mean", "std", "share_above"],
 )
 def s2_monitor(spark, sf_dir):
+    _utc(spark)
     src = ss.parquet_stream(spark, sf_dir, "events.parquet")
     mon = ss.monitor(src, "event_type", "value", window="1 day", watermark="1 hour", limit=10.0)
     out, ckpt = _scratch(spark, "s2")
@@ -156,6 +165,7 @@ def s2_monitor(spark, sf_dir):
 
 
 def _moments_sink(spark, sf_dir):
+    _utc(spark)
     src = ss.parquet_stream(spark, sf_dir, "events.parquet")
     out, ckpt = _scratch(spark, "s3")
     return ss.run_available(src, out, ckpt, transform=lambda b, i: ss.day_moments(b, i, "value", "ts"))
@@ -194,6 +204,7 @@ FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event
 GROUP BY user_id, sid""",
 )
 def s4_session_runs(spark, sf_dir):
+    _utc(spark)
     s = ss.session_runs(table(spark, sf_dir, "events"), "user_id", gap="30 minutes")
     return s.select(
         "user_id",
@@ -209,6 +220,7 @@ def s4_session_runs(spark, sf_dir):
 )
 def s5_stream_dedup(spark, sf_dir):
     """Every event is delivered twice (two sources); each counts once."""
+    _utc(spark)
     a = ss.parquet_stream(spark, sf_dir, "events.parquet")
     b = ss.parquet_stream(spark, sf_dir, "events.parquet")
     d = ss.stream_dedup(a.unionByName(b), ["event_id"])

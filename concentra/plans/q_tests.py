@@ -154,7 +154,7 @@ def _battery_sql(src: str) -> str:
         q.f2(src, "ned_mean", "temp"),
         q.f3(src, "ned_mean", "model_size"),
         q.f4(src, "ned_mean", "temp"),
-        q.f5(src, "ned_mean", ["chkpt_id"], ["rank"]),
+        q.f5(src, "ned_mean", ["model", "chkpt_id"], ["rank"]),
         q.f4(src, "ned_mean", "seq_len", "F6", gated=True),
         q.f7(src, "ned_mean", "domain"),
         q.f8(src, "ned_mean", "rank", "temp"),
