@@ -65,6 +65,13 @@ def with_rank_and_chkpt(
     return ranked.withColumn("chkpt_id", F.floor(F.col("rank") / save_interval).cast("bigint"))
 
 
+def with_rank_offline(scores_runs: DataFrame, bundle: str = "bundle_id", order=("gen_id",)) -> DataFrame:
+    """B12, offline path: rank restarts inside every bundle and chkpt_id is the
+    bundle number (so F5 and F8 differ from the online path)."""
+    ranked = global_ordinal(scores_runs, list(order), name="rank", by=[bundle])
+    return ranked.withColumn("chkpt_id", F.col(bundle).cast("bigint"))
+
+
 def distinct_prompts(df: DataFrame, keys: Sequence[str] = ("language", "prompt")) -> DataFrame:
     """Distinct prompts per language (undoes the x temps repetition)."""
     return df.select(*keys).dropDuplicates(list(keys))

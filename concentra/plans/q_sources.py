@@ -190,6 +190,44 @@ def a9_split_bad(spark, sf_dir):
     )
 
 
+@register(
+    "a5_write_merged",
+    with_ctes(
+        _BUNDLES_SQL,
+        body="""
+SELECT bundle_id, CAST(count(*) AS BIGINT) AS n, min(merged_pos) AS first_pos, max(merged_pos) AS last_pos FROM (
+  SELECT bundle_id, CAST(row_number() OVER (ORDER BY bundle_id, gen_id, pos) - 1 AS BIGINT) AS merged_pos FROM bundles)
+GROUP BY bundle_id""",
+    ),
+)
+def a5_write_merged(spark, sf_dir):
+    """The merged table written by the compaction job, read back."""
+    path = io.scratch_dir(spark, "a5")
+    io.write_merged(_bundles(spark, sf_dir), path)
+    m = spark.read.parquet(path)
+    return m.groupBy("bundle_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"),
+        F.min("merged_pos").alias("first_pos"),
+        F.max("merged_pos").alias("last_pos"),
+    )
+
+
+@register(
+    "b12_rank_offline",
+    with_ctes(
+        _BUNDLES_SQL,
+        body="""
+SELECT gen_id, bundle_id,
+       CAST(row_number() OVER (PARTITION BY bundle_id ORDER BY gen_id) - 1 AS BIGINT) AS rank, bundle_id AS chkpt_id
+FROM (SELECT DISTINCT gen_id, bundle_id FROM bundles)""",
+    ),
+)
+def b12_rank_offline(spark, sf_dir):
+    """One run row per generation of each bundle, ranked inside its bundle."""
+    gens = _bundles(spark, sf_dir).select("gen_id", "bundle_id").distinct()
+    return grid.with_rank_offline(gens).select("gen_id", "bundle_id", "rank", "chkpt_id")
+
+
 # ---------------------------------------------------------------- A6 / A7 / A8
 
 
