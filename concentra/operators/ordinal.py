@@ -146,9 +146,40 @@ CASE_CHAIN_MAX = 64
 
 def range_bucket(df: DataFrame, col: str, buckets: int = 64, name: str = "_bkt") -> DataFrame:
     """Add an order-preserving bucket id for numeric ``col`` (number of cut
-    points <= value). Up to 64 cuts: a CASE chain inside whole-stage codegen;
-    more: Spark ML's ``Bucketizer`` (binary search)."""
-    cuts = quantile_boundaries(df, col, buckets)
+    points <= value)."""
+    return with_buckets(df, col, quantile_boundaries(df, col, buckets), name)
+
+
+def count_and_cuts(df: DataFrame, col: str, per_bucket: int, min_buckets: int, max_buckets: int,
+                   grid: int = 1024) -> tuple[int, list[float]]:
+    """Row count and quantile cut points in ONE job: a fine percentile grid is
+    computed with the count, and thinned to the bucket count the row count
+    asks for (about ``per_bucket`` rows each); only above ``grid`` buckets a
+    second pass is needed."""
+    probs = [i / grid for i in range(1, grid)]
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx(F.col(col).cast("double"), probs, 10000).alias("q"),
+    ).first()
+    n = int(row["n"])
+    buckets = int(min(max_buckets, max(min_buckets, -(-n // per_bucket))))
+    if buckets > grid:
+        return n, quantile_boundaries(df, col, buckets)
+    step = grid / buckets
+    picked = [row["q"][int(round(i * step)) - 1] for i in range(1, buckets)] if row["q"] else []
+    cuts: list[float] = []
+    for c in picked:
+        if c is None or c != c:
+            continue
+        if not cuts or c > cuts[-1]:
+            cuts.append(float(c))
+    return n, cuts
+
+
+def with_buckets(df: DataFrame, col: str, cuts: Sequence[float], name: str = "_bkt") -> DataFrame:
+    """Bucket id from given cut points. Up to 64 cuts: a CASE chain inside
+    whole-stage codegen; more: Spark ML's ``Bucketizer`` (binary search)."""
+    cuts = list(cuts)
     if len(cuts) <= CASE_CHAIN_MAX:
         return df.withColumn(name, bucket_of(F.col(col).cast("double"), cuts))
     from pyspark.ml.feature import Bucketizer

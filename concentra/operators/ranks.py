@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinal import materialize, range_bucket
+from .ordinal import count_and_cuts, materialize, range_bucket, with_buckets
 
 DEFAULT_BUCKETS = 64
 VALUES_PER_BUCKET = 1_000_000
@@ -49,9 +49,10 @@ def average_ranks(
     if buckets is None:
         # about VALUES_PER_BUCKET distinct values per bucket, so the window
         # inside a bucket stays a bounded sort whatever the table size
-        n_values = base.count()
-        buckets = int(min(MAX_BUCKETS, max(DEFAULT_BUCKETS, -(-n_values // VALUES_PER_BUCKET))))
-    b = range_bucket(base, value, buckets, "_bkt")
+        _, cuts = count_and_cuts(base, value, VALUES_PER_BUCKET, DEFAULT_BUCKETS, MAX_BUCKETS)
+        b = with_buckets(base, value, cuts, "_bkt")
+    else:
+        b = range_bucket(base, value, buckets, "_bkt")
     totals = b.groupBy(*by, "_bkt").agg(F.sum(count).alias("_bcnt"))
     w_off = (
         Window.partitionBy(*by).orderBy("_bkt")

@@ -1,7 +1,7 @@
 """Sentence splitting, prompt builders, script classes and vocabulary usage."""
 
 import pytest
-from pyspark.sql import functions as F
+
 
 from concentra.operators import corpus as cp
 from concentra.operators import vocab as vb
