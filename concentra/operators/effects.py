@@ -333,7 +333,8 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     by one aggregation over their union (no join).
     """
     clean = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    joint = clean.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    # the contingency table (r x c rows) feeds three aggregations: one scan
+    joint = materialize(clean.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")))
     ma = joint.groupBy(a).agg(F.sum("n").alias("n"))
     mb = joint.groupBy(b).agg(F.sum("n").alias("n"))
     nlogn = lambda: F.col("n") * F.log(F.col("n").cast("double"))
