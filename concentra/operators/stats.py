@@ -200,7 +200,8 @@ def _complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return sel.where(cond)
 
 
-def _ols_cols(y: str, x: str, test_id: str) -> list[Column]:
+def _ols_parts():
+    """(statistic, df1, df2, estimate, n, note) of a slope t-test from n, sxx, syy, sxy."""
     n = F.col("n")
     slope = F.col("sxy") / _nz(F.col("sxx"))
     se = F.sqrt((F.col("syy") - slope * F.col("sxy")) / _nz(n - 2) / _nz(F.col("sxx")))
@@ -208,7 +209,11 @@ def _ols_cols(y: str, x: str, test_id: str) -> list[Column]:
     note = F.when(~(F.col("sxx") > 0) | F.col("sxx").isNull(), F.lit("single value of predictor")).when(
         n <= 2, F.lit("fewer than 3 rows")
     )
-    return _row(test_id, F.when(ok, slope / _nz(se)), n - 2, _null(), F.when(ok, slope), n, note)
+    return F.when(ok, slope / _nz(se)), n - 2, _null(), F.when(ok, slope), n, note
+
+
+def _ols_cols(y: str, x: str, test_id: str) -> list[Column]:
+    return _row(test_id, *_ols_parts())
 
 
 def _moment_aggs(y: str, x: str, prefix: str = "") -> list[Column]:
@@ -243,6 +248,10 @@ def ols(
 
 
 def _pearson_cols(test_id: str, gate: Column | None = None) -> list[Column]:
+    return _row(test_id, *_pearson_parts(gate))
+
+
+def _pearson_parts(gate: Column | None = None):
     n = F.col("n")
     r = F.col("sxy") / _nz(F.sqrt(F.col("sxx") * F.col("syy")))
     t = r * F.sqrt((n - 2) / _nz(1.0 - r * r))
@@ -254,7 +263,7 @@ def _pearson_cols(test_id: str, gate: Column | None = None) -> list[Column]:
     ).when(F.abs(r) >= 1.0, F.lit("perfect correlation"))
     if gate is not None:
         note = F.when(~gate, F.lit("single value of x")).otherwise(note)
-    return _row(test_id, F.when(ok, t), n - 2, _null(), r, n, note)
+    return F.when(ok, t), n - 2, _null(), r, n, note
 
 
 def pearson(df: DataFrame, y: str = "ned_mean", x: str = "temp", test_id: str = "F4") -> DataFrame:
@@ -451,7 +460,12 @@ def battery(
     for r in rows[1:]:
         out = out.unionByName(r)
     order = F.substring(F.col("test_id"), 2, 2).cast("int")
-    return with_p(out.withColumn("test_no", order)).orderBy("test_no").drop("test_no")
+    # eight one-row results: moved (a shuffle of 8 rows) into one partition,
+    # so the tails are one Arrow call and the sort is local, without a
+    # range-sampling job; repartition, not coalesce, so that the upstream
+    # post-shuffle work of every test stays parallel
+    one = out.withColumn("test_no", order).repartition(1)
+    return with_p(one).sortWithinPartitions("test_no").drop("test_no")
 
 
 def _shared_moments(df: DataFrame, y: str, temp, size, seq_len, rank) -> DataFrame:
@@ -489,43 +503,63 @@ def _shared_moments(df: DataFrame, y: str, temp, size, seq_len, rank) -> DataFra
             F.covar_samp(tt, ry).alias("f8_c2y"),
         ]
     m = df.agg(*aggs)
-    frames = []
-    t1 = F.col("f1_mean") / _nz(F.col("f1_sd") / F.sqrt(F.col("f1_n")))
-    frames.append(
-        m.select(
-            *_row(
-                "F1",
-                F.when(F.col("f1_n") >= 2, t1),
-                F.col("f1_n") - 1,
-                _null(),
-                F.col("f1_mean"),
-                F.col("f1_n"),
-                F.when(F.col("f1_n") < 2, F.lit("fewer than 2 values")).when(
-                    F.col("f1_sd") == 0, F.lit("zero variance")
-                ),
-            )
-        )
-    )
 
-    def sub(prefix: str) -> DataFrame:
-        return m.select(*[F.col(prefix + k).alias(k) for k in ("n", "sxx", "syy", "sxy")])
+    # one row per test from the single aggregated row (inline of an array of
+    # structs with common field names), then the formulas chosen by test id:
+    # the aggregation runs once, not once per test
+    fields = ["n", "mean", "sd", "sxx", "syy", "sxy", "c11", "c1y", "cyy", "c22", "c12", "c2y"]
+
+    def entry(tid: str, src: dict[str, str]) -> Column:
+        return F.struct(
+            F.lit(tid).alias("test_id"),
+            *[(F.col(src[f]).cast("double") if f in src else _null()).alias(f) for f in fields],
+        )
 
+    entries = [entry("F1", {"n": "f1_n", "mean": "f1_mean", "sd": "f1_sd"})]
+    parts: dict[str, tuple] = {}
+    nn, mean, sd = F.col("n"), F.col("mean"), F.col("sd")
+    parts["F1"] = (
+        F.when(nn >= 2, mean / _nz(sd / F.sqrt(nn))),
+        nn - 1,
+        _null(),
+        mean,
+        nn,
+        F.when(nn < 2, F.lit("fewer than 2 values")).when(sd == 0, F.lit("zero variance")),
+    )
+    pair = lambda p: {k: p + k for k in ("n", "sxx", "syy", "sxy")}
     if size:
-        frames.append(sub("f3_").select(*_ols_cols(y, size, "F3")))
+        entries.append(entry("F3", pair("f3_")))
+        parts["F3"] = _ols_parts()
     if temp:
-        frames.append(sub("f4_").select(*_pearson_cols("F4")))
+        entries.append(entry("F4", pair("f4_")))
+        parts["F4"] = _pearson_parts()
     if seq_len:
-        frames.append(sub("f6_").select(*_pearson_cols("F6", gate=F.col("sxx") > 0)))
+        entries.append(entry("F6", pair("f6_")))
+        parts["F6"] = _pearson_parts(gate=F.col("sxx") > 0)
     if rank:
-        f8 = m.select(*[F.col("f8_" + k).alias(k) for k in ("n", "c11", "c1y", "cyy", "c22", "c12", "c2y")])
-        frames.append(_partial_from_moments(f8))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        entries.append(entry("F8", {k: "f8_" + k for k in ("n", "c11", "c1y", "cyy", "c22", "c12", "c2y")}))
+        parts["F8"] = _partial_parts()
+    long = m.select(F.inline(F.array(*entries)))
+
+    def pick(i: int) -> Column:
+        expr = None
+        for tid, p in parts.items():
+            cond = F.col("test_id") == tid
+            expr = F.when(cond, p[i]) if expr is None else expr.when(cond, p[i])
+        return expr
+
+    names = ["statistic", "df1", "df2", "estimate", "n", "note"]
+    types = ["double", "double", "double", "double", "bigint", "string"]
+    return long.select(
+        "test_id", *[pick(i).cast(t).alias(nm) for i, (nm, t) in enumerate(zip(names, types))]
+    )
 
 
 def _partial_from_moments(m: DataFrame, test_id: str = "F8") -> DataFrame:
+    return m.select(*_row(test_id, *_partial_parts()))
+
+
+def _partial_parts():
     n = F.col("n").cast("double")
     two = F.col("c22") > 0
     det = F.col("c11") * F.col("c22") - F.col("c12") * F.col("c12")
@@ -543,4 +577,4 @@ def _partial_from_moments(m: DataFrame, test_id: str = "F8") -> DataFrame:
     note = F.when(~(F.col("c11") > 0) | F.col("c11").isNull(), F.lit("single value of predictor")).when(
         dfr <= 0, F.lit("too few rows")
     )
-    return m.select(*_row(test_id, F.when(ok, b1 / _nz(se)), dfr, _null(), F.when(ok, b1), F.col("n"), note))
+    return F.when(ok, b1 / _nz(se)), dfr, _null(), F.when(ok, b1), F.col("n"), note
