@@ -443,6 +443,12 @@ def battery(
             *_row(tid, _null(), _null(), _null(), _null(), F.lit(None), F.lit(f"missing column {what}"))
         )
 
+    if not has(y):
+        out = missing("F1", y)
+        for i in range(2, 9):
+            out = out.unionByName(missing(f"F{i}", y))
+        return with_p(out)
+
     shared = _shared_moments(df, y, temp if has(temp) else None, size if has(size) and extra is None else None,
                              seq_len if has(seq_len) else None, rank if has(rank) else None)
     rows.append(shared.where(F.col("test_id") == "F1"))

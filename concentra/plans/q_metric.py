@@ -217,3 +217,20 @@ FROM runs GROUP BY model, model_size""",
 )
 def c9_profile_model(spark, sf_dir):
     return rounded(profile(fx.runs_vec(spark, sf_dir), ["model", "model_size"]))
+
+
+@register(
+    "c9_profile_cube",
+    sql=with_ctes(
+        POS_NED,
+        runs_vec_sql(),
+        body="""
+SELECT temp, model, avg(ned_mean) AS mean, stddev_samp(ned_mean) AS std, CAST(count(ned_mean) AS BIGINT) AS n,
+       CAST(GROUPING(temp, model) AS BIGINT) AS level
+FROM runs GROUP BY CUBE (temp, model)""",
+    ),
+    doubles=["temp", "mean", "std"],
+)
+def c9_profile_cube(spark, sf_dir):
+    """All margins of temperature x model in one aggregation."""
+    return rounded(profile(fx.runs_vec(spark, sf_dir), ["temp", "model"], margins="cube"))

@@ -102,3 +102,18 @@ def test_argmax_and_topk(spark):
     assert r.m2 == pytest.approx(p[1] + p[2])
     assert r.m10 == pytest.approx(1.0)
     assert r.m2a == pytest.approx(r.m2)
+
+
+def test_counts_metric_equals_vector_metric(spark):
+    """C7 on a frequency table equals C2 on ln(count) scores, at any temperature."""
+    from concentra.operators.reduce import ned_from_counts, ned_from_counts_temps
+
+    counts = [5, 3, 3, 1, 1, 1, 20]
+    cdf = spark.createDataFrame([("d", c) for c in counts], "k string, cnt long")
+    vec = _frame(spark, [np.log(counts).tolist()])
+    for t in (0.7, 1.0, 1.3):
+        a = ned_from_counts(cdf, ["k"], "cnt", temp=t).first().ned
+        b = vec.select(metric.ned("scores", t).alias("x")).first().x
+        assert a == pytest.approx(b, abs=1e-12)
+    multi = {r.temp: r.ned for r in ned_from_counts_temps(cdf, ["k"], "cnt", (0.7, 1.3)).collect()}
+    assert multi[1.3] == pytest.approx(ned_from_counts(cdf, ["k"], "cnt", temp=1.3).first().ned, abs=1e-12)

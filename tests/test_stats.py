@@ -152,3 +152,10 @@ def test_spearman_golden_values(spark):
     assert rows["fertility"].p_value == pytest.approx(0.87, abs=0.005)
     assert rows["vocab_used"].rho == pytest.approx(-0.30)
     assert rows["vocab_used"].p_value == pytest.approx(0.624, abs=0.001)
+
+
+def test_battery_without_value_column(spark):
+    pdf, _ = _runs(spark)
+    rows = st.battery(spark.createDataFrame(pdf.drop(columns=["ned_mean"]))).collect()
+    assert [r.test_id for r in rows] == [f"F{i}" for i in range(1, 9)]
+    assert all(r.p_value is None and r.note == "missing column ned_mean" for r in rows)
