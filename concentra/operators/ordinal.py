@@ -28,12 +28,6 @@ from ..session import ensure_checkpoint_dir, scratch_path
 _ROW_BITS = 33  # monotonically_increasing_id puts the partition index above bit 33
 
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return int(partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def global_ordinal(
     df: DataFrame,
     order_cols: Sequence,
@@ -50,9 +44,12 @@ def global_ordinal(
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     keys = [F.col(c) if isinstance(c, str) else c for c in (*by, *order_cols)]
-    n = _partitions(df, partitions)
+    # Without an explicit count AQE may merge adjacent (small) range
+    # partitions; merged ranges stay contiguous and ordered, which is all
+    # the per-partition offsets below need.
+    ranged_df = df.repartitionByRange(int(partitions), *keys) if partitions else df.repartitionByRange(*keys)
     sorted_parts = (
-        df.repartitionByRange(n, *keys)
+        ranged_df
         .sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())
         .persist(StorageLevel.MEMORY_AND_DISK)
