@@ -107,3 +107,37 @@ def profile(df: DataFrame, dims: Sequence[str], value: str = "ned_mean", margins
     else:
         return df.groupBy(*dims).agg(*aggs)
     return g.agg(*aggs, F.grouping_id().cast("bigint").alias("level"))
+
+
+def runs_from_bundles(
+    scores: DataFrame,
+    model_name: str,
+    meta: Sequence[str] = ("prompt",),
+    gen: str = "gen_id",
+    temp=None,
+    processed_at: bool = False,
+) -> DataFrame:
+    """Offline reduction of score bundles into run rows (the metric per
+    position, mean/std per generation, then the run attributes).
+
+    ``scores`` holds one row per position with ``bundle_id``, ``gen`` and the
+    per-generation ``meta`` columns. Rank restarts inside each bundle and
+    chkpt_id is the bundle number (offline path); model and model size come
+    from ``model_name``; domain is parsed from the prompt only when it holds
+    a ':'. ``processed_at`` adds the processing time (not reproducible).
+    """
+    from pyspark.sql import functions as F
+
+    from ..functions import metric
+    from ..functions.parsers import domain_of, model_size
+    from .grid import with_rank_offline
+
+    pos = scores.select("bundle_id", gen, *meta, metric.ned("scores", temp).alias("ned"))
+    runs = reduce_generation(pos, ["bundle_id", gen, *meta], "ned")
+    runs = runs.withColumn("model", F.lit(model_name)).withColumn("model_size", model_size(F.lit(model_name)))
+    if "prompt" in meta:
+        runs = runs.withColumn("domain", domain_of("prompt"))
+    out = with_rank_offline(runs, "bundle_id", (gen,))
+    if processed_at:
+        out = out.withColumn("timestamp_processed", F.current_timestamp())
+    return out

@@ -228,6 +228,47 @@ def b12_rank_offline(spark, sf_dir):
     return grid.with_rank_offline(gens).select("gen_id", "bundle_id", "rank", "chkpt_id")
 
 
+@register(
+    "a4_runs_from_bundles",
+    with_ctes(
+        POS_NED,
+        """
+bpos AS (SELECT gen_id, CAST(floor(gen_id / 20) AS BIGINT) AS bundle_id,
+                ['wiki', 'news', 'fiction', 'code'][CAST(CAST(floor(gen_id / 3) AS BIGINT) % 4 AS INTEGER) + 1]
+                  || ': generation ' || CAST(gen_id AS VARCHAR) AS prompt, ned
+         FROM pos_ned WHERE temp = 1.0)""",
+        body="""
+SELECT bundle_id, gen_id, prompt, avg(ned) AS ned_mean, stddev_pop(ned) AS ned_std, CAST(count(*) AS BIGINT) AS seq_len,
+       'beta-27b' AS model, CAST(27000000000 AS BIGINT) AS model_size,
+       CASE WHEN instr(prompt, ':') > 0 THEN nullif(regexp_replace(split_part(prompt, ':', 1), '^\\s+|\\s+$', '', 'g'), '') END AS domain,
+       CAST(row_number() OVER (PARTITION BY bundle_id ORDER BY gen_id) - 1 AS BIGINT) AS rank, bundle_id AS chkpt_id
+FROM bpos GROUP BY bundle_id, gen_id, prompt""",
+    ),
+    doubles=["ned_mean", "ned_std"],
+)
+def a4_runs_from_bundles(spark, sf_dir):
+    """Score bundles with a prompt per generation reduced into run rows
+    (offline path: rank per bundle, chkpt_id = bundle number)."""
+    from ..operators.reduce import runs_from_bundles
+
+    domains = F.array(*[F.lit(d) for d in fx.DOMAINS])
+    pos = fx.score_positions(spark, sf_dir).withColumn(
+        "prompt",
+        F.concat(
+            F.element_at(domains, (F.floor(F.col("gen_id") / 3) % 4 + 1).cast("int")),
+            F.lit(": generation "),
+            F.col("gen_id").cast("string"),
+        ),
+    )
+    path = io.scratch_dir(spark, "bundles-meta")
+    io.write_bundles(pos, path, F.floor(F.col("gen_id") / 20))
+    runs = runs_from_bundles(io.read_scores(spark, path), "beta-27b", meta=("prompt",), temp=1.0)
+    return rounded(
+        runs.select("bundle_id", "gen_id", "prompt", "ned_mean", "ned_std", "seq_len", "model", "model_size",
+                    "domain", "rank", "chkpt_id")
+    )
+
+
 # ---------------------------------------------------------------- A6 / A7 / A8
 
 
