@@ -71,8 +71,11 @@ def with_p(stats: DataFrame) -> DataFrame:
 # --- F1 --------------------------------------------------------------------
 
 
-def ttest_1samp(df: DataFrame, y: str = "ned_mean", mu: float = 0.0, test_id: str = "F1") -> DataFrame:
-    m = df.agg(
+def ttest_1samp(
+    df: DataFrame, y: str = "ned_mean", mu: float = 0.0, test_id: str = "F1", groups: Sequence[str] = ()
+) -> DataFrame:
+    """one-sample t-test against ``mu`` (per ``groups`` when given)."""
+    m = df.groupBy(*groups).agg(
         F.count(_num(y)).alias("n"),
         F.avg(_num(y)).alias("mean"),
         F.stddev_samp(_num(y)).alias("sd"),
@@ -82,7 +85,7 @@ def ttest_1samp(df: DataFrame, y: str = "ned_mean", mu: float = 0.0, test_id: st
         F.col("sd") == 0, F.lit("zero variance")
     )
     return m.select(
-        *_row(test_id, F.when(F.col("n") >= 2, t), F.col("n") - 1, _null(), F.col("mean"), F.col("n"), note)
+        *groups, *_row(test_id, F.when(F.col("n") >= 2, t), F.col("n") - 1, _null(), F.col("mean"), F.col("n"), note)
     )
 
 
@@ -103,22 +106,25 @@ def group_moments(df: DataFrame, y: str, by: str) -> DataFrame:
     )
 
 
-def anova(df: DataFrame, y: str = "ned_mean", by: str = "temp", test_id: str = "F2") -> DataFrame:
-    """One-way F over the levels of ``by`` (NULL levels dropped).
+def anova(
+    df: DataFrame, y: str = "ned_mean", by: str = "temp", test_id: str = "F2", groups: Sequence[str] = ()
+) -> DataFrame:
+    """One-way F over the levels of ``by`` (NULL levels dropped), per ``groups``.
 
     One rollup gives the per-level moments and the overall variance in the
     same aggregation; SSB = SST - SSW, both from numerically stable
     central-moment aggregates (no raw sums of squares).
     """
-    clean = df.select(F.col(by).alias("level"), _num(y).alias("y")).where(
+    clean = df.select(*groups, F.col(by).alias("level"), _num(y).alias("y")).where(
         F.col("level").isNotNull() & F.col("y").isNotNull()
     )
-    r = clean.rollup("level").agg(
+    # grouping sets (groups, level) -> gid 0 and (groups) -> gid 1; coarser sets dropped
+    r = clean.rollup(*groups, "level").agg(
         F.count(F.lit(1)).alias("n"),
         F.var_samp("y").alias("var"),
         F.grouping_id().alias("gid"),
-    )
-    s = r.agg(
+    ).where(F.col("gid") <= 1)
+    s = r.groupBy(*groups).agg(
         F.sum(F.when(F.col("gid") == 0, 1).otherwise(0)).alias("k"),
         F.max(F.when(F.col("gid") == 1, F.col("n"))).alias("N"),
         F.max(F.when(F.col("gid") == 1, F.col("var") * (F.col("n") - 1))).alias("sst"),
@@ -132,7 +138,7 @@ def anova(df: DataFrame, y: str = "ned_mean", by: str = "temp", test_id: str = "
     note = F.when(k < 2, F.lit("fewer than 2 groups")).when(n <= k, F.lit("no within-group df")).when(
         F.col("ssw") == 0, F.lit("zero within-group variance")
     )
-    return s.select(*_row(test_id, F.when(ok, f), k - 1, n - k, _null(), n, note))
+    return s.select(*groups, *_row(test_id, F.when(ok, f), k - 1, n - k, _null(), n, note))
 
 
 def tukey_hsd(df: DataFrame, y: str = "ned_mean", by: str = "temp", alpha: float = 0.05) -> DataFrame:
@@ -328,47 +334,54 @@ def lag1_persistence(
     by: Sequence[str] = ("chkpt_id",),
     order: Sequence[str] = ("rank",),
     test_id: str = "F5",
+    groups: Sequence[str] = (),
 ) -> DataFrame:
     """t-test of the per-group lag-1 coefficients against 0 (> 1 group)."""
-    coef = lag1_coefficients(df, y, list(by), list(order)).where(F.col("phi").isNotNull())
-    return ttest_1samp(coef, "phi", 0.0, test_id=test_id)
+    keys = [*groups, *[b for b in by if b not in groups]]
+    coef = lag1_coefficients(df, y, keys, list(order)).where(F.col("phi").isNotNull())
+    return ttest_1samp(coef, "phi", 0.0, test_id=test_id, groups=groups)
 
 
 # --- F7: Kruskal-Wallis ---------------------------------------------------------
 
 
-def kruskal(df: DataFrame, y: str = "ned_mean", by: str = "domain", test_id: str = "F7") -> DataFrame:
+def kruskal(
+    df: DataFrame, y: str = "ned_mean", by: str = "domain", test_id: str = "F7", groups: Sequence[str] = ()
+) -> DataFrame:
     """H with tie correction; ranks from the distributed rank helper.
 
     Only (group, value) counts are joined to the value ranks; the statistic
     is one aggregation over the union of the per-group rank sums and the
     per-value tie terms.
     """
-    clean = df.select(F.col(by).alias("g"), _num(y).alias("v")).where(
+    gs = list(groups)
+    clean = df.select(*gs, F.col(by).alias("g"), _num(y).alias("v")).where(
         F.col("g").isNotNull() & F.col("v").isNotNull()
     )
-    gv = materialize(value_counts(clean, "v", by=["g"]))  # one scan of the input
-    vc = gv.groupBy("v").agg(F.sum("cnt").alias("cnt"))
-    ranked = average_ranks(vc, "v").select("v", "rank", F.col("cnt").alias("t"))
+    gv = materialize(value_counts(clean, "v", by=[*gs, "g"]))  # one scan of the input
+    vc = gv.groupBy(*gs, "v").agg(F.sum("cnt").alias("cnt"))
+    ranked = average_ranks(vc, "v", by=gs).select(*gs, "v", "rank", F.col("cnt").alias("t"))
     per_group = (
-        gv.join(ranked.select("v", "rank"), "v")
-        .groupBy("g")
+        gv.join(ranked.select(*gs, "v", "rank"), [*gs, "v"])
+        .groupBy(*gs, "g")
         .agg(F.sum(F.col("cnt") * F.col("rank")).alias("R"), F.sum("cnt").alias("n_g"))
     )
     parts = per_group.select(
+        *gs,
         (F.col("R") * F.col("R") / F.col("n_g")).alias("r2n"),
         F.lit(1).alias("is_g"),
         F.lit(0.0).alias("tie"),
         F.lit(0).cast("bigint").alias("t"),
     ).unionByName(
         ranked.select(
+            *gs,
             F.lit(0.0).alias("r2n"),
             F.lit(0).alias("is_g"),
             (F.col("t").cast("double") ** 3 - F.col("t").cast("double")).alias("tie"),
             F.col("t").cast("bigint").alias("t"),
         )
     )
-    s = parts.agg(
+    s = parts.groupBy(*gs).agg(
         F.sum("r2n").alias("sr2n"),
         F.sum("is_g").alias("k"),
         F.sum("tie").alias("ties"),
@@ -381,7 +394,7 @@ def kruskal(df: DataFrame, y: str = "ned_mean", by: str = "domain", test_id: str
     note = F.when(F.col("k") <= 1, F.lit("fewer than 2 groups")).when(
         corr.isNull() | (corr == 0), F.lit("all values equal")
     )
-    return s.select(*_row(test_id, F.when(ok, h0 / _nz(corr)), F.col("k") - 1, _null(), _null(), F.col("N"), note))
+    return s.select(*gs, *_row(test_id, F.when(ok, h0 / _nz(corr)), F.col("k") - 1, _null(), _null(), F.col("N"), note))
 
 
 # --- F8: partial slope -----------------------------------------------------------
@@ -422,9 +435,14 @@ def battery(
     rank: str = "rank",
     chkpt: Sequence[str] | None = None,
     extra: DataFrame | None = None,
+    groups: Sequence[str] = (),
 ) -> DataFrame:
     """F1..F8 in order with p-values; a missing column gives a NULL row.
 
+    With ``groups`` (e.g. model, prompt set) the eight tests run for every
+    group at once: each aggregation is keyed by the group columns, so many
+    runs cost the same number of jobs as one.
+
     F1, F3 (without extra runs), F4, F6 and F8 read their moments from ONE
     aggregation; F2, F5 and F7 need one shuffle each.
 
@@ -433,14 +451,18 @@ def battery(
     together; ``chkpt=("chkpt_id",)`` reproduces grouping by checkpoint only.
     """
     cols = set(df.columns)
+    groups = list(groups)
+    if extra is not None and groups:
+        raise ValueError("extra runs are for the ungrouped battery")
     if chkpt is None:
-        chkpt = ("model", "chkpt_id") if "model" in cols else ("chkpt_id",)
+        chkpt = ("model", "chkpt_id") if "model" in cols and "model" not in groups else ("chkpt_id",)
     rows: list[DataFrame] = []
     has = lambda *c: all(x in cols for x in c)
+    base = df.select(*groups).distinct() if groups else df.sparkSession.range(1)
 
     def missing(tid: str, what: str) -> DataFrame:
-        return df.sparkSession.range(1).select(
-            *_row(tid, _null(), _null(), _null(), _null(), F.lit(None), F.lit(f"missing column {what}"))
+        return base.select(
+            *groups, *_row(tid, _null(), _null(), _null(), _null(), F.lit(None), F.lit(f"missing column {what}"))
         )
 
     if not has(y):
@@ -450,22 +472,27 @@ def battery(
         return with_p(out)
 
     shared = _shared_moments(df, y, temp if has(temp) else None, size if has(size) and extra is None else None,
-                             seq_len if has(seq_len) else None, rank if has(rank) else None)
+                             seq_len if has(seq_len) else None, rank if has(rank) else None, groups)
     rows.append(shared.where(F.col("test_id") == "F1"))
-    rows.append(anova(df, y, temp) if has(temp) else missing("F2", temp))
+    rows.append(anova(df, y, temp, groups=groups) if has(temp) else missing("F2", temp))
     if has(size):
         rows.append(ols(df, y, size, extra=extra) if extra is not None else shared.where(F.col("test_id") == "F3"))
     else:
         rows.append(missing("F3", size))
     rows.append(shared.where(F.col("test_id") == "F4") if has(temp) else missing("F4", temp))
-    rows.append(lag1_persistence(df, y, list(chkpt), [rank]) if has(*chkpt, rank) else missing("F5", "chkpt_id"))
+    rows.append(
+        lag1_persistence(df, y, list(chkpt), [rank], groups=groups) if has(*chkpt, rank) else missing("F5", "chkpt_id")
+    )
     rows.append(shared.where(F.col("test_id") == "F6") if has(seq_len) else missing("F6", seq_len))
-    rows.append(kruskal(df, y, domain) if has(domain) else missing("F7", domain))
+    rows.append(kruskal(df, y, domain, groups=groups) if has(domain) else missing("F7", domain))
     rows.append(shared.where(F.col("test_id") == "F8") if has(rank) else missing("F8", rank))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
     order = F.substring(F.col("test_id"), 2, 2).cast("int")
+    if groups:
+        # 8 rows per group: a small sorted report
+        return with_p(out.withColumn("test_no", order)).orderBy(*groups, "test_no").drop("test_no")
     # eight one-row results: moved (a shuffle of 8 rows) into one partition,
     # so the tails are one Arrow call and the sort is local, without a
     # range-sampling job; repartition, not coalesce, so that the upstream
@@ -474,7 +501,7 @@ def battery(
     return with_p(one).sortWithinPartitions("test_no").drop("test_no")
 
 
-def _shared_moments(df: DataFrame, y: str, temp, size, seq_len, rank) -> DataFrame:
+def _shared_moments(df: DataFrame, y: str, temp, size, seq_len, rank, groups: Sequence[str] = ()) -> DataFrame:
     """One aggregation with the moments of F1, F3, F4, F6 and F8, unpacked into rows."""
     yy = _num(y)
     aggs = [F.count(yy).alias("f1_n"), F.avg(yy).alias("f1_mean"), F.stddev_samp(yy).alias("f1_sd")]
@@ -508,7 +535,7 @@ def _shared_moments(df: DataFrame, y: str, temp, size, seq_len, rank) -> DataFra
             F.covar_samp(rr, tt).alias("f8_c12"),
             F.covar_samp(tt, ry).alias("f8_c2y"),
         ]
-    m = df.agg(*aggs)
+    m = df.groupBy(*groups).agg(*aggs)
 
     # one row per test from the single aggregated row (inline of an array of
     # structs with common field names), then the formulas chosen by test id:
@@ -545,7 +572,7 @@ def _shared_moments(df: DataFrame, y: str, temp, size, seq_len, rank) -> DataFra
     if rank:
         entries.append(entry("F8", {k: "f8_" + k for k in ("n", "c11", "c1y", "cyy", "c22", "c12", "c2y")}))
         parts["F8"] = _partial_parts()
-    long = m.select(F.inline(F.array(*entries)))
+    long = m.select(*groups, F.inline(F.array(*entries)))
 
     def pick(i: int) -> Column:
         expr = None
@@ -557,7 +584,7 @@ def _shared_moments(df: DataFrame, y: str, temp, size, seq_len, rank) -> DataFra
     names = ["statistic", "df1", "df2", "estimate", "n", "note"]
     types = ["double", "double", "double", "double", "bigint", "string"]
     return long.select(
-        "test_id", *[pick(i).cast(t).alias(nm) for i, (nm, t) in enumerate(zip(names, types))]
+        *groups, "test_id", *[pick(i).cast(t).alias(nm) for i, (nm, t) in enumerate(zip(names, types))]
     )
 
 

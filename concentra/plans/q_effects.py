@@ -273,6 +273,13 @@ def e13_consensus_matrix(spark, sf_dir):
     return ef.consensus_matrix(_reports(spark, sf_dir), ["vec", "docs"])
 
 
+@register("e13_consensus_by_model")
+def e13_consensus_by_model(spark, sf_dir):
+    """Consensus over the per-model batteries (one grouped battery)."""
+    rep = st.battery(fx.runs_vec(spark, sf_dir, trim_prompt=True), groups=["model"])
+    return ef.consensus(rep)
+
+
 @register("e14_effect_gate")
 def e14_effect_gate(spark, sf_dir):
     rep = st.battery(fx.runs_vec(spark, sf_dir, trim_prompt=True))

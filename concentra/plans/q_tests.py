@@ -180,3 +180,33 @@ def f9_battery_docs(spark, sf_dir):
 
 
 
+
+
+# F9 per group: every model's battery in one set of keyed aggregations
+def _battery_by_model_sql(src: str) -> str:
+    parts = []
+    for m in fx.MODELS:
+        sub = f"(SELECT * FROM {src} WHERE model = '{m}')"
+        tests = [
+            q.f1(sub, "ned_mean"),
+            q.f2(sub, "ned_mean", "temp"),
+            q.f3(sub, "ned_mean", "model_size"),
+            q.f4(sub, "ned_mean", "temp"),
+            q.f5(sub, "ned_mean", ["chkpt_id"], ["rank"]),
+            q.f4(sub, "ned_mean", "seq_len", "F6", gated=True),
+            q.f7(sub, "ned_mean", "domain"),
+            q.f8(sub, "ned_mean", "rank", "temp"),
+        ]
+        parts += [f"(SELECT '{m}' AS model, * FROM ({t}))" for t in tests]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("f9_battery_by_model_stat", with_ctes(*RUNS_T_CTES, body=_battery_by_model_sql("runs_t")))
+def f9_battery_by_model_stat(spark, sf_dir):
+    b = st.battery(_runs_t(spark, sf_dir), groups=["model"])
+    return rounded(b.select("model", *st.STAT_COLS))
+
+
+@register("f9_battery_by_model")
+def f9_battery_by_model(spark, sf_dir):
+    return rounded(st.battery(_runs_t(spark, sf_dir), groups=["model"]))

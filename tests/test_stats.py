@@ -159,3 +159,17 @@ def test_battery_without_value_column(spark):
     rows = st.battery(spark.createDataFrame(pdf.drop(columns=["ned_mean"]))).collect()
     assert [r.test_id for r in rows] == [f"F{i}" for i in range(1, 9)]
     assert all(r.p_value is None and r.note == "missing column ned_mean" for r in rows)
+
+
+def test_grouped_battery_equals_per_group(spark):
+    pdf, _ = _runs(spark, n=90)
+    pdf["model"] = np.where(np.arange(len(pdf)) % 2 == 0, "m1", "m2")
+    df = spark.createDataFrame(pdf)
+    grouped = {(r.model, r.test_id): r for r in st.battery(df, groups=["model"]).collect()}
+    for m in ("m1", "m2"):
+        single = st.battery(df.where(f"model = '{m}'").drop("model"), chkpt=("chkpt_id",)).collect()
+        for r in single:
+            g = grouped[(m, r.test_id)]
+            for f in ("statistic", "df1", "df2", "estimate", "n", "p_value"):
+                a, b = getattr(r, f), getattr(g, f)
+                assert (a is None and b is None) or a == pytest.approx(b, rel=1e-9), (m, r.test_id, f)
