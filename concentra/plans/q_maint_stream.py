@@ -166,28 +166,48 @@ def s2_monitor(spark, sf_dir):
 
 def _moments_sink(spark, sf_dir):
     _utc(spark)
-    src = ss.parquet_stream(spark, sf_dir, "events.parquet")
+    src = ss.parquet_stream(spark, sf_dir, "events.parquet").withColumn("hour", F.hour(F.col("ts").cast("timestamp")))
     out, ckpt = _scratch(spark, "s3")
-    return ss.run_available(src, out, ckpt, transform=lambda b, i: ss.day_moments(b, i, "value", "ts"))
+    return ss.run_available(
+        src, out, ckpt, transform=lambda b, i: ss.day_moments(b, i, "value", "ts", covariates=["hour"])
+    )
 
 
-@register("s3_rolling_battery", q.f1("events", "value", "S3"))
+@register(
+    "s3_rolling_battery",
+    "(" + q.f1("events", "value", "S3") + ") UNION ALL ("
+    + q.f4("(SELECT value, hour(ts) AS hour FROM events)", "value", "hour", "S3r") + ")",
+)
 def s3_rolling_battery(spark, sf_dir):
-    """F1 on moments kept per day by the stream and merged exactly."""
-    m = ss.merge_moments(_moments_sink(spark, sf_dir))
-    t = F.col("mean") / F.nullif(F.col("sd") / F.sqrt(F.col("n")), F.lit(0.0))
-    note = F.when(F.col("n") < 2, F.lit("fewer than 2 values")).when(F.col("sd") == 0, F.lit("zero variance"))
-    return rounded(m.select(*st._row("S3", F.when(F.col("n") >= 2, t), F.col("n") - 1, st._null(), F.col("mean"), F.col("n"), note)))
+    """F1 and a Pearson test (value ~ hour) from moments kept per day by the
+    stream and merged exactly."""
+    m = ss.merge_moments(_moments_sink(spark, sf_dir), covariates=["hour"])
+    n = F.col("n")
+    t = F.col("mean") / F.nullif(F.col("sd") / F.sqrt(n), F.lit(0.0))
+    note = F.when(n < 2, F.lit("fewer than 2 values")).when(F.col("sd") == 0, F.lit("zero variance"))
+    f1 = m.select(*st._row("S3", F.when(n >= 2, t), n - 1, st._null(), F.col("mean"), n, note))
+    r = F.col("r_hour")
+    ok = (n > 2) & r.isNotNull() & (F.abs(r) < 1.0)
+    tr = r * F.sqrt((n - 2) / F.nullif(1.0 - r * r, F.lit(0.0)))
+    note_r = F.when(n <= 2, F.lit("fewer than 3 pairs")).when(r.isNull(), F.lit("constant column")).when(
+        F.abs(r) >= 1.0, F.lit("perfect correlation")
+    )
+    f4 = m.select(*st._row("S3r", F.when(ok, tr), n - 2, st._null(), r, n, note_r))
+    return rounded(f1.unionByName(f4))
 
 
 @register(
     "s3_day_moments",
-    "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, CAST(count(value) AS BIGINT) AS n, avg(value) AS mean, stddev_samp(value) AS sd FROM events GROUP BY ALL",
-    doubles=["mean", "sd"],
+    "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, CAST(count(value) AS BIGINT) AS n, avg(value) AS mean, "
+    "stddev_samp(value) AS sd, avg(hour(ts)) AS mean_hour, stddev_samp(hour(ts)) AS sd_hour, "
+    "corr(value, hour(ts)) AS r_hour FROM events GROUP BY ALL",
+    doubles=["mean", "sd", "mean_hour", "sd_hour", "r_hour"],
 )
 def s3_day_moments(spark, sf_dir):
-    m = ss.merge_moments(_moments_sink(spark, sf_dir), by=["day"])
-    return rounded(m.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "mean", "sd"))
+    m = ss.merge_moments(_moments_sink(spark, sf_dir), by=["day"], covariates=["hour"])
+    return rounded(
+        m.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "mean", "sd", "mean_hour", "sd_hour", "r_hour")
+    )
 
 
 @register(

@@ -101,34 +101,65 @@ def latest_per_key(sink: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 # S3
-def day_moments(batch: DataFrame, _bid: int, value: str = "value", ts: str = "ts") -> DataFrame:
-    """Mergeable moments (n, mean, M2) of a value per day, for one micro-batch."""
-    return (
-        batch.groupBy(F.to_date(ts).alias("day"))
-        .agg(
-            F.count(value).cast("bigint").alias("n"),
-            F.avg(value).alias("mean"),
-            (F.var_pop(value) * F.count(value)).alias("m2"),
-        )
-    )
-
-
-def merge_moments(moments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Exact merge of (n, mean, M2) rows (Chan et al.): N, mean, sample sd."""
+def day_moments(batch: DataFrame, _bid: int, value: str = "value", ts: str = "ts",
+                covariates: Sequence[str] = ()) -> DataFrame:
+    """Mergeable moments of one micro-batch per day: n, mean and M2 of the
+    value, and for every covariate x its mean, M2 and the co-moment C_xy
+    (complete pairs: rows with a NULL value or covariate are left out)."""
+    ok = F.col(value).isNotNull()
+    for x in covariates:
+        ok = ok & F.col(x).isNotNull()
+    b = batch.where(ok)
+    aggs = [
+        F.count(F.lit(1)).cast("bigint").alias("n"),
+        F.avg(value).alias("mean"),
+        (F.var_pop(value) * F.count(F.lit(1))).alias("m2"),
+    ]
+    for x in covariates:
+        aggs += [
+            F.avg(F.col(x).cast("double")).alias(f"mean_{x}"),
+            (F.var_pop(F.col(x).cast("double")) * F.count(F.lit(1))).alias(f"m2_{x}"),
+            (F.covar_pop(F.col(x).cast("double"), F.col(value)) * F.count(F.lit(1))).alias(f"c_{x}"),
+        ]
+    return b.groupBy(F.to_date(ts).alias("day")).agg(*aggs)
+
+
+def merge_moments(moments: DataFrame, by: Sequence[str] = (), covariates: Sequence[str] = ()) -> DataFrame:
+    """Exact merge of moment rows (Chan et al.):
+    M2 = sum M2_i + sum n_i (mean_i - mean)^2 and
+    C_xy = sum C_i + sum n_i (mean_x_i - mean_x)(mean_y_i - mean_y).
+    Output: n, mean, sample sd, and per covariate its mean, sd and r."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(*by) if by else Window.partitionBy()  # days x batches rows
     nn = F.sum("n").over(w)
-    gmean = F.sum(F.col("n") * F.col("mean")).over(w) / nn
-    m = moments.where(F.col("n") > 0).select(
-        *by, "n", "m2", "mean", gmean.alias("gmean"), nn.alias("_tot")
-    )
-    s = m.groupBy(*by).agg(
+    cols = [*by, "n", "m2", "mean", (F.sum(F.col("n") * F.col("mean")).over(w) / nn).alias("gmean"), nn.alias("_tot")]
+    for x in covariates:
+        cols += [f"mean_{x}", f"m2_{x}", f"c_{x}", (F.sum(F.col("n") * F.col(f"mean_{x}")).over(w) / nn).alias(f"g_{x}")]
+    m = moments.where(F.col("n") > 0).select(*cols)
+    aggs = [
         F.max("_tot").alias("n"),
         F.max("gmean").alias("mean"),
         (F.sum("m2") + F.sum(F.col("n") * (F.col("mean") - F.col("gmean")) ** 2)).alias("m2"),
-    )
-    return s.select(*by, F.col("n").cast("bigint"), "mean", F.sqrt(F.col("m2") / (F.col("n") - 1)).alias("sd"))
+    ]
+    for x in covariates:
+        aggs += [
+            F.max(f"g_{x}").alias(f"mean_{x}"),
+            (F.sum(f"m2_{x}") + F.sum(F.col("n") * (F.col(f"mean_{x}") - F.col(f"g_{x}")) ** 2)).alias(f"m2_{x}"),
+            (
+                F.sum(f"c_{x}")
+                + F.sum(F.col("n") * (F.col(f"mean_{x}") - F.col(f"g_{x}")) * (F.col("mean") - F.col("gmean")))
+            ).alias(f"c_{x}"),
+        ]
+    s = m.groupBy(*by).agg(*aggs)
+    out = [*by, F.col("n").cast("bigint"), "mean", F.sqrt(F.col("m2") / (F.col("n") - 1)).alias("sd")]
+    for x in covariates:
+        out += [
+            F.col(f"mean_{x}"),
+            F.sqrt(F.col(f"m2_{x}") / (F.col("n") - 1)).alias(f"sd_{x}"),
+            (F.col(f"c_{x}") / F.nullif(F.sqrt(F.col("m2") * F.col(f"m2_{x}")), F.lit(0.0))).alias(f"r_{x}"),
+        ]
+    return s.select(*out)
 
 
 # S4

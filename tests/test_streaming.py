@@ -43,3 +43,20 @@ def test_merged_moments_equal_batch(spark):
     # two identical copies: n doubles, mean equal, sd slightly smaller
     assert merged.n == 2 * full.n
     assert abs(merged.mean - full.mean) < 1e-9
+
+
+def test_merged_comoments_equal_batch(spark):
+    ev = table(spark, SF_SMALL, "events").withColumn("hour", F.hour(F.col("ts").cast("timestamp")))
+    halves = [ev.where(F.col("event_id") % 2 == k) for k in (0, 1)]
+    m = ss.day_moments(halves[0], 0, "value", "ts", ["hour"]).unionByName(
+        ss.day_moments(halves[1], 1, "value", "ts", ["hour"])
+    )
+    merged = ss.merge_moments(m, covariates=["hour"]).first()
+    full = ev.agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
+        F.corr("value", "hour").alias("r"),
+    ).first()
+    assert merged.n == full.n
+    assert abs(merged.mean - full.mean) < 1e-9
+    assert abs(merged.sd - full.sd) < 1e-9
+    assert abs(merged.r_hour - full.r) < 1e-9
