@@ -66,6 +66,13 @@ _pair(
 )
 # F3
 _pair("f3_ols_size", RUNS_CTES, q.f3("runs", "ned_mean", "model_size"), lambda s, d: st.ols(_runs(s, d), "ned_mean", "model_size"))
+# F3 with extra runs concatenated for this test only (here: the trimmed runs)
+_pair(
+    "f3_ols_size_extra",
+    (POS_NED, runs_vec_sql(), runs_vec_sql("pos_trim", "runs_t")),
+    q.f3("(SELECT ned_mean, model_size FROM runs UNION ALL SELECT ned_mean, model_size FROM runs_t)", "ned_mean", "model_size"),
+    lambda s, d: st.ols(_runs(s, d), "ned_mean", "model_size", extra=_runs_t(s, d)),
+)
 # F4
 _pair("f4_pearson_temp", RUNS_CTES, q.f4("runs", "ned_mean", "temp"), lambda s, d: st.pearson(_runs(s, d), "ned_mean", "temp"))
 # events per user in time order, and runs per checkpoint in rank order
