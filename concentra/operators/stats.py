@@ -92,12 +92,12 @@ def ttest_1samp(
 # --- F2 and post-hoc ---------------------------------------------------------
 
 
-def group_moments(df: DataFrame, y: str, by: str) -> DataFrame:
-    """n, mean, var_samp per non-null level of ``by``."""
+def group_moments(df: DataFrame, y: str, by: str, groups: Sequence[str] = ()) -> DataFrame:
+    """n, mean, var_samp per non-null level of ``by`` (within ``groups``)."""
     return (
-        df.select(F.col(by).alias("level"), _num(y).alias("y"))
+        df.select(*groups, F.col(by).alias("level"), _num(y).alias("y"))
         .where(F.col("level").isNotNull() & F.col("y").isNotNull())
-        .groupBy("level")
+        .groupBy(*groups, "level")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.avg("y").alias("mean"),
@@ -141,7 +141,9 @@ def anova(
     return s.select(*groups, *_row(test_id, F.when(ok, f), k - 1, n - k, _null(), n, note))
 
 
-def tukey_hsd(df: DataFrame, y: str = "ned_mean", by: str = "temp", alpha: float = 0.05) -> DataFrame:
+def tukey_hsd(
+    df: DataFrame, y: str = "ned_mean", by: str = "temp", alpha: float = 0.05, groups: Sequence[str] = ()
+) -> DataFrame:
     """F2p: all pairs of levels, meandiff = mean(group2) - mean(group1).
 
     Tukey-Kramer standard error for unequal sizes; p from the studentized
@@ -149,8 +151,9 @@ def tukey_hsd(df: DataFrame, y: str = "ned_mean", by: str = "temp", alpha: float
     The levels (a small set: one row each) are gathered into one sorted array
     to form the pairs, so no join is needed.
     """
-    g = group_moments(df, y, by)
-    s = g.agg(
+    gs = list(groups)
+    g = group_moments(df, y, by, gs)
+    s = g.groupBy(*gs).agg(
         F.array_sort(F.collect_list(F.struct("level", "n", "mean", "var"))).alias("groups"),
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("N"),
@@ -169,10 +172,11 @@ def tukey_hsd(df: DataFrame, y: str = "ned_mean", by: str = "temp", alpha: float
             ),
         )
     )
-    p = s.select("k", "df", "msw", "q_crit", F.explode(pairs).alias("pr"))
+    p = s.select(*gs, "k", "df", "msw", "q_crit", F.explode(pairs).alias("pr"))
     se = F.sqrt(F.col("msw") / 2.0 * (1.0 / F.col("pr.g1.n") + 1.0 / F.col("pr.g2.n")))
     diff = F.col("pr.g2.mean") - F.col("pr.g1.mean")
     out = p.select(
+        *gs,
         F.col("pr.g1.level").alias("group1"),
         F.col("pr.g2.level").alias("group2"),
         diff.alias("meandiff"),
@@ -184,6 +188,7 @@ def tukey_hsd(df: DataFrame, y: str = "ned_mean", by: str = "temp", alpha: float
     )
     withp = with_p_value(out, "tukey", stat="q", df1="k", df2="df")
     return withp.select(
+        *gs,
         "group1",
         "group2",
         "meandiff",

@@ -217,3 +217,28 @@ def f9_battery_by_model_stat(spark, sf_dir):
 @register("f9_battery_by_model")
 def f9_battery_by_model(spark, sf_dir):
     return rounded(st.battery(_runs_t(spark, sf_dir), groups=["model"]))
+
+
+@register(
+    "f2p_tukey_by_model_stat",
+    doubles=["group1", "group2", "meandiff", "q"],
+    sql=with_ctes(
+        *RUNS_CTES,
+        """
+gs AS (SELECT model, temp AS level, count(*) AS n, avg(ned_mean) AS mean, var_samp(ned_mean) AS v
+       FROM runs WHERE temp IS NOT NULL AND ned_mean IS NOT NULL GROUP BY model, temp),
+gk AS (SELECT model, count(*) AS k, sum(coalesce(v, 0) * (n - 1)) / (sum(n) - count(*)) AS msw FROM gs GROUP BY model)""",
+        body="""
+SELECT a.model, a.level AS group1, b.level AS group2, b.mean - a.mean AS meandiff,
+       abs(b.mean - a.mean) / sqrt(gk.msw / 2 * (1.0 / a.n + 1.0 / b.n)) AS q
+FROM gs a JOIN gs b ON a.model = b.model AND a.level < b.level JOIN gk ON gk.model = a.model WHERE gk.k > 2""",
+    ),
+)
+def f2p_tukey_by_model_stat(spark, sf_dir):
+    t = st.tukey_hsd(_runs(spark, sf_dir), groups=["model"])
+    return rounded(t.select("model", "group1", "group2", "meandiff", "q"))
+
+
+@register("f2p_tukey_by_model")
+def f2p_tukey_by_model(spark, sf_dir):
+    return rounded(st.tukey_hsd(_runs(spark, sf_dir), groups=["model"]))
