@@ -129,10 +129,19 @@ def log_gammaincc(a: float, x: float) -> float:
 # --- distributions ---------------------------------------------------------
 
 
+# Above this many degrees of freedom the limiting distributions are used
+# (t -> normal, F(d1, d2) -> chi2(d1) / d1); their error is O(1 / df), far
+# below what a p-value needs, while the continued fraction would need about
+# sqrt(df) iterations (tables of billions of rows give such df).
+LARGE_DF = 1e7
+
+
 def log_t_two_sided(t: float, df: float) -> float:
     """ln P(|T| > |t|) for Student's t with ``df`` degrees of freedom."""
     if math.isinf(t):
         return -math.inf
+    if df > LARGE_DF:
+        return log_norm_two_sided(t)
     x = df / (df + t * t)
     return log_betainc(df / 2.0, 0.5, x)
 
@@ -143,11 +152,18 @@ def log_f_upper(f: float, d1: float, d2: float) -> float:
         return 0.0
     if math.isinf(f):
         return -math.inf
+    if d2 > LARGE_DF:
+        return log_chi2_upper(d1 * f, d1)
     x = d2 / (d2 + d1 * f)
     return log_betainc(d2 / 2.0, d1 / 2.0, x)
 
 
 def log_chi2_upper(x: float, k: float) -> float:
+    """ln P(X > x) for chi-square with k df (Wilson-Hilferty above LARGE_DF)."""
+    if k > LARGE_DF:
+        z = ((x / k) ** (1.0 / 3.0) - (1.0 - 2.0 / (9.0 * k))) / math.sqrt(2.0 / (9.0 * k))
+        # one-sided upper normal tail from the two-sided one
+        return log_norm_two_sided(z) - math.log(2.0) if z > 0 else math.log1p(-0.5 * math.exp(log_norm_two_sided(z)))
     return log_gammaincc(k / 2.0, x / 2.0)
 
 

@@ -58,3 +58,22 @@ def test_ks_tail():
 def test_dispatch_undefined():
     assert math.isnan(t.log_p("t", None, 3, None))
     assert math.isnan(t.log_p("f", 2.0, 0, 5))
+
+
+def test_huge_degrees_of_freedom():
+    # billions of rows: limiting distributions, continuous with the exact ones
+    assert p(t.log_t_two_sided(1.96, 5e9)) == pytest.approx(0.05, abs=1e-4)
+    assert p(t.log_t_two_sided(1.96, 9e6)) == pytest.approx(p(t.log_t_two_sided(1.96, 2e7)), rel=1e-5)
+    assert p(t.log_f_upper(3.0, 2, 5e9)) == pytest.approx(math.exp(-3.0), rel=1e-6)  # chi2(2)/2 tail
+    assert p(t.log_f_upper(3.0, 2, 9e6)) == pytest.approx(p(t.log_f_upper(3.0, 2, 2e7)), rel=1e-5)
+    assert math.isfinite(t.log_t_two_sided(50.0, 3e9))
+
+
+def test_chi2_huge_df_is_continuous():
+    # exact just below the switch, Wilson-Hilferty just above: same tail
+    lo, hi = t.LARGE_DF * 0.999999, t.LARGE_DF * 1.000001
+    for dx in (-4000.0, 0.0, 6000.0):
+        exact = p(t.log_chi2_upper(lo + dx, lo))
+        approx = p(t.log_chi2_upper(hi + dx, hi))
+        assert exact == pytest.approx(approx, abs=2e-3)
+    assert p(t.log_chi2_upper(2e7, 2e7)) == pytest.approx(0.5, abs=1e-3)
