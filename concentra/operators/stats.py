@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import tukey_quantile_udf, with_p_value
@@ -371,9 +371,15 @@ def kruskal(
         .groupBy(*gs, "g")
         .agg(F.sum(F.col("cnt") * F.col("rank")).alias("R"), F.sum("cnt").alias("n_g"))
     )
+    # centred form: sum n_g (mean rank_g - (N + 1) / 2)^2, no cancellation
+    # for large N; N comes from a window over the (few) group rows
+    n_all = F.sum("n_g").over(Window.partitionBy(*gs)).cast("double")
+    per_group = per_group.withColumn(
+        "dev", F.col("n_g") * (F.col("R") / F.col("n_g") - (n_all + 1.0) / 2.0) ** 2
+    )
     parts = per_group.select(
         *gs,
-        (F.col("R") * F.col("R") / F.col("n_g")).alias("r2n"),
+        F.col("dev").alias("r2n"),
         F.lit(1).alias("is_g"),
         F.lit(0.0).alias("tie"),
         F.lit(0).cast("bigint").alias("t"),
@@ -393,7 +399,7 @@ def kruskal(
         F.sum("t").alias("N"),
     )
     n = F.col("N").cast("double")
-    h0 = F.lit(12.0) / (n * (n + 1)) * F.col("sr2n") - 3.0 * (n + 1)
+    h0 = F.lit(12.0) / (n * (n + 1)) * F.col("sr2n")
     corr = F.lit(1.0) - F.col("ties") / _nz(n * n * n - n)
     ok = (F.col("k") > 1) & (n > 1)
     note = F.when(F.col("k") <= 1, F.lit("fewer than 2 groups")).when(
