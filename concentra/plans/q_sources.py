@@ -35,18 +35,8 @@ parsed AS (
 
 
 def _lines(spark, sf_dir):
-    """V7 with domain only on user turns: assistant turns are domain-less JSON."""
-    conv = table(spark, sf_dir, "conversations")
-    as_json = conv.select(
-        F.to_json(
-            F.struct(
-                F.when(F.col("role") == "user", F.col("role")).alias("domain"),
-                F.col("text").alias("prompt"),
-            )
-        ).alias("value")
-    )
-    as_text = conv.select(F.explode(F.split(F.col("text"), "\n")).alias("value"))
-    return as_json.unionByName(as_text)
+    """V7 with a domain on user turns only: assistant turns are domain-less JSON."""
+    return fx.prompt_lines(spark, sf_dir, domain_roles=("user",))
 
 
 @register(

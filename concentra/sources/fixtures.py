@@ -154,13 +154,16 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
 
 
-def prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V7: each turn as a JSON prompt line and as plain text lines, in ``value``."""
+def prompt_lines(spark: SparkSession, sf_dir: str, domain_roles=None) -> DataFrame:
+    """V7: each turn as a JSON prompt line and as plain text lines, in ``value``.
+
+    The role is the domain; with ``domain_roles`` only those roles carry one
+    (the other JSON lines are domain-less, which A1 drops and A1b keeps).
+    """
     conv = table(spark, sf_dir, "conversations")
+    domain = F.col("role") if domain_roles is None else F.when(F.col("role").isin(*domain_roles), F.col("role"))
     as_json = conv.select(
-        F.to_json(F.struct(F.col("role").alias("domain"), F.col("text").alias("prompt"))).alias(
-            "value"
-        )
+        F.to_json(F.struct(domain.alias("domain"), F.col("text").alias("prompt"))).alias("value")
     )
     as_text = conv.select(F.explode(F.split(F.col("text"), "\n")).alias("value"))
     return as_json.unionByName(as_text)
