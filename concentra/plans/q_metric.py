@@ -234,3 +234,44 @@ FROM runs GROUP BY CUBE (temp, model)""",
 def c9_profile_cube(spark, sf_dir):
     """All margins of temperature x model in one aggregation."""
     return rounded(profile(fx.runs_vec(spark, sf_dir), ["temp", "model"], margins="cube"))
+
+
+@register(
+    "c2_ned_arrow",
+    with_ctes(POS_NED, body="SELECT gen_id, pos, temp, ned FROM pos_ned"),
+    doubles=["temp", "ned"],
+)
+def c2_ned_arrow(spark, sf_dir):
+    """C2 through the Arrow/numpy path (the one for 32K-256K wide vectors)."""
+    d = _v1t(spark, sf_dir)
+    return rounded(d.select("gen_id", "pos", "temp", metric.ned_arrow(F.col("scores"), F.col("temp")).alias("ned")))
+
+
+@register(
+    "c5_topk_mass_arrow",
+    doubles=["temp", "top1_mass", "top5_mass", "top20_mass"],
+    sql=with_ctes(
+        _V1T,
+        """
+v1p AS (
+  SELECT gen_id, pos, temp,
+         list_reverse_sort(list_transform(scores, lambda v: exp((v - m) / temp) / s)) AS p
+  FROM v1s),
+v1k AS (
+  SELECT gen_id, temp,
+         avg(list_reduce(list_slice(p, 1, 1), lambda a, b: a + b, 0.0::DOUBLE)) AS m1,
+         avg(list_reduce(list_slice(p, 1, 5), lambda a, b: a + b, 0.0::DOUBLE)) AS m5,
+         avg(list_reduce(list_slice(p, 1, 20), lambda a, b: a + b, 0.0::DOUBLE)) AS m20
+  FROM v1p GROUP BY gen_id, temp)""",
+        body="SELECT temp, avg(m1) AS top1_mass, avg(m5) AS top5_mass, avg(m20) AS top20_mass FROM v1k GROUP BY temp",
+    ),
+)
+def c5_topk_mass_arrow(spark, sf_dir):
+    """C5 with a partial selection (numpy argpartition) on Arrow batches."""
+    d = _v1t(spark, sf_dir).select(
+        "gen_id",
+        "temp",
+        *[metric.topk_mass_arrow(F.col("scores"), F.col("temp"), F.lit(k)).alias(f"m{k}") for k in (1, 5, 20)],
+    )
+    per_gen = d.groupBy("gen_id", "temp").agg(*[F.avg(f"m{k}").alias(f"m{k}") for k in (1, 5, 20)])
+    return rounded(per_gen.groupBy("temp").agg(*[F.avg(f"m{k}").alias(f"top{k}_mass") for k in (1, 5, 20)]))
