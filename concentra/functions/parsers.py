@@ -39,6 +39,12 @@ def model_size(name) -> Column:
     return F.floor(num.cast("double") * F.lit(1e9)).cast("bigint")
 
 
+def model_size_or_path(label, path) -> Column:
+    """B5 with the fallback of the second generation script: the size in the
+    label, else the size anywhere in the model path."""
+    return F.coalesce(model_size(label), model_size(path))
+
+
 def bundle_index(path) -> Column:
     """B6 (anchored form): number after '_chkpt_' right before a final '.pt'."""
     return F.nullif(F.regexp_extract(_col(path), r"_chkpt_(\d+)\.pt$", 1), F.lit("")).cast(

@@ -396,12 +396,19 @@ _SIZE_SQL = "CAST(floor(CAST(nullif(regexp_extract({x}, '(\\d+(?:\\.\\d+)?)\\s*[
     """
 SELECT page_id,
        regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\\.gguf$', ''), '[-_]Q[0-9].*', '') AS label,
-       """ + _SIZE_SQL.format(x="url") + """ AS size
+       """ + _SIZE_SQL.format(x="url") + """ AS size,
+       coalesce(""" + _SIZE_SQL.format(x="regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\\.gguf$', ''), '[-_]Q[0-9].*', '')") + """, """ + _SIZE_SQL.format(x="url") + """) AS size_or_path
 FROM pages""",
 )
 def b5_model_pages(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", ps.model_label("url").alias("label"), ps.model_size("url").alias("size"))
+    label = ps.model_label("url")
+    return p.select(
+        "page_id",
+        label.alias("label"),
+        ps.model_size("url").alias("size"),
+        ps.model_size_or_path(label, F.col("url")).alias("size_or_path"),
+    )
 
 
 @register("b5_model_size_docs", "SELECT doc_id, " + _SIZE_SQL.format(x="text") + " AS size FROM documents")

@@ -82,3 +82,9 @@ def test_strip_prefix_and_language(spark):
     assert got == ["Zdanie.", "Zdanie.", "Sentence.", "Sentence.", "news: Sentence."]
     lang = df.select(ps.language_of(F.lit("wiki_ja")).alias("l")).first().l
     assert lang == "ja"
+
+
+def test_model_size_falls_back_to_path(spark):
+    df = spark.createDataFrame([("custom-model", "/models/x-13b/custom-model.bin"), ("m-7b", "/p/70b/m.bin")], "l string, p string")
+    got = [r.s for r in df.select(ps.model_size_or_path(F.col("l"), F.col("p")).alias("s")).collect()]
+    assert got == [13_000_000_000, 7_000_000_000]
