@@ -160,6 +160,18 @@ def snippet_prompts(
     return out
 
 
+def snippet_prompts_or_fallback(pages: DataFrame, n: int, key: str = "page_id", **kw) -> DataFrame:
+    """P4 with the builder's fallback: when the source yields no snippet at
+    all, ``n`` synthetic code prompts are produced instead."""
+    out = snippet_prompts(pages, key=key, n=n, **kw)
+    if not out.isEmpty():
+        return out
+    instruction = kw.get("instruction", CODE_INSTRUCTION)
+    ids = pages.sparkSession.range(n).select(F.col("id").alias(key))
+    body = F.concat(F.lit("def function_"), F.col(key).cast("string"), F.lit("(x): return x * 2"))
+    return ids.select(key, F.concat(F.lit(instruction + "\n"), body).alias("prompt"))
+
+
 def qa_prompts(conv: DataFrame, n: int | None = None, min_words: int = 5) -> DataFrame:
     """P5: a user turn of more than 4 words followed by an assistant turn ->
     'question (Answer: answer)'; the first ``n`` in (conv_id, turn) order.

@@ -195,9 +195,28 @@ def write_prompts(prompts: DataFrame, path: str) -> None:
     prompts.write.mode("overwrite").json(path)
 
 
-def split_bad(scores: DataFrame, col: str = "scores") -> tuple[DataFrame, DataFrame]:
-    """(good, bad) rows; bad = NULL scores, empty vector or any NaN."""
+def write_split(scores: DataFrame, good_path: str, bad_path: str, col: str = "scores") -> DataFrame:
+    """Write both parts and return their counts (one small frame)."""
+    good, bad = split_bad(scores, col)
+    good.write.mode("overwrite").parquet(good_path)
+    bad.write.mode("overwrite").parquet(bad_path)
+    spark = scores.sparkSession
+    # counts from the written parts (parquet footers), not from a third scan
+    return (
+        spark.read.parquet(good_path).select(F.lit("good").alias("status"))
+        .unionByName(spark.read.parquet(bad_path).select(F.lit("bad").alias("status")))
+        .groupBy("status")
+        .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    )
+
+
+def _bad_flag(col: str) -> Column:
     x = F.col(col)
     bad = x.isNull() | (F.size(x) == 0) | F.exists(x, lambda v: F.isnan(v))
-    flagged = scores.withColumn("_bad", F.coalesce(bad, F.lit(True)))
+    return F.coalesce(bad, F.lit(True))
+
+
+def split_bad(scores: DataFrame, col: str = "scores") -> tuple[DataFrame, DataFrame]:
+    """(good, bad) rows; bad = NULL scores, empty vector or any NaN."""
+    flagged = scores.withColumn("_bad", _bad_flag(col))
     return flagged.where(~F.col("_bad")).drop("_bad"), flagged.where(F.col("_bad")).drop("_bad")

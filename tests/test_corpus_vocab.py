@@ -77,3 +77,9 @@ def test_topk_share_histogram_equals_brute_force(spark):
     assert got.top10_share == pytest.approx(s[:10].sum() / s.sum())
     assert got.top100_share == pytest.approx(s[:100].sum() / s.sum())
     assert got.top5000_share == pytest.approx(1.0)
+
+
+def test_snippet_fallback(spark):
+    empty = spark.createDataFrame([(1, "<html><body>no paragraph</body></html>")], "page_id long, html string")
+    got = cp.snippet_prompts_or_fallback(empty, 3).orderBy("page_id").collect()
+    assert [r.prompt.split("\n")[1] for r in got] == [f"def function_{i}(x): return x * 2" for i in range(3)]

@@ -79,3 +79,12 @@ def test_report_and_posthoc_files(spark):
     rep = spark.read.option("header", True).csv(os.path.join(path, "report")).collect()
     assert [r.test_id for r in rep] == [f"F{i}" for i in range(1, 9)]
     assert spark.read.option("header", True).csv(os.path.join(path, "posthoc")).count() == 3
+
+
+def test_write_split_reports_counts(spark):
+    rows = [([1.0, 2.0],), ([],), ([float("nan")],)]
+    base = io.scratch_dir(spark, "t-split")
+    counts = {r.status: r.n for r in io.write_split(spark.createDataFrame(rows, "scores array<double>"),
+                                                     base + "/good", base + "/bad").collect()}
+    assert counts == {"good": 1, "bad": 2}
+    assert spark.read.parquet(base + "/bad").count() == 2
