@@ -45,13 +45,14 @@ def pending(grid: DataFrame, done: DataFrame, key: str = "combo_id") -> DataFram
 def generated_only(positions: DataFrame, gen, pos: str, prompt_n: str) -> DataFrame:
     """Drop the first ``prompt_n`` positions only when the generation is longer.
 
-    A generation has at most max_tokens positions (a generation parameter), so
-    the per-generation count is a bounded window, evaluated on narrow rows.
+    The per-generation count is an aggregation (combined map-side) joined back
+    on the generation key, so AQE can split an oversized generation; call it
+    on narrow rows (after the metric), not on score vectors.
     """
     keys = [gen] if isinstance(gen, str) else list(gen)
-    total = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    totals = positions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     return (
-        positions.withColumn("_total", total)
+        positions.join(totals, keys)
         .where((F.col(pos) >= F.col(prompt_n)) | (F.col("_total") <= F.col(prompt_n)))
         .drop("_total")
     )
