@@ -73,3 +73,22 @@ def test_rank_without_cuts(spark, buckets):
     df = spark.createDataFrame([(1.0,), (1.0,), (2.0,)], "v double")
     got = ranks.average_ranks(ranks.value_counts(df, "v"), "v", buckets=buckets).orderBy("v").collect()
     assert [r["rank"] for r in got] == [1.5, 3.0]
+
+
+def test_global_ordinal_with_aqe_coalescing(spark):
+    """Range partitions merged by AQE stay contiguous: ordinals unchanged."""
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"a": rng.integers(0, 50, 5000), "b": rng.permutation(5000)})
+    df = spark.createDataFrame(pdf)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        got = ordinal.global_ordinal(df, ["a", "b"], name="o").toPandas()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    exp = pdf.sort_values(["a", "b"]).reset_index(drop=True)
+    exp["o"] = range(len(exp))
+    m = got.merge(exp, on=["a", "b"], suffixes=("", "_exp"))
+    assert len(m) == len(pdf) and (m["o"] == m["o_exp"]).all()
