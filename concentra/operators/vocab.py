@@ -246,11 +246,11 @@ def topk_share(token_counts: DataFrame, ks: Sequence[int] = (100, 1000, 5000), l
     aggs = [F.sum(F.col("ntok") * F.col(cnt)).alias("_total")]
     for k in ks:
         take = F.least(F.greatest(F.lit(k) - F.col("tok_before"), F.lit(0)), F.col("ntok"))
-        aggs.append(F.sum(take * F.col(cnt)).alias(f"_top{k}"))
+        aggs.append(F.sum(take * F.col(cnt)).alias(f"_sum_top_{k}"))
     s = h.groupBy(lang).agg(*aggs)
     return s.select(
         lang,
-        *[(F.col(f"_top{k}") / F.nullif(F.col("_total"), F.lit(0))).alias(f"top{k}_share") for k in ks],
+        *[(F.col(f"_sum_top_{k}") / F.nullif(F.col("_total"), F.lit(0))).alias(f"share_top_{k}") for k in ks],
     )
 
 

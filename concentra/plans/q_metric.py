@@ -103,7 +103,7 @@ def c4_argmax(spark, sf_dir):
 
 @register(
     "c5_topk_mass",
-    doubles=["temp", "top1_mass", "top5_mass", "top20_mass"],
+    doubles=["temp", "mass_top_1", "mass_top_5", "mass_top_20"],
     sql=    with_ctes(
         _V1T,
         """
@@ -117,7 +117,7 @@ v1k AS (
          avg(list_reduce(list_slice(p, 1, 5), lambda a, b: a + b, 0.0::DOUBLE)) AS m5,
          avg(list_reduce(list_slice(p, 1, 20), lambda a, b: a + b, 0.0::DOUBLE)) AS m20
   FROM v1p GROUP BY gen_id, temp)""",
-        body="SELECT temp, avg(m1) AS top1_mass, avg(m5) AS top5_mass, avg(m20) AS top20_mass FROM v1k GROUP BY temp",
+        body="SELECT temp, avg(m1) AS mass_top_1, avg(m5) AS mass_top_5, avg(m20) AS mass_top_20 FROM v1k GROUP BY temp",
     ),
 )
 def c5_topk_mass(spark, sf_dir):
@@ -129,7 +129,7 @@ def c5_topk_mass(spark, sf_dir):
     )
     per_gen = d.groupBy("gen_id", "temp").agg(*[F.avg(f"m{k}").alias(f"m{k}") for k in (1, 5, 20)])
     return rounded(
-        per_gen.groupBy("temp").agg(*[F.avg(f"m{k}").alias(f"top{k}_mass") for k in (1, 5, 20)])
+        per_gen.groupBy("temp").agg(*[F.avg(f"m{k}").alias(f"mass_top_{k}") for k in (1, 5, 20)])
     )
 
 
@@ -249,7 +249,7 @@ def c2_ned_arrow(spark, sf_dir):
 
 @register(
     "c5_topk_mass_arrow",
-    doubles=["temp", "top1_mass", "top5_mass", "top20_mass"],
+    doubles=["temp", "mass_top_1", "mass_top_5", "mass_top_20"],
     sql=with_ctes(
         _V1T,
         """
@@ -263,7 +263,7 @@ v1k AS (
          avg(list_reduce(list_slice(p, 1, 5), lambda a, b: a + b, 0.0::DOUBLE)) AS m5,
          avg(list_reduce(list_slice(p, 1, 20), lambda a, b: a + b, 0.0::DOUBLE)) AS m20
   FROM v1p GROUP BY gen_id, temp)""",
-        body="SELECT temp, avg(m1) AS top1_mass, avg(m5) AS top5_mass, avg(m20) AS top20_mass FROM v1k GROUP BY temp",
+        body="SELECT temp, avg(m1) AS mass_top_1, avg(m5) AS mass_top_5, avg(m20) AS mass_top_20 FROM v1k GROUP BY temp",
     ),
 )
 def c5_topk_mass_arrow(spark, sf_dir):
@@ -274,4 +274,4 @@ def c5_topk_mass_arrow(spark, sf_dir):
         *[metric.topk_mass_arrow(F.col("scores"), F.col("temp"), F.lit(k)).alias(f"m{k}") for k in (1, 5, 20)],
     )
     per_gen = d.groupBy("gen_id", "temp").agg(*[F.avg(f"m{k}").alias(f"m{k}") for k in (1, 5, 20)])
-    return rounded(per_gen.groupBy("temp").agg(*[F.avg(f"m{k}").alias(f"top{k}_mass") for k in (1, 5, 20)]))
+    return rounded(per_gen.groupBy("temp").agg(*[F.avg(f"m{k}").alias(f"mass_top_{k}") for k in (1, 5, 20)]))

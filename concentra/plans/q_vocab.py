@@ -138,9 +138,9 @@ usage AS (
 tokc AS (SELECT language, t AS token, count(*) AS cnt FROM (SELECT language, unnest(toks) AS t FROM dtok) GROUP BY ALL),
 topk AS (
   SELECT language,
-         sum(CASE WHEN rn <= 100 THEN cnt END) / sum(cnt) AS top100_share,
-         sum(CASE WHEN rn <= 1000 THEN cnt END) / sum(cnt) AS top1000_share,
-         sum(CASE WHEN rn <= 5000 THEN cnt END) / sum(cnt) AS top5000_share
+         sum(CASE WHEN rn <= 100 THEN cnt END) / sum(cnt) AS share_top_100,
+         sum(CASE WHEN rn <= 1000 THEN cnt END) / sum(cnt) AS share_top_1000,
+         sum(CASE WHEN rn <= 5000 THEN cnt END) / sum(cnt) AS share_top_5000
   FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY cnt DESC) AS rn FROM tokc)
   GROUP BY language)"""
 
@@ -171,8 +171,8 @@ def _token_counts(spark, sf_dir):
 
 @register(
     "g7_topk_share",
-    with_ctes(_USAGE_SQL, body="SELECT language, top100_share, top1000_share, top5000_share FROM topk"),
-    doubles=["top100_share", "top1000_share", "top5000_share"],
+    with_ctes(_USAGE_SQL, body="SELECT language, share_top_100, share_top_1000, share_top_5000 FROM topk"),
+    doubles=["share_top_100", "share_top_1000", "share_top_5000"],
 )
 def g7_topk_share(spark, sf_dir):
     return rounded(vb.topk_share(_token_counts(spark, sf_dir)))
@@ -198,15 +198,15 @@ per_gen AS (
          avg(list_reduce(list_slice(p, 1, 20), lambda a, b: a + b, 0.0::DOUBLE)) AS m20
   FROM v1p GROUP BY gen_id, temp)""",
         body="""
-SELECT a.temp, a.vocab_used_argmax, b.top1_mass, b.top5_mass, b.top20_mass, b.mean_gen_tokens,
+SELECT a.temp, a.vocab_used_argmax, b.mass_top_1, b.mass_top_5, b.mass_top_20, b.mean_gen_tokens,
        b.total_gen_tokens, b.n_generations
 FROM (SELECT temp, CAST(count(DISTINCT am) AS BIGINT) AS vocab_used_argmax FROM v1p GROUP BY temp) a
-JOIN (SELECT temp, avg(m1) AS top1_mass, avg(m5) AS top5_mass, avg(m20) AS top20_mass,
+JOIN (SELECT temp, avg(m1) AS mass_top_1, avg(m5) AS mass_top_5, avg(m20) AS mass_top_20,
              avg(seq_len) AS mean_gen_tokens, CAST(sum(seq_len) AS BIGINT) AS total_gen_tokens,
              CAST(count(*) AS BIGINT) AS n_generations
       FROM per_gen GROUP BY temp) b ON a.temp = b.temp""",
     ),
-    doubles=["temp", "top1_mass", "top5_mass", "top20_mass", "mean_gen_tokens"],
+    doubles=["temp", "mass_top_1", "mass_top_5", "mass_top_20", "mean_gen_tokens"],
 )
 def g8_generated_usage(spark, sf_dir):
     """Usage on the generation side: distinct argmax tokens and top-k mass per temp."""
@@ -222,7 +222,7 @@ def g8_generated_usage(spark, sf_dir):
     )
     a = per_pos.groupBy("temp").agg(F.countDistinct("am").cast("bigint").alias("vocab_used_argmax"))
     b = per_gen.groupBy("temp").agg(
-        *[F.avg(f"m{k}").alias(f"top{k}_mass") for k in (1, 5, 20)],
+        *[F.avg(f"m{k}").alias(f"mass_top_{k}") for k in (1, 5, 20)],
         F.avg("seq_len").alias("mean_gen_tokens"),
         F.sum("seq_len").cast("bigint").alias("total_gen_tokens"),
         F.count(F.lit(1)).cast("bigint").alias("n_generations"),
@@ -234,8 +234,8 @@ _SUMMARY_SQL = """
 metric AS (SELECT language, avg(ned_mean) AS ned_mean FROM runs_docs WHERE temp = 1.0 GROUP BY language),
 summary AS (
   SELECT m.language, round(m.ned_mean, 4) AS ned_mean, a.vocab_allocated, u.vocab_used,
-         round(k.top100_share, 4) AS top100_share, round(k.top1000_share, 4) AS top1000_share,
-         round(k.top5000_share, 4) AS top5000_share, round(u.mean_fertility, 4) AS mean_fertility,
+         round(k.share_top_100, 4) AS share_top_100, round(k.share_top_1000, 4) AS share_top_1000,
+         round(k.share_top_5000, 4) AS share_top_5000, round(u.mean_fertility, 4) AS mean_fertility,
          round(u.mean_prompt_tokens, 1) AS mean_prompt_tokens
   FROM metric m JOIN alloc a ON m.language = a.language JOIN usage u ON m.language = u.language
        JOIN topk k ON m.language = k.language)"""
@@ -263,9 +263,9 @@ def language_summary(spark, sf_dir):
         F.round("ned_mean", 4).alias("ned_mean"),
         "vocab_allocated",
         "vocab_used",
-        F.round("top100_share", 4).alias("top100_share"),
-        F.round("top1000_share", 4).alias("top1000_share"),
-        F.round("top5000_share", 4).alias("top5000_share"),
+        F.round("share_top_100", 4).alias("share_top_100"),
+        F.round("share_top_1000", 4).alias("share_top_1000"),
+        F.round("share_top_5000", 4).alias("share_top_5000"),
         F.round("mean_fertility", 4).alias("mean_fertility"),
         F.round("mean_prompt_tokens", 1).alias("mean_prompt_tokens"),
     )
@@ -274,13 +274,13 @@ def language_summary(spark, sf_dir):
 @register(
     "g9_language_summary",
     with_ctes(*_SUMMARY_CTES, body="SELECT * FROM summary"),
-    doubles=["ned_mean", "top100_share", "top1000_share", "top5000_share", "mean_fertility", "mean_prompt_tokens"],
+    doubles=["ned_mean", "share_top_100", "share_top_1000", "share_top_5000", "mean_fertility", "mean_prompt_tokens"],
 )
 def g9_language_summary(spark, sf_dir):
     return rounded(language_summary(spark, sf_dir))
 
 
-SPEARMAN_COLS = ["vocab_allocated", "vocab_used", "top100_share", "top1000_share", "mean_fertility", "mean_prompt_tokens"]
+SPEARMAN_COLS = ["vocab_allocated", "vocab_used", "share_top_100", "share_top_1000", "mean_fertility", "mean_prompt_tokens"]
 
 
 def _spearman_sql(src: str, y: str, cols) -> str:

@@ -74,9 +74,9 @@ def test_topk_share_histogram_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "language string, token string, cnt long")
     got = vb.topk_share(df, ks=(10, 100, 5000)).first()
     s = np.sort(counts)[::-1]
-    assert got.top10_share == pytest.approx(s[:10].sum() / s.sum())
-    assert got.top100_share == pytest.approx(s[:100].sum() / s.sum())
-    assert got.top5000_share == pytest.approx(1.0)
+    assert got.share_top_10 == pytest.approx(s[:10].sum() / s.sum())
+    assert got.share_top_100 == pytest.approx(s[:100].sum() / s.sum())
+    assert got.share_top_5000 == pytest.approx(1.0)
 
 
 def test_snippet_fallback(spark):
