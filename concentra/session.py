@@ -39,13 +39,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     it is. Only when it is unset (local tests) a scratch folder is created.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: checkpoint() reads spark.checkpoint.dir itself
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="concentra-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
+    if sc is None:
+        return conf_dir
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
