@@ -152,14 +152,19 @@ def merge_bundles(scores: DataFrame, order_in_bundle=("gen_id", "pos")) -> DataF
     return global_ordinal(keyed, ["_b", *order_in_bundle], name="merged_pos").drop("_b")
 
 
-def write_merged(scores: DataFrame, path: str, partitions: int | None = None) -> None:
-    """A5 as a compaction job: one merged table, range-partitioned and sorted
-    on the merged position (nothing is written when no bundle matched)."""
+def write_merged(scores: DataFrame, path: str) -> None:
+    """A5 as a compaction job: one merged table in merged-position order
+    (nothing is written when no bundle matched).
+
+    The global ordinal already leaves the rows range-partitioned and sorted
+    (its offset join is a broadcast join, which keeps the row order), so the
+    partitions are written as they are: no second shuffle of the score
+    vectors.
+    """
     merged = merge_bundles(scores)
     if merged.isEmpty():
         return
-    n = partitions or int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    merged.repartitionByRange(n, "merged_pos").sortWithinPartitions("merged_pos").write.mode("overwrite").parquet(path)
+    merged.write.mode("overwrite").parquet(path)
 
 
 # --- A6 / A7 / A8 / A9 -------------------------------------------------------------

@@ -88,3 +88,21 @@ def test_write_split_reports_counts(spark):
                                                      base + "/good", base + "/bad").collect()}
     assert counts == {"good": 1, "bad": 2}
     assert spark.read.parquet(base + "/bad").count() == 2
+
+
+def test_write_merged_files_are_in_order(spark):
+    import pandas as pd
+
+    rows = [(g, p, [float(g)]) for g in range(40) for p in range(3)]
+    df = spark.createDataFrame(rows, "gen_id long, pos int, scores array<double>")
+    path = io.scratch_dir(spark, "t-merged")
+    io.write_bundles(df, path + "_b", F.floor(F.col("gen_id") / 7))
+    io.write_merged(io.read_scores(spark, path + "_b"), path)
+    # reading the part files one after another gives the merged order
+    import glob
+
+    local = path[len("file:"):] if path.startswith("file:") else path
+    parts = sorted(glob.glob(local + "/part-*.parquet"))
+    assert len(parts) >= 1
+    pos = pd.concat([pd.read_parquet(p, columns=["merged_pos"]) for p in parts])["merged_pos"].tolist()
+    assert pos == list(range(len(rows)))
