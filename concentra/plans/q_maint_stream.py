@@ -134,10 +134,9 @@ def s1_stream_runs(spark, sf_dir):
     pos = src.select(
         F.floor(F.col("vec_id") / fx.POSITIONS_PER_GEN).cast("bigint").alias("gen_id"),
         F.transform("embedding", lambda x: x.cast("double") * F.lit(fx.GAIN)).alias("scores"),
-        fx.temps_col().alias("temp"),
     )
     out, ckpt = _scratch(spark, "s1")
-    res = ss.run_available(pos, out, ckpt, transform=ss.stream_runs(pos))
+    res = ss.run_available(pos, out, ckpt, transform=ss.stream_runs(pos, temps=fx.TEMPS))
     return rounded(res.drop("batch_id"))
 
 

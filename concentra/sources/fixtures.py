@@ -37,6 +37,13 @@ def temps_col(temps=TEMPS):
     return F.explode(F.array(*[F.lit(float(t)) for t in temps]))
 
 
+def ned_per_temp(scores: str, temps=TEMPS):
+    """(temp, ned) rows for every temperature, from one pass over the row."""
+    return F.inline(
+        F.array(*[F.struct(F.lit(float(t)).alias("temp"), metric.ned(scores, float(t)).alias("ned")) for t in temps])
+    )
+
+
 def score_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: gen_id, pos, prompt_n, scores (double, scaled by GAIN)."""
     emb = table(spark, sf_dir, "embeddings")
@@ -55,10 +62,10 @@ def prompt_positions(gen_id_col="gen_id"):
 def position_metrics(spark: SparkSession, sf_dir: str, trim_prompt: bool = False) -> DataFrame:
     """V1 x temps with the metric per position (C3 + C2), optionally B11-trimmed."""
     v1 = score_positions(spark, sf_dir)
-    # reduce each vector to one number first; later steps move narrow rows only
-    pos = v1.select("gen_id", "pos", temps_col().alias("temp"), "scores").select(
-        "gen_id", "pos", "temp", metric.ned("scores", "temp").alias("ned")
-    )
+    # reduce each vector to one number per temperature in ONE projection and
+    # explode only those numbers: the vector itself is never copied per
+    # temperature, and later steps move narrow rows only
+    pos = v1.select("gen_id", "pos", ned_per_temp("scores", TEMPS))
     if trim_prompt:
         from ..operators.grid import generated_only
 

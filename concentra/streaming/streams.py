@@ -60,15 +60,21 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
 
 
 # S1
-def stream_runs(positions: DataFrame, keys: Sequence[str] = ("gen_id", "temp"), temp="temp") -> Callable:
-    """Per micro-batch: metric per position, reduced per generation.
+def stream_runs(positions: DataFrame, keys: Sequence[str] = ("gen_id",), temps=(1.0,)) -> Callable:
+    """Per micro-batch: metric per position at every temperature (one
+    projection, vectors never copied per temperature), reduced per
+    generation and temperature.
 
     Bundles hold whole generations, so a generation never spans batches and
     the reduction is stateless (no state store, no watermark needed).
     """
+    per_t = F.array(
+        *[F.struct(F.lit(float(t)).alias("temp"), metric.ned("scores", float(t)).alias("ned")) for t in temps]
+    )
+
     def transform(batch: DataFrame, _bid: int) -> DataFrame:
-        pos = batch.select(*keys, metric.ned("scores", temp).alias("ned"))
-        return reduce_generation(pos, list(keys), "ned")
+        pos = batch.select(*keys, F.inline(per_t))
+        return reduce_generation(pos, [*keys, "temp"], "ned")
 
     return transform
 
