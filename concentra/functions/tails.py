@@ -350,12 +350,19 @@ def _p_udf(kind: pd.Series, stat: pd.Series, df1: pd.Series, df2: pd.Series) ->
     return pd.DataFrame({"p_value": np.exp(lp), "log10_p": lp / _LN10})
 
 
+KINDS = ("t", "f", "chi2", "z", "tukey", "ks")
+
+
+def _as_double(x) -> Column:
+    if x is None:
+        return F.lit(None).cast("double")
+    return (F.col(x) if isinstance(x, str) else x).cast("double")
+
+
 def p_value_struct(kind, stat, df1=None, df2=None) -> Column:
-    k = F.lit(kind) if isinstance(kind, str) and kind in ("t", "f", "chi2", "z", "tukey", "ks") else F.col(kind)
-    a = F.lit(None).cast("double") if df1 is None else F.col(df1).cast("double") if isinstance(df1, str) else df1.cast("double")
-    b = F.lit(None).cast("double") if df2 is None else F.col(df2).cast("double") if isinstance(df2, str) else df2.cast("double")
-    s = F.col(stat).cast("double") if isinstance(stat, str) else stat.cast("double")
-    return _p_udf(k, s, a, b)
+    """struct(p_value, log10_p); ``kind`` is a distribution name or a column of them."""
+    k = F.lit(kind) if isinstance(kind, str) and kind in KINDS else F.col(kind)
+    return _p_udf(k, _as_double(stat), _as_double(df1), _as_double(df2))
 
 
 def with_p_value(stats: DataFrame, kind, stat: str = "statistic", df1="df1", df2="df2") -> DataFrame:
