@@ -163,6 +163,32 @@ def s2_monitor(spark, sf_dir):
     )
 
 
+@register(
+    "s2_monitor_sliding",
+    f"""
+SELECT strftime(w, '{TS_FMT_SQL}') AS window_start, event_type,
+       avg(value) AS mean, stddev_samp(value) AS std, CAST(count(*) AS BIGINT) AS n,
+       avg(CASE WHEN value > 10.0 THEN 1.0 ELSE 0.0 END) AS share_above
+FROM (SELECT event_type, value, unnest([time_bucket(INTERVAL 12 hour, ts), time_bucket(INTERVAL 12 hour, ts) - INTERVAL 12 hour]) AS w
+      FROM events)
+GROUP BY ALL""",
+    doubles=["mean", "std", "share_above"],
+)
+def s2_monitor_sliding(spark, sf_dir):
+    """1-day windows sliding every 12 hours: every event counts in two windows."""
+    _utc(spark)
+    src = ss.parquet_stream(spark, sf_dir, "events.parquet")
+    mon = ss.monitor(src, "event_type", "value", window="1 day", slide="12 hours", watermark="1 hour", limit=10.0)
+    out, ckpt = _scratch(spark, "s2s")
+    sink = ss.run_available(mon, out, ckpt, mode="update")
+    final = ss.latest_per_key(sink, ["window_start", "window_end", "event_type"])
+    return rounded(
+        final.select(
+            F.date_format("window_start", TS_FMT).alias("window_start"), "event_type", "mean", "std", "n", "share_above"
+        )
+    )
+
+
 def _moments_sink(spark, sf_dir):
     _utc(spark)
     src = ss.parquet_stream(spark, sf_dir, "events.parquet").withColumn("hour", F.hour(F.col("ts").cast("timestamp")))
