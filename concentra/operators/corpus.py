@@ -128,15 +128,26 @@ def valid_sentences(docs: DataFrame, text: str = "text", lang: str = "lang", key
 
 
 def quota_sample_docs(docs: DataFrame, quota: int, seed=42, lang: str = "lang", doc: str = "doc_id",
-                      text: str = "text") -> DataFrame:
+                      text: str = "text", strict: bool = False) -> DataFrame:
     """P3 straight from documents: the first pass only counts valid sentences
     per document; the second pass splits just the included documents (at most
-    3 x quota + 1 per language) instead of the whole corpus again."""
+    3 x quota + 1 per language) instead of the whole corpus again.
+
+    A language with fewer candidates than the quota keeps them all; with
+    ``strict`` (the English builder's behaviour) that is an error instead,
+    naming the languages (a bounded check: one row per language).
+    """
     per_doc = valid_sentences(docs, text, lang, (doc,)).groupBy(lang, doc).agg(F.count(F.lit(1)).alias("_n"))
     # small (<= groups x (3 quota + 1) ids): written once, broadcast behind a size check
     included = materialize(_included_docs(per_doc, lang, doc, quota).select(doc))
     few = docs.join(broadcast_if_small(included), doc, "left_semi")
     cand = valid_sentences(few, text, lang, (doc,))
+    if strict:
+        short = (
+            cand.groupBy(lang).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < quota).limit(1000).collect()
+        )
+        if short:
+            raise ValueError(f"fewer than {quota} candidates for: " + ", ".join(f"{r[0]} ({r[1]})" for r in short))
     return _draw(cand, lang, quota, seed, doc, "sent_no")
 
 

@@ -83,3 +83,11 @@ def test_snippet_fallback(spark):
     empty = spark.createDataFrame([(1, "<html><body>no paragraph</body></html>")], "page_id long, html string")
     got = cp.snippet_prompts_or_fallback(empty, 3).orderBy("page_id").collect()
     assert [r.prompt.split("\n")[1] for r in got] == [f"def function_{i}(x): return x * 2" for i in range(3)]
+
+
+def test_quota_strict_raises_when_short(spark):
+    rows = [(1, "en", "One two three four five. Six seven eight nine ten.")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert cp.quota_sample_docs(df, 5).count() == 2  # fewer than the quota: all kept
+    with pytest.raises(ValueError):
+        cp.quota_sample_docs(df, 5, strict=True)
