@@ -125,7 +125,7 @@ def anova(
         F.grouping_id().alias("gid"),
     ).where(F.col("gid") <= 1)
     s = r.groupBy(*groups).agg(
-        F.sum(F.when(F.col("gid") == 0, 1).otherwise(0)).alias("k"),
+        F.coalesce(F.sum(F.when(F.col("gid") == 0, 1).otherwise(0)), F.lit(0)).alias("k"),
         F.max(F.when(F.col("gid") == 1, F.col("n"))).alias("N"),
         F.max(F.when(F.col("gid") == 1, F.col("var") * (F.col("n") - 1))).alias("sst"),
         F.sum(F.when(F.col("gid") == 0, F.coalesce(F.col("var"), F.lit(0.0)) * (F.col("n") - 1))).alias(
@@ -394,7 +394,7 @@ def kruskal(
     )
     s = parts.groupBy(*gs).agg(
         F.sum("r2n").alias("sr2n"),
-        F.sum("is_g").alias("k"),
+        F.coalesce(F.sum("is_g"), F.lit(0)).alias("k"),
         F.sum("tie").alias("ties"),
         F.sum("t").alias("N"),
     )

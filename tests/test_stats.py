@@ -173,3 +173,10 @@ def test_grouped_battery_equals_per_group(spark):
             for f in ("statistic", "df1", "df2", "estimate", "n", "p_value"):
                 a, b = getattr(r, f), getattr(g, f)
                 assert (a is None and b is None) or a == pytest.approx(b, rel=1e-9), (m, r.test_id, f)
+
+
+def test_empty_input_notes(spark):
+    empty = spark.createDataFrame([], "ned_mean double, temp double, domain string")
+    assert st.anova(empty).first().note == "fewer than 2 groups"
+    assert st.kruskal(empty).first().note == "fewer than 2 groups"
+    assert st.ttest_1samp(empty).first().note == "fewer than 2 values"
