@@ -139,10 +139,20 @@ def runs_docs(spark: SparkSession, sf_dir: str, token_counts: DataFrame | None =
     from ..operators.reduce import ned_from_counts_temps
 
     if token_counts is None:
-        wc = doc_word_counts(spark, sf_dir)
+        # word counts keyed by (doc_id, word) only: lang and source depend on
+        # the document and are attached to the per-document result (one row
+        # per document and temperature), not hashed with every token
+        docs = table(spark, sf_dir, "documents")
+        words = docs.select(
+            "doc_id", F.explode_outer(F.split(F.lower(F.col("text")), r"\s+")).alias("word")
+        ).where(F.col("word") != "")
+        wc = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("cnt"))
+        per_doc = ned_from_counts_temps(wc, ["doc_id"], "cnt", TEMPS).join(
+            docs.select("doc_id", "lang", "source"), "doc_id"
+        )
     else:  # shared tokenisation (see operators.vocab.doc_token_counts)
         wc = token_counts.select("doc_id", F.col("language").alias("lang"), "source", "cnt")
-    per_doc = ned_from_counts_temps(wc, ["doc_id", "lang", "source"], "cnt", TEMPS)
+        per_doc = ned_from_counts_temps(wc, ["doc_id", "lang", "source"], "cnt", TEMPS)
     runs = per_doc.select(
         "doc_id",
         "temp",
