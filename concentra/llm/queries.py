@@ -1,4 +1,4 @@
 """All registered queries of the subpackage (op1 to op10)."""
 
-from . import decontam, jaccard, langid, mixing, tokenout  # noqa: F401
+from . import decontam, html_text, jaccard, langid, mixing, quality, tokenout  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
