@@ -1,4 +1,4 @@
 """All registered queries of the subpackage (op1 to op10)."""
 
-from . import decontam, fingerprint, html_text, jaccard, langid, mixing, quality, secrets, tokenout  # noqa: F401
+from . import decontam, fingerprint, html_text, jaccard, langid, mixing, quality, secrets, substrings, tokenout  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
