@@ -1,0 +1,18 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from cases import DOCUMENTS, tables  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def awkward(spark, tmp_path_factory):
+    return tables(spark, tmp_path_factory.mktemp("awkward"), DOCUMENTS)
+
+
+@pytest.fixture(scope="session")
+def empty(spark, tmp_path_factory):
+    return tables(spark, tmp_path_factory.mktemp("empty"), [])
