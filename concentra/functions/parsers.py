@@ -6,13 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The blanks that Python's ``strip`` and ``split`` know, as a class body
+# that the regex engines on both sides (Spark and the SQL oracle) read alike.
+BLANKS = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+BLANK = f"[{BLANKS}]"
+NON_BLANK = f"[^{BLANKS}]"
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def strip_ws(c) -> Column:
     """Remove leading/trailing whitespace of any kind (``trim`` drops blanks only)."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), rf"\A{BLANK}+|{BLANK}+\z", "")
 
 
 def domain_of(prompt) -> Column:
@@ -46,10 +53,15 @@ def model_size_or_path(label, path) -> Column:
 
 
 def bundle_index(path) -> Column:
-    """B6 (anchored form): number after '_chkpt_' right before a final '.pt'."""
-    return F.nullif(F.regexp_extract(_col(path), r"_chkpt_(\d+)\.pt$", 1), F.lit("")).cast(
-        "bigint"
-    )
+    """B6 (anchored form): number after '_chkpt_' right before a final '.pt'; NULL
+    without one, and for a number that doesn't fit."""
+    return F.regexp_extract(_col(path), r"_chkpt_(\d+)\.pt$", 1).try_cast("bigint")
+
+
+def bundle_index_of_file(path) -> Column:
+    """B6 for a file of a bundle: the bundle is the file itself, or the folder
+    that holds it (``..._chkpt_5.pt/part-0000.parquet``, as Spark writes it)."""
+    return F.coalesce(bundle_index(path), bundle_index(F.regexp_replace(_col(path), r"/[^/]*$", "")))
 
 
 def bundle_index_loose(path) -> Column:

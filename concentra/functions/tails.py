@@ -1,15 +1,22 @@
-"""Tail probabilities of test statistics, in log space where it matters.
-
-Spark SQL and DuckDB have no incomplete beta or gamma function, so the
-p-values are computed here from one-row summaries (one row per test or per
-pair of groups). ``with_p_value`` applies them as an Arrow-batched UDF on the
-small statistics frame, which never holds more than a handful of rows.
-
-Methods (textbook numerics): regularised incomplete beta by its continued
-fraction (modified Lentz), regularised incomplete gamma by series / continued
-fraction, the normal tail by ``erfc`` with an asymptotic log form far out,
-and the studentized range distribution by Gauss-Legendre quadrature over the
-normal and chi variables. Results below 1e-300 are kept as ``log10_p``.
+"""Tail probabilities of test statistics, in log space, as column expressions.
+
+The tails of t, F, chi-square and the normal are one integral. In y = ln x the
+density of F(d1, d2) is exp(g(y)) up to a constant, g is concave and largest at
+x = 1, and t^2 is F(1, df), chi2 / k is F(k, inf), z^2 is F(1, inf). With
+
+    g(y + u) - g(y) = d1 u / 2 - (d1 + d2) / 2 ln(1 + d1 x (e^u - 1) / (d2 + d1 x))
+
+(for infinite d2: d1 (u - x (e^u - 1)) / 2) the upper tail from x >= 1 and the lower tail from x < 1
+are integrals of a falling function over u > 0, and the constant is the sum of
+both from x = 1. They are summed over the nodes of a double-exponential rule, whose
+scale is the decay length at x. No term grows with the degrees of freedom, so
+the same expression holds for 3 rows and for 10^12, and everything is done
+with logarithms, so p-values far below 1e-300 keep their ``log10_p``.
+
+The Kolmogorov tail uses the two series that converge fast on either side of
+lambda = 1. The studentized range needs a double integral and runs as an Arrow
+UDF on its few rows (one per pair of groups); its upper tail is integrated
+itself, in log space, not as a difference from 1.
 """
 
 from __future__ import annotations
@@ -22,366 +29,221 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_EPS = 1e-15
-_TINY = 1e-300
-_LN10 = math.log(10.0)
-
-
-# --- incomplete beta -------------------------------------------------------
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = 1.0
-    d = 1.0 - qab * x / qap
-    if abs(d) < _TINY:
-        d = _TINY
-    d = 1.0 / d
-    h = d
-    for m in range(1, 20000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = _TINY if abs(d) < _TINY else d
-        c = 1.0 + aa / c
-        c = _TINY if abs(c) < _TINY else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = _TINY if abs(d) < _TINY else d
-        c = 1.0 + aa / c
-        c = _TINY if abs(c) < _TINY else c
-        d = 1.0 / d
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < _EPS:
-            break
-    return h
-
-
-def _log_front(a: float, b: float, x: float) -> float:
-    return (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
+# nodes u = s exp(t - exp(-t)), t = FIRST + STEP j, j = 0 .. NODES - 1
+FIRST, STEP, NODES = -3.5, 0.0625, 137
+LN10 = math.log(10.0)
 
+KINDS = ("t", "f", "chi2", "z", "tukey", "ks")
 
-def log_betainc(a: float, b: float, x: float) -> float:
-    """ln I_x(a, b), accurate when I is tiny."""
-    if x <= 0.0:
-        return -math.inf
-    if x >= 1.0:
-        return 0.0
-    if x < (a + 1.0) / (a + b + 2.0):
-        return _log_front(a, b, x) + math.log(_betacf(a, b, x)) - math.log(a)
-    comp = math.exp(_log_front(a, b, x)) * _betacf(b, a, 1.0 - x) / b
-    return math.log1p(-comp) if comp < 1.0 else -math.inf
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    return math.exp(log_betainc(a, b, x))
-
-
-# --- incomplete gamma ------------------------------------------------------
-
-
-def _log_gamma_p_series(a: float, x: float) -> float:
-    ap, s, d = a, 1.0 / a, 1.0 / a
-    for _ in range(100000):
-        ap += 1.0
-        d *= x / ap
-        s += d
-        if abs(d) < abs(s) * _EPS:
-            break
-    return math.log(s) - x + a * math.log(x) - math.lgamma(a)
-
-
-def _log_gamma_q_cf(a: float, x: float) -> float:
-    b = x + 1.0 - a
-    c = 1.0 / _TINY
-    d = 1.0 / b
-    h = d
-    for i in range(1, 100000):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = _TINY if abs(d) < _TINY else d
-        c = b + an / c
-        c = _TINY if abs(c) < _TINY else c
-        d = 1.0 / d
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < _EPS:
-            break
-    return math.log(h) - x + a * math.log(x) - math.lgamma(a)
-
-
-def log_gammaincc(a: float, x: float) -> float:
-    """ln Q(a, x), the regularised upper incomplete gamma function."""
-    if x <= 0.0:
-        return 0.0
-    if x < a + 1.0:
-        p = math.exp(_log_gamma_p_series(a, x))
-        return math.log1p(-p) if p < 1.0 else -math.inf
-    return _log_gamma_q_cf(a, x)
 
+def _sum_over_nodes(value) -> Column:
+    """Sum of value(u, weight) over the nodes of scale 1."""
 
-# --- distributions ---------------------------------------------------------
+    def add(acc: Column, j: Column) -> Column:
+        t = F.lit(FIRST) + F.lit(STEP) * j
+        u = F.exp(t - F.exp(-t))
+        return acc + value(u) * u * (F.lit(1.0) + F.exp(-t)) * F.lit(STEP)
 
+    return F.aggregate(F.sequence(F.lit(0), F.lit(NODES - 1)), F.lit(0.0), add)
 
-# Above this many degrees of freedom the limiting distributions are used
-# (t -> normal, F(d1, d2) -> chi2(d1) / d1); their error is O(1 / df), far
-# below what a p-value needs, while the continued fraction would need about
-# sqrt(df) iterations (tables of billions of rows give such df).
-LARGE_DF = 1e7
 
+def _tail_columns(df: DataFrame, x: str, d1: str, rho: str, out: str) -> DataFrame:
+    """``df`` with ``out`` = ln P(F > x); rho = 1 / d2 (0: infinite). Steps are columns of
+    their own, so nothing is expanded twice inside the sums."""
+    c = F.col
+    total = c(d1) + F.lit(1.0) / F.nullif(c(rho), F.lit(0.0))  # d1 + d2; NULL for infinite d2
+    share = lambda at: c(d1) * at * c(rho) / (F.lit(1.0) + c(d1) * at * c(rho))
 
-def log_t_two_sided(t: float, df: float) -> float:
-    """ln P(|T| > |t|) for Student's t with ``df`` degrees of freedom."""
-    if math.isinf(t):
-        return -math.inf
-    if df > LARGE_DF:
-        return log_norm_two_sided(t)
-    x = df / (df + t * t)
-    return log_betainc(df / 2.0, 0.5, x)
+    def integral(at: Column, sign: float, scale: str) -> Column:
+        def height(u: Column) -> Column:
+            v = F.lit(sign) * u * c(scale)
+            rest = F.when(c(rho) == 0, c(d1) * at * F.expm1(v) / 2.0).otherwise(total / 2.0 * F.log1p(share(at) * F.expm1(v)))
+            return F.exp(c(d1) / 2.0 * v - rest)
 
+        return c(scale) * _sum_over_nodes(height)
 
-def log_f_upper(f: float, d1: float, d2: float) -> float:
-    """ln P(F > f) for the F distribution."""
-    if f <= 0.0:
-        return 0.0
-    if math.isinf(f):
-        return -math.inf
-    if d2 > LARGE_DF:
-        return log_chi2_upper(d1 * f, d1)
-    x = d2 / (d2 + d1 * f)
-    return log_betainc(d2 / 2.0, d1 / 2.0, x)
-
-
-def log_chi2_upper(x: float, k: float) -> float:
-    """ln P(X > x) for chi-square with k df (Wilson-Hilferty above LARGE_DF)."""
-    if k > LARGE_DF:
-        z = ((x / k) ** (1.0 / 3.0) - (1.0 - 2.0 / (9.0 * k))) / math.sqrt(2.0 / (9.0 * k))
-        # one-sided upper normal tail from the two-sided one
-        return log_norm_two_sided(z) - math.log(2.0) if z > 0 else math.log1p(-0.5 * math.exp(log_norm_two_sided(z)))
-    return log_gammaincc(k / 2.0, x / 2.0)
-
-
-def log_norm_two_sided(z: float) -> float:
-    """ln P(|Z| > |z|)."""
-    z = abs(z)
-    if z < 30.0:
-        return math.log(math.erfc(z / math.sqrt(2.0)))
-    # asymptotic erfc for large arguments, series in 1 / x^2
-    x = z / math.sqrt(2.0)
-    s, term = 1.0, 1.0
-    for n in range(1, 8):
-        term *= -(2 * n - 1) / (2.0 * x * x)
-        s += term
-    return -x * x - math.log(x * math.sqrt(math.pi)) + math.log(s)
-
-
-def log_ks_upper(d: float, n: float) -> float:
-    """ln P(D > d) for the one-sample KS distance, asymptotic Kolmogorov
+    def scale_at(at: Column) -> Column:
+        slope = F.when(c(rho) == 0, c(d1) / 2.0 * (1.0 - at)).otherwise(c(d1) / 2.0 - total / 2.0 * share(at))
+        curve = F.when(c(rho) == 0, c(d1) * at / 2.0).otherwise(total / 2.0 * share(at) * (1.0 - share(at)))
+        return F.lit(1.0) / (F.abs(slope) + F.sqrt(curve))
+
+    one = F.lit(1.0)
+    gap = c(d1) / 2.0 * F.log(c(x)) - F.when(c(rho) == 0, c(d1) / 2.0 * (c(x) - 1.0)).otherwise(
+        total / 2.0 * F.log1p(c(d1) * (c(x) - 1.0) / total)
+    )
+    df = df.withColumn("_s", scale_at(c(x))).withColumn("_s1", scale_at(one)).withColumn("_gap", gap)
+    df = df.withColumn("_norm", integral(one, 1.0, "_s1") + integral(one, -1.0, "_s1"))
+    df = df.withColumn("_side", F.when(c(x) >= 1, integral(c(x), 1.0, "_s")).otherwise(integral(c(x), -1.0, "_s")))
+    part = c("_gap") + F.log(c("_side")) - F.log(c("_norm"))
+    tail = F.when(c(x) >= 1, F.least(part, F.lit(0.0))).when(c(x) > 0, F.log1p(-F.least(F.exp(part), F.lit(1.0)))).when(c(x) <= 0, F.lit(0.0))
+    tail = F.when(c(d1).isNotNull() & c(rho).isNotNull(), tail)  # least and greatest pass over NULLs
+    return df.withColumn(out, tail).drop("_s", "_s1", "_gap", "_norm", "_side")
+
+
+def log_ks_upper(d: Column, n: Column) -> Column:
+    """ln P(D > d) of the one-sample KS distance: asymptotic Kolmogorov
     distribution with the usual small-sample scaling of the argument."""
-    en = math.sqrt(n)
-    lam = (en + 0.12 + 0.11 / en) * d
-    if lam < 0.2:
-        return 0.0
-    total, sign = 0.0, 1.0
-    for k in range(1, 101):
-        term = math.exp(-2.0 * k * k * lam * lam)
-        total += sign * term
-        sign = -sign
-        if term < 1e-300:
-            break
-    p = min(1.0, max(0.0, 2.0 * total))
-    return math.log(p) if p > 0 else -math.inf
-
-
-def t_quantile(p: float, df: float) -> float:
-    """Two-sided critical value: P(|T| > t) = 1 - p (bisection on the tail)."""
-    target = math.log(1.0 - p)
-    lo, hi = 0.0, 1.0
-    while log_t_two_sided(hi, df) > target:
-        hi *= 2.0
-    for _ in range(200):
-        mid = (lo + hi) / 2.0
-        if log_t_two_sided(mid, df) > target:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2.0
+    root = F.sqrt(n)
+    lam = (root + 0.12 + F.lit(0.11) / root) * d
+    far = F.lit(math.log(2.0)) - 2.0 * lam * lam
+    more = sum((F.lit((-1.0) ** (j - 1)) * F.exp(-2.0 * (j * j - 1) * lam * lam) for j in range(2, 8)), F.lit(0.0))
+    below = sum((F.exp(F.lit(-((2 * j - 1) ** 2) * math.pi**2 / 8) / F.nullif(lam * lam, F.lit(0.0))) for j in range(1, 7)), F.lit(0.0))
+    near = F.log1p(-F.least(F.coalesce(F.lit(math.sqrt(2 * math.pi)) / F.nullif(lam, F.lit(0.0)) * below, F.lit(0.0)), F.lit(1.0)))
+    return F.when(lam >= 1, far + F.log1p(more)).otherwise(near)
+
+
+def norm_cdf(z: Column) -> Column:
+    """Standard normal cdf: Hart's rational form, a continued fraction far out."""
+    # fixed values: coefficients of the approximation, highest power first
+    top = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+    bottom = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+    x = F.abs(z)
+
+    def poly(cs) -> Column:
+        out = F.lit(cs[0])
+        for k in cs[1:]:
+            out = out * x + k
+        return out
+
+    fraction = x + 0.65
+    for k in (4.0, 3.0, 2.0, 1.0):
+        fraction = x + F.lit(k) / fraction
+    e = F.exp(-x * x / 2.0)
+    upper = F.when(x < 7.07106781186547, e * poly(top) / poly(bottom)).otherwise(e / fraction / math.sqrt(2 * math.pi))
+    return F.when(z > 0, F.lit(1.0) - upper).otherwise(upper)
 
 
 # --- studentized range -----------------------------------------------------
 
 _GL_X, _GL_W = np.polynomial.legendre.leggauss(24)
-_erf = np.frompyfunc(math.erf, 1, 1)
+_erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
-def _norm_cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + _erf(x / math.sqrt(2.0)).astype(float))
+def _panels(lo: np.ndarray, hi: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss-Legendre nodes and weights on ``pieces`` panels of each [lo, hi]."""
+    lo, hi = np.atleast_1d(lo)[:, None, None], np.atleast_1d(hi)[:, None, None]
+    half = (hi - lo) / pieces / 2.0
+    mid = lo + half * (2 * np.arange(pieces)[None, :, None] + 1)
+    x, w = mid + half * _GL_X, np.broadcast_to(half * _GL_W, mid.shape[:2] + (24,))
+    return x.reshape(len(x), -1), w.reshape(len(x), -1)
 
 
-def _gl_nodes(lo: float, hi: float, pieces: int):
-    edges = np.linspace(lo, hi, pieces + 1)
-    xs, ws = [], []
-    for a, b in zip(edges[:-1], edges[1:]):
-        xs.append((b - a) / 2.0 * _GL_X + (a + b) / 2.0)
-        ws.append((b - a) / 2.0 * _GL_W)
-    return np.concatenate(xs), np.concatenate(ws)
+def _log_cdf(x: np.ndarray) -> np.ndarray:
+    """ln of the normal cdf, far into the lower tail."""
+    near = np.maximum(x, -36.0)
+    out = np.log(0.5 * _erfc(-near / math.sqrt(2.0)).astype(float))
+    y = np.maximum(-x, 36.0)
+    far = -y * y / 2.0 - np.log(y * math.sqrt(2 * math.pi)) + np.log1p(-1 / y**2 + 3 / y**4 - 15 / y**6)
+    return np.where(x < -36.0, far, out)
 
 
-_Z, _WZ = _gl_nodes(-8.5, 8.5, 12)
-_PHI_Z = np.exp(-0.5 * _Z * _Z) / math.sqrt(2.0 * math.pi)
-_CDF_Z = _norm_cdf(_Z)
+def _log_sum(a: np.ndarray) -> np.ndarray:
+    top = a.max(axis=1)
+    return top + np.log(np.exp(a - top[:, None]).sum(axis=1))
 
 
-def _range_cdf_inf(q: np.ndarray, k: int) -> np.ndarray:
-    """P(range of k standard normals < q), vectorised over q."""
-    q = np.atleast_1d(q).astype(float)
-    inner = _CDF_Z[None, :] - _norm_cdf(_Z[None, :] - q[:, None])
-    inner = np.clip(inner, 0.0, 1.0)
-    return k * (inner ** (k - 1) * _PHI_Z[None, :] * _WZ[None, :]).sum(axis=1)
+def _log_range_upper(w: np.ndarray, k: int) -> np.ndarray:
+    """ln P(range of k standard normals > w) = ln of
+    k Int phi(z) Phi(z)^(k-1) (1 - (1 - Phi(z - w) / Phi(z))^(k-1)) dz."""
+    w = np.maximum(np.atleast_1d(w).astype(float), 0.0)
+    z, weight = _panels(np.full(len(w), -9.0), w / 2.0 + 10.0, 24)
+    above = _log_cdf(z)
+    r = np.minimum(_log_cdf(z - w[:, None]) - above, -1e-300)
+    with np.errstate(divide="ignore"):  # r rounds to 0 where z - w is as good as z
+        grown = np.log(np.maximum(-np.expm1((k - 1) * np.log1p(-np.exp(np.maximum(r, -700.0)))), 1e-320))
+    hit = np.where(r < -30.0, math.log(max(k - 1, 1)) + r, grown)
+    return np.minimum(math.log(k) + _log_sum(np.log(weight) - z * z / 2.0 - 0.5 * math.log(2 * math.pi) + (k - 1) * above + hit), 0.0)
 
 
-def ptukey(q: float, k: int, df: float) -> float:
-    """P(Q < q) of the studentized range with k groups and df degrees of freedom."""
+def log_tukey_upper(q: float, k: int, df: float) -> float:
+    """ln P(Q > q) of the studentized range with k groups and df degrees of freedom."""
     if q <= 0.0:
         return 0.0
-    if df is None or math.isinf(df) or df > 25000:
-        return float(min(1.0, _range_cdf_inf(np.array([q]), k)[0]))
-    # s = sqrt(chi2_df / df); integrate its density against the df = inf cdf
-    sd = 1.0 / math.sqrt(2.0 * df)
-    lo = max(1e-9, 1.0 - 14.0 * sd) if df > 10 else 1e-9
-    hi = 1.0 + 14.0 * sd if df > 10 else 8.0
-    s, ws = _gl_nodes(lo, hi, 16)
-    log_dens = (
-        (df / 2.0) * math.log(df)
-        - math.lgamma(df / 2.0)
-        - (df / 2.0 - 1.0) * math.log(2.0)
-        + (df - 1.0) * np.log(s)
-        - df * s * s / 2.0
-    )
-    vals = _range_cdf_inf(q * s, k)
-    return float(min(1.0, (np.exp(log_dens) * vals * ws).sum()))
+    if math.isinf(df):
+        return float(_log_range_upper(np.array([q]), k)[0])
 
+    # s = sqrt(chi2_df / df); v = ln s has the log-concave weight exp(df (v - e^2v / 2 + 1/2))
+    def log_weight(v):
+        return df * (v - np.expm1(2 * v) / 2.0)
 
-def qtukey(p: float, k: int, df: float) -> float:
-    """Quantile of the studentized range (Illinois regula falsi on the cdf)."""
-    lo, hi = 0.0, 2.0
-    f_lo, f_hi = -p, ptukey(hi, k, df) - p
-    while f_hi < 0:
-        lo, f_lo = hi, f_hi
-        hi *= 2.0
-        f_hi = ptukey(hi, k, df) - p
-    side = 0
-    for _ in range(100):
-        mid = (lo * f_hi - hi * f_lo) / (f_hi - f_lo)
-        f_mid = ptukey(mid, k, df) - p
-        if abs(f_mid) < 1e-12 or hi - lo < 1e-12:
-            return mid
-        if f_mid < 0:
-            lo, f_lo = mid, f_mid
-            if side == -1:
-                f_hi /= 2.0
-            side = -1
-        else:
-            hi, f_hi = mid, f_mid
-            if side == 1:
-                f_lo /= 2.0
-            side = 1
-    return mid
-
-
-# --- one dispatcher for the statistics frames ------------------------------
-
-
-def log_p(kind: str, stat, df1, df2) -> float:
-    """Natural log of the p-value of ``stat`` under ``kind``; NaN if undefined."""
-    try:
-        if stat is None or (isinstance(stat, float) and math.isnan(stat)):
-            return math.nan
-        stat = float(stat)
-        if kind == "t":
-            if df1 is None or df1 <= 0:
-                return math.nan
-            return log_t_two_sided(stat, float(df1))
-        if kind == "f":
-            if df1 is None or df2 is None or df1 <= 0 or df2 <= 0:
-                return math.nan
-            return log_f_upper(stat, float(df1), float(df2))
-        if kind == "chi2":
-            if df1 is None or df1 <= 0:
-                return math.nan
-            return log_chi2_upper(stat, float(df1))
-        if kind == "z":
-            return log_norm_two_sided(stat)
-        if kind == "ks":
-            if df1 is None or df1 <= 0:
-                return math.nan
-            return log_ks_upper(stat, float(df1))
-        if kind == "tukey":
-            if df1 is None or df1 < 2:
-                return math.nan
-            df = math.inf if df2 is None else float(df2)
-            if df <= 0:
-                return math.nan
-            upper = 1.0 - ptukey(stat, int(df1), df)
-            return math.log(upper) if upper > 0 else -math.inf
-    except (ValueError, OverflowError, ZeroDivisionError):
-        return math.nan
-    raise ValueError(f"unknown distribution {kind!r}")
-
-
-_P_TYPE = T.StructType(
-    [T.StructField("p_value", T.DoubleType()), T.StructField("log10_p", T.DoubleType())]
-)
-
-
-@F.pandas_udf(_P_TYPE)
-def _p_udf(kind: pd.Series, stat: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.DataFrame:
-    lp = [
-        log_p(k, s, None if pd.isna(a) else a, None if pd.isna(b) else b)
-        for k, s, a, b in zip(kind, stat, df1, df2)
-    ]
-    lp = np.array(lp, dtype=float)
-    return pd.DataFrame({"p_value": np.exp(lp), "log10_p": lp / _LN10})
+    def both(v):
+        return log_weight(v) + _log_range_upper(q * np.exp(v), k)
 
+    width = 1.0 / math.sqrt(2.0 * df)
+    lo, hi = -0.5 * math.log1p(q * q / (2.0 * df)) - 4 * width, 4 * width  # the largest value lies between
+    for _ in range(60):
+        a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
+        fa, fb = both(np.array([a, b]))
+        lo, hi = (a, hi) if fa < fb else (lo, b)
+    peak = (lo + hi) / 2
+    v, weight = _panels(np.array([peak - 14 * width]), np.array([peak + 14 * width]), 8)
+    top = _log_sum((np.log(weight) + both(v[0])[None, :]))
+    v, weight = _panels(np.array([-14 * width]), np.array([14 * width]), 8)
+    return float(min(0.0, top[0] - _log_sum(np.log(weight) + log_weight(v))[0]))
 
-KINDS = ("t", "f", "chi2", "z", "tukey", "ks")
 
+def ptukey(q: float, k: int, df: float) -> float:
+    """P(Q < q)."""
+    return -math.expm1(log_tukey_upper(q, k, df))
 
-def _as_double(x) -> Column:
-    if x is None:
-        return F.lit(None).cast("double")
-    return (F.col(x) if isinstance(x, str) else x).cast("double")
 
+def qtukey(p: float, k: int, df: float) -> float:
+    """Quantile of the studentized range: bisection on the log of the upper tail."""
+    target = math.log1p(-p)
+    lo, hi = 0.0, 2.0
+    while log_tukey_upper(hi, k, df) > target:
+        lo, hi = hi, 2.0 * hi
+    while hi - lo > 1e-10 * hi:
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if log_tukey_upper(mid, k, df) > target else (lo, mid)
+    return (lo + hi) / 2
 
-def p_value_struct(kind, stat, df1=None, df2=None) -> Column:
-    """struct(p_value, log10_p); ``kind`` is a distribution name or a column of them."""
-    k = F.lit(kind) if isinstance(kind, str) and kind in KINDS else F.col(kind)
-    return _p_udf(k, _as_double(stat), _as_double(df1), _as_double(df2))
 
+def _missing(*values) -> bool:
+    return any(v is None or v != v for v in values)
 
-def with_p_value(stats: DataFrame, kind, stat: str = "statistic", df1="df1", df2="df2") -> DataFrame:
-    """Add ``p_value`` and ``log10_p`` to a (small) statistics frame."""
-    cols = stats.columns
-    d1 = df1 if (df1 is None or df1 in cols or not isinstance(df1, str)) else None
-    d2 = df2 if (df2 is None or df2 in cols or not isinstance(df2, str)) else None
-    return stats.withColumn("_p", p_value_struct(kind, stat, d1, d2)).select(
-        *cols, F.col("_p.p_value").alias("p_value"), F.col("_p.log10_p").alias("log10_p")
+
+@F.pandas_udf(T.DoubleType())
+def _tukey_log_udf(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series(
+        [math.nan if _missing(a, b) or b < 2 or c <= 0 else log_tukey_upper(float(a), int(b), math.inf if _missing(c) else float(c)) for a, b, c in zip(q, k, df)]
     )
 
 
 @F.pandas_udf(T.DoubleType())
 def tukey_quantile_udf(p: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
-        [
-            qtukey(float(a), int(b), math.inf if pd.isna(c) else float(c))
-            if not (pd.isna(b) or b < 2)
-            else math.nan
-            for a, b, c in zip(p, k, df)
-        ]
+        [math.nan if _missing(a, b) or b < 2 else qtukey(float(a), int(b), math.inf if _missing(c) else float(c)) for a, b, c in zip(p, k, df)]
     )
+
+
+# --- one entry for the statistics frames -----------------------------------
+
+
+def _as_double(df: DataFrame, x) -> Column:
+    if x is None or isinstance(x, str) and x not in df.columns:
+        return F.lit(None).cast("double")
+    return (F.col(x) if isinstance(x, str) else x).cast("double")
+
+
+def with_p_value(stats: DataFrame, kind: str, stat: str = "statistic", df1="df1", df2="df2") -> DataFrame:
+    """Add ``p_value`` and ``log10_p``; ``kind`` is a distribution or a column that
+    names it (t, f, chi2 or z). Undefined ones are NULL."""
+    cols = stats.columns
+    s, a, b = _as_double(stats, stat), _as_double(stats, df1), _as_double(stats, df2)
+    s = F.when(~F.isnan(s), s)
+    if kind == "tukey":
+        out = stats.withColumn("_lp", _tukey_log_udf(s, a, b))
+        out = out.withColumn("_lp", F.when(~F.isnan("_lp"), F.col("_lp")))
+    elif kind == "ks":
+        out = stats.withColumn("_lp", F.when(a > 0, log_ks_upper(s, a)))
+    else:
+        k = F.lit(kind) if kind in KINDS else F.col(kind)
+        x = F.when(k.isin("t", "z"), s * s).when(k == "f", s).when(k == "chi2", s / F.nullif(a, F.lit(0.0)))
+        d1 = F.when(k.isin("t", "z"), F.lit(1.0)).when(a > 0, a)
+        rho = F.when(k.isin("z", "chi2"), F.lit(0.0)).when((k == "t") & (a > 0), F.lit(1.0) / F.nullif(a, F.lit(0.0))).when(
+            (k == "f") & (b > 0), F.lit(1.0) / F.nullif(b, F.lit(0.0))
+        )
+        out = stats.withColumn("_x", x).withColumn("_d1", d1).withColumn("_rho", rho)
+        out = _tail_columns(out, "_x", "_d1", "_rho", "_lp")
+    return out.select(*cols, F.exp("_lp").alias("p_value"), (F.col("_lp") / F.lit(LN10)).alias("log10_p"))

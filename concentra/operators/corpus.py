@@ -7,12 +7,11 @@ hash orders, and assembled with unions; nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parsers import strip_ws
-from ..operators.grid import shuffle_key
-from ..operators.ordinal import broadcast_if_small, materialize
+from ..functions.parsers import BLANK, NON_BLANK, strip_ws
+from ..operators.grid import hash_draw, shuffle_key
 
 MARK = "\u0001"
 
@@ -24,7 +23,6 @@ LATIN_RULE_LANGS = ("en", "pl")
 CHAR_LENGTH_LANGS = ("zh", "ja")
 
 # Prompt formats of the builders.
-QA_FORMAT = "{q} (Answer: {a})"
 CODE_INSTRUCTION = "Explain what this code does:"
 
 
@@ -45,7 +43,7 @@ def sentence_array(text, lang) -> Column:
     for code, delims in KEEP_DELIMS.items():
         arr = _split_marked(F.regexp_replace(t, f"([{delims}])", f"$1{MARK}"))
         expr = F.when(lg == code, arr) if expr is None else expr.when(lg == code, arr)
-    latin = _split_marked(F.regexp_replace(t, r"([.!?])\s+", f"$1{MARK}"))
+    latin = _split_marked(F.regexp_replace(t, f"([.!?]){BLANK}+", f"$1{MARK}"))
     expr = expr.when(lg.isin(*LATIN_RULE_LANGS), latin)
     return expr.otherwise(F.split(t, r"\."))
 
@@ -64,7 +62,7 @@ def split_sentences(df: DataFrame, text: str = "text", lang: str = "lang", keys=
 def word_count(c) -> Column:
     """Whitespace-separated words (Python's ``len(s.split())``), one regex pass."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.regexp_count(col, F.lit(r"\S+"))
+    return F.regexp_count(col, F.lit(f"{NON_BLANK}+"))
 
 
 def _within(x: Column, lo: int, hi: int) -> Column:
@@ -85,41 +83,22 @@ def valid_sentence(sentence, lang, min_words: int = 5, max_words: int = 40, stri
     )
 
 
-def _included_docs(per_doc: DataFrame, group: str, doc: str, quota: int) -> DataFrame:
-    """Documents read before the candidate pool exceeds 3 x quota, per group.
-
-    Each included document holds at least one candidate, so at most
-    3 x quota + 1 documents per group can be included: a rank filter that
-    Spark plans as a per-partition limit before the shuffle, so a hot group
-    never moves whole.
-    """
-    w_first = Window.partitionBy(group).orderBy(doc)
-    first_docs = per_doc.withColumn("_rn", F.row_number().over(w_first)).where(F.col("_rn") <= 3 * quota + 1)
-    w_cum = w_first.rowsBetween(Window.unboundedPreceding, -1)
-    return first_docs.withColumn("_before", F.coalesce(F.sum("_n").over(w_cum), F.lit(0))).where(
-        F.col("_before") <= 3 * quota
-    ).select(group, doc)
-
-
-def _draw(cand: DataFrame, group: str, quota: int, seed, doc: str, pos: str) -> DataFrame:
-    w_draw = Window.partitionBy(group).orderBy(shuffle_key(seed, doc, pos), F.col(doc), F.col(pos))
-    return (
-        cand.withColumn("draw", F.row_number().over(w_draw))
-        .where(F.col("draw") <= quota)
-        .withColumn("draw", F.col("draw").cast("bigint"))
-    )
-
-
 def quota_sample(
-    sentences: DataFrame, group: str, quota: int, seed=42, doc: str = "doc_id", pos: str = "sent_no"
+    sentences: DataFrame, group: str, quota: int, seed=42, doc: str = "doc_id", pos: str = "sent_no", strict: bool = False
 ) -> DataFrame:
-    """P3 on a sentence table: per group, candidates are collected in source
-    order, whole documents at a time, until more than 3 x quota are held;
-    then ``quota`` are drawn without replacement (all when there are fewer)."""
-    per_doc = sentences.groupBy(group, doc).agg(F.count(F.lit(1)).alias("_n"))
-    included = _included_docs(per_doc, group, doc, quota)
-    cand = sentences.join(included, [group, doc], "left_semi")
-    return _draw(cand, group, quota, seed, doc, pos)
+    """P3 on a sentence table: ``quota`` sentences per group without replacement, in
+    hash order over ALL sentences of the group (the reference stops reading at
+    three times the quota; a prefix of the corpus would not be a sample of it).
+
+    A group with fewer sentences than the quota keeps them all; with ``strict``
+    (the English builder's behaviour) that is an error.
+    """
+    if strict:
+        short = sentences.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < quota)
+        row = short.agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", group)).alias("least")).first()
+        if row.k:
+            raise ValueError(f"{row.k} groups have fewer than {quota} candidates; the least is {row.least[1]} with {row.least[0]}")
+    return hash_draw(sentences, group, quota, seed, doc, pos)
 
 
 def valid_sentences(docs: DataFrame, text: str = "text", lang: str = "lang", keys=("doc_id",)) -> DataFrame:
@@ -129,34 +108,23 @@ def valid_sentences(docs: DataFrame, text: str = "text", lang: str = "lang", key
 
 def quota_sample_docs(docs: DataFrame, quota: int, seed=42, lang: str = "lang", doc: str = "doc_id",
                       text: str = "text", strict: bool = False) -> DataFrame:
-    """P3 straight from documents: the first pass only counts valid sentences
-    per document; the second pass splits just the included documents (at most
-    3 x quota + 1 per language) instead of the whole corpus again.
+    """P3 straight from documents: drawn over the valid sentences of all of them."""
+    return quota_sample(valid_sentences(docs, text, lang, (doc,)), lang, quota, seed, doc, "sent_no", strict)
 
-    A language with fewer candidates than the quota keeps them all; with
-    ``strict`` (the English builder's behaviour) that is an error instead,
-    naming the languages (a bounded check: one row per language).
-    """
-    per_doc = valid_sentences(docs, text, lang, (doc,)).groupBy(lang, doc).agg(F.count(F.lit(1)).alias("_n"))
-    # small (<= groups x (3 quota + 1) ids): written once, broadcast behind a size check
-    included = materialize(_included_docs(per_doc, lang, doc, quota).select(doc))
-    few = docs.join(broadcast_if_small(included), doc, "left_semi")
-    cand = valid_sentences(few, text, lang, (doc,))
-    if strict:
-        short = (
-            cand.groupBy(lang).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < quota).limit(1000).collect()
-        )
-        if short:
-            raise ValueError(f"fewer than {quota} candidates for: " + ", ".join(f"{r[0]} ({r[1]})" for r in short))
-    return _draw(cand, lang, quota, seed, doc, "sent_no")
+
+def _sampled(df: DataFrame, n: int, seed, *keys: str) -> DataFrame:
+    """``n`` rows in hash order of the keys."""
+    drawn = hash_draw(df.withColumn("_all", F.lit(0)), "_all", n, seed, *keys)
+    return drawn.select(*df.columns)
 
 
 def snippet_prompts(
     pages: DataFrame, html: str = "html", key: str = "page_id", n: int | None = None,
-    instruction: str = CODE_INSTRUCTION, min_words: int = 3, max_words: int = 30,
+    instruction: str = CODE_INSTRUCTION, min_words: int = 3, max_words: int = 30, seed=42,
 ) -> DataFrame:
     """First line of the first <p> block (else of the <title>), 3 to 30
-    words, with an instruction line in front; the first ``n`` by key."""
+    words, with an instruction line in front; all of them, or with ``n`` that many
+    in hash order of the key (a sample, not a prefix)."""
     h = F.col(html)
     block = F.regexp_extract(h, r"(?s)<p[^>]*>(.*?)</p>", 1)
     title = F.regexp_extract(h, r"(?s)<title[^>]*>(.*?)</title>", 1)
@@ -166,26 +134,12 @@ def snippet_prompts(
         (F.col("snippet") != "") & _within(word_count("snippet"), min_words, max_words)
     )
     out = out.select(key, F.concat(F.lit(instruction + "\n"), F.col("snippet")).alias("prompt"))
-    if n is not None:
-        out = out.orderBy(key).limit(n)  # the stop is the feature: top-n, planned as TakeOrderedAndProject
-    return out
-
+    return out if n is None else _sampled(out, n, seed, key)
 
-def snippet_prompts_or_fallback(pages: DataFrame, n: int, key: str = "page_id", **kw) -> DataFrame:
-    """P4 with the builder's fallback: when the source yields no snippet at
-    all, ``n`` synthetic code prompts are produced instead."""
-    out = snippet_prompts(pages, key=key, n=n, **kw)
-    if not out.isEmpty():
-        return out
-    instruction = kw.get("instruction", CODE_INSTRUCTION)
-    ids = pages.sparkSession.range(n).select(F.col("id").alias(key))
-    body = F.concat(F.lit("def function_"), F.col(key).cast("string"), F.lit("(x): return x * 2"))
-    return ids.select(key, F.concat(F.lit(instruction + "\n"), body).alias("prompt"))
 
-
-def qa_prompts(conv: DataFrame, n: int | None = None, min_words: int = 5) -> DataFrame:
+def qa_prompts(conv: DataFrame, n: int | None = None, min_words: int = 5, seed=42) -> DataFrame:
     """P5: a user turn of more than 4 words followed by an assistant turn ->
-    'question (Answer: answer)'; the first ``n`` in (conv_id, turn) order.
+    'question (Answer: answer)'; all of them, or with ``n`` that many in hash order.
 
     The next turn is found by an equi-join on (conv_id, turn + 1), which
     cannot skew the way a window over a long conversation could.
@@ -200,103 +154,55 @@ def qa_prompts(conv: DataFrame, n: int | None = None, min_words: int = 5) -> Dat
         (F.col("q") != "") & (F.col("a") != "") & (word_count("q") >= min_words)
     )
     out = j.select("conv_id", "turn", F.concat(F.col("q"), F.lit(" (Answer: "), F.col("a"), F.lit(")")).alias("prompt"))
-    if n is not None:
-        out = out.orderBy("conv_id", "turn").limit(n)
-    return out
-
-
-# --- P6: neutral prompt categories (our own templates) -------------------------
-
-EMPTY_VARIANTS = ["", " ", "   ", "\n", "\t", ".", "..", "?", "*", "~"]
-RANDOM_CHARSET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789     "
-REQUEST_TEMPLATES = [
-    "Type a string of arbitrary characters:",
-    "Give me letters picked at random:",
-    "Print a random mix of digits and letters:",
-    "Flip a coin thirty times and list the outcomes:",
-    "Make up words that mean nothing:",
-    "Emit tokens in no particular order:",
-    "List random printable characters:",
-    "Write text that carries no meaning at all:",
-    "Produce forty arbitrary symbols:",
-    "Draw random digits from zero to nine:",
-    "Pick letters of the alphabet at random:",
-    "Compose a meaningless jumble:",
-    "Dump random bytes as readable text:",
-    "Write characters chosen uniformly at random:",
-    "Type keys at random without making words:",
-    "Stream arbitrary symbols one after another:",
-    "Imitate static noise in text form:",
-    "Print random characters from any script:",
-    "Write the least predictable text you can:",
-    "Give a sequence that follows no rule:",
-]
-STUBS = [
-    "Go on:", "Reply:", "Here:", "Then:", "Now:", "Proceed:", "Say:", "Tell:", "Note:", "Entry:",
-    "Line:", "Item:", "Field:", "Input:", "Value:", "So", "An", "We", "There", "Some",
-]
-ONSETS = ["b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "z", "br", "gr", "pl", "st", "tr", "sk"]
-VOWELS = ["a", "e", "i", "o", "u", "au", "ei", "oa"]
-CODAS = ["", "n", "r", "s", "l", "m", "k", "st"]
-
-
-def _h(seed, *parts) -> Column:
-    """A non-negative integer from md5(seed|parts...) (first 8 hex digits)."""
-    key = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-
-
-def _pick(values: list[str], idx: Column) -> Column:
-    arr = F.array(*[F.lit(v) for v in values])
-    return F.element_at(arr, (idx % len(values) + 1).cast("int"))
-
-
-def neutral_set(ids: DataFrame, id_col: str = "item_id", seed=42) -> DataFrame:
-    """Five categories per id: empty, random, explicit, neutral, nonsense.
-
-    Every value is a function of (seed, id, position) through md5, so the
-    set is reproducible in any engine and grows with the id table.
+    return out if n is None else _sampled(out, n, seed, "conv_id", "turn")
+
+
+# --- P6: neutral prompt categories ---------------------------------------------
+
+CATEGORIES = ("empty", "random", "explicit", "neutral", "nonsense")
+
+
+def neutral_set(items: DataFrame, templates: DataFrame, key: str = "item_id", text: str = "text", seed=42) -> DataFrame:
+    """Five prompts per item, one for each category.
+
+    * ``empty``: the empty prompt;
+    * ``random``: the characters of the item in a seeded order;
+    * ``explicit`` and ``neutral``: the caller's ``templates`` (category, slot, text), taken
+      in a cycle: the item's number modulo the category's number of templates;
+    * ``nonsense``: the words of the item in a seeded order.
+
+    The orders are md5 of (seed, category, item, position), so the set can be
+    repeated in any engine. A NULL item text counts as empty; a category
+    without templates yields no prompts.
     """
-    i = F.col(id_col)
-    empty = _pick(EMPTY_VARIANTS, i)
-    length = F.lit(10) + _h(seed, F.lit("len"), i) % 51
-    rnd = F.array_join(
-        F.transform(
-            F.sequence(F.lit(0), (length - 1).cast("int")),
-            lambda p: F.substring(
-                F.lit(RANDOM_CHARSET), (_h(seed, F.lit("chr"), i, p) % len(RANDOM_CHARSET) + 1).cast("int"), 1
-            ),
-        ),
-        "",
-    )
-    explicit = _pick(REQUEST_TEMPLATES, i)
-    neutral = _pick(STUBS, i)
-    n_words = F.lit(3) + _h(seed, F.lit("words"), i) % 8
-
-    def syllables(w):
-        n_syl = F.lit(1) + _h(seed, F.lit("syl"), i, w) % 3
-        return F.array_join(
-            F.transform(
-                F.sequence(F.lit(0), (n_syl - 1).cast("int")),
-                lambda s: F.concat(
-                    _pick(ONSETS, _h(seed, F.lit("on"), i, w, s)),
-                    _pick(VOWELS, _h(seed, F.lit("vo"), i, w, s)),
-                    _pick(CODAS, _h(seed, F.lit("co"), i, w, s)),
-                ),
-            ),
-            "",
-        )
+    t = F.coalesce(F.col(text), F.lit(""))
+    k = F.col(key).cast("string")
 
-    nonsense = F.array_join(F.transform(F.sequence(F.lit(0), (n_words - 1).cast("int")), syllables), " ")
-    cats = F.array(
-        *[
-            F.struct(F.lit(name).alias("domain"), val.alias("prompt"))
-            for name, val in [
-                ("empty", empty), ("random", rnd), ("explicit", explicit), ("neutral", neutral), ("nonsense", nonsense)
-            ]
-        ]
+    def shuffled(category: str, parts: Column, glue: str) -> Column:
+        order = F.transform(
+            parts,
+            lambda x, i: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(category), k, i.cast("string"))).alias("h"), x.alias("x")),
+        )
+        return F.array_join(F.transform(F.sort_array(order), lambda s: s["x"]), glue)
+
+    chars = F.filter(F.split(t, ""), lambda x: x != "")
+    words = F.filter(F.split(t, f"{BLANK}+"), lambda x: x != "")
+    own = items.select(
+        key,
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("domain"), v.alias("prompt"))
+                    for c, v in (("empty", F.lit("")), ("random", shuffled("random", chars, "")), ("nonsense", shuffled("nonsense", words, " ")))
+                ]
+            )
+        ),
     )
-    return ids.select(id_col, F.inline(cats))
+    cycle = templates.select(F.col("category").alias("domain"), "slot", F.col("text").alias("prompt"))
+    size = cycle.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))  # one row per category
+    slots = items.select(key, F.explode(F.array(F.lit("explicit"), F.lit("neutral"))).alias("domain")).join(size, "domain")
+    taken = slots.withColumn("slot", F.pmod(F.col(key), F.col("n"))).join(cycle, ["domain", "slot"])
+    return own.unionByName(taken.select(key, "domain", "prompt"))
 
 
 def prompt_length(prompt, lang=None) -> Column:

@@ -11,26 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinal import broadcast_if_small, materialize
+from ..functions.tails import norm_cdf
+from .ordinal import materialize, range_bucket
 from .ranks import average_ranks, value_counts
 from .stats import _null, _num, _nz, lag_pairs, ttest_1samp
 
 
-def _pair_list(groups: DataFrame, g: str = "g") -> DataFrame:
-    """All (g1 < g2) pairs of a small set of group labels, without a join:
-    the labels are gathered into one sorted array (one entry per group)."""
-    arr = groups.select(g).distinct().agg(F.array_sort(F.collect_list(g)).alias("gs"))
-    pairs = F.flatten(
-        F.transform(
-            F.col("gs"),
-            lambda a, i: F.transform(
-                F.slice(F.col("gs"), i + 2, F.size(F.col("gs"))), lambda b: F.struct(a.alias("g1"), b.alias("g2"))
-            ),
-        )
-    )
-    return arr.select(F.inline(pairs))
-
-
 # E1
 def intrinsic_fraction(
     df: DataFrame, y: str, by: str, domain: str, categories: dict[str, str],
@@ -47,16 +33,20 @@ def intrinsic_fraction(
 
 
 # E2
-def profile_similarity(df: DataFrame, y: str, unit: str, item: str, digits: int = 9) -> DataFrame:
-    """Spearman correlation of item-level means between every pair of units.
+def profile_similarity(df: DataFrame, y: str, unit: str, item: str, digits: int = 9, baseline=None) -> DataFrame:
+    """Spearman correlation of item-level means between every pair of units, or with
+    ``baseline`` between that unit and every other (linear in the units).
 
-    Units (models) are a small set; profiles are joined on the item, and the
-    means are rounded before ranking so that equal means tie in any engine.
+    Profiles are joined on the item, and the means are rounded before ranking
+    so that equal means tie in any engine.
     """
     prof = df.groupBy(unit, item).agg(F.round(F.avg(_num(y)), digits).alias("m")).where(F.col("m").isNotNull())
     a = prof.select(F.col(unit).alias("u1"), F.col(item).alias("item"), F.col("m").alias("x"))
     b = prof.select(F.col(unit).alias("u2"), F.col(item).alias("item"), F.col("m").alias("y"))
-    pairs = a.join(b, "item").where(F.col("u1") < F.col("u2"))
+    if baseline is None:
+        pairs = a.join(b, "item").where(F.col("u1") < F.col("u2"))
+    else:
+        pairs = a.where(F.col("u1") == F.lit(baseline)).join(b.where(F.col("u2") != F.lit(baseline)), "item")
     rx = average_ranks(value_counts(pairs, "x", ["u1", "u2"]), "x", by=["u1", "u2"], name="rx").drop("cnt")
     ry = average_ranks(value_counts(pairs, "y", ["u1", "u2"]), "y", by=["u1", "u2"], name="ry").drop("cnt")
     r = pairs.join(rx, ["u1", "u2", "x"]).join(ry, ["u1", "u2", "y"])
@@ -79,53 +69,82 @@ def cohens_d(df: DataFrame, y: str, by: str, baseline: str) -> DataFrame:
         .groupBy("group")
         .agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.var_samp("y").alias("var"))
     )
-    w = Window.partitionBy()  # one row per group
-    base = lambda c: F.max(F.when(F.col("group") == baseline, F.col(c))).over(w)
-    pooled = F.sqrt(
-        ((F.col("n") - 1) * F.col("var") + (base("n") - 1) * base("var")) / _nz(F.col("n") + base("n") - 2)
-    )
-    return g.select(
+    one = F.lit(1).alias("_one")  # the baseline's row beside every group (a join with one row)
+    base = g.where(F.col("group") == baseline).select(one, F.col("n").alias("bn"), F.col("mean").alias("bm"), F.col("var").alias("bv"))
+    j = g.select("*", one).join(F.broadcast(base), "_one", "left")
+    pooled = F.sqrt(((F.col("n") - 1) * F.col("var") + (F.col("bn") - 1) * F.col("bv")) / _nz(F.col("n") + F.col("bn") - 2))
+    return j.select(
         "group",
         F.col("n").cast("bigint").alias("n"),
         "mean",
-        ((F.col("mean") - base("mean")) / _nz(pooled)).alias("d"),
+        ((F.col("mean") - F.col("bm")) / _nz(pooled)).alias("d"),
     )
 
 
 # E4
-def mann_whitney(df: DataFrame, y: str, by: str) -> DataFrame:
-    """U, and z with tie correction and continuity correction, for every pair
-    of groups. Only (group, value) counts move: ranks are computed per pair on
-    the pooled value counts of the two groups."""
+MAX_GROUPS = 100
+
+
+def mann_whitney(df: DataFrame, y: str, by: str, baseline=None, pairs: Sequence[tuple] | None = None) -> DataFrame:
+    """U, and z with tie correction and continuity correction, for every pair of
+    groups, for the given ``pairs``, or for ``baseline`` against every other group.
+
+    Values are counted once per (value, group), as one row per value with a
+    column per group. In order of the value, running counts (per range of
+    values, and inside the ranges) give how many values of each group are
+    smaller, and every U is a sum over the values:
+    U(a, b) = sum c_a (less_b + c_b / 2). No row is copied per pair.
+    """
     clean = df.select(F.col(by).alias("g"), _num(y).alias("v")).where(
         F.col("g").isNotNull() & F.col("v").isNotNull()
     )
     gv = materialize(value_counts(clean, "v", by=["g"]))  # one scan of the input
-    pairs = broadcast_if_small(materialize(_pair_list(gv)))  # k (k - 1) / 2 rows, size checked
-    side1 = gv.join(pairs, gv["g"] == pairs["g1"]).select("g1", "g2", "v", F.col("cnt").alias("c1"), F.lit(0).cast("bigint").alias("c2"))
-    side2 = gv.join(pairs, gv["g"] == pairs["g2"]).select("g1", "g2", "v", F.lit(0).cast("bigint").alias("c1"), F.col("cnt").alias("c2"))
-    pooled = side1.unionByName(side2).groupBy("g1", "g2", "v").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
-    pooled = pooled.withColumn("cnt", F.col("c1") + F.col("c2"))
-    ranked = average_ranks(pooled.select("g1", "g2", "v", "cnt"), "v", by=["g1", "g2"]).drop("cnt")
-    j = pooled.join(ranked, ["g1", "g2", "v"])
-    s = j.groupBy("g1", "g2").agg(
-        F.sum(F.col("c1") * F.col("rank")).alias("r1"),
-        F.sum("c1").alias("n1"),
-        F.sum("c2").alias("n2"),
-        F.sum(F.col("cnt").cast("double") ** 3 - F.col("cnt").cast("double")).alias("ties"),
-    )
-    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    if pairs is None:
+        labels = sorted(r.g for r in gv.select("g").distinct().limit(MAX_GROUPS + 1).collect())
+        if len(labels) > MAX_GROUPS:
+            raise ValueError(f"more than {MAX_GROUPS} groups: name the pairs to compare")
+        if baseline is not None:
+            pairs = [(baseline, g) for g in labels if g != baseline] if baseline in labels else []
+        else:
+            pairs = [(a, b) for i, a in enumerate(labels) for b in labels[i + 1 :]]
+    names = sorted({g for p in pairs for g in p})
+    at = {g: i for i, g in enumerate(names)}
+    kind = dict(clean.dtypes)["g"]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], f"group1 {kind}, group2 {kind}, n1 bigint, n2 bigint, u double, z double")
+    count = [F.sum(F.when(F.col("g") == F.lit(g), F.col("cnt")).otherwise(0)).alias(f"c{i}") for g, i in at.items()]
+    wide = gv.where(F.col("g").isin(*names)).groupBy((F.col("v").cast("double") + F.lit(0.0)).alias("v")).agg(*count)
+    ranged = range_bucket(wide, "v")
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    totals = ranged.groupBy(F.col("_bkt").alias("_r")).agg(*[F.sum(f"c{i}").alias(f"t{i}") for i in at.values()])
+    offsets = totals.select("_r", *[F.coalesce(F.sum(f"t{i}").over(before), F.lit(0)).alias(f"o{i}") for i in at.values()])
+    inside = Window.partitionBy("_bkt").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    less = ranged.select("*", *[F.coalesce(F.sum(f"c{i}").over(inside), F.lit(0)).alias(f"l{i}") for i in at.values()])
+    j = less.join(offsets, F.col("_bkt") == F.col("_r"))
+    aggs = [F.sum(f"c{i}").cast("double").alias(f"n{i}") for i in at.values()]
+    for k, (a, b) in enumerate(pairs):
+        ca, cb = F.col(f"c{at[a]}").cast("double"), F.col(f"c{at[b]}").cast("double")
+        aggs.append(F.sum(ca * (F.col(f"o{at[b]}") + F.col(f"l{at[b]}") + cb / 2.0)).alias(f"u{k}"))
+        aggs.append(F.sum((ca + cb) ** 3 - (ca + cb)).alias(f"ties{k}"))
+    rows = [
+        F.struct(
+            F.lit(a).cast(kind).alias("group1"), F.lit(b).cast(kind).alias("group2"),
+            F.col(f"n{at[a]}").alias("n1"), F.col(f"n{at[b]}").alias("n2"), F.col(f"u{k}").alias("u"), F.col(f"ties{k}").alias("ties"),
+        )
+        for k, (a, b) in enumerate(pairs)
+    ]
+    s = j.agg(*aggs).select(F.inline(F.array(*rows)))
+    n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
-    u = F.col("r1") - n1 * (n1 + 1) / 2.0
     mu = n1 * n2 / 2.0
     sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("ties") / _nz(n * (n - 1))))
-    z = (F.abs(u - mu) - 0.5) / _nz(sigma)
+    z = (F.abs(F.col("u") - mu) - 0.5) / _nz(sigma)
     return s.select(
-        F.col("g1").alias("group1"),
-        F.col("g2").alias("group2"),
-        F.col("n1").cast("bigint").alias("n1"),
-        F.col("n2").cast("bigint").alias("n2"),
-        u.alias("u"),
+        "group1",
+        "group2",
+        n1.cast("bigint").alias("n1"),
+        n2.cast("bigint").alias("n2"),
+        "u",
         F.when(sigma > 0, F.greatest(z, F.lit(0.0))).alias("z"),
     )
 
@@ -206,18 +225,6 @@ def spread_comparison(df: DataFrame, by: str = "model", spread: str = "ned_std")
 
 
 # E11 / E12
-def norm_cdf(z: Column) -> Column:
-    """Standard normal cdf by the Zelen-Severo polynomial (|error| < 7.5e-8),
-    written with built-in functions so that it stays in the JVM."""
-    # fixed values: coefficients of the approximation
-    p, b1, b2, b3, b4, b5 = 0.2316419, 0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429
-    x = F.abs(z)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(p) * x)
-    poly = t * (F.lit(b1) + t * (F.lit(b2) + t * (F.lit(b3) + t * (F.lit(b4) + t * F.lit(b5)))))
-    upper = F.exp(-x * x / 2.0) / F.lit(2.5066282746310002) * poly
-    return F.when(z >= 0, F.lit(1.0) - upper).otherwise(upper)
-
-
 def ks_normal(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     """One-sample KS distance of x against Normal(mean, population sd), per group.
 
@@ -361,12 +368,20 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 # E18
+MAX_PCA_WIDTH = 4096
+
+
 def pca_fingerprint(df: DataFrame, vec: str, group: str, k: int = 3) -> DataFrame:
     """Project vectors on their first k principal components (Spark ML PCA:
-    a distributed covariance), then mean coordinates per group."""
+    a distributed covariance), then mean coordinates per group. The width x
+    width covariance is decomposed on the driver, so wider vectors than
+    ``MAX_PCA_WIDTH`` are refused: reduce them first."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    width = df.agg(F.max(F.size(vec)).alias("w")).first().w or 0
+    if width > MAX_PCA_WIDTH:
+        raise ValueError(f"vectors of width {width}: the covariance matrix is bounded to {MAX_PCA_WIDTH} columns")
     data = df.select(group, array_to_vector(F.col(vec)).alias("features"))
     model = PCA(k=k, inputCol="features", outputCol="pc").fit(data)
     proj = model.transform(data).select(group, vector_to_array("pc").alias("pc"))

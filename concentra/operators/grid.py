@@ -74,23 +74,41 @@ def with_rank_offline(scores_runs: DataFrame, bundle: str = "bundle_id", order=(
 
 
 def distinct_prompts(df: DataFrame, keys: Sequence[str] = ("language", "prompt")) -> DataFrame:
-    """Distinct prompts per language (undoes the x temps repetition)."""
-    return df.select(*keys).dropDuplicates(list(keys))
+    """Distinct prompts per language (undoes the x temps repetition). The last
+    key is the text: rows are grouped by its hash, not by the text itself."""
+    *groups, text = keys
+    d = df.select(*keys, F.md5(F.col(text)).alias("_md5")).dropDuplicates([*groups, "_md5"])
+    return d.select(*keys)
+
+
+HASH_BINS = 4096
+
+
+def hash_draw(df: DataFrame, group: str, n: int, seed, *keys: str, name: str = "draw") -> DataFrame:
+    """The first ``n`` rows of every group in the order of md5(seed, keys), numbered
+    from 1; ``keys`` are unique within a group.
+
+    The hash's leading digits are bins of even size. Their counts (a table of
+    HASH_BINS rows a group) tell which bins the draw reaches and at which
+    number each starts; only rows of those bins are ranked, bin by bin. The
+    work is the same for every ``n``, and no group is sorted as a whole.
+    """
+    hashed = df.withColumn("_h", shuffle_key(seed, *keys))
+    hashed = hashed.withColumn("_bin", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    before = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hashed.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    reach = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).where(F.col("_off") < n)
+    reach = reach.select(F.col(group).alias("_g"), F.col("_bin").alias("_b"), "_off")
+    few = hashed.join(reach, hashed[group].eqNullSafe(reach["_g"]) & (hashed["_bin"] == reach["_b"]))
+    inside = F.row_number().over(Window.partitionBy(group, "_bin").orderBy("_h", *keys))
+    out = few.withColumn(name, (F.col("_off") + inside).cast("bigint")).where(F.col(name) <= n)
+    return out.select(*df.columns, name)
 
 
 def sample_per_group(
     df: DataFrame, group: str, item: str, n: int, seed=42, name: str = "draw"
 ) -> DataFrame:
-    """min(n, available) distinct items per group, without replacement.
-
-    The draw order is md5(seed, item); the window sees only the distinct items
-    of one group, and a hot group is cut by the filter after a partial sort
-    (Spark plans a WindowGroupLimit for rank filters).
-    """
-    items = df.select(group, item).dropDuplicates([group, item])
-    w = Window.partitionBy(group).orderBy(shuffle_key(seed, item), F.col(item))
-    return (
-        items.withColumn(name, F.row_number().over(w))
-        .where(F.col(name) <= n)
-        .withColumn(name, F.col(name).cast("bigint"))
-    )
+    """min(n, available) distinct items per group, without replacement, in
+    the order of md5(seed, item). Duplicates are found by the item's hash."""
+    items = df.select(group, item, F.md5(F.col(item)).alias("_md5")).dropDuplicates([group, "_md5"]).drop("_md5")
+    return hash_draw(items, group, n, seed, item, name=name)

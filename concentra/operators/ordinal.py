@@ -1,185 +1,138 @@
 """Global ordinals and order-bucketing without a single-partition window.
 
 ``Window.orderBy(...)`` with no ``partitionBy`` moves every row to one task.
-The helpers here keep the work spread out:
-
-* ``global_ordinal``: range-partition on the order key, sort inside each
-  partition, materialise (reliable checkpoint, so that the sampled range
-  bounds cannot change between the two uses), count rows per partition, and
-  add the running count of the earlier partitions (one small row per
-  partition, broadcast) to the position inside the partition.
-* ``range_bucket``: an order-preserving bucket id for a numeric column, from
-  quantile boundaries computed once (a bounded list of numbers collected to
-  the driver) and inlined as literals, so that the plan is deterministic on
-  recomputation after an executor loss.
+The helpers here cut the order into ranges instead. The cut points are read
+once (a bounded list on the driver) and stand as literals in the plan, so a range
+is a function of the row: recomputation after a lost executor gives the same
+ranges, and nothing has to be checkpointed.
+
+* ``with_ranges``: number of the range of a row, for any list of order columns.
+* ``global_ordinal``: rows per range (a small table) give every range its offset,
+  and ``row_number`` inside the range the rest: one shuffle of the rows.
+* ``with_buckets``: the same for one numeric column (Spark ML's ``Bucketizer``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyspark import StorageLevel
+from ..session import scratch_path
 
-from ..session import ensure_checkpoint_dir, scratch_path
+ROWS_PER_RANGE = 100_000
+#: cut points are literals of the plan, so their number is bounded; beyond
+#: ROWS_PER_RANGE x MAX_RANGES rows the ranges grow instead
+MAX_RANGES = 10_000
+SAMPLED_PER_RANGE = 20
 
-_ROW_BITS = 33  # monotonically_increasing_id puts the partition index above bit 33
+
+def order_cuts(df: DataFrame, keys: Sequence[str], rows_per_range: int = ROWS_PER_RANGE, seed: int = 42) -> list[tuple]:
+    """Ascending cut points (tuples of key values) that split ``df`` into ranges of
+    about ``rows_per_range`` rows, from a sample of bounded size. Any cut points
+    give a right order; the sample only decides how even the ranges are."""
+    slim = df.select(*keys)
+    n = slim.count()
+    ranges = min(MAX_RANGES, -(-n // rows_per_range))
+    if ranges < 2:
+        return []
+    wanted = ranges * SAMPLED_PER_RANGE
+    rows = slim.sample(min(1.0, 1.2 * wanted / n), seed).orderBy(*keys).limit(2 * wanted).collect()
+    cuts: list[tuple] = []
+    for i in range(1, ranges):
+        cut = tuple(rows[i * len(rows) // ranges]) if rows else None
+        if cut is not None and (not cuts or cut != cuts[-1]):
+            cuts.append(cut)
+    return cuts
+
+
+def with_ranges(df: DataFrame, keys: Sequence[str], rows_per_range: int = ROWS_PER_RANGE, name: str = "_range") -> DataFrame:
+    """``df`` with the number of the range of the order ``keys``: how many cut points
+    are at or below the row. The search goes over every k-th cut point and then
+    over the k between two of them."""
+    cuts = order_cuts(df, keys, rows_per_range)
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    types = {f.name: f.dataType for f in df.select(*keys).schema.fields}
+    names = df.select(*keys).columns
+    here = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)])
+    literal = lambda cut: F.struct(*[F.lit(v).cast(types[c]).alias(f"k{i}") for i, (c, v) in enumerate(zip(names, cut))])
+    step = max(1, int(len(cuts) ** 0.5))
+    below = lambda arr: F.size(F.filter(arr, lambda x: x <= here))
+    coarse = below(F.array(*[literal(c) for c in cuts[step - 1 :: step]]))
+    fine = F.array(*[F.array(*[literal(c) for c in cuts[i : i + step]]) for i in range(0, len(cuts), step)])
+    inside = F.coalesce(below(F.get(fine, coarse)), F.lit(0))
+    return df.withColumn(name, (coarse * step + inside).cast("int"))
 
 
 def global_ordinal(
     df: DataFrame,
-    order_cols: Sequence,
+    order_cols: Sequence[str],
     name: str = "ordinal",
     by: Sequence[str] = (),
-    partitions: int | None = None,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """0-based row number in ``order_cols`` order (within ``by`` groups).
 
-    Ties in ``order_cols`` are broken by the range partitioner's placement, as
-    with ``row_number``; pass a unique order key for a reproducible result.
-    Hot ``by`` groups are split across range partitions like any other rows.
+    Hot ``by`` groups are split over ranges like any other rows, and a group's
+    first number follows from the same counts, without a join on the group
+    alone. Ties in ``order_cols`` are broken arbitrarily, as with
+    ``row_number``; pass a unique order key for a reproducible result.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    keys = [F.col(c) if isinstance(c, str) else c for c in (*by, *order_cols)]
-    # Without an explicit count AQE may merge adjacent (small) range
-    # partitions; merged ranges stay contiguous and ordered, which is all
-    # the per-partition offsets below need.
-    ranged_df = df.repartitionByRange(int(partitions), *keys) if partitions else df.repartitionByRange(*keys)
-    sorted_parts = (
-        ranged_df
-        .sortWithinPartitions(*keys)
-        .withColumn("_pid", F.spark_partition_id())
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    by = list(by)
+    keys = [*by, *order_cols]
+    ranged = with_ranges(df, keys, rows_per_range)
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_cnt"))  # ranges (x groups) rows
+    offsets = counts.select(
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")
     )
-    # a reliable checkpoint runs its plan once to count and once to write;
-    # the persisted copy makes the second run a read
-    try:
-        ranged = sorted_parts.checkpoint(eager=True)
-    finally:
-        sorted_parts.unpersist()
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    # at most `n` rows: one per partition
-    offsets = counts.withColumn(
-        "_off",
-        F.coalesce(
-            F.sum("_cnt").over(
-                Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ),
-    ).select("_pid", "_off")
-    # The checkpointed frame keeps its partitions and their row order, so the
-    # id below is the row's position inside its (sorted) range partition.
-    local = ranged.withColumn(
-        "_local",
-        F.monotonically_increasing_id()
-        - F.shiftleft(F.col("_pid").cast("long"), _ROW_BITS),
-    )
-    out = local.join(F.broadcast(offsets), "_pid").withColumn(
-        name, (F.col("_off") + F.col("_local")).cast("bigint")
-    )
-    if by:
-        starts = out.groupBy(*by).agg(F.min(name).alias("_start"))
-        out = out.join(starts, list(by)).withColumn(
-            name, (F.col(name) - F.col("_start")).cast("bigint")
-        ).drop("_start")
-    return out.drop("_pid", "_off", "_local")
+    inside = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order_cols)) - 1
+    numbered = ranged.withColumn("_local", inside)
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    out = numbered.join(offsets, same)
+    return out.select(*df.columns, (F.col("_off") + F.col("_local")).cast("bigint").alias(name))
+
+
+def running_starts(df: DataFrame, keys: Sequence[str], count: str, name: str = "start", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``df`` with the sum of ``count`` over all rows before the row in the order
+    ``keys`` (unique): range totals, and running sums inside the ranges."""
+    ranged = with_ranges(df, keys, rows_per_range)
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(F.col("_range").alias("_r")).agg(F.sum(count).alias("_t"))  # one row per range
+    offsets = totals.select("_r", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumn("_in", F.coalesce(F.sum(count).over(inside), F.lit(0))).join(offsets, F.col("_range") == F.col("_r"))
+    return out.select(*df.columns, (F.col("_off") + F.col("_in")).alias(name))
 
 
 def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
     """Write a reused intermediate (aggregated counts, token tables) once as
-    parquet under the shared checkpoint folder and read it back, so that its
-    several consumers do not each rescan the raw input; lineage is cut there."""
+    parquet under the shared folder and read it back, so that its several
+    consumers do not each rescan the raw input; lineage is cut there."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-BROADCAST_MAX_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a checked size: ``df`` must be cheap to
-    count (small or materialised); above ``max_rows`` the planner decides."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def quantile_boundaries(df: DataFrame, col: str, buckets: int, rel_err: float = 0.001) -> list[float]:
-    """``buckets - 1`` distinct cut points of ``col`` (a bounded driver-side list)."""
+def quantile_boundaries(df: DataFrame, col: str, buckets: int) -> list[float]:
+    """At most ``buckets - 1`` distinct cut points of ``col`` (a bounded driver-side
+    list); the error of each is a small part of a bucket."""
     if buckets <= 1:
         return []
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.approxQuantile(col, probs, rel_err)
-    out: list[float] = []
-    for c in cuts:
-        if c is None:
-            continue
-        c = float(c)
-        if c != c:  # NaN
-            continue
-        if not out or c > out[-1]:
-            out.append(c)
-    return out
-
-
-def bucket_of(value: Column, cuts: Sequence[float]) -> Column:
-    """Bucket id = number of cut points <= value (a codegen-friendly CASE chain)."""
-    if not cuts:
-        return F.lit(0)
-    expr = None
-    # walk from the top: first cut the value reaches decides
-    for i in range(len(cuts) - 1, -1, -1):
-        cond = value >= F.lit(cuts[i])
-        expr = F.when(cond, F.lit(i + 1)) if expr is None else expr.when(cond, F.lit(i + 1))
-    return expr.otherwise(F.lit(0))
-
-
-CASE_CHAIN_MAX = 64
-
-
-def range_bucket(df: DataFrame, col: str, buckets: int = 64, name: str = "_bkt") -> DataFrame:
-    """Add an order-preserving bucket id for numeric ``col`` (number of cut
-    points <= value)."""
-    return with_buckets(df, col, quantile_boundaries(df, col, buckets), name)
-
-
-def count_and_cuts(df: DataFrame, col: str, per_bucket: int, min_buckets: int, max_buckets: int,
-                   grid: int = 256) -> tuple[int, list[float]]:
-    """Row count and quantile cut points in ONE job: a fine percentile grid is
-    computed with the count, and thinned to the bucket count the row count
-    asks for (about ``per_bucket`` rows each); only above ``grid`` buckets a
-    second pass is needed."""
-    probs = [i / grid for i in range(1, grid)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        # cut points need not be exact: any cut points give exact ranks
-        F.percentile_approx(F.col(col).cast("double"), probs, 1000).alias("q"),
-    ).first()
-    n = int(row["n"])
-    buckets = int(min(max_buckets, max(min_buckets, -(-n // per_bucket))))
-    if buckets > grid:
-        return n, quantile_boundaries(df, col, buckets)
-    step = grid / buckets
-    picked = [row["q"][int(round(i * step)) - 1] for i in range(1, buckets)] if row["q"] else []
-    cuts: list[float] = []
-    for c in picked:
-        if c is None or c != c:
-            continue
-        if not cuts or c > cuts[-1]:
-            cuts.append(float(c))
-    return n, cuts
+    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, max(10_000, 20 * buckets)).alias("q")).first()
+    return sorted({float(c) for c in row["q"] or [] if c is not None and c == c})
 
 
 def with_buckets(df: DataFrame, col: str, cuts: Sequence[float], name: str = "_bkt") -> DataFrame:
-    """Bucket id from given cut points. Up to 64 cuts: a CASE chain inside
-    whole-stage codegen; more: Spark ML's ``Bucketizer`` (binary search)."""
+    """Order-preserving bucket id: number of cut points <= value (NaN: the last)."""
     cuts = list(cuts)
-    if len(cuts) <= CASE_CHAIN_MAX:
-        return df.withColumn(name, bucket_of(F.col(col).cast("double"), cuts))
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
     from pyspark.ml.feature import Bucketizer
 
     tmp = f"{name}_in"
@@ -188,3 +141,8 @@ def with_buckets(df: DataFrame, col: str, cuts: Sequence[float], name: str = "_b
     )
     out = b.transform(df.withColumn(tmp, F.col(col).cast("double")))
     return out.withColumn(name, F.col(name).cast("int")).drop(tmp)
+
+
+def range_bucket(df: DataFrame, col: str, buckets: int = 64, name: str = "_bkt") -> DataFrame:
+    """Add an order-preserving bucket id for numeric ``col``."""
+    return with_buckets(df, col, quantile_boundaries(df, col, buckets), name)

@@ -22,10 +22,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinal import count_and_cuts, materialize, range_bucket, with_buckets
+from .ordinal import materialize, range_bucket
 
 DEFAULT_BUCKETS = 64
 VALUES_PER_BUCKET = 1_000_000
+#: cut points are a list on the driver; with more distinct values than
+#: VALUES_PER_BUCKET x MAX_BUCKETS the buckets grow, and sort externally
 MAX_BUCKETS = 20_000
 
 
@@ -49,10 +51,8 @@ def average_ranks(
     if buckets is None:
         # about VALUES_PER_BUCKET distinct values per bucket, so the window
         # inside a bucket stays a bounded sort whatever the table size
-        _, cuts = count_and_cuts(base, value, VALUES_PER_BUCKET, DEFAULT_BUCKETS, MAX_BUCKETS)
-        b = with_buckets(base, value, cuts, "_bkt")
-    else:
-        b = range_bucket(base, value, buckets, "_bkt")
+        buckets = min(MAX_BUCKETS, max(DEFAULT_BUCKETS, -(-base.count() // VALUES_PER_BUCKET)))
+    b = range_bucket(base, value, buckets, "_bkt")
     totals = b.groupBy(*by, "_bkt").agg(F.sum(count).alias("_bcnt"))
     w_off = (
         Window.partitionBy(*by).orderBy("_bkt")

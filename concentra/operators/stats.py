@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import tukey_quantile_udf, with_p_value
-from .ordinal import materialize
+from .ordinal import materialize, with_ranges
 from .ranks import average_ranks, value_counts
 
 STAT_COLS = ["test_id", "statistic", "df1", "df2", "estimate", "n", "note"]
@@ -111,30 +111,24 @@ def anova(
 ) -> DataFrame:
     """One-way F over the levels of ``by`` (NULL levels dropped), per ``groups``.
 
-    One rollup gives the per-level moments and the overall variance in the
-    same aggregation; SSB = SST - SSW, both from numerically stable
-    central-moment aggregates (no raw sums of squares).
+    Level moments in one aggregation; the total and the overall mean follow from
+    the level rows, and SSB is the direct sum of n (m - M)^2 over them (a
+    difference of total and within sums would cancel).
     """
-    clean = df.select(*groups, F.col(by).alias("level"), _num(y).alias("y")).where(
-        F.col("level").isNotNull() & F.col("y").isNotNull()
-    )
-    # grouping sets (groups, level) -> gid 0 and (groups) -> gid 1; coarser sets dropped
-    r = clean.rollup(*groups, "level").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.var_samp("y").alias("var"),
-        F.grouping_id().alias("gid"),
-    ).where(F.col("gid") <= 1)
-    s = r.groupBy(*groups).agg(
-        F.coalesce(F.sum(F.when(F.col("gid") == 0, 1).otherwise(0)), F.lit(0)).alias("k"),
-        F.max(F.when(F.col("gid") == 1, F.col("n"))).alias("N"),
-        F.max(F.when(F.col("gid") == 1, F.col("var") * (F.col("n") - 1))).alias("sst"),
-        F.sum(F.when(F.col("gid") == 0, F.coalesce(F.col("var"), F.lit(0.0)) * (F.col("n") - 1))).alias(
-            "ssw"
-        ),
+    gs = list(groups)
+    g = group_moments(df, y, by, gs)
+    one = F.lit(1).alias("_one")  # without groups the totals are one row: joined on a constant
+    total = g.groupBy(*gs).agg(F.sum("n").alias("_total"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_grand"))
+    wide = g.select("*", one).join(total.select("*", one), [*gs, "_one"])
+    s = wide.groupBy(*gs).agg(
+        F.count(F.lit(1)).alias("k"),
+        F.max("_total").alias("total"),
+        F.sum(F.col("n") * (F.col("mean") - F.col("_grand")) ** 2).alias("ssb"),
+        F.sum(F.coalesce(F.col("var"), F.lit(0.0)) * (F.col("n") - 1)).alias("ssw"),
     )
-    k, n = F.col("k"), F.col("N")
+    k, n = F.col("k"), F.coalesce("total", F.lit(0))
     ok = (k >= 2) & (n > k)
-    f = ((F.col("sst") - F.col("ssw")) / (k - 1)) / _nz(F.col("ssw") / (n - k))
+    f = (F.col("ssb") / (k - 1)) / _nz(F.col("ssw") / (n - k))
     note = F.when(k < 2, F.lit("fewer than 2 groups")).when(n <= k, F.lit("no within-group df")).when(
         F.col("ssw") == 0, F.lit("zero within-group variance")
     )
@@ -142,19 +136,22 @@ def anova(
 
 
 def tukey_hsd(
-    df: DataFrame, y: str = "ned_mean", by: str = "temp", alpha: float = 0.05, groups: Sequence[str] = ()
+    df: DataFrame, y: str = "ned_mean", by: str = "temp", alpha: float = 0.05, groups: Sequence[str] = (), baseline=None
 ) -> DataFrame:
-    """F2p: all pairs of levels, meandiff = mean(group2) - mean(group1).
+    """F2p: all pairs of levels, meandiff = mean(group2) - mean(group1); with
+    ``baseline`` only the pairs of that level with every other (linear in the levels).
 
     Tukey-Kramer standard error for unequal sizes; p from the studentized
     range with k groups and N - k df; confidence limits at 1 - alpha.
-    The levels (a small set: one row each) are gathered into one sorted array
-    to form the pairs, so no join is needed.
+    Without a baseline the levels (a small set: one row each) are gathered into
+    one sorted array to form the pairs.
     """
     gs = list(groups)
     g = group_moments(df, y, by, gs)
+    level = F.struct("level", "n", "mean", "var")
     s = g.groupBy(*gs).agg(
-        F.array_sort(F.collect_list(F.struct("level", "n", "mean", "var"))).alias("groups"),
+        F.array_sort(F.collect_list(level)).alias("groups") if baseline is None
+        else F.max(F.when(F.col("level") == F.lit(baseline), level)).alias("base"),
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("N"),
         F.sum(F.coalesce(F.col("var"), F.lit(0.0)) * (F.col("n") - 1)).alias("ssw"),
@@ -163,16 +160,22 @@ def tukey_hsd(
         "msw", F.col("ssw") / _nz(F.col("df"))
     )
     s = s.withColumn("q_crit", tukey_quantile_udf(F.lit(1.0 - alpha), F.col("k"), F.col("df")))
-    pairs = F.flatten(
-        F.transform(
-            F.col("groups"),
-            lambda a, i: F.transform(
-                F.slice(F.col("groups"), i + 2, F.col("k")),
-                lambda b: F.struct(a.alias("g1"), b.alias("g2")),
-            ),
+    if baseline is None:
+        pairs = F.flatten(
+            F.transform(
+                F.col("groups"),
+                lambda a, i: F.transform(
+                    F.slice(F.col("groups"), i + 2, F.col("k")),
+                    lambda b: F.struct(a.alias("g1"), b.alias("g2")),
+                ),
+            )
         )
-    )
-    p = s.select(*gs, "k", "df", "msw", "q_crit", F.explode(pairs).alias("pr"))
+        p = s.select(*gs, "k", "df", "msw", "q_crit", F.explode(pairs).alias("pr"))
+    else:
+        one = F.lit(1).alias("_one")  # without groups a join with one row
+        others = g.where(F.col("level") != F.lit(baseline)).select(*gs, one, level.alias("other"))
+        j = others.join(s.where(F.col("base").isNotNull()).select("*", one), [*gs, "_one"])
+        p = j.select(*gs, "k", "df", "msw", "q_crit", F.struct(F.col("base").alias("g1"), F.col("other").alias("g2")).alias("pr"))
     se = F.sqrt(F.col("msw") / 2.0 * (1.0 / F.col("pr.g1.n") + 1.0 / F.col("pr.g2.n")))
     diff = F.col("pr.g2.mean") - F.col("pr.g1.mean")
     out = p.select(
@@ -296,28 +299,20 @@ def pearson_gated(df: DataFrame, y: str = "ned_mean", x: str = "seq_len", test_i
 def lag_pairs(df: DataFrame, y: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """(by..., prev, cur) for consecutive rows inside each group.
 
-    Consecutive rows get consecutive global ordinals (range-partitioned, so a
-    hot group is spread over many tasks); the pair is an equi-join on the
-    unique ordinal, which cannot skew.
+    The order is cut into ranges (see ``ordinal``), so a hot group is spread over
+    many tasks. Inside a range the pairs come from ``lag``; the pair that spans two
+    ranges of a group comes from the ranges' first and last rows, a small table.
     """
-    from .ordinal import global_ordinal
-
-    base = df.select(*by, *order, _num(y).alias("_y"))
-    o = global_ordinal(base, [*by, *order], name="_ord")
-    cur = o.select(*by, "_ord", F.col("_y").alias("cur"))
-    prev = o.select(
-        *[F.col(b).alias(f"_p_{b}") for b in by],
-        (F.col("_ord") + 1).alias("_ord"),
-        F.col("_y").alias("prev"),
+    base = with_ranges(df.select(*by, *order, _num(y).alias("_y")), [*by, *order])
+    prev = F.lag(F.struct("_y")).over(Window.partitionBy("_range", *by).orderBy(*order))
+    inside = base.withColumn("_prev", prev).where(F.col("_prev").isNotNull())
+    at = F.struct(*order)
+    ends = base.groupBy("_range", *by).agg(F.min_by("_y", at).alias("cur"), F.max_by("_y", at).alias("_last"))
+    across = F.lag(F.struct("_last")).over(Window.partitionBy(*by).orderBy("_range"))
+    spans = ends.withColumn("_prev", across).where(F.col("_prev").isNotNull())
+    return inside.select(*by, F.col("_prev._y").alias("prev"), F.col("_y").alias("cur")).unionByName(
+        spans.select(*by, F.col("_prev._last").alias("prev"), "cur")
     )
-    j = cur.join(prev, "_ord")
-    same = None
-    for b in by:
-        c = F.col(b).eqNullSafe(F.col(f"_p_{b}"))
-        same = c if same is None else same & c
-    if same is not None:
-        j = j.where(same)
-    return j.select(*by, "prev", "cur")
 
 
 def lag1_coefficients(df: DataFrame, y: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:

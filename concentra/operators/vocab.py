@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.parsers import BLANK, NON_BLANK
+from .ordinal import materialize
 from .ranks import average_ranks
 
 # Script classes and code-point ranges (checked in this order
@@ -134,31 +136,22 @@ def allocated_vocab(scripts: DataFrame, languages: Sequence[str]) -> DataFrame:
 def marked_tokens(scripts: DataFrame, marks: dict[str, str] = MARKS) -> DataFrame:
     """Latin tokens holding a diacritic of the language."""
     latin = scripts.where(F.col("script") == "latin")
-    out = None
-    for lang, chars in marks.items():
-        d = latin.where(F.col("token").rlike(f"[{chars}]")).agg(
-            F.count(F.lit(1)).cast("bigint").alias("n_marked")
-        ).select(F.lit(lang).alias("language"), "n_marked")
-        out = d if out is None else out.unionByName(d)
-    return out
+    one = latin.agg(*[F.count_if(F.col("token").rlike(f"[{chars}]")).cast("bigint").alias(lang) for lang, chars in marks.items()])
+    rows = [F.struct(F.lit(lang).alias("language"), F.col(lang).alias("n_marked")) for lang in marks]
+    return one.select(F.inline(F.array(*rows)))
 
 
 def prompt_tokens(prompts: DataFrame, text: str = "text") -> Column:
-    return F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.col(text)), f"{BLANK}+"), lambda w: w != "")
 
 
 def usage(prompts: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """Over distinct prompts per language: distinct tokens, mean tokens per
     prompt, mean fertility (tokens / characters, non-empty prompts)."""
-    d = prompts.select(F.col(lang).alias("language"), F.col(text).alias("text")).dropDuplicates(
-        ["language", "text"]
-    )
-    per = d.select(
-        "language",
-        "text",
-        F.size(prompt_tokens(d, "text")).alias("n_tok"),
-        F.length("text").alias("n_chr"),
-    )
+    # equal texts are found by their hash; the text is no shuffle key
+    d = prompts.select(F.col(lang).alias("language"), F.col(text).alias("text"), F.md5(F.col(text)).alias("text_md5"))
+    d = d.dropDuplicates(["language", "text_md5"])
+    per = d.select("language", F.size(prompt_tokens(d, "text")).alias("n_tok"), F.length("text").alias("n_chr"))
     stats = per.groupBy("language").agg(
         F.avg("n_tok").alias("mean_prompt_tokens"),
         F.avg(F.when(F.col("n_chr") > 0, F.col("n_tok") / F.col("n_chr"))).alias("mean_fertility"),
@@ -181,7 +174,7 @@ def doc_token_counts(docs: DataFrame, lang: str = "lang", text: str = "text", ke
     this table, so the text is split once.
     """
     per_doc = docs.select(
-        key, F.col(lang).alias("language"), *extra, F.split(F.lower(F.col(text)), r"\s+").alias("_toks")
+        key, F.col(lang).alias("language"), *extra, F.split(F.lower(F.col(text)), f"{BLANK}+").alias("_toks")
     )
     # explode_outer: a plain explode makes Catalyst add size(split(..)) > 0
     # in front, which would split every text a second time
@@ -207,7 +200,7 @@ def usage_from_tokens(docs: DataFrame, token_counts: DataFrame, lang: str = "lan
     d = docs.select(
         F.col(lang).alias("language"),
         F.md5(F.col(text)).alias("text_md5"),
-        F.regexp_count(F.lower(F.col(text)), F.lit(r"\S+")).alias("n_tok"),
+        F.regexp_count(F.lower(F.col(text)), F.lit(f"{NON_BLANK}+")).alias("n_tok"),
         F.length(F.col(text)).alias("n_chr"),
     ).dropDuplicates(["language", "text_md5"])
     stats = d.groupBy("language").agg(
@@ -226,7 +219,8 @@ def distinct_prompt_token_counts(token_counts: DataFrame, firsts: DataFrame, key
 
 
 def usage_approx(prompts: DataFrame, lang: str = "lang", text: str = "text", rsd: float = 0.02) -> DataFrame:
-    """Distinct tokens per language from HyperLogLog++ sketches."""
+    """Distinct tokens per language from HyperLogLog++ sketches (over all
+    texts: copies add no token)."""
     d = prompts.select(F.col(lang).alias("language"), F.explode_outer(prompt_tokens(prompts, text)).alias("token"))
     return d.where(F.col("token").isNotNull()).groupBy("language").agg(F.approx_count_distinct("token", rsd).cast("bigint").alias("vocab_used_approx"))
 
@@ -261,12 +255,13 @@ def spearman(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame:
     Rows are unpivoted and ranked per column by the distributed rank helper;
     the ranks are joined back on (column, value).
     """
-    stacked = df.select(
+    # read by both rankings and the join: the input is evaluated once
+    stacked = materialize(df.select(
         F.col(y).cast("double").alias("_y"),
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_x")) for c in columns])
         ).alias("_s"),
-    ).select("_y", "_s.column", "_s._x").where(F.col("_y").isNotNull() & F.col("_x").isNotNull())
+    ).select("_y", "_s.column", "_s._x").where(F.col("_y").isNotNull() & F.col("_x").isNotNull()))
     rx = average_ranks(
         stacked.groupBy("column", "_x").agg(F.count(F.lit(1)).alias("cnt")), "_x", by=["column"], name="rx"
     ).drop("cnt")

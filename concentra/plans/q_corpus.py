@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.parsers import BLANK, strip_ws
 from ..operators import corpus as cp
+from ..operators import grid
 from ..session import table
 from .registry import register
 from .sqlparts import with_ctes
 
-QUOTA = 20
-N_SNIPPETS = 100
-N_QA = 200
+# the reference's own quota: sentences drawn per language (the size of the sample is the feature)
+QUOTA = 400
 
 
 def _strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '\\A{BLANK}+|{BLANK}+\\z', '', 'g')"
 
 
 def _words(x: str) -> str:
-    return f"len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''))"
+    return f"len(list_filter(regexp_split_to_array({x}, '{BLANK}+'), lambda w: w <> ''))"
 
 
 def _keep(delims: str) -> str:
@@ -31,7 +32,7 @@ dt AS (SELECT doc_id, lang, {_strip("replace(text, chr(10), ' ')")} AS t FROM do
 darr AS (
   SELECT doc_id, lang,
          CASE {" ".join(f"WHEN lang = '{k}' THEN {_keep(v)}" for k, v in cp.KEEP_DELIMS.items())}
-              WHEN lang IN ('en', 'pl') THEN string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))
+              WHEN lang IN ('en', 'pl') THEN string_split(regexp_replace(t, '([.!?]){BLANK}+', '\\1' || chr(1), 'g'), chr(1))
               ELSE string_split(t, '.') END AS a
   FROM dt),
 sents AS (
@@ -68,24 +69,18 @@ def p2_valid_sentences(spark, sf_dir):
     return _valid(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).cast("bigint").alias("n_valid"))
 
 
+_DRAW_SQL = f"""
+drawn AS (
+  SELECT * FROM (
+    SELECT lang, doc_id, sent_no, sentence,
+           CAST(row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || CAST(doc_id AS VARCHAR) || '|' || CAST(sent_no AS VARCHAR)), doc_id, sent_no) AS BIGINT) AS draw
+    FROM valid)
+  WHERE draw <= {QUOTA})"""
+
+
 @register(
     "p3_quota_sample",
-    with_ctes(
-        _SENT_SQL,
-        f"""
-per_doc AS (SELECT lang, doc_id, count(*) AS n FROM valid GROUP BY lang, doc_id),
-inc AS (
-  SELECT lang, doc_id FROM (
-    SELECT *, coalesce(sum(n) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-    FROM per_doc)
-  WHERE before <= {3 * QUOTA})""",
-        body=f"""
-SELECT lang, doc_id, CAST(sent_no AS INTEGER) AS sent_no, draw FROM (
-  SELECT v.lang, v.doc_id, v.sent_no,
-         CAST(row_number() OVER (PARTITION BY v.lang ORDER BY md5('42|' || CAST(v.doc_id AS VARCHAR) || '|' || CAST(v.sent_no AS VARCHAR)), v.doc_id, v.sent_no) AS BIGINT) AS draw
-  FROM valid v JOIN inc ON v.lang = inc.lang AND v.doc_id = inc.doc_id)
-WHERE draw <= {QUOTA}""",
-    ),
+    with_ctes(_SENT_SQL, _DRAW_SQL, body="SELECT lang, doc_id, CAST(sent_no AS INTEGER) AS sent_no, draw FROM drawn"),
 )
 def p3_quota_sample(spark, sf_dir):
     s = cp.quota_sample_docs(table(spark, sf_dir, "documents"), QUOTA, seed=42)
@@ -102,13 +97,12 @@ snip AS (
   FROM snip0),
 snippets AS (
   SELECT page_id, '{cp.CODE_INSTRUCTION}' || chr(10) || snippet AS prompt FROM snip
-  WHERE snippet <> '' AND {_words('snippet')} BETWEEN 3 AND 30
-  ORDER BY page_id LIMIT {N_SNIPPETS})"""
+  WHERE snippet <> '' AND {_words('snippet')} BETWEEN 3 AND 30)"""
 
 
 @register("p4_snippet_prompts", with_ctes(_SNIPPET_SQL, body="SELECT page_id, prompt FROM snippets"))
 def p4_snippet_prompts(spark, sf_dir):
-    return cp.snippet_prompts(table(spark, sf_dir, "pages"), n=N_SNIPPETS)
+    return cp.snippet_prompts(table(spark, sf_dir, "pages"))
 
 
 _QA_SQL = f"""
@@ -117,64 +111,73 @@ qa AS (
   FROM (SELECT conv_id, turn, {_strip('text')} AS q FROM conversations WHERE role = 'user') q
   JOIN (SELECT conv_id, turn - 1 AS turn, {_strip('text')} AS a FROM conversations WHERE role = 'assistant') a
     ON q.conv_id = a.conv_id AND q.turn = a.turn
-  WHERE q.q <> '' AND a.a <> '' AND {_words('q.q')} >= 5
-  ORDER BY q.conv_id, q.turn LIMIT {N_QA})"""
+  WHERE q.q <> '' AND a.a <> '' AND {_words('q.q')} >= 5)"""
 
 
 @register("p5_qa_prompts", with_ctes(_QA_SQL, body="SELECT conv_id, turn, prompt FROM qa"))
 def p5_qa_prompts(spark, sf_dir):
-    return cp.qa_prompts(table(spark, sf_dir, "conversations"), n=N_QA)
+    return cp.qa_prompts(table(spark, sf_dir, "conversations"))
 
 
-def _h(*parts: str) -> str:
-    return "('0x' || substr(md5(concat_ws('|', '42', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")), 1, 8))::BIGINT"
+_WORD_LIST = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}+'), lambda w: w <> '')"
 
 
-def _pick(values, idx: str) -> str:
-    lit = "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-    return f"{lit}[CAST(({idx}) % {len(values)} AS INTEGER) + 1]"
+def _shuffled(category: str, parts: str, glue: str) -> str:
+    order = f"list_transform({parts}, lambda x, i: {{'h': md5('42|{category}|' || CAST(item_id AS VARCHAR) || '|' || CAST(i - 1 AS VARCHAR)), 'x': x}})"
+    return f"coalesce(array_to_string(list_transform(list_sort({order}), lambda s: s.x), '{glue}'), '')"
 
 
-def _esc(s: str) -> str:
-    return s.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")
+# Templates from the tables: user questions, and the first two words of documents, in
+# hash order; their number is the caller's choice of a prompt set.
+N_TEMPLATES = 20
 
+_NEUTRAL_SQL = f"""
+t_explicit AS (
+  SELECT text, CAST(row_number() OVER (ORDER BY md5('42|' || text), text) - 1 AS BIGINT) AS slot
+  FROM (SELECT DISTINCT {_strip('text')} AS text FROM conversations WHERE role = 'user') WHERE text <> ''),
+t_neutral AS (
+  SELECT text, CAST(row_number() OVER (ORDER BY md5('42|' || text), text) - 1 AS BIGINT) AS slot
+  FROM (SELECT DISTINCT array_to_string({_WORD_LIST}[1:2], ' ') AS text FROM documents) WHERE text <> ''),
+templates AS (
+  SELECT 'explicit' AS category, slot, text FROM t_explicit WHERE slot < {N_TEMPLATES}
+  UNION ALL SELECT 'neutral', slot, text FROM t_neutral WHERE slot < {N_TEMPLATES}),
+neutral AS (
+  SELECT item_id, 'empty' AS domain, '' AS prompt FROM benchmark
+  UNION ALL SELECT item_id, 'random', {_shuffled('random', "list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> '')", '')} FROM benchmark
+  UNION ALL SELECT item_id, 'nonsense', {_shuffled('nonsense', _WORD_LIST, ' ')} FROM benchmark
+  UNION ALL SELECT item_id, t.category, t.text
+    FROM benchmark, (SELECT *, count(*) OVER (PARTITION BY category) AS n FROM templates) t WHERE t.slot = item_id % t.n)"""
 
-def _pick_ws(values, idx: str) -> str:
-    lit = "[" + ", ".join("'" + _esc(v) + "'" for v in values) + "]"
-    return f"{lit}[CAST(({idx}) % {len(values)} AS INTEGER) + 1]"
 
+def _templates(spark, sf_dir):
+    """(category, slot, text): what the caller of P6 supplies, taken from the tables."""
+    user = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(strip_ws("text").alias("text"))
+    first = F.slice(F.filter(F.split("text", f"{BLANK}+"), lambda w: w != ""), 1, 2)
+    stubs = table(spark, sf_dir, "documents").select(F.array_join(first, " ").alias("text"))
+    both = user.withColumn("category", F.lit("explicit")).unionByName(stubs.withColumn("category", F.lit("neutral")))
+    drawn = grid.sample_per_group(both.where(F.col("text") != ""), "category", "text", N_TEMPLATES, seed=42)
+    return drawn.select("category", (F.col("draw") - 1).alias("slot"), "text")
 
-_NEUTRAL_SQL = f"""
-neutral AS (
-  SELECT item_id, u.domain, u.prompt FROM (
-    SELECT item_id, [
-      {{'domain': 'empty', 'prompt': {_pick_ws(cp.EMPTY_VARIANTS, 'item_id')}}},
-      {{'domain': 'random', 'prompt': array_to_string(list_transform(range(0, 10 + {_h("'len'", 'item_id')} % 51),
-          lambda p: substr('{cp.RANDOM_CHARSET}', CAST({_h("'chr'", 'item_id', 'p')} % {len(cp.RANDOM_CHARSET)} AS INTEGER) + 1, 1)), '')}},
-      {{'domain': 'explicit', 'prompt': {_pick(cp.REQUEST_TEMPLATES, 'item_id')}}},
-      {{'domain': 'neutral', 'prompt': {_pick(cp.STUBS, 'item_id')}}},
-      {{'domain': 'nonsense', 'prompt': array_to_string(list_transform(range(0, 3 + {_h("'words'", 'item_id')} % 8),
-          lambda w: array_to_string(list_transform(range(0, 1 + {_h("'syl'", 'item_id', 'w')} % 3),
-              lambda s: {_pick(cp.ONSETS, _h("'on'", 'item_id', 'w', 's'))} || {_pick(cp.VOWELS, _h("'vo'", 'item_id', 'w', 's'))}
-                        || {_pick(cp.CODAS, _h("'co'", 'item_id', 'w', 's'))}), '')), ' ')}}
-    ] AS cats FROM benchmark),
-  unnest(cats) AS t(u))"""
+
+def _neutral(spark, sf_dir):
+    return cp.neutral_set(table(spark, sf_dir, "benchmark").select("item_id", "text"), _templates(spark, sf_dir))
 
 
 @register("p6_neutral_set", with_ctes(_NEUTRAL_SQL, body="SELECT item_id, domain, prompt FROM neutral"))
 def p6_neutral_set(spark, sf_dir):
-    """Five neutral categories per benchmark item (the set grows with the table)."""
-    return cp.neutral_set(table(spark, sf_dir, "benchmark").select("item_id"))
+    """Five neutral prompts per benchmark item, from its own text and from
+    templates taken out of the conversations and documents."""
+    return _neutral(spark, sf_dir)
 
 
 def _assembled(spark, sf_dir):
-    neutral = cp.neutral_set(table(spark, sf_dir, "benchmark").select("item_id")).select(
+    neutral = _neutral(spark, sf_dir).select(
         "prompt", "domain", F.col("item_id").alias("prompt_key")
     )
-    qa = cp.qa_prompts(table(spark, sf_dir, "conversations"), n=N_QA).select(
+    qa = cp.qa_prompts(table(spark, sf_dir, "conversations")).select(
         "prompt", F.lit("qa").alias("domain"), F.concat_ws("-", "conv_id", "turn").alias("prompt_key")
     )
-    snip = cp.snippet_prompts(table(spark, sf_dir, "pages"), n=N_SNIPPETS).select(
+    snip = cp.snippet_prompts(table(spark, sf_dir, "pages")).select(
         "prompt", F.lit("snippet").alias("domain"), F.col("page_id").alias("prompt_key")
     )
     wiki = cp.quota_sample_docs(table(spark, sf_dir, "documents"), QUOTA, seed=42).select(
@@ -191,19 +194,9 @@ _ASSEMBLE_SQL = with_ctes(
     _SNIPPET_SQL,
     _QA_SQL,
     _NEUTRAL_SQL,
+    _DRAW_SQL,
     f"""
-per_doc AS (SELECT lang, doc_id, count(*) AS n FROM valid GROUP BY lang, doc_id),
-inc AS (
-  SELECT lang, doc_id FROM (
-    SELECT *, coalesce(sum(n) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-    FROM per_doc)
-  WHERE before <= {3 * QUOTA}),
-wiki AS (
-  SELECT * FROM (
-    SELECT v.lang, v.doc_id, v.sent_no, v.sentence,
-           row_number() OVER (PARTITION BY v.lang ORDER BY md5('42|' || CAST(v.doc_id AS VARCHAR) || '|' || CAST(v.sent_no AS VARCHAR)), v.doc_id, v.sent_no) AS draw
-    FROM valid v JOIN inc ON v.lang = inc.lang AND v.doc_id = inc.doc_id)
-  WHERE draw <= {QUOTA}),
+wiki AS (SELECT * FROM drawn),
 sets AS (
   SELECT 'neutral' AS prompt_set, prompt, domain, NULL::VARCHAR AS lang, CAST(item_id AS VARCHAR) AS prompt_key FROM neutral
   UNION ALL SELECT 'qa', prompt, 'qa', NULL, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) FROM qa

@@ -11,7 +11,9 @@ from ..session import table
 from ..sources import fixtures as fx
 from . import sqlstats as q
 from .registry import register, rounded
+from .q_tests import DOCS9, DOCS_BATTERY, KIND_SQL, battery_by_model_sql, battery_sql, docs_runs, p_sql
 from .sqlparts import DOC_WORDS, POS_NED, RUNS_DOCS, runs_vec_sql, with_ctes
+from .sqltails import exact, ks_log, phi, with_p
 
 RUNS_CTES = (POS_NED, runs_vec_sql())
 DOCS_CTES = (DOC_WORDS, RUNS_DOCS)
@@ -20,8 +22,8 @@ DOCS_CTES = (DOC_WORDS, RUNS_DOCS)
 CATEGORIES = {"code": "neutral", "wiki": "semantic", "news": "semantic", "fiction": "semantic"}
 
 
-def _runs(s, d):
-    return fx.runs_vec(s, d)
+def _runs(s, d, ranked=False):
+    return fx.runs_vec(s, d, ranked=ranked)
 
 
 @register(
@@ -86,11 +88,7 @@ def e3_cohens_d(spark, sf_dir):
     return rounded(ef.cohens_d(fx.runs_docs(spark, sf_dir), "ned_mean", "language", "en"))
 
 
-@register(
-    "e4_mann_whitney",
-    with_ctes(
-        *DOCS_CTES,
-        """
+_MW_CTE = """
 mw AS (SELECT language AS g, round(ned_mean, 9) AS v FROM runs_docs WHERE ned_mean IS NOT NULL AND language IS NOT NULL),
 gp AS (SELECT a.g AS g1, b.g AS g2 FROM (SELECT DISTINCT g FROM mw) a JOIN (SELECT DISTINCT g FROM mw) b ON a.g < b.g),
 pooled AS (SELECT gp.g1, gp.g2, mw.g, mw.v FROM mw JOIN gp ON mw.g = gp.g1 OR mw.g = gp.g2),
@@ -99,22 +97,26 @@ ties AS (SELECT g1, g2, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM (SELECT
 agg AS (SELECT rk.g1, rk.g2, sum(CASE WHEN g = rk.g1 THEN r END) AS r1,
                CAST(sum(CASE WHEN g = rk.g1 THEN 1 ELSE 0 END) AS DOUBLE) AS n1,
                CAST(sum(CASE WHEN g = rk.g2 THEN 1 ELSE 0 END) AS DOUBLE) AS n2
-        FROM rk GROUP BY rk.g1, rk.g2)""",
-        body="""
+        FROM rk GROUP BY rk.g1, rk.g2)"""
+_MW_BODY = """
 SELECT a.g1 AS group1, a.g2 AS group2, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
        r1 - n1 * (n1 + 1) / 2.0 AS u,
        CASE WHEN sigma > 0 THEN greatest((abs(r1 - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0) - 0.5) / nullif(sigma, 0), 0.0) END AS z
 FROM (SELECT agg.*, sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties.ties / nullif((n1 + n2) * (n1 + n2 - 1), 0))) AS sigma
-      FROM agg JOIN ties ON agg.g1 = ties.g1 AND agg.g2 = ties.g2) a""",
-    ),
-    doubles=["u", "z"],
-)
+      FROM agg JOIN ties ON agg.g1 = ties.g1 AND agg.g2 = ties.g2) a"""
+
+
+@register("e4_mann_whitney", with_ctes(*DOCS_CTES, _MW_CTE, body=_MW_BODY), doubles=["u", "z"])
 def e4_mann_whitney(spark, sf_dir):
     runs = fx.runs_docs(spark, sf_dir).withColumn("ned_mean", F.round("ned_mean", 9))
     return rounded(ef.mann_whitney(runs, "ned_mean", "language"))
 
 
-@register("e4_mann_whitney_p")
+@register(
+    "e4_mann_whitney_p",
+    with_ctes(*DOCS_CTES, _MW_CTE, body=with_p(_MW_BODY, "'z'", stat="z", df1="NULL", df2="NULL")),
+    doubles=["u", "z", "p_value", "log10_p"],
+)
 def e4_mann_whitney_p(spark, sf_dir):
     runs = fx.runs_docs(spark, sf_dir).withColumn("ned_mean", F.round("ned_mean", 9))
     return rounded(with_p_value(ef.mann_whitney(runs, "ned_mean", "language"), "z", stat="z", df1=None, df2=None))
@@ -156,7 +158,7 @@ def e7_ols_log_size(spark, sf_dir):
     return rounded(st.ols(_runs(spark, sf_dir), "ned_mean", "model_size", test_id="E7", transform="ln"))
 
 
-@register("e7_ols_log_size_p")
+@register("e7_ols_log_size_p", with_ctes(*RUNS_CTES, body=p_sql(q.f3("runs", "ned_mean", "model_size", "E7", transform="ln"))))
 def e7_ols_log_size_p(spark, sf_dir):
     s = st.ols(_runs(spark, sf_dir), "ned_mean", "model_size", test_id="E7", transform="ln")
     return rounded(with_p_value(s, "t"))
@@ -178,7 +180,7 @@ def e8_durbin_watson_events(spark, sf_dir):
 
 @register("e8_durbin_watson_runs", with_ctes(*RUNS_CTES, body=_dw_sql("runs", "ned_mean", "chkpt_id", "rank")), doubles=["dw"])
 def e8_durbin_watson_runs(spark, sf_dir):
-    return rounded(ef.durbin_watson(_runs(spark, sf_dir), "ned_mean", ["chkpt_id"], ["rank"]))
+    return rounded(ef.durbin_watson(_runs(spark, sf_dir, ranked=True), "ned_mean", ["chkpt_id"], ["rank"]))
 
 
 @register(
@@ -206,14 +208,6 @@ def e10_spread_comparison(spark, sf_dir):
     return rounded(ef.spread_comparison(_runs(spark, sf_dir)))
 
 
-def _phi_sql(z: str) -> str:
-    x = f"abs({z})"
-    t = f"(1.0 / (1.0 + 0.2316419 * {x}))"
-    poly = f"({t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
-    upper = f"(exp(-{x} * {x} / 2.0) / 2.5066282746310002 * {poly})"
-    return f"CASE WHEN {z} >= 0 THEN 1.0 - {upper} ELSE {upper} END"
-
-
 def _ks_sql(src: str, x: str, by: str) -> str:
     return f"""
 ksv AS (SELECT {by} AS g, CAST({x} AS DOUBLE) AS v FROM {src} WHERE {x} IS NOT NULL AND NOT isnan(CAST({x} AS DOUBLE))),
@@ -222,7 +216,8 @@ ksr AS (SELECT g, v, cnt, lt FROM (
           SELECT g, v, count(*) OVER (PARTITION BY g, v) AS cnt, rank() OVER (PARTITION BY g ORDER BY v) - 1 AS lt FROM ksv)
         GROUP BY ALL),
 ks AS (SELECT ksr.g, max(greatest((lt + cnt) / n - phi, phi - lt / n)) AS d, CAST(max(n) AS BIGINT) AS n FROM (
-         SELECT ksr.*, ksm.n, {_phi_sql('(v - mu) / nullif(sd, 0)')} AS phi FROM ksr JOIN ksm ON ksr.g = ksm.g) ksr
+         SELECT *, {phi('z')} AS phi FROM (
+           SELECT ksr.*, ksm.n, (v - mu) / nullif(sd, 0) AS z FROM ksr JOIN ksm ON ksr.g = ksm.g)) ksr
        GROUP BY ksr.g)"""
 
 
@@ -235,7 +230,14 @@ def e11_ks_normal(spark, sf_dir):
     return rounded(ef.ks_normal(table(spark, sf_dir, "events"), "value", ["event_type"]))
 
 
-@register("e11_ks_normal_p")
+@register(
+    "e11_ks_normal_p",
+    with_ctes(
+        _ks_sql("events", "value", "event_type"),
+        body=f"SELECT event_type, d, n, exp(lp) AS p_value, lp / ln(10.0) AS log10_p FROM (SELECT g AS event_type, d, n, {ks_log('d', 'n')} AS lp FROM ks)",
+    ),
+    doubles=["d", "p_value", "log10_p"],
+)
 def e11_ks_normal_p(spark, sf_dir):
     d = ef.ks_normal(table(spark, sf_dir, "events"), "value", ["event_type"])
     return rounded(with_p_value(d, "ks", stat="d", df1="n", df2=None))
@@ -258,31 +260,70 @@ def e12_ks_vs_metric(spark, sf_dir):
 
 
 def _reports(spark, sf_dir):
-    vec = st.battery(fx.runs_vec(spark, sf_dir, trim_prompt=True)).withColumn("model", F.lit("vec"))
-    docs = st.battery(fx.runs_docs(spark, sf_dir)).withColumn("model", F.lit("docs"))
+    vec = st.battery(fx.runs_vec(spark, sf_dir, trim_prompt=True, ranked=True)).withColumn("model", F.lit("vec"))
+    docs = st.battery(docs_runs(spark, sf_dir)).withColumn("model", F.lit("docs"))
     return vec.unionByName(docs)
 
 
-@register("e13_consensus")
+def _reports_sql() -> str:
+    vec = with_p(exact(battery_sql("runs_t")), KIND_SQL)
+    docs = with_p(exact(DOCS_BATTERY), KIND_SQL)
+    return f"(SELECT 'vec' AS model, * FROM ({vec}) UNION ALL SELECT 'docs', * FROM ({docs}))"
+
+
+_REPORT_CTES = (POS_NED, runs_vec_sql("pos_trim", "runs_t"), DOC_WORDS, RUNS_DOCS, DOCS9)
+
+
+def _consensus_sql(src: str) -> str:
+    return f"""
+SELECT model, n_significant, n_tests,
+       CASE WHEN n_significant >= 8 THEN 'strong' WHEN n_significant >= 6 THEN 'moderate' WHEN n_significant >= 4 THEN 'weak' ELSE 'none' END AS verdict
+FROM (SELECT model, CAST(sum(CASE WHEN p_value < 0.01 THEN 1 ELSE 0 END) AS BIGINT) AS n_significant, CAST(count(*) AS BIGINT) AS n_tests
+      FROM {src} GROUP BY model)"""
+
+
+@register("e13_consensus", with_ctes(*_REPORT_CTES, body=_consensus_sql(_reports_sql())))
 def e13_consensus(spark, sf_dir):
     return ef.consensus(_reports(spark, sf_dir))
 
 
-@register("e13_consensus_matrix")
+@register(
+    "e13_consensus_matrix",
+    with_ctes(
+        *_REPORT_CTES,
+        body="SELECT test_id, bool_or(p_value < 0.01) FILTER (model = 'vec') AS vec, bool_or(p_value < 0.01) FILTER (model = 'docs') AS docs "
+        f"FROM {_reports_sql()} GROUP BY test_id",
+    ),
+)
 def e13_consensus_matrix(spark, sf_dir):
     return ef.consensus_matrix(_reports(spark, sf_dir), ["vec", "docs"])
 
 
-@register("e13_consensus_by_model")
+@register(
+    "e13_consensus_by_model",
+    with_ctes(POS_NED, runs_vec_sql("pos_trim", "runs_t"), body=_consensus_sql(f"({with_p(exact(battery_by_model_sql('runs_t')), KIND_SQL)})")),
+)
 def e13_consensus_by_model(spark, sf_dir):
     """Consensus over the per-model batteries (one grouped battery)."""
-    rep = st.battery(fx.runs_vec(spark, sf_dir, trim_prompt=True), groups=["model"])
+    rep = st.battery(fx.runs_vec(spark, sf_dir, trim_prompt=True, ranked=True), groups=["model"])
     return ef.consensus(rep)
 
 
-@register("e14_effect_gate")
+@register(
+    "e14_effect_gate",
+    with_ctes(
+        POS_NED,
+        runs_vec_sql("pos_trim", "runs_t"),
+        body=f"""
+SELECT test_id, estimate, p_value, coalesce(sig, false) AS significant, coalesce(eff, false) AS effect_ok, coalesce(sig AND eff, false) AS rejected
+FROM (SELECT *, p_value < 0.01 AS sig,
+             CASE WHEN test_id IN ('F4', 'F6') THEN abs(estimate) > 0.1 WHEN test_id IN ('F3', 'F8') THEN estimate > 0 ELSE true END AS eff
+      FROM ({with_p(exact(battery_sql("runs_t")), KIND_SQL)}))""",
+    ),
+    doubles=["estimate", "p_value"],
+)
 def e14_effect_gate(spark, sf_dir):
-    rep = st.battery(fx.runs_vec(spark, sf_dir, trim_prompt=True))
+    rep = st.battery(fx.runs_vec(spark, sf_dir, trim_prompt=True, ranked=True))
     return rounded(ef.effect_gate(rep).select("test_id", "estimate", "p_value", "significant", "effect_ok", "rejected"))
 
 
@@ -334,7 +375,11 @@ def e17_mutual_information_events(spark, sf_dir):
     return rounded(ef.mutual_information(table(spark, sf_dir, "events"), "user_id", "event_type"))
 
 
-@register("e17_mutual_information_events_p")
+@register(
+    "e17_mutual_information_events_p",
+    with_p(_mi_sql("events", "user_id", "event_type"), "'chi2'", stat="g", df2="NULL"),
+    doubles=["mi", "g", "p_value", "log10_p"],
+)
 def e17_mutual_information_events_p(spark, sf_dir):
     m = ef.mutual_information(table(spark, sf_dir, "events"), "user_id", "event_type")
     return rounded(with_p_value(m, "chi2", stat="g", df1="df1", df2=None))

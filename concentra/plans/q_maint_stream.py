@@ -38,7 +38,7 @@ FROM runs""",
 )
 def m1_backfill_rank(spark, sf_dir):
     """A combined run table that lost rank/chkpt_id: ranks restart per model."""
-    runs = fx.runs_vec(spark, sf_dir).drop("rank", "chkpt_id")
+    runs = fx.runs_vec(spark, sf_dir)
     fixed = mt.backfill_rank(runs, 20, order=("temp", "gen_id"))
     return rounded(fixed.select("gen_id", "temp", "model", "rank", "chkpt_id"))
 
@@ -50,7 +50,7 @@ def m1_backfill_rank(spark, sf_dir):
 )
 def m1_backfill_keep(spark, sf_dir):
     """A complete table is returned unchanged."""
-    runs = fx.runs_vec(spark, sf_dir)
+    runs = fx.runs_vec(spark, sf_dir, ranked=True)
     return rounded(mt.backfill_rank(runs, 20, order=("temp", "gen_id")).select("gen_id", "temp", "rank", "chkpt_id"))
 
 
@@ -74,11 +74,11 @@ SELECT 'events', false, false, CAST(count(*) AS BIGINT), NULL, NULL, true FROM e
     ),
 )
 def m2_audit_columns(spark, sf_dir):
-    vec = fx.runs_vec(spark, sf_dir)
+    vec = fx.runs_vec(spark, sf_dir, ranked=True)
     return mt.audit_columns(
         {
             "runs_vec": vec,
-            "runs_docs": fx.runs_docs(spark, sf_dir),
+            "runs_docs": fx.runs_docs(spark, sf_dir, ranked=True),
             "runs_vec_without_rank": vec.drop("rank", "chkpt_id"),
             "events": table(spark, sf_dir, "events"),
         }
@@ -101,21 +101,13 @@ FROM (
 )
 def m3_progress(spark, sf_dir):
     """Events per user read as finished generations of a run of 100."""
-    _utc(spark)
-    ev = table(spark, sf_dir, "events").withColumn("gen_time", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    ev = ss.event_time(table(spark, sf_dir, "events")).withColumn("gen_time", F.unix_micros("ts") / 1e6)
     return rounded(mt.progress(ev, 100, "gen_time", "value", by=["user_id"], tiebreak=["event_id"]))
 
 
 # ---------------------------------------------------------------- S1-S5
 
 
-def _utc(spark):
-    """Event times are wall-clock (TIMESTAMP_NTZ) and become instants in the
-    session time zone; windows and formatted bounds are defined in UTC."""
-    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
 def _scratch(spark, name):
     base = scratch_dir(spark, name)
     return os.path.join(base, "out"), os.path.join(base, "checkpoint")
@@ -150,7 +142,6 @@ FROM events GROUP BY ALL""",
     doubles=["mean", "std", "share_above"],
 )
 def s2_monitor(spark, sf_dir):
-    _utc(spark)
     src = ss.parquet_stream(spark, sf_dir, "events.parquet")
     mon = ss.monitor(src, "event_type", "value", window="1 day", watermark="1 hour", limit=10.0)
     out, ckpt = _scratch(spark, "s2")
@@ -158,7 +149,7 @@ def s2_monitor(spark, sf_dir):
     final = ss.latest_per_key(sink, ["window_start", "window_end", "event_type"])
     return rounded(
         final.select(
-            F.date_format("window_start", TS_FMT).alias("window_start"), "event_type", "mean", "std", "n", "share_above"
+            F.date_format(ss.wall_clock("window_start"), TS_FMT).alias("window_start"), "event_type", "mean", "std", "n", "share_above"
         )
     )
 
@@ -176,7 +167,6 @@ GROUP BY ALL""",
 )
 def s2_monitor_sliding(spark, sf_dir):
     """1-day windows sliding every 12 hours: every event counts in two windows."""
-    _utc(spark)
     src = ss.parquet_stream(spark, sf_dir, "events.parquet")
     mon = ss.monitor(src, "event_type", "value", window="1 day", slide="12 hours", watermark="1 hour", limit=10.0)
     out, ckpt = _scratch(spark, "s2s")
@@ -184,41 +174,50 @@ def s2_monitor_sliding(spark, sf_dir):
     final = ss.latest_per_key(sink, ["window_start", "window_end", "event_type"])
     return rounded(
         final.select(
-            F.date_format("window_start", TS_FMT).alias("window_start"), "event_type", "mean", "std", "n", "share_above"
+            F.date_format(ss.wall_clock("window_start"), TS_FMT).alias("window_start"), "event_type", "mean", "std", "n", "share_above"
         )
     )
 
 
 def _moments_sink(spark, sf_dir):
-    _utc(spark)
-    src = ss.parquet_stream(spark, sf_dir, "events.parquet").withColumn("hour", F.hour(F.col("ts").cast("timestamp")))
+    src = ss.parquet_stream(spark, sf_dir, "events.parquet").withColumn("hour", F.hour("ts")).withColumn("weekday", F.weekday("ts"))
     out, ckpt = _scratch(spark, "s3")
     return ss.run_available(
-        src, out, ckpt, transform=lambda b, i: ss.day_moments(b, i, "value", "ts", covariates=["hour"])
+        src, out, ckpt, transform=lambda b, i: ss.day_moments(b, i, "value", "ts", covariates=["hour", "weekday"])
     )
 
 
+_S3_SRC = "(SELECT value, hour(ts) AS hour, isodow(ts) - 1 AS weekday FROM events)"
+
+
 @register(
     "s3_rolling_battery",
-    "(" + q.f1("events", "value", "S3") + ") UNION ALL ("
-    + q.f4("(SELECT value, hour(ts) AS hour FROM events)", "value", "hour", "S3r") + ")",
+    "\nUNION ALL\n".join(
+        f"({x})"
+        for x in (
+            q.f1("events", "value", "S3"),
+            q.f4(_S3_SRC, "value", "hour", "S3r"),
+            q.f3(_S3_SRC, "value", "hour", "S3o"),
+            q.f8(_S3_SRC, "value", "hour", "weekday", "S3p"),
+        )
+    ),
 )
 def s3_rolling_battery(spark, sf_dir):
-    """F1 and a Pearson test (value ~ hour) from moments kept per day by the
-    stream and merged exactly."""
-    m = ss.merge_moments(_moments_sink(spark, sf_dir), covariates=["hour"])
+    """F1, a Pearson test and a slope (value ~ hour), and the partial slope given the
+    weekday, from moments kept per day by the stream and merged exactly."""
+    m = ss.merge_moments(_moments_sink(spark, sf_dir), covariates=["hour", "weekday"])
     n = F.col("n")
     t = F.col("mean") / F.nullif(F.col("sd") / F.sqrt(n), F.lit(0.0))
     note = F.when(n < 2, F.lit("fewer than 2 values")).when(F.col("sd") == 0, F.lit("zero variance"))
     f1 = m.select(*st._row("S3", F.when(n >= 2, t), n - 1, st._null(), F.col("mean"), n, note))
-    r = F.col("r_hour")
-    ok = (n > 2) & r.isNotNull() & (F.abs(r) < 1.0)
-    tr = r * F.sqrt((n - 2) / F.nullif(1.0 - r * r, F.lit(0.0)))
-    note_r = F.when(n <= 2, F.lit("fewer than 3 pairs")).when(r.isNull(), F.lit("constant column")).when(
-        F.abs(r) >= 1.0, F.lit("perfect correlation")
+    pair = m.select("n", F.col("m2_hour").alias("sxx"), F.col("m2").alias("syy"), F.col("c_hour").alias("sxy"))
+    dof = F.col("n") - 1
+    both = m.select(
+        "n", *[(F.col(c) / dof).alias(k) for c, k in (
+            ("m2_hour", "c11"), ("c_hour", "c1y"), ("m2", "cyy"), ("m2_weekday", "c22"), ("c_hour_weekday", "c12"), ("c_weekday", "c2y"))]
     )
-    f4 = m.select(*st._row("S3r", F.when(ok, tr), n - 2, st._null(), r, n, note_r))
-    return rounded(f1.unionByName(f4))
+    rows = f1.unionByName(pair.select(*st._pearson_cols("S3r"))).unionByName(pair.select(*st._ols_cols("value", "hour", "S3o")))
+    return rounded(rows.unionByName(st._partial_from_moments(both, "S3p")))
 
 
 @register(
@@ -229,7 +228,7 @@ def s3_rolling_battery(spark, sf_dir):
     doubles=["mean", "sd", "mean_hour", "sd_hour", "r_hour"],
 )
 def s3_day_moments(spark, sf_dir):
-    m = ss.merge_moments(_moments_sink(spark, sf_dir), by=["day"], covariates=["hour"])
+    m = ss.merge_moments(_moments_sink(spark, sf_dir), by=["day"], covariates=["hour", "weekday"])
     return rounded(
         m.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "mean", "sd", "mean_hour", "sd_hour", "r_hour")
     )
@@ -249,12 +248,39 @@ FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event
 GROUP BY user_id, sid""",
 )
 def s4_session_runs(spark, sf_dir):
-    _utc(spark)
     s = ss.session_runs(table(spark, sf_dir, "events"), "user_id", gap="30 minutes")
     return s.select(
         "user_id",
-        F.date_format("session_start", TS_FMT).alias("session_start"),
-        F.date_format("session_end", TS_FMT).alias("session_end"),
+        F.date_format(ss.wall_clock("session_start"), TS_FMT).alias("session_start"),
+        F.date_format(ss.wall_clock("session_end"), TS_FMT).alias("session_end"),
+        "n_events",
+    )
+
+
+_S4_SQL = f"""
+SELECT user_id, strftime(min(ts), '{TS_FMT_SQL}') AS session_start,
+       strftime(max(ts) + INTERVAL 30 MINUTE, '{TS_FMT_SQL}') AS session_end, CAST(count(*) AS BIGINT) AS n_events
+FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid
+      FROM (SELECT user_id, ts, event_id,
+                   CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
+                          OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE
+                        THEN 1 ELSE 0 END AS new
+            FROM events))
+GROUP BY user_id, sid
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+
+@register("s4_session_stream", _S4_SQL)
+def s4_session_stream(spark, sf_dir):
+    """The sessions as a stream: those that the watermark (an hour behind the last
+    event) has closed are out, the others are still open."""
+    src = ss.parquet_stream(spark, sf_dir, "events.parquet")
+    out, ckpt = _scratch(spark, "s4")
+    s = ss.run_available(ss.session_runs(src, "user_id", gap="30 minutes", watermark="1 hour"), out, ckpt)
+    return s.select(
+        "user_id",
+        F.date_format(ss.wall_clock("session_start"), TS_FMT).alias("session_start"),
+        F.date_format(ss.wall_clock("session_end"), TS_FMT).alias("session_end"),
         "n_events",
     )
 
@@ -265,7 +291,6 @@ def s4_session_runs(spark, sf_dir):
 )
 def s5_stream_dedup(spark, sf_dir):
     """Every event is delivered twice (two sources); each counts once."""
-    _utc(spark)
     a = ss.parquet_stream(spark, sf_dir, "events.parquet")
     b = ss.parquet_stream(spark, sf_dir, "events.parquet")
     d = ss.stream_dedup(a.unionByName(b), ["event_id"])

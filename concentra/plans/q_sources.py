@@ -7,30 +7,33 @@ import os
 from pyspark.sql import functions as F
 
 from ..functions import parsers as ps
+from ..functions.parsers import BLANK
 from ..operators import grid
 from ..operators import stats as st
 from ..session import table
 from ..sources import fixtures as fx
 from ..sources import io
+from .q_tests import battery_sql, p_sql
 from .registry import register, rounded
 from .sqlparts import POS_NED, RUNS_DOCS, DOC_WORDS, runs_vec_sql, with_ctes
 
 RUNS_CTES = (POS_NED, runs_vec_sql())
+RUNS_T_CTES = (POS_NED, runs_vec_sql("pos_trim", "runs_t"))
 
 # ---------------------------------------------------------------- A1 / A1b
 
-_LINES_SQL = """
+_LINES_SQL = f"""
 lines AS (
   SELECT CAST(json_object('domain', CASE WHEN role = 'user' THEN role END, 'prompt', text) AS VARCHAR) AS value
   FROM conversations
   UNION ALL
   SELECT unnest(string_split(text, chr(10))) AS value FROM conversations),
 stripped AS (
-  SELECT regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS line FROM lines),
+  SELECT regexp_replace(value, '\\A{BLANK}+|{BLANK}+\\z', '', 'g') AS line FROM lines),
 parsed AS (
-  SELECT line, starts_with(line, '{') AS is_json,
-         CASE WHEN starts_with(line, '{') AND json_valid(line) THEN json_extract_string(line, '$.domain') END AS d,
-         CASE WHEN starts_with(line, '{') AND json_valid(line) THEN json_extract_string(line, '$.prompt') END AS p
+  SELECT line, starts_with(line, '{{') AS is_json,
+         CASE WHEN starts_with(line, '{{') AND json_valid(line) THEN json_extract_string(line, '$.domain') END AS d,
+         CASE WHEN starts_with(line, '{{') AND json_valid(line) THEN json_extract_string(line, '$.prompt') END AS p
   FROM stripped WHERE line <> '')"""
 
 
@@ -167,17 +170,24 @@ def a5_merge_bundles(spark, sf_dir):
     "a9_split_bad",
     """
 SELECT status, CAST(count(*) AS BIGINT) AS n FROM (
-  SELECT CASE WHEN embedding IS NULL OR len(embedding) = 0 OR list_bool_or(list_transform(embedding, lambda v: isnan(v))) THEN 'bad' ELSE 'good' END AS status
-  FROM embeddings) GROUP BY status""",
+  SELECT CASE WHEN scores IS NULL OR len(scores) = 0 OR list_bool_or(list_transform(scores, lambda v: isnan(v))) THEN 'bad' ELSE 'good' END AS status
+  FROM (SELECT CASE vec_id % 10 WHEN 7 THEN NULL WHEN 8 THEN []
+                    WHEN 9 THEN list_append(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), 'nan'::DOUBLE)
+                    ELSE list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS scores FROM embeddings))
+GROUP BY status""",
 )
 def a9_split_bad(spark, sf_dir):
-    good, bad = io.split_bad(fx.score_positions(spark, sf_dir))
-    return (
-        good.select(F.lit("good").alias("status"))
-        .unionByName(bad.select(F.lit("bad").alias("status")))
-        .groupBy("status")
-        .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    """Of ten vectors one is made NULL, one empty, one holds a NaN: written in one
+    pass by status, counted from the files."""
+    emb = table(spark, sf_dir, "embeddings")
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    kind = F.col("vec_id") % 10
+    scores = (
+        F.when(kind == 8, F.array().cast("array<double>"))
+        .when(kind == 9, F.concat(v, F.array(F.lit(float("nan")))))
+        .when(kind != 7, v)
     )
+    return io.write_split(emb.select("vec_id", scores.alias("scores")), io.scratch_dir(spark, "a9"))
 
 
 @register(
@@ -230,7 +240,7 @@ bpos AS (SELECT gen_id, CAST(floor(gen_id / 20) AS BIGINT) AS bundle_id,
         body="""
 SELECT bundle_id, gen_id, prompt, avg(ned) AS ned_mean, stddev_pop(ned) AS ned_std, CAST(count(*) AS BIGINT) AS seq_len,
        'beta-27b' AS model, CAST(27000000000 AS BIGINT) AS model_size,
-       CASE WHEN instr(prompt, ':') > 0 THEN nullif(regexp_replace(split_part(prompt, ':', 1), '^\\s+|\\s+$', '', 'g'), '') END AS domain,
+       CASE WHEN instr(prompt, ':') > 0 THEN nullif(regexp_replace(split_part(prompt, ':', 1), '\\A""" + BLANK + """+|""" + BLANK + """+\\z', '', 'g'), '') END AS domain,
        CAST(row_number() OVER (PARTITION BY bundle_id ORDER BY gen_id) - 1 AS BIGINT) AS rank, bundle_id AS chkpt_id
 FROM bpos GROUP BY bundle_id, gen_id, prompt""",
     ),
@@ -288,19 +298,20 @@ def a6_combine_runs(spark, sf_dir):
     )
 
 
-@register("a7_write_report")
+@register("a7_write_report", with_ctes(*RUNS_T_CTES, body=p_sql(battery_sql("runs_t"))))
 def a7_write_report(spark, sf_dir):
-    runs = fx.runs_vec(spark, sf_dir, trim_prompt=True)
+    runs = fx.runs_vec(spark, sf_dir, trim_prompt=True, ranked=True)
     path = io.scratch_dir(spark, "a7")
     io.write_report(st.battery(runs), path, st.tukey_hsd(runs))
-    return spark.read.option("header", True).option("inferSchema", True).csv(os.path.join(path, "report"))
+    report = st.with_p(st.anova(runs)).schema  # the columns of a report
+    return rounded(spark.read.option("header", True).schema(report).csv(os.path.join(path, "report")))
 
 
 @register(
     "a8_write_prompts",
     """
 SELECT text AS prompt, role AS domain,
-       CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS len
+       CAST(len(list_filter(regexp_split_to_array(text, '""" + BLANK + """+'), lambda w: w <> '')) AS BIGINT) AS len
 FROM conversations""",
 )
 def a8_write_prompts(spark, sf_dir):
@@ -308,7 +319,7 @@ def a8_write_prompts(spark, sf_dir):
     prompts = conv.select(
         F.col("text").alias("prompt"),
         F.col("role").alias("domain"),
-        F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("bigint").alias("len"),
+        F.size(F.filter(F.split("text", f"{BLANK}+"), lambda w: w != "")).cast("bigint").alias("len"),
     )
     path = io.scratch_dir(spark, "a8")
     io.write_prompts(prompts, path)
@@ -370,11 +381,11 @@ def b3_pending(spark, sf_dir):
 
 # ---------------------------------------------------------------- B4-B8
 
-_STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_STRIP = "regexp_replace({x}, '\\A" + BLANK + "+|" + BLANK + "+\\z', '', 'g')"
 
 
 def _domain_sql(x: str) -> str:
-    inner = _STRIP.format(x=f"split_part({x}, ':', 1)")
+    inner = _STRIP.replace("{x}", f"split_part({x}, ':', 1)")
     return f"CASE WHEN instr({x}, ':') > 0 THEN nullif({inner}, '') END"
 
 
@@ -441,7 +452,7 @@ FROM paths""",
     ),
 )
 def b6_bundle_index(spark, sf_dir):
-    runs = fx.runs_vec(spark, sf_dir)
+    runs = fx.runs_vec(spark, sf_dir, ranked=True)
     path = F.concat(F.lit("runs/"), F.col("model"), F.lit("_chkpt_"), F.col("chkpt_id").cast("string"), F.lit(".pt"))
     bak = F.concat(path, F.lit(".bak"))
     return runs.select(
@@ -521,9 +532,10 @@ FROM documents, (VALUES (0.7), (1.0), (1.3)) t(temp)""",
 )
 def b9_distinct_prompts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    runs = docs.select(F.col("lang").alias("language"), F.col("text").alias("prompt"), fx.temps_col().alias("temp"))
-    d = grid.distinct_prompts(runs)
-    return d.select("language", F.md5("prompt").alias("prompt_md5"))
+    # only hashes are needed here, so the texts are neither multiplied nor moved
+    hashes = docs.select(F.col("lang").alias("language"), F.md5("text").alias("prompt_md5"))
+    runs = hashes.select("*", fx.temps_col().alias("temp"))
+    return grid.distinct_prompts(runs, ("language", "prompt_md5"))
 
 
 @register(
@@ -556,7 +568,7 @@ def b11_generated_only(spark, sf_dir):
     doubles=["temp"],
 )
 def b12_rank_chkpt(spark, sf_dir):
-    return rounded(fx.runs_vec(spark, sf_dir).select("gen_id", "temp", "rank", "chkpt_id"))
+    return rounded(fx.runs_vec(spark, sf_dir, ranked=True).select("gen_id", "temp", "rank", "chkpt_id"))
 
 
 @register(
@@ -572,6 +584,6 @@ FROM runs""",
     doubles=["temp"],
 )
 def b12_rank_chkpt_by_model(spark, sf_dir):
-    runs = fx.runs_vec(spark, sf_dir).drop("rank", "chkpt_id")
+    runs = fx.runs_vec(spark, sf_dir)
     r = grid.with_rank_and_chkpt(runs, ["temp", "gen_id"], 20, by=["model"])
     return rounded(r.select("gen_id", "temp", "model", "rank", "chkpt_id"))

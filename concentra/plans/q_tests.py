@@ -1,20 +1,21 @@
 """Registered queries of the test battery.
 
 Each test has a ``<id>_stat`` query (statistic, df, estimate, n, note) with a
-DuckDB oracle, and a ``<id>_p`` query that adds the p-value (rows-only check:
-SQL engines have no incomplete beta function).
+DuckDB oracle, and a ``<id>_p`` query that adds the p-value (the oracle sums the
+same integrals, see ``sqltails``).
 """
 
 from __future__ import annotations
 
-
+from pyspark.sql import functions as F
 
 from ..operators import stats as st
 from ..session import table
 from ..sources import fixtures as fx
 from . import sqlstats as q
-from .registry import register, rounded
+from .registry import register, round_sql, rounded
 from .sqlparts import DOC_WORDS, POS_NED, RUNS_DOCS, runs_vec_sql, with_ctes
+from .sqltails import exact, with_p
 
 RUNS_CTES = (POS_NED, runs_vec_sql())
 RUNS_T_CTES = (POS_NED, runs_vec_sql("pos_trim", "runs_t"))
@@ -25,8 +26,21 @@ def _runs(spark, sf_dir):
     return fx.runs_vec(spark, sf_dir)
 
 
-def _runs_t(spark, sf_dir):
-    return fx.runs_vec(spark, sf_dir, trim_prompt=True)
+def _runs_t(spark, sf_dir, ranked=False):
+    return fx.runs_vec(spark, sf_dir, trim_prompt=True, ranked=ranked)
+
+
+KIND_SQL = "CASE test_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in st.KIND.items()) + " ELSE 't' END"
+
+
+def p_sql(stat_sql: str) -> str:
+    """The oracle of a statistics query with p-values."""
+    return round_sql(with_p(exact(stat_sql), KIND_SQL), ["statistic", "df1", "df2", "estimate", "p_value", "log10_p"])
+
+
+def docs_runs(spark, sf_dir):
+    runs = fx.runs_docs(spark, sf_dir, ranked=True)
+    return runs.withColumn("ned_mean", F.round("ned_mean", 9))
 
 
 def flagship(spark, sf_dir):
@@ -41,7 +55,7 @@ def _pair(name, sql_ctes, sql_body, build):
     def _stat(spark, sf_dir):
         return rounded(build(spark, sf_dir))
 
-    @register(f"{name}_p")
+    @register(f"{name}_p", with_ctes(*sql_ctes, body=p_sql(sql_body)))
     def _p(spark, sf_dir):
         return rounded(st.with_p(build(spark, sf_dir)))
 
@@ -86,7 +100,14 @@ _pair(
     "f5_lag1_runs",
     RUNS_CTES,
     q.f5("runs", "ned_mean", ["model", "chkpt_id"], ["rank"]),
-    lambda s, d: st.lag1_persistence(_runs(s, d), "ned_mean", ["model", "chkpt_id"], ["rank"]),
+    lambda s, d: st.lag1_persistence(fx.runs_vec(s, d, ranked=True), "ned_mean", ["model", "chkpt_id"], ["rank"]),
+)
+# checkpoints of different models chained together, as the code does on a combined table
+_pair(
+    "f5_lag1_chkpt_only",
+    RUNS_CTES,
+    q.f5("runs", "ned_mean", ["chkpt_id"], ["rank"]),
+    lambda s, d: st.lag1_persistence(fx.runs_vec(s, d, ranked=True), "ned_mean", ["chkpt_id"], ["rank"]),
 )
 # variable and constant seq_len (the second is the not-applicable branch)
 _pair(
@@ -125,7 +146,7 @@ _pair(
     "f8_partial_rank",
     RUNS_T_CTES,
     q.f8("runs_t", "ned_mean", "rank", "temp"),
-    lambda s, d: st.ols_partial(_runs_t(s, d), "ned_mean", "rank", "temp"),
+    lambda s, d: st.ols_partial(_runs_t(s, d, ranked=True), "ned_mean", "rank", "temp"),
 )
 
 
@@ -155,7 +176,7 @@ def f2p_tukey(spark, sf_dir):
 
 
 # the battery, statistics with oracle, and with p-values
-def _battery_sql(src: str) -> str:
+def battery_sql(src: str) -> str:
     parts = [
         q.f1(src, "ned_mean"),
         q.f2(src, "ned_mean", "temp"),
@@ -169,28 +190,38 @@ def _battery_sql(src: str) -> str:
     return "\nUNION ALL\n".join(f"({p})" for p in parts)
 
 
-@register("f9_battery_stat", with_ctes(*RUNS_T_CTES, body=_battery_sql("runs_t")))
+@register("f9_battery_stat", with_ctes(*RUNS_T_CTES, body=battery_sql("runs_t")))
 def f9_battery_stat(spark, sf_dir):
-    b = st.battery(_runs_t(spark, sf_dir))
+    b = st.battery(_runs_t(spark, sf_dir, ranked=True))
     return rounded(b.select(*st.STAT_COLS))
 
 
-@register("f9_battery")
+@register("f9_battery", with_ctes(*RUNS_T_CTES, body=p_sql(battery_sql("runs_t"))))
 def f9_battery(spark, sf_dir):
-    return rounded(st.battery(_runs_t(spark, sf_dir)))
+    return rounded(st.battery(_runs_t(spark, sf_dir, ranked=True)))
+
+
+# copies of a document have one metric up to the order of a sum: rounded, they tie
+_ROUNDED = "runs_docs9"
+DOCS9 = "runs_docs9 AS (SELECT * REPLACE (round(ned_mean, 9) AS ned_mean) FROM runs_docs)"
+DOCS_BATTERY = battery_sql(_ROUNDED).replace(
+    q.f3(_ROUNDED, "ned_mean", "model_size"),
+    "SELECT 'F3' AS test_id, NULL::DOUBLE AS statistic, NULL::DOUBLE AS df1, NULL::DOUBLE AS df2, NULL::DOUBLE AS estimate, "
+    "NULL::BIGINT AS n, 'missing column model_size' AS note",
+).replace(q.f5(_ROUNDED, "ned_mean", ["model", "chkpt_id"], ["rank"]), q.f5(_ROUNDED, "ned_mean", ["chkpt_id"], ["rank"]))
 
 
-@register("f9_battery_docs")
+@register("f9_battery_docs", with_ctes(*DOCS_CTES, DOCS9, body=p_sql(DOCS_BATTERY)))
 def f9_battery_docs(spark, sf_dir):
     """Documents runs: no model_size column, so F3 reports a NULL row."""
-    return rounded(st.battery(fx.runs_docs(spark, sf_dir)))
+    return rounded(st.battery(docs_runs(spark, sf_dir)))
 
 
 
 
 
 # F9 per group: every model's battery in one set of keyed aggregations
-def _battery_by_model_sql(src: str) -> str:
+def battery_by_model_sql(src: str) -> str:
     parts = []
     for m in fx.MODELS:
         sub = f"(SELECT * FROM {src} WHERE model = '{m}')"
@@ -208,15 +239,15 @@ def _battery_by_model_sql(src: str) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-@register("f9_battery_by_model_stat", with_ctes(*RUNS_T_CTES, body=_battery_by_model_sql("runs_t")))
+@register("f9_battery_by_model_stat", with_ctes(*RUNS_T_CTES, body=battery_by_model_sql("runs_t")))
 def f9_battery_by_model_stat(spark, sf_dir):
-    b = st.battery(_runs_t(spark, sf_dir), groups=["model"])
+    b = st.battery(_runs_t(spark, sf_dir, ranked=True), groups=["model"])
     return rounded(b.select("model", *st.STAT_COLS))
 
 
-@register("f9_battery_by_model")
+@register("f9_battery_by_model", with_ctes(*RUNS_T_CTES, body=p_sql(battery_by_model_sql("runs_t"))))
 def f9_battery_by_model(spark, sf_dir):
-    return rounded(st.battery(_runs_t(spark, sf_dir), groups=["model"]))
+    return rounded(st.battery(_runs_t(spark, sf_dir, ranked=True), groups=["model"]))
 
 
 @register(

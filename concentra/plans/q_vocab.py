@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..operators import vocab as vb
 from ..operators.ordinal import materialize
 from ..functions import metric
+from ..functions.parsers import BLANK
 from ..functions.tails import with_p_value
 from ..session import table
 from ..sources import fixtures as fx
-from .registry import register, rounded
+from .registry import register, round_sql, rounded
 from .sqlparts import DOC_WORDS, RUNS_DOCS, TEMPS_SQL, with_ctes
+from .sqltails import exact, with_p
 
 LANGS = ["de", "en", "es", "fr"]
 
@@ -123,9 +125,9 @@ def g5_marked_tokens(spark, sf_dir):
     return vb.marked_tokens(_scripts(spark, sf_dir))
 
 
-_USAGE_SQL = """
+_USAGE_SQL = f"""
 dp AS (SELECT DISTINCT lang AS language, text FROM documents),
-dtok AS (SELECT language, text, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS toks FROM dp),
+dtok AS (SELECT language, text, list_filter(regexp_split_to_array(lower(text), '{BLANK}+'), lambda w: w <> '') AS toks FROM dp),
 usage AS (
   SELECT u.language, u.mean_prompt_tokens, u.mean_fertility, u.n_prompts, v.vocab_used FROM
     (SELECT language, avg(len(toks)) AS mean_prompt_tokens,
@@ -163,9 +165,25 @@ def g6a_usage_approx(spark, sf_dir):
     return vb.usage_approx(_docs(spark, sf_dir))
 
 
+RSD = 0.02
+
+
+@register(
+    "g6a_usage_approx_check",
+    with_ctes(_USAGE_SQL, body="SELECT language, vocab_used, true AS within_3_rsd FROM usage"),
+)
+def g6a_usage_approx_check(spark, sf_dir):
+    """The sketch within three relative standard deviations of the exact count."""
+    exact = vb.usage(_docs(spark, sf_dir)).select("language", "vocab_used")
+    j = exact.join(vb.usage_approx(_docs(spark, sf_dir), rsd=RSD), "language")
+    ok = F.abs(F.col("vocab_used_approx") - F.col("vocab_used")) <= 3 * RSD * F.col("vocab_used")
+    return j.select("language", "vocab_used", ok.alias("within_3_rsd"))
+
+
 def _token_counts(spark, sf_dir):
-    d = _docs(spark, sf_dir).select(F.col("lang").alias("language"), "text").dropDuplicates(["language", "text"])
-    toks = d.select("language", F.explode(vb.prompt_tokens(d, "text")).alias("token"))
+    docs = _docs(spark, sf_dir)
+    d = docs.select("doc_id", F.col("lang").alias("language"), "text").join(vb.first_copies(docs), "doc_id", "left_semi")
+    toks = d.select("language", F.explode_outer(vb.prompt_tokens(d, "text")).alias("token")).where(F.col("token").isNotNull())
     return toks.groupBy("language", "token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -251,8 +269,8 @@ def language_summary(spark, sf_dir):
     """
     docs = _docs(spark, sf_dir)
     tc = materialize(vb.doc_token_counts(docs))
-    runs = fx.runs_docs(spark, sf_dir, token_counts=tc)
-    m = runs.where(F.col("temp") == 1.0).groupBy("language").agg(F.avg("ned_mean").alias("ned_mean"))
+    runs = fx.runs_docs(spark, sf_dir, token_counts=tc, temps=(1.0,))
+    m = runs.groupBy("language").agg(F.avg("ned_mean").alias("ned_mean"))
     vocab = tc.select("token").distinct()
     alloc = vb.allocated_vocab(vb.token_scripts(vocab), LANGS)
     use = vb.usage_from_tokens(docs, tc)
@@ -309,7 +327,10 @@ def g10_spearman_stat(spark, sf_dir):
     return rounded(vb.spearman(language_summary(spark, sf_dir), "ned_mean", SPEARMAN_COLS))
 
 
-@register("g10_spearman_p")
+@register(
+    "g10_spearman_p",
+    with_ctes(*_SUMMARY_CTES, body=round_sql(with_p(exact(_spearman_sql("summary", "ned_mean", SPEARMAN_COLS)), "'t'", df2="NULL"), ["rho", "statistic", "p_value", "log10_p"])),
+)
 def g10_spearman_p(spark, sf_dir):
     s = vb.spearman(language_summary(spark, sf_dir), "ned_mean", SPEARMAN_COLS)
     return rounded(with_p_value(s, "t", stat="statistic", df1="df1", df2=None))
@@ -329,7 +350,7 @@ def g10_spearman_runs_stat(spark, sf_dir):
 
     The computed metric is rounded to 9 decimals before ranking, so that
     copies of a document (same value up to summation order) tie."""
-    runs = fx.runs_docs(spark, sf_dir).withColumn("ned_mean", F.round("ned_mean", 9))
+    runs = fx.runs_docs(spark, sf_dir, ranked=True).withColumn("ned_mean", F.round("ned_mean", 9))
     return rounded(vb.spearman(runs, "ned_mean", ["seq_len", "temp", "rank"]))
 
 
@@ -351,7 +372,7 @@ FROM (SELECT *, max(CASE WHEN language = 'en' THEN vocab_allocated END) OVER ()
 )
 def g11_verdict(spark, sf_dir):
     """Does allocation explain the metric? (one row)"""
-    s = language_summary(spark, sf_dir)
+    s = materialize(language_summary(spark, sf_dir))  # read twice
     rho = vb.spearman(s, "ned_mean", ["vocab_allocated"]).select(F.col("rho").alias("rho_allocated"))
     # the summary holds one row per language: a window over it is tiny
     w = Window.partitionBy()

@@ -1,5 +1,7 @@
 """DuckDB SQL of the derived inputs, mirroring ``sources.fixtures`` (oracle side)."""
 
+from ..functions.parsers import BLANK
+
 TEMPS_SQL = "unnest([0.7::DOUBLE, 1.0::DOUBLE, 1.3::DOUBLE])"
 
 # V1 positions with the metric per position and temperature
@@ -60,10 +62,10 @@ def r6(expr: str, alias: str) -> str:
 RUNS = with_ctes  # alias for readability in plans
 
 # V3: documents as word-count distributions, one run row per (doc, temp)
-DOC_WORDS = """
+DOC_WORDS = f"""
 doc_words AS (
   SELECT doc_id, lang, source, word
-  FROM (SELECT doc_id, lang, source, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents)
+  FROM (SELECT doc_id, lang, source, unnest(regexp_split_to_array(lower(text), '{BLANK}+')) AS word FROM documents)
   WHERE word <> ''),
 doc_wc AS (
   SELECT doc_id, lang, source, word, count(*) AS cnt FROM doc_words GROUP BY ALL)"""

@@ -35,13 +35,13 @@ def f2(src: str, y: str, by: str, test_id: str = "F2") -> str:
     g = f"(SELECT {by} AS level, y FROM (SELECT {by}, {_num(y)} AS y FROM {src}) WHERE {by} IS NOT NULL AND y IS NOT NULL)"
     return f"""
 SELECT {_row(test_id,
-             "CASE WHEN k >= 2 AND NN > k THEN ((sst - ssw) / nullif(k - 1, 0)) / nullif(ssw / nullif(NN - k, 0), 0) END",
+             "CASE WHEN k >= 2 AND NN > k THEN (ssb / nullif(k - 1, 0)) / nullif(ssw / nullif(NN - k, 0), 0) END",
              "k - 1", "NN - k", "NULL", "NN",
              "CASE WHEN k < 2 THEN 'fewer than 2 groups' WHEN NN <= k THEN 'no within-group df' "
              "WHEN ssw = 0 THEN 'zero within-group variance' END")}
-FROM (SELECT count(*) AS k, sum(coalesce(v, 0) * (n - 1)) AS ssw
-      FROM (SELECT level, count(*) AS n, var_samp(y) AS v FROM {g} GROUP BY level)) a,
-     (SELECT count(*) AS NN, var_samp(y) * (count(*) - 1) AS sst FROM {g}) b"""
+FROM (SELECT count(*) AS k, coalesce(sum(n), 0) AS NN, sum(coalesce(v, 0) * (n - 1)) AS ssw, sum(n * (m - MM) * (m - MM)) AS ssb
+      FROM (SELECT level, count(*) AS n, var_samp(y) AS v, avg(y) AS m FROM {g} GROUP BY level),
+           (SELECT avg(y) AS MM FROM {g}))"""
 
 
 def _moments(src: str, y: str, x: str) -> str:

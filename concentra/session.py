@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -28,39 +31,42 @@ def local_session(master: str = "local[8]", app: str = "concentra", **extra) ->
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder of the session.
+_OWN: dict[str, str] = {}  # application id -> folder made by us (local sessions only)
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    it is. Only when it is unset (local tests) a scratch folder is created.
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's
+    checkpoint folder (``spark.checkpoint.dir``), used as it is.
+
+    Only a local session that names none gets a temporary folder, which is
+    removed when the process ends; on a cluster that would be a different
+    folder on every machine, so it is an error there.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
-    except Exception:  # Spark Connect: checkpoint() reads spark.checkpoint.dir itself
+    except Exception:  # Spark Connect has no context; the setting is all there is
         sc = None
     if sc is not None:
-        current = sc.getCheckpointDir()
-        if current:
-            return current
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="concentra-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    if sc is None:
-        return conf_dir
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+        named = sc.getCheckpointDir() or named
+    if named:
+        return named
+    if sc is None or not sc.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: name a folder that the driver and all executors share"
+        )
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="concentra-")
+        atexit.register(shutil.rmtree, _OWN[sc.applicationId], ignore_errors=True)
+    return _OWN[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint folder."""
-    import uuid
-
-    return os.path.join(ensure_checkpoint_dir(spark), "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh folder under the session's shared folder."""
+    return os.path.join(shared_dir(spark), "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metric
-from ..functions.parsers import model_size
+from ..functions.parsers import BLANK, model_size
 from ..operators.ordinal import global_ordinal
 from ..session import table
 
@@ -75,11 +75,18 @@ def position_metrics(spark: SparkSession, sf_dir: str, trim_prompt: bool = False
     return pos
 
 
-def runs_vec(spark: SparkSession, sf_dir: str, trim_prompt: bool = False) -> DataFrame:
+def with_rank(runs: DataFrame, order) -> DataFrame:
+    """rank = 0-based order of the run rows, chkpt_id = floor(rank / SAVE_INTERVAL)."""
+    ranked = global_ordinal(runs, order, name="rank")
+    return ranked.withColumn("chkpt_id", F.floor(F.col("rank") / SAVE_INTERVAL).cast("bigint"))
+
+
+def runs_vec(spark: SparkSession, sf_dir: str, trim_prompt: bool = False, ranked: bool = False) -> DataFrame:
     """V2: one run row per (generation, temp).
 
     Columns: gen_id, prompt, temp, seq_len, ned_mean, ned_std, model,
-    model_size, domain, rank, chkpt_id.
+    model_size, domain; with ``ranked`` also rank and chkpt_id (an ordering of
+    the whole table, so only for those who read it).
     """
     from ..operators.reduce import reduce_generation
 
@@ -101,10 +108,7 @@ def runs_vec(spark: SparkSession, sf_dir: str, trim_prompt: bool = False) -> Dat
     runs = runs.withColumn("model_size", model_size("model")).withColumn(
         "prompt", F.concat(F.col("domain"), F.lit(": generation "), F.col("gen_id").cast("string"))
     )
-    ranked = global_ordinal(runs, ["temp", "gen_id"], name="rank")
-    return ranked.withColumn(
-        "chkpt_id", F.floor(F.col("rank") / SAVE_INTERVAL).cast("bigint")
-    )
+    return with_rank(runs, ["temp", "gen_id"]) if ranked else runs
 
 
 def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +120,7 @@ def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
             "lang",
             "source",
             # explode_outer: no inferred size(split(..)) filter splitting twice
-            F.explode_outer(F.split(F.lower(F.col("text")), r"\s+")).alias("word"),
+            F.explode_outer(F.split(F.lower(F.col("text")), f"{BLANK}+")).alias("word"),
         )
         .where(F.col("word") != "")
     )
@@ -129,8 +133,10 @@ def doc_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def runs_docs(spark: SparkSession, sf_dir: str, token_counts: DataFrame | None = None) -> DataFrame:
-    """V3: one run row per (document, temp).
+def runs_docs(
+    spark: SparkSession, sf_dir: str, token_counts: DataFrame | None = None, ranked: bool = False, temps=TEMPS
+) -> DataFrame:
+    """V3: one run row per (document, temp); rank and chkpt_id with ``ranked``.
 
     The word counts of a document are its distribution, ln(count) its scores;
     tempering gives p ~ count^(1/temp). ned uses the number of distinct words
@@ -144,15 +150,15 @@ def runs_docs(spark: SparkSession, sf_dir: str, token_counts: DataFrame | None =
         # per document and temperature), not hashed with every token
         docs = table(spark, sf_dir, "documents")
         words = docs.select(
-            "doc_id", F.explode_outer(F.split(F.lower(F.col("text")), r"\s+")).alias("word")
+            "doc_id", F.explode_outer(F.split(F.lower(F.col("text")), f"{BLANK}+")).alias("word")
         ).where(F.col("word") != "")
         wc = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("cnt"))
-        per_doc = ned_from_counts_temps(wc, ["doc_id"], "cnt", TEMPS).join(
+        per_doc = ned_from_counts_temps(wc, ["doc_id"], "cnt", temps).join(
             docs.select("doc_id", "lang", "source"), "doc_id"
         )
     else:  # shared tokenisation (see operators.vocab.doc_token_counts)
         wc = token_counts.select("doc_id", F.col("language").alias("lang"), "source", "cnt")
-        per_doc = ned_from_counts_temps(wc, ["doc_id", "lang", "source"], "cnt", TEMPS)
+        per_doc = ned_from_counts_temps(wc, ["doc_id", "lang", "source"], "cnt", temps)
     runs = per_doc.select(
         "doc_id",
         "temp",
@@ -162,8 +168,7 @@ def runs_docs(spark: SparkSession, sf_dir: str, token_counts: DataFrame | None =
         F.col("source").alias("domain"),
         F.col("lang").alias("language"),
     )
-    ranked = global_ordinal(runs, ["temp", "doc_id"], name="rank")
-    return ranked.withColumn("chkpt_id", F.floor(F.col("rank") / SAVE_INTERVAL).cast("bigint"))
+    return with_rank(runs, ["temp", "doc_id"]) if ranked else runs
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:

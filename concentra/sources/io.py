@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.parsers import bundle_index, strip_ws
-from ..operators.ordinal import global_ordinal
+from ..functions.parsers import bundle_index_of_file, strip_ws
+from ..operators.ordinal import running_starts
 from ..session import scratch_path
 
 # Run row (D4): the columns of a result table, with nullable optional columns.
@@ -66,8 +66,13 @@ def parse_prompt_lines(lines: DataFrame, col: str = "value", keep_undomained: bo
     """
     s = lines.select(strip_ws(F.col(col)).alias("_line")).where(F.col("_line") != "")
     is_json = F.startswith(F.col("_line"), F.lit("{"))
-    rec = F.from_json(F.col("_line"), PROMPT_JSON, {"mode": "PERMISSIVE"})
-    with_rec = s.select("_line", is_json.alias("is_json"), F.when(is_json, rec).alias("_r"))
+    # The JSON reader stops after the first value and ignores the rest of a line.
+    # Within brackets, and within a field, a rest makes the text malformed; no
+    # rest closes both, so a line that reads in both is one object and no more.
+    inside = F.from_json(F.concat(F.lit("["), F.col("_line"), F.lit("]")), T.ArrayType(PROMPT_JSON), {"mode": "PERMISSIVE"})
+    whole = T.StructType([T.StructField("r", PROMPT_JSON)])
+    rec = F.from_json(F.concat(F.lit('{"r":'), F.col("_line"), F.lit("}")), whole, {"mode": "PERMISSIVE"}).getField("r")
+    with_rec = s.select("_line", is_json.alias("is_json"), F.when(is_json & (F.size(inside) == 1), rec).alias("_r"))
     joined = F.concat(F.col("_r.domain"), F.lit(": "), F.col("_r.prompt"))
     json_prompt = joined
     if keep_undomained:
@@ -131,40 +136,59 @@ def write_bundles(positions: DataFrame, path: str, bundle: Column | str = "chkpt
     positions.withColumn("chkpt", b.cast("bigint")).write.mode("overwrite").partitionBy("chkpt").parquet(path)
 
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
+def read_scores(spark: SparkSession, path: str, skip_bad: bool = False) -> DataFrame:
     """A4: bundles with their number in ``bundle_id`` (NULL = unnumbered, sorts last).
 
     Our bundles carry it as the ``chkpt`` partition column; otherwise it is
-    parsed from the file name (``..._chkpt_<n>.pt``).
+    parsed from the name of the bundle (``..._chkpt_<n>.pt``, a file or a folder
+    of files). With ``skip_bad`` unreadable files are passed over; ``bad_files``
+    lists them.
     """
-    df = spark.read.parquet(path)
+    df = spark.read.option("ignoreCorruptFiles", skip_bad).parquet(path)
     if "chkpt" in df.columns:
         return df.withColumn("bundle_id", F.col("chkpt").cast("bigint")).drop("chkpt")
-    return df.withColumn("bundle_id", bundle_index(F.col("_metadata.file_path")))
+    return df.withColumn("bundle_id", bundle_index_of_file(F.col("_metadata.file_path")))
+
+
+def bad_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files under ``path`` of which no row can be read (path, length): corrupt
+    ones, and empty ones. Reads names on one side and file footers on the other."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    data = names.where(~F.regexp_extract("path", r"([^/]*)$", 1).rlike("^[._]")).select("path", "length")
+    df = spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(path)
+    read = df.select(F.col("_metadata.file_path").alias("path")).distinct()
+    key = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    return data.withColumn("_k", key(F.col("path"))).join(read.select(key(F.col("path")).alias("_k")), "_k", "left_anti").drop("_k")
 
 
 def merge_bundles(scores: DataFrame, order_in_bundle=("gen_id", "pos")) -> DataFrame:
     """A5: concatenate bundles in number order (no dedup), numbering rows
-    globally in ``merged_pos``; unnumbered bundles go last."""
-    keyed = scores.withColumn(
-        "_b", F.coalesce(F.col("bundle_id"), F.lit(9223372036854775807))
-    )
-    return global_ordinal(keyed, ["_b", *order_in_bundle], name="merged_pos").drop("_b")
+    globally in ``merged_pos``; unnumbered bundles go last.
+
+    Only the keys are ordered: one row per generation with its sorted positions
+    (a generation is bounded, a bundle is not) gets the number of its first
+    row from running counts, and the score rows take theirs by an equi-join on
+    the generation. The vectors are neither sorted nor copied.
+    """
+    gen, pos = order_in_bundle
+    last = F.lit(9223372036854775807)
+    keyed = scores.withColumn("_b", F.coalesce(F.col("bundle_id"), last))
+    gens = keyed.groupBy("_b", gen).agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(pos)).alias("_at"))
+    starts = running_starts(gens, ["_b", gen], "_n", "_start").select("_b", F.col(gen).alias("_gen"), "_start", "_at")
+    j = keyed.join(starts, (keyed["_b"] == starts["_b"]) & keyed[gen].eqNullSafe(starts["_gen"]))
+    # equal positions within a generation: the first of them, then by chance
+    ordinal = F.col("_start") + F.array_position("_at", F.col(pos)) - 1
+    return j.select(*scores.columns, ordinal.cast("bigint").alias("merged_pos"))
 
 
 def write_merged(scores: DataFrame, path: str) -> None:
     """A5 as a compaction job: one merged table in merged-position order
-    (nothing is written when no bundle matched).
-
-    The global ordinal already leaves the rows range-partitioned and sorted
-    (its offset join is a broadcast join, which keeps the row order), so the
-    partitions are written as they are: no second shuffle of the score
-    vectors.
-    """
+    (nothing is written when no bundle matched). The rows move once, to
+    their range of positions, and are sorted there."""
     merged = merge_bundles(scores)
-    if merged.isEmpty():
+    if scores.isEmpty():
         return
-    merged.write.mode("overwrite").parquet(path)
+    merged.repartitionByRange("merged_pos").sortWithinPartitions("merged_pos").write.mode("overwrite").parquet(path)
 
 
 # --- A6 / A7 / A8 / A9 -------------------------------------------------------------
@@ -200,19 +224,13 @@ def write_prompts(prompts: DataFrame, path: str) -> None:
     prompts.write.mode("overwrite").json(path)
 
 
-def write_split(scores: DataFrame, good_path: str, bad_path: str, col: str = "scores") -> DataFrame:
-    """Write both parts and return their counts (one small frame)."""
-    good, bad = split_bad(scores, col)
-    good.write.mode("overwrite").parquet(good_path)
-    bad.write.mode("overwrite").parquet(bad_path)
-    spark = scores.sparkSession
-    # counts from the written parts (parquet footers), not from a third scan
-    return (
-        spark.read.parquet(good_path).select(F.lit("good").alias("status"))
-        .unionByName(spark.read.parquet(bad_path).select(F.lit("bad").alias("status")))
-        .groupBy("status")
-        .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    )
+def write_split(scores: DataFrame, path: str, col: str = "scores") -> DataFrame:
+    """Write good and bad rows in one pass, as ``status=good`` and ``status=bad``
+    of one table, and return their counts (from the written files)."""
+    flagged = scores.withColumn("status", F.when(_bad_flag(col), F.lit("bad")).otherwise(F.lit("good")))
+    flagged.write.mode("overwrite").partitionBy("status").parquet(path)
+    back = scores.sparkSession.read.schema(flagged.schema).parquet(path)
+    return back.groupBy("status").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
 def _bad_flag(col: str) -> Column:

@@ -12,25 +12,39 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import metric
 from ..operators.reduce import reduce_generation
 
 
 def parquet_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
-    """Stream the parquet files ``name`` of ``folder`` (schema from the files)."""
+    """Stream the parquet table ``name`` of ``folder``, a file or a folder of part
+    files (schema from the table). The path is given as a pattern that only the
+    table matches, because the file source takes a plain path for a folder."""
     schema = spark.read.parquet(os.path.join(folder, name)).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(folder)
+    return r.parquet(os.path.join(folder, f"{name[:-1]}[{name[-1]}]"))
+
+
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Watermarks need TIMESTAMP; a TIMESTAMP_NTZ column is read in the session time zone."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+    """Watermarks need TIMESTAMP. A wall-clock time (TIMESTAMP_NTZ) is taken as UTC,
+    whatever the session's time zone."""
+    if dict(df.dtypes)[ts] != "timestamp_ntz":
+        return df.withColumn(ts, F.col(ts).cast("timestamp"))
+    return df.withColumn(ts, F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {_EPOCH}, `{ts}`))"))
+
+
+def wall_clock(c: str) -> Column:
+    """The UTC wall-clock time of an instant, whatever the session's time zone."""
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros(`{c}`), {_EPOCH})")
 
 
 def _batch_writer(out: str, transform: Callable[[DataFrame, int], DataFrame] | None = None):
@@ -45,7 +59,9 @@ def _batch_writer(out: str, transform: Callable[[DataFrame, int], DataFrame] | N
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
                   transform: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """Process everything available now, then read the sink back (batch)."""
+    """Process everything available now, then read the sink back (batch). When
+    nothing arrived the result is an empty frame of the sink's schema."""
+    spark = stream.sparkSession
     q = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -56,7 +72,12 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return stream.sparkSession.read.option("basePath", out).parquet(out)
+    empty = spark.createDataFrame([], stream.schema)
+    empty = empty if transform is None else transform(empty, 0)
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in empty.schema.fields], T.StructField("batch_id", T.LongType())])
+    if q.lastProgress is None and not any(p.numInputRows for p in q.recentProgress):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", out).parquet(out)
 
 
 # S1
@@ -110,8 +131,8 @@ def latest_per_key(sink: DataFrame, keys: Sequence[str]) -> DataFrame:
 def day_moments(batch: DataFrame, _bid: int, value: str = "value", ts: str = "ts",
                 covariates: Sequence[str] = ()) -> DataFrame:
     """Mergeable moments of one micro-batch per day: n, mean and M2 of the
-    value, and for every covariate x its mean, M2 and the co-moment C_xy
-    (complete pairs: rows with a NULL value or covariate are left out)."""
+    value, for every covariate x its mean, M2 and the co-moment C_xy, and the
+    co-moments of the covariates (rows with a NULL value or covariate are left out)."""
     ok = F.col(value).isNotNull()
     for x in covariates:
         ok = ok & F.col(x).isNotNull()
@@ -127,44 +148,63 @@ def day_moments(batch: DataFrame, _bid: int, value: str = "value", ts: str = "ts
             (F.var_pop(F.col(x).cast("double")) * F.count(F.lit(1))).alias(f"m2_{x}"),
             (F.covar_pop(F.col(x).cast("double"), F.col(value)) * F.count(F.lit(1))).alias(f"c_{x}"),
         ]
+    for i, p in enumerate(covariates):
+        for q in covariates[i + 1 :]:
+            aggs.append((F.covar_pop(F.col(p).cast("double"), F.col(q).cast("double")) * F.count(F.lit(1))).alias(f"c_{p}_{q}"))
     return b.groupBy(F.to_date(ts).alias("day")).agg(*aggs)
 
 
+def _merge_step(m: DataFrame, keys: Sequence[str], variables: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Merge moment rows that agree in ``keys`` (Chan et al.), as one fold over each
+    group's rows: n, mean_v, m2_v and c_v_w of variables and pairs."""
+    fields = ["n", *[f"mean_{v}" for v in variables], *[f"m2_{v}" for v in variables], *[f"c_{a}_{b}" for a, b in pairs]]
+    rows = F.collect_list(F.struct(*[F.col(f).cast("double").alias(f) for f in fields]))
+    zero = F.struct(*[F.lit(0.0).alias(f) for f in fields])
+
+    def add(acc: Column, x: Column) -> Column:
+        n = acc["n"] + x["n"]
+        part = F.when(n > 0, acc["n"] * x["n"] / F.nullif(n, F.lit(0.0))).otherwise(0.0)
+        delta = {v: x[f"mean_{v}"] - acc[f"mean_{v}"] for v in variables}
+        out = [n.alias("n")]
+        out += [(acc[f"mean_{v}"] + F.when(n > 0, delta[v] * x["n"] / F.nullif(n, F.lit(0.0))).otherwise(0.0)).alias(f"mean_{v}") for v in variables]
+        out += [(acc[f"m2_{v}"] + x[f"m2_{v}"] + part * delta[v] * delta[v]).alias(f"m2_{v}") for v in variables]
+        out += [(acc[f"c_{a}_{b}"] + x[f"c_{a}_{b}"] + part * delta[a] * delta[b]).alias(f"c_{a}_{b}") for a, b in pairs]
+        return F.struct(*out)
+
+    merged = m.where(F.col("n") > 0).groupBy(*keys).agg(F.aggregate(rows, zero, add).alias("_m"))
+    return merged.select(*keys, *[F.col(f"_m.{f}").alias(f) for f in fields])
+
+
+MERGE_FAN = 256
+
+
+def merge_all(moments: DataFrame, variables: Sequence[str], pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """Exact merge of moment rows per ``by``, in two steps: first within MERGE_FAN
+    shares of the rows, then the shares; no task sees all rows."""
+    share = F.pmod(F.xxhash64(*moments.columns), F.lit(MERGE_FAN))
+    first = _merge_step(moments.withColumn("_share", share), [*by, "_share"], variables, pairs)
+    return _merge_step(first, list(by), variables, pairs)
+
+
 def merge_moments(moments: DataFrame, by: Sequence[str] = (), covariates: Sequence[str] = ()) -> DataFrame:
-    """Exact merge of moment rows (Chan et al.):
-    M2 = sum M2_i + sum n_i (mean_i - mean)^2 and
-    C_xy = sum C_i + sum n_i (mean_x_i - mean_x)(mean_y_i - mean_y).
-    Output: n, mean, sample sd, and per covariate its mean, sd and r."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*by) if by else Window.partitionBy()  # days x batches rows
-    nn = F.sum("n").over(w)
-    cols = [*by, "n", "m2", "mean", (F.sum(F.col("n") * F.col("mean")).over(w) / nn).alias("gmean"), nn.alias("_tot")]
-    for x in covariates:
-        cols += [f"mean_{x}", f"m2_{x}", f"c_{x}", (F.sum(F.col("n") * F.col(f"mean_{x}")).over(w) / nn).alias(f"g_{x}")]
-    m = moments.where(F.col("n") > 0).select(*cols)
-    aggs = [
-        F.max("_tot").alias("n"),
-        F.max("gmean").alias("mean"),
-        (F.sum("m2") + F.sum(F.col("n") * (F.col("mean") - F.col("gmean")) ** 2)).alias("m2"),
-    ]
-    for x in covariates:
-        aggs += [
-            F.max(f"g_{x}").alias(f"mean_{x}"),
-            (F.sum(f"m2_{x}") + F.sum(F.col("n") * (F.col(f"mean_{x}") - F.col(f"g_{x}")) ** 2)).alias(f"m2_{x}"),
-            (
-                F.sum(f"c_{x}")
-                + F.sum(F.col("n") * (F.col(f"mean_{x}") - F.col(f"g_{x}")) * (F.col("mean") - F.col("gmean")))
-            ).alias(f"c_{x}"),
-        ]
-    s = m.groupBy(*by).agg(*aggs)
-    out = [*by, F.col("n").cast("bigint"), "mean", F.sqrt(F.col("m2") / (F.col("n") - 1)).alias("sd")]
+    """Exact merge of ``day_moments`` rows. Output: n, mean, sample sd of the value,
+    and per covariate its mean, sd, sum of squares, co-moment and r; for two
+    covariates also their co-moment."""
+    named = moments.withColumnsRenamed({"mean": "mean_y", "m2": "m2_y", **{f"c_{x}": f"c_y_{x}" for x in covariates}})
+    variables = ["y", *covariates]
+    pairs = [("y", x) for x in covariates] + [(a, b) for i, a in enumerate(covariates) for b in covariates[i + 1 :]]
+    s = merge_all(named, variables, pairs, by)
+    n1 = F.nullif(F.col("n") - 1, F.lit(0.0))
+    out = [*by, F.col("n").cast("bigint").alias("n"), F.col("mean_y").alias("mean"), F.sqrt(F.col("m2_y") / n1).alias("sd"), F.col("m2_y").alias("m2")]
     for x in covariates:
         out += [
             F.col(f"mean_{x}"),
-            F.sqrt(F.col(f"m2_{x}") / (F.col("n") - 1)).alias(f"sd_{x}"),
-            (F.col(f"c_{x}") / F.nullif(F.sqrt(F.col("m2") * F.col(f"m2_{x}")), F.lit(0.0))).alias(f"r_{x}"),
+            F.sqrt(F.col(f"m2_{x}") / n1).alias(f"sd_{x}"),
+            (F.col(f"c_y_{x}") / F.nullif(F.sqrt(F.col("m2_y") * F.col(f"m2_{x}")), F.lit(0.0))).alias(f"r_{x}"),
+            F.col(f"m2_{x}"),
+            F.col(f"c_y_{x}").alias(f"c_{x}"),
         ]
+    out += [F.col(f"c_{a}_{b}") for i, a in enumerate(covariates) for b in covariates[i + 1 :]]
     return s.select(*out)
 
 

@@ -41,15 +41,20 @@ def test_qa_format_and_min_words(spark):
     assert got == ["What is the capital of France? (Answer: Paris)"]
 
 
-def test_neutral_set_deterministic(spark):
-    ids = spark.range(5).withColumnRenamed("id", "item_id")
-    a = cp.neutral_set(ids).orderBy("item_id", "domain").collect()
-    b = cp.neutral_set(ids).orderBy("item_id", "domain").collect()
-    assert a == b and len(a) == 25
-    rnd = [r.prompt for r in a if r.domain == "random"]
-    assert all(10 <= len(p) <= 60 for p in rnd)
-    words = [len(r.prompt.split()) for r in a if r.domain == "nonsense"]
-    assert all(3 <= w <= 10 for w in words)
+def test_neutral_set(spark):
+    items = spark.createDataFrame([(0, "red green blue"), (1, None), (5, "a b")], "item_id long, text string")
+    templates = spark.createDataFrame(
+        [("explicit", 0, "Say something."), ("explicit", 1, "Go."), ("neutral", 0, "So")], "category string, slot long, text string"
+    )
+    rows = cp.neutral_set(items, templates).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, cp.neutral_set(items, templates).collect()))
+    got = {(r.item_id, r.domain): r.prompt for r in rows}
+    assert len(rows) == 15 and {d for _, d in got} == set(cp.CATEGORIES)
+    assert sorted(got[0, "random"]) == sorted("red green blue")
+    assert sorted(got[0, "nonsense"].split()) == ["blue", "green", "red"]
+    assert [got[1, d] for d in ("random", "nonsense", "empty")] == ["", "", ""]
+    assert [got[i, "explicit"] for i in (0, 1, 5)] == ["Say something.", "Go.", "Go."]
+    assert got[5, "neutral"] == "So"
 
 
 @pytest.mark.parametrize(
@@ -79,10 +84,35 @@ def test_topk_share_histogram_equals_brute_force(spark):
     assert got.share_top_5000 == pytest.approx(1.0)
 
 
-def test_snippet_fallback(spark):
+def test_empty_source_gives_no_snippets(spark):
     empty = spark.createDataFrame([(1, "<html><body>no paragraph</body></html>")], "page_id long, html string")
-    got = cp.snippet_prompts_or_fallback(empty, 3).orderBy("page_id").collect()
-    assert [r.prompt.split("\n")[1] for r in got] == [f"def function_{i}(x): return x * 2" for i in range(3)]
+    assert cp.snippet_prompts(empty).collect() == []
+    assert cp.snippet_prompts(empty, n=3).collect() == []
+
+
+@pytest.mark.parametrize("quota", [3, 334, 1001, 5000])
+def test_draw_is_the_hash_order_at_any_size(spark, quota):
+    import hashlib
+
+    from concentra.operators.grid import hash_draw
+
+    rows = [("a" if i % 3 else "b", i) for i in range(4000)] + [(None, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, i long")
+    got = {}
+    for r in hash_draw(df, "g", quota, 42, "i").collect():
+        got.setdefault(r.g, []).append((r.draw, r.i))
+    for g in ("a", "b", None):
+        order = sorted((i for h, i in rows if h == g), key=lambda i: (hashlib.md5(f"42|{i}".encode()).hexdigest(), i))
+        assert [i for _, i in sorted(got[g])] == order[:quota]
+        assert [d for d, _ in sorted(got[g])] == list(range(1, len(order[:quota]) + 1))
+
+
+def test_unicode_blanks(spark):
+    df = spark.createDataFrame([(1, "zh", "\u3000今天天气很好。\u3000我们。"), (2, "en", "one\u00a0two three\u2003four five six.\u00a0Next one.")], "doc_id long, lang string, text string")
+    got = [r.sentence for r in cp.split_sentences(df).orderBy("doc_id", "sent_no").collect()]
+    assert got == ["今天天气很好。", "我们。", "one\u00a0two three\u2003four five six.", "Next one."]
+    words = spark.createDataFrame([("a\u00a0b\u3000c d",)], "s string").select(cp.word_count("s").alias("n")).first().n
+    assert words == len("a\u00a0b\u3000c d".split()) == 4
 
 
 def test_quota_strict_raises_when_short(spark):

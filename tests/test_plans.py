@@ -36,9 +36,16 @@ def test_scans_read_only_needed_columns(spark):
     assert schemas == ["struct<l_quantity:double,l_extendedprice:double,l_discount:double>"]
 
 
-def test_rank_filters_become_group_limits(spark):
+def test_draws_rank_within_hash_bins(spark):
     plan = _plan(E.queries()["b10_sample_per_group"](spark, SF_SMALL))
-    assert "WindowGroupLimit" in plan  # per-partition top-n before the shuffle: hot groups never move whole
+    ranks = re.findall(r"Arguments: \[row_number\(\)[^\n]*", plan)
+    assert ranks and all("_bin" in r for r in ranks)  # a group is never ranked as a whole
+
+
+@pytest.mark.parametrize("name", ["f1_ttest_stat", "f2_anova_stat", "e1_intrinsic_fraction", "e3_cohens_d", "e9_temp_response", "e10_spread_comparison"])
+def test_no_ordering_where_no_rank_is_read(spark, name):
+    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    assert "Window" not in plan and "row_number" not in plan
 
 
 def test_metric_is_one_projection(spark):

@@ -36,12 +36,12 @@ def test_global_ordinal_is_sorted_position(spark):
     rng = np.random.default_rng(9)
     pdf = pd.DataFrame({"a": rng.integers(0, 5, 1000), "b": rng.permutation(1000)})
     df = spark.createDataFrame(pdf)
-    got = ordinal.global_ordinal(df, ["a", "b"], name="o", partitions=7).toPandas()
+    got = ordinal.global_ordinal(df, ["a", "b"], name="o", rows_per_range=100).toPandas()
     exp = pdf.sort_values(["a", "b"]).reset_index(drop=True)
     exp["o"] = range(len(exp))
     m = got.merge(exp, on=["a", "b"], suffixes=("", "_exp"))
     assert (m["o"] == m["o_exp"]).all()
-    by = ordinal.global_ordinal(df, ["b"], name="o", by=["a"], partitions=5).toPandas()
+    by = ordinal.global_ordinal(df, ["b"], name="o", by=["a"], rows_per_range=100).toPandas()
     exp2 = pdf.assign(o=pdf.groupby("a")["b"].rank(method="first").astype(int) - 1)
     m2 = by.merge(exp2, on=["a", "b"], suffixes=("", "_exp"))
     assert (m2["o"] == m2["o_exp"]).all()
@@ -62,9 +62,7 @@ def test_lag_pairs_match_shift(spark):
 def test_bucket_expression(spark):
     cuts = [1.0, 2.0, 3.0]
     df = spark.createDataFrame([(0.5,), (1.0,), (2.5,), (3.0,), (9.0,)], "v double")
-    from pyspark.sql import functions as F
-
-    got = [r.b for r in df.select(ordinal.bucket_of(F.col("v"), cuts).alias("b")).collect()]
+    got = [r.b for r in ordinal.with_buckets(df, "v", cuts, "b").orderBy("v").collect()]
     assert got == [0, 1, 2, 3, 3]
 
 
@@ -76,7 +74,7 @@ def test_rank_without_cuts(spark, buckets):
 
 
 def test_global_ordinal_with_aqe_coalescing(spark):
-    """Range partitions merged by AQE stay contiguous: ordinals unchanged."""
+    """Ranges are literals of the plan: merged partitions leave ordinals unchanged."""
     rng = np.random.default_rng(12)
     pdf = pd.DataFrame({"a": rng.integers(0, 50, 5000), "b": rng.permutation(5000)})
     df = spark.createDataFrame(pdf)
@@ -84,7 +82,7 @@ def test_global_ordinal_with_aqe_coalescing(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
     try:
-        got = ordinal.global_ordinal(df, ["a", "b"], name="o").toPandas()
+        got = ordinal.global_ordinal(df, ["a", "b"], name="o", rows_per_range=200).toPandas()
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)

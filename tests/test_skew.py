@@ -19,25 +19,31 @@ def skewed(spark):
 
 def test_grouped_ordinal_with_hot_group(spark, skewed):
     pdf, df = skewed
-    got = ordinal.global_ordinal(df, ["t"], name="o", by=["g"], partitions=6).toPandas()
+    got = ordinal.global_ordinal(df, ["t"], name="o", by=["g"], rows_per_range=200).toPandas()
     exp = pdf.assign(o=pdf.groupby("g")["t"].rank(method="first").astype(int) - 1)
     m = got.merge(exp, on=["g", "t"], suffixes=("", "_exp"))
     assert len(m) == len(pdf) and (m["o"] == m["o_exp"]).all()
 
 
-def test_hot_group_is_spread_over_range_partitions(spark, skewed):
+def test_hot_group_is_spread_over_ranges(spark, skewed):
     _, df = skewed
     from pyspark.sql import functions as F
 
-    parts = (
-        df.repartitionByRange(6, "g", "t")
-        .select("g", F.spark_partition_id().alias("p"))
-        .where(F.col("g") == "hot")
-        .select("p")
-        .distinct()
-        .count()
-    )
-    assert parts >= 2  # the hot group does not sit in one task
+    ranged = ordinal.with_ranges(df, ["g", "t"], rows_per_range=200)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("g") == "hot").alias("hot")).collect()
+    assert sum(r.hot > 0 for r in sizes) >= 4 and max(r.n for r in sizes) < 600
+    # a range is a function of the row, and ascends with the order
+    rows = ranged.orderBy("g", "t").toPandas()
+    assert rows["_range"].is_monotonic_increasing
+
+
+def test_ranges_with_nulls_and_many_cuts(spark):
+    pdf = pd.DataFrame({"a": [None, 1.0, 2.0, None, 1.0] * 200, "b": range(1000)})
+    df = spark.createDataFrame(pdf).selectExpr("if(isnan(a), null, a) as a", "b")
+    got = ordinal.global_ordinal(df, ["a", "b"], name="o", rows_per_range=10).orderBy("o").collect()
+    exp = sorted(((r.a is not None, r.a or 0, r.b) for r in got))
+    assert [(r.a is not None, r.a or 0, r.b) for r in got] == exp
+    assert [r.o for r in got] == list(range(1000))
 
 
 def test_kruskal_and_lag_with_hot_group(spark, skewed):

@@ -1,3 +1,4 @@
+import pytest
 """Sources and sinks: prompt lines, bundles, run tables, reports."""
 
 import os
@@ -85,9 +86,9 @@ def test_write_split_reports_counts(spark):
     rows = [([1.0, 2.0],), ([],), ([float("nan")],)]
     base = io.scratch_dir(spark, "t-split")
     counts = {r.status: r.n for r in io.write_split(spark.createDataFrame(rows, "scores array<double>"),
-                                                     base + "/good", base + "/bad").collect()}
+                                                     base).collect()}
     assert counts == {"good": 1, "bad": 2}
-    assert spark.read.parquet(base + "/bad").count() == 2
+    assert spark.read.parquet(base + "/status=bad").count() == 2
 
 
 def test_write_merged_files_are_in_order(spark):
@@ -106,3 +107,59 @@ def test_write_merged_files_are_in_order(spark):
     assert len(parts) >= 1
     pos = pd.concat([pd.read_parquet(p, columns=["merged_pos"]) for p in parts])["merged_pos"].tolist()
     assert pos == list(range(len(rows)))
+
+
+def test_bundles_as_folders_are_numbered_by_the_folder(spark):
+    base = io.scratch_dir(spark, "t-a4")
+    for n in (5, 12):
+        spark.range(n, numPartitions=2).selectExpr("id as gen_id", "0 as pos", "array(1.0, 2.0) as scores").write.parquet(f"{base}/x_chkpt_{n}.pt")
+    got = {r.bundle_id: r["count"] for r in io.read_scores(spark, f"{base}/x_chkpt_*.pt").groupBy("bundle_id").count().collect()}
+    assert got == {5: 5, 12: 12}
+
+
+def test_bad_bundle_files_are_listed(spark):
+    base = io.scratch_dir(spark, "t-bad")
+    spark.range(4, numPartitions=1).selectExpr("id as gen_id", "array(1.0) as scores").write.parquet(f"{base}/x_chkpt_1.pt")
+    local = base.removeprefix("file:") + "/x_chkpt_2.pt"
+    os.makedirs(local)
+    with open(f"{local}/part-0.parquet", "wb") as f:
+        f.write(b"PAR1 this is no parquet file PAR1")
+    bad = io.bad_files(spark, base).collect()
+    assert [os.path.basename(r.path) for r in bad] == ["part-0.parquet"]
+    good = io.read_scores(spark, f"{base}/x_chkpt_*.pt", skip_bad=True)
+    assert [r.bundle_id for r in good.select("bundle_id").distinct().collect()] == [1]
+
+
+def test_json_line_with_a_rest_is_dropped(spark):
+    lines = ['{"domain":"a","prompt":"b"}', '{"domain":"a","prompt":"b"} trailing', '{"domain":"a","prompt":"b"}} x', '{"domain":"a","prompt":"b"}] x',
+             '{"domain":"a","prompt":"b"},{"domain":"c","prompt":"d"}', '\u3000plain\u00a0']
+    got = [r.prompt for r in io.parse_prompt_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
+    assert got == ["a: b", "plain"]
+
+
+def test_long_bundle_number_is_null(spark):
+    from concentra.functions import parsers as ps
+
+    df = spark.createDataFrame([("x_chkpt_12345678901234567890.pt",), ("x_chkpt_7.pt",)], "p string")
+    assert [r.b for r in df.select(ps.bundle_index("p").alias("b")).collect()] == [None, 7]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from concentra.session import shared_dir
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())

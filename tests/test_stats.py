@@ -180,3 +180,19 @@ def test_empty_input_notes(spark):
     assert st.anova(empty).first().note == "fewer than 2 groups"
     assert st.kruskal(empty).first().note == "fewer than 2 groups"
     assert st.ttest_1samp(empty).first().note == "fewer than 2 values"
+
+
+def test_anova_sums_between_groups_directly(spark):
+    """Large spread, small effect: a difference of sums of squares would lose F."""
+    import numpy as np
+
+    n = 200_000
+    y = 1e6 * np.sin(np.arange(n))
+    g = np.arange(n) % 2
+    df = spark.range(n).selectExpr("1e6 * sin(id) as ned_mean", "cast(id % 2 as double) as temp")
+    got = st.anova(df).first()
+    parts = [y[g == k].astype(np.longdouble) for k in (0, 1)]
+    m = y.astype(np.longdouble).mean()
+    ssb = sum(len(p) * (p.mean() - m) ** 2 for p in parts)
+    ssw = sum(((p - p.mean()) ** 2).sum() for p in parts)
+    assert got.statistic == pytest.approx(float(ssb / (ssw / (n - 2))), rel=1e-6)

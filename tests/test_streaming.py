@@ -60,3 +60,76 @@ def test_merged_comoments_equal_batch(spark):
     assert abs(merged.mean - full.mean) < 1e-9
     assert abs(merged.sd - full.sd) < 1e-9
     assert abs(merged.r_hour - full.r) < 1e-9
+
+
+def _folder(spark, name):
+    """The events as a table of four part files, in event order."""
+    base = scratch_dir(spark, name)
+    ev = table(spark, SF_SMALL, "events")
+    ev.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(os.path.join(base, "events.parquet"))
+    return base, ev
+
+
+def test_streams_read_folder_tables_in_micro_batches(spark):
+    base, ev = _folder(spark, "t-folder")
+    src = ss.parquet_stream(spark, base, "events.parquet", max_files=1)
+    out = ss.run_available(src.select("event_id"), os.path.join(base, "o"), os.path.join(base, "c"))
+    assert out.count() == ev.count() and out.select("batch_id").distinct().count() == 4
+    # The copies arrive in different batches
+    twice = ss.parquet_stream(spark, base, "events.parquet", max_files=1).unionByName(ss.parquet_stream(spark, base, "events.parquet", max_files=2))
+    d = ss.run_available(ss.stream_dedup(twice, ["event_id"], watermark="3650 days").select("event_id"), os.path.join(base, "o5"), os.path.join(base, "c5"))
+    assert d.count() == ev.count() == d.select("event_id").distinct().count()
+    # S3: moments of the batches merge to those of the table
+    m = ss.run_available(ss.parquet_stream(spark, base, "events.parquet", max_files=1), os.path.join(base, "o3"), os.path.join(base, "c3"),
+                         transform=lambda b, i: ss.day_moments(b, i, "value", "ts"))
+    full = ev.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).first()
+    got = ss.merge_moments(m).first()
+    assert got.n == full.n and abs(got.mean - full.mean) < 1e-9 and abs(got.sd - full.sd) < 1e-9
+
+
+def test_late_rows_are_dropped(spark):
+    """A row behind the watermark of an earlier batch does not count; one within it does."""
+    base = scratch_dir(spark, "t-late")
+    path = os.path.join(base, "events.parquet")
+    def part(rows, i):
+        df = spark.createDataFrame(rows, "t string, k string, v double").selectExpr("cast(t as timestamp_ntz) as ts", "k", "v")
+        df.coalesce(1).write.mode("append").parquet(path)
+    for i, rows in enumerate((
+        [("2024-01-01 10:00:00", "a", 1.0), ("2024-01-03 00:00:00", "a", 2.0)],
+        [("2024-01-03 01:00:00", "a", 5.0)],
+        [("2024-01-01 11:00:00", "a", 9.0), ("2024-01-02 23:30:00", "a", 4.0)],
+    )):
+        part(rows, i)
+    src = ss.parquet_stream(spark, base, "events.parquet", max_files=1)
+    mon = ss.monitor(src, "k", "v", window="1 day", watermark="2 hours")
+    sink = ss.run_available(mon, os.path.join(base, "o"), os.path.join(base, "c"), mode="update")
+    final = {r.window_start.strftime("%d"): r.n for r in ss.latest_per_key(sink, ["window_start", "window_end", "k"]).collect()}
+    assert final.get("02") == 1 and final.get("03") == 2
+    assert final["01"] == 1  # the row of 11:00 came a day too late
+
+
+def test_empty_source_gives_an_empty_frame(spark):
+    base = scratch_dir(spark, "t-empty")
+    table(spark, SF_SMALL, "events").limit(0).write.parquet(os.path.join(base, "events.parquet"))
+    for name, f in {
+        "s1": None,
+        "s3": lambda b, i: ss.day_moments(b, i, "value", "ts"),
+    }.items():
+        out = ss.run_available(ss.parquet_stream(spark, base, "events.parquet"), os.path.join(base, name), os.path.join(base, name + "c"), transform=f)
+        assert out.count() == 0 and "batch_id" in out.columns
+    mon = ss.monitor(ss.parquet_stream(spark, base, "events.parquet"), "event_type", "value")
+    assert ss.run_available(mon, os.path.join(base, "s2"), os.path.join(base, "s2c"), mode="update").count() == 0
+
+
+def test_event_time_is_utc_in_any_session_zone(spark):
+    ev = table(spark, SF_SMALL, "events").orderBy("event_id").limit(5)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        got = []
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            e = ss.event_time(ev)
+            got.append([(r.m, r.w) for r in e.select(F.unix_micros("ts").alias("m"), ss.wall_clock("ts").cast("string").alias("w")).collect()])
+        assert got[0] == got[1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

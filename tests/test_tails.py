@@ -1,79 +1,124 @@
-"""Tail functions against textbook quantiles."""
+"""Tails against textbook quantiles, closed forms and the oracle engine's sums."""
 
 import math
 
 import pytest
 
 from concentra.functions import tails as t
+from concentra.plans import sqltails
 
+LN10 = math.log(10)
 
-def p(lp):
-    return math.exp(lp)
 
+def tail(spark, rows, kind="k"):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, k string, statistic double, df1 double, df2 double")
+    return [(r.p_value, r.log10_p) for r in t.with_p_value(df, kind).orderBy("i").collect()]
 
-def test_t_two_sided_quantile():
-    assert p(t.log_t_two_sided(2.228, 10)) == pytest.approx(0.05, abs=2e-4)
-    assert t.t_quantile(0.95, 10) == pytest.approx(2.2281, abs=1e-4)
-    assert p(t.log_t_two_sided(0.0, 5)) == pytest.approx(1.0)
 
+def test_textbook_quantiles(spark):
+    rows = [
+        ("t", 2.228, 10.0, None), ("t", -2.228, 10.0, None), ("f", 3.885, 2.0, 12.0), ("f", 4.964, 1.0, 10.0),
+        ("chi2", 5.991, 2.0, None), ("chi2", 18.307, 10.0, None), ("chi2", 3.841, 1.0, None), ("z", 1.96, None, None),
+    ]
+    for (p, lp), r in zip(tail(spark, rows), rows):
+        assert p == pytest.approx(0.05, abs=2e-4), r
+        assert lp == pytest.approx(math.log10(p))
 
-def test_f_upper():
-    assert p(t.log_f_upper(3.885, 2, 12)) == pytest.approx(0.05, abs=2e-4)
-    assert p(t.log_f_upper(4.964, 1, 10)) == pytest.approx(0.05, abs=2e-4)
 
+def test_closed_forms(spark):
+    rows = [("t", 0.0, 5.0, None), ("t", 1.0, 1.0, None), ("t", 1e8, 1.0, None), ("chi2", 40.0, 2.0, None), ("chi2", 1e-3, 2.0, None),
+            ("f", 1000.0, 2.0, 4.0), ("f", 0.01, 2.0, 4.0), ("z", 1e-3, None, None), ("z", 5.0, None, None)]
+    exact = [1.0, 0.5, 2 / math.pi * math.atan(1e-8), math.exp(-20.0), math.exp(-5e-4), (1 + 500.0) ** -2, (1 + 0.005) ** -2,
+             math.erfc(1e-3 / math.sqrt(2)), math.erfc(5 / math.sqrt(2))]
+    for (p, _), e in zip(tail(spark, rows), exact):
+        assert p == pytest.approx(e, rel=1e-10)
 
-def test_chi2_upper():
-    assert p(t.log_chi2_upper(5.991, 2)) == pytest.approx(0.05, abs=1e-4)
-    assert p(t.log_chi2_upper(18.307, 10)) == pytest.approx(0.05, abs=1e-4)
-    assert p(t.log_chi2_upper(3.841, 1)) == pytest.approx(0.05, abs=1e-4)
 
+def test_log_space_far_out(spark):
+    # P(F(2, d) > x) = (1 + 2 x / d)^(-d / 2)
+    rows = [("f", 1e6, 2.0, d) for d in (9.9e6, 9.999999e6, 1.0000001e7, 1.01e7, 1e9, 1e12)]
+    for (p, lp), (_, x, _, d) in zip(tail(spark, rows), rows):
+        assert p == 0.0 and lp * LN10 == pytest.approx(-d / 2 * math.log1p(2 * x / d), rel=1e-9)
+    z = tail(spark, [("z", 40.0, None, None)])[0][1]
+    assert z == pytest.approx(-349.13597646, abs=1e-6)
 
-def test_normal():
-    assert p(t.log_norm_two_sided(1.96)) == pytest.approx(0.05, abs=1e-4)
-    # far tail stays finite in log space
-    assert t.log_norm_two_sided(40.0) / math.log(10) == pytest.approx(-349.1, abs=0.2)
 
+def test_continuous_in_the_degrees_of_freedom(spark):
+    """Neither near p = 0.05 nor in the far tail is there a step."""
+    dfs = [9.9e6, 9.9999e6, 9.99999e6, 1.000001e7, 1.0001e7, 1.01e7]
+    for kind, x in (("t", 2000.0), ("t", 1.96), ("f", 1e6)):
+        rows = [(kind, x, 2.0, d) if kind == "f" else (kind, x, d, None) for d in dfs]
+        lp = [v for _, v in tail(spark, rows)]
+        steps = [abs(b - a) / abs(d - c) for a, b, c, d in zip(lp, lp[1:], dfs, dfs[1:])]
+        assert max(steps) <= 1.1 * min(steps) + 1e-12
+    chi = [p for p, _ in tail(spark, [("chi2", d + math.sqrt(2 * d), d, None) for d in dfs])]
+    assert all(abs(a - b) < 1e-5 for a, b in zip(chi, chi[1:])) and chi[0] == pytest.approx(0.1587, abs=1e-3)
+    limit = tail(spark, [("t", 1.96, 1e13, None), ("z", 1.96, None, None)])
+    assert limit[0][0] == pytest.approx(limit[1][0], rel=1e-9)
 
-def test_tiny_p_values_in_log_space():
-    # p far below 1e-300 is kept as log10_p
-    lp = t.log_t_two_sided(200.0, 300)
-    assert lp / math.log(10) < -300
-    assert math.isfinite(lp)
 
+def test_undefined_is_null(spark):
+    rows = [("t", None, 3.0, None), ("t", float("nan"), 3.0, None), ("f", 2.0, 0.0, 5.0), ("f", 2.0, 3.0, None), ("t", 2.0, None, None), ("chi2", 2.0, 0.0, None)]
+    assert tail(spark, rows) == [(None, None)] * len(rows)
+    assert tail(spark, [("f", -1.0, 2.0, 5.0), ("chi2", 0.0, 2.0, None)]) == [(1.0, 0.0)] * 2
+
+
+def test_oracle_sums_agree(spark):
+    import duckdb
+
+    rows = [("t", s, d, None) for s in (0.01, 0.7, 3.0, 50.0) for d in (1.0, 7.0, 1e5)]
+    rows += [("f", s, a, b) for s in (0.05, 0.9, 1.1, 20.0) for a in (1.0, 6.0) for b in (2.0, 1e4)]
+    rows += [("chi2", s, d, None) for s in (0.5, 30.0) for d in (1.0, 12.0)] + [("z", 3.3, None, None)]
+    got = tail(spark, rows)
+    values = ", ".join(f"({i}, '{k}', {s}, {a or 'NULL'}, {b or 'NULL'})" for i, (k, s, a, b) in enumerate(rows))
+    src = f"SELECT * FROM (VALUES {values}) v(i, k, statistic, df1, df2)"
+    want = duckdb.sql(f"SELECT p_value, log10_p FROM ({sqltails.with_p(src, 'k')}) ORDER BY i").fetchall()
+    for a, b in zip(got, want):
+        assert a == pytest.approx(b, rel=1e-9, abs=1e-12)
 
-def test_studentized_range():
-    assert t.qtukey(0.95, 3, math.inf) == pytest.approx(3.314, abs=2e-3)
-    assert t.qtukey(0.95, 3, 10) == pytest.approx(3.877, abs=2e-3)
-    assert t.qtukey(0.95, 4, 20) == pytest.approx(3.958, abs=2e-3)
-    assert t.ptukey(3.314, 3, math.inf) == pytest.approx(0.95, abs=1e-3)
 
+def test_ks_tail(spark):
+    n = 10000.0
+    d05 = 1.358 / (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n))
+    df = spark.createDataFrame([(0, d05, n), (1, 0.3, n), (2, 1e-9, 10.0), (3, 0.0099, n), (4, 0.01, n)], "i int, d double, n double")
+    got = [(r.p_value, r.log10_p) for r in t.with_p_value(df, "ks", stat="d", df1="n", df2=None).orderBy("i").collect()]
+    assert got[0][0] == pytest.approx(0.05, abs=2e-3)
+    assert got[1][1] * LN10 == pytest.approx(-1803.67, abs=0.1)  # p itself underflows
+    assert got[2][0] == 1.0
+    assert got[3][0] > got[4][0] > 0.25  # either side of the change of series
 
-def test_ks_tail():
-    # Kolmogorov: P(sqrt(n) D > 1.358) ~ 0.05 for large n
-    n = 10000
-    d = 1.358 / (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n))
-    assert p(t.log_ks_upper(d, n)) == pytest.approx(0.05, abs=2e-3)
 
+def test_normal_cdf(spark):
+    z = [-30.0, -9.0, -7.2, -3.0, -1.0, 0.0, 0.5, 2.0, 8.0]
+    from pyspark.sql import functions as F
 
-def test_dispatch_undefined():
-    assert math.isnan(t.log_p("t", None, 3, None))
-    assert math.isnan(t.log_p("f", 2.0, 0, 5))
+    df = spark.createDataFrame(list(enumerate(z)), "i int, z double")
+    got = [r.c for r in df.select("i", t.norm_cdf(F.col("z")).alias("c")).orderBy("i").collect()]
+    assert got == pytest.approx([0.5 * math.erfc(-x / math.sqrt(2)) for x in z], rel=1e-8)
+
+
+def test_studentized_range():
+    assert t.qtukey(0.95, 3, math.inf) == pytest.approx(3.314, abs=1e-3)
+    assert t.qtukey(0.95, 3, 10) == pytest.approx(3.877, abs=1e-3)
+    assert t.qtukey(0.95, 4, 20) == pytest.approx(3.958, abs=1e-3)
+    assert t.qtukey(0.95, 2, 10) == pytest.approx(3.151, abs=1e-3)
+    assert t.ptukey(3.314, 3, math.inf) == pytest.approx(0.95, abs=1e-3)
+    # two groups: the range of two normals is |z| sqrt(2)
+    for q in (0.5, 3.0, 12.0, 40.0):
+        assert t.log_tukey_upper(q, 2, math.inf) == pytest.approx(math.log(math.erfc(q / 2.0)), rel=1e-9)
 
 
-def test_huge_degrees_of_freedom():
-    # billions of rows: limiting distributions, continuous with the exact ones
-    assert p(t.log_t_two_sided(1.96, 5e9)) == pytest.approx(0.05, abs=1e-4)
-    assert p(t.log_t_two_sided(1.96, 9e6)) == pytest.approx(p(t.log_t_two_sided(1.96, 2e7)), rel=1e-5)
-    assert p(t.log_f_upper(3.0, 2, 5e9)) == pytest.approx(math.exp(-3.0), rel=1e-6)  # chi2(2)/2 tail
-    assert p(t.log_f_upper(3.0, 2, 9e6)) == pytest.approx(p(t.log_f_upper(3.0, 2, 2e7)), rel=1e-5)
-    assert math.isfinite(t.log_t_two_sided(50.0, 3e9))
+def test_studentized_range_far_out():
+    """The tail itself is integrated: no floor, and no step at large degrees of freedom."""
+    far = [t.log_tukey_upper(q, 3, 300) for q in (8.0, 12.0, 40.0)]
+    assert far[0] > far[1] > far[2] and far[2] == pytest.approx(-196.714, abs=0.01)
+    # with two groups Q / sqrt(2) is |t|: P(|t| > 40 / sqrt(2)) at 300 degrees of freedom
+    near = [t.log_tukey_upper(q, 3, 25_000 * f) for q in (3.3, 30.0) for f in (0.99, 1.01)]
+    assert near[0] == pytest.approx(near[1], abs=1e-4) and near[2] == pytest.approx(near[3], rel=1e-3)
+    assert t.log_tukey_upper(3.314, 3, 1e9) == pytest.approx(t.log_tukey_upper(3.314, 3, math.inf), rel=1e-6)
 
 
-def test_chi2_huge_df_is_continuous():
-    # exact just below the switch, Wilson-Hilferty just above: same tail
-    lo, hi = t.LARGE_DF * 0.999999, t.LARGE_DF * 1.000001
-    for dx in (-4000.0, 0.0, 6000.0):
-        exact = p(t.log_chi2_upper(lo + dx, lo))
-        approx = p(t.log_chi2_upper(hi + dx, hi))
-        assert exact == pytest.approx(approx, abs=2e-3)
-    assert p(t.log_chi2_upper(2e7, 2e7)) == pytest.approx(0.5, abs=1e-3)
+def test_studentized_range_of_two_groups_is_t(spark):
+    for q, d in ((3.151, 10.0), (40.0, 300.0)):
+        lp = tail(spark, [("t", q / math.sqrt(2), d, None)])[0][1]
+        assert t.log_tukey_upper(q, 2, d) == pytest.approx(lp * LN10, rel=1e-8)
