@@ -110,6 +110,31 @@ def topk_mass(scores, k: int, temp=None) -> Column:
     return F.aggregate(top, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def topk_masses(scores, ks, temps=(1.0,)) -> Column:
+    """C5 for several k and temperatures: array of struct(temp, m<k>...).
+
+    The order of the entries does not depend on the temperature, so the raw
+    scores are sorted once; each mass is a sum over the head of that order
+    (k clipped to width), and the normaliser is one sum per temperature.
+    """
+    x = _col(scores)
+
+    def head(xs: Column, m: Column, s: Column, t: Column, k: int) -> Column:
+        return F.aggregate(F.slice(xs, 1, int(k)), F.lit(0.0), lambda acc, v: acc + F.exp((v.cast("double") - m) / t)) / F.nullif(s, F.lit(0.0))
+
+    def at_temp(xs: Column, m: Column, temp: float) -> Column:
+        t = F.lit(float(temp))
+        return _bind(
+            _exp_sum(xs, m, t),
+            lambda s: F.struct(t.alias("temp"), *[head(xs, m, s, t, k).alias(f"m{k}") for k in ks]),
+        )
+
+    return _bind(
+        F.sort_array(x, asc=False),
+        lambda xs: _bind(F.get(xs, F.lit(0)).cast("double"), lambda m: F.array(*[at_temp(xs, m, t) for t in temps])),
+    )
+
+
 def entropy_from_ned(ned_col, vocab_size) -> Column:
     """H = (1 - ned) ln V (nats)."""
     v = _col(vocab_size) if isinstance(vocab_size, (str, Column)) else F.lit(float(vocab_size))

@@ -122,11 +122,7 @@ v1k AS (
 )
 def c5_topk_mass(spark, sf_dir):
     """Mean over positions, then over generations (unweighted), per temperature."""
-    d = _v1t(spark, sf_dir).select(
-        "gen_id",
-        "temp",
-        *[metric.topk_mass("scores", k, "temp").alias(f"m{k}") for k in (1, 5, 20)],
-    )
+    d = fx.score_positions(spark, sf_dir).select("gen_id", F.inline(metric.topk_masses("scores", (1, 5, 20), fx.TEMPS)))
     per_gen = d.groupBy("gen_id", "temp").agg(*[F.avg(f"m{k}").alias(f"m{k}") for k in (1, 5, 20)])
     return rounded(
         per_gen.groupBy("temp").agg(*[F.avg(f"m{k}").alias(f"mass_top_{k}") for k in (1, 5, 20)])

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import vocab as vb
+from ..operators.grid import generated_only
 from ..operators.ordinal import materialize
 from ..functions import metric
 from ..functions.parsers import BLANK
@@ -228,12 +229,8 @@ JOIN (SELECT temp, avg(m1) AS mass_top_1, avg(m5) AS mass_top_5, avg(m20) AS mas
 )
 def g8_generated_usage(spark, sf_dir):
     """Usage on the generation side: distinct argmax tokens and top-k mass per temp."""
-    v = fx.score_positions(spark, sf_dir).select("gen_id", fx.temps_col().alias("temp"), "scores")
-    per_pos = v.select(
-        "gen_id",
-        "temp",
-        metric.argmax_token("scores").alias("am"),
-        *[metric.topk_mass("scores", k, "temp").alias(f"m{k}") for k in (1, 5, 20)],
+    per_pos = fx.score_positions(spark, sf_dir).select(
+        "gen_id", metric.argmax_token("scores").alias("am"), F.inline(metric.topk_masses("scores", (1, 5, 20), fx.TEMPS))
     )
     per_gen = per_pos.groupBy("gen_id", "temp").agg(
         F.count(F.lit(1)).alias("seq_len"), *[F.avg(f"m{k}").alias(f"m{k}") for k in (1, 5, 20)]
@@ -248,6 +245,59 @@ def g8_generated_usage(spark, sf_dir):
     return rounded(a.join(b, "temp"))
 
 
+@register(
+    "g8_generated_usage_by_language",
+    """
+WITH v1 AS (
+  SELECT label AS language, CAST(floor(vec_id / 5) AS BIGINT) AS gen_id, vec_id % 5 AS pos, vec_id % 64 AS sampled,
+         list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 20.0) AS scores
+  FROM embeddings),
+kept AS (
+  SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY language, gen_id) AS total FROM v1)
+  WHERE pos >= gen_id % 3 OR total <= gen_id % 3),
+p AS (
+  SELECT language, gen_id, sampled, list_position(scores, list_max(scores)) - 1 AS am,
+         list_reverse_sort(list_transform(scores, lambda v: exp(v - list_max(scores)))) AS w
+  FROM kept),
+m AS (
+  SELECT *, list_sum(w[1:5]) / list_sum(w) AS m5, list_sum(w[1:20]) / list_sum(w) AS m20 FROM p),
+g AS (SELECT language, gen_id, count(*) AS n, avg(m5) AS m5, avg(m20) AS m20 FROM m GROUP BY language, gen_id)
+SELECT a.*, b.mass_top_5, b.mass_top_20, b.mean_gen_tokens, b.n_generations
+FROM (SELECT language, CAST(count(DISTINCT am) AS BIGINT) AS vocab_used_argmax, CAST(count(DISTINCT sampled) AS BIGINT) AS vocab_used_sampled,
+             CAST(count(*) AS BIGINT) AS total_gen_tokens FROM m GROUP BY language) a
+JOIN (SELECT language, avg(m5) AS mass_top_5, avg(m20) AS mass_top_20, avg(n) AS mean_gen_tokens, CAST(count(*) AS BIGINT) AS n_generations
+      FROM g GROUP BY language) b ON a.language = b.language""",
+    doubles=["mass_top_5", "mass_top_20", "mean_gen_tokens"],
+)
+def g8_generated_usage_by_language(spark, sf_dir):
+    """G8 per language, with the prompt positions dropped first and a column of
+    sampled token ids counted (the label plays the language, an id derived from
+    the vector's number the sampled token)."""
+    emb = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 64).alias("sampled"), F.col("label").alias("language"), "vec_id", "embedding")
+    pos = emb.select(
+        "language", "sampled",
+        F.floor(F.col("vec_id") / fx.POSITIONS_PER_GEN).cast("bigint").alias("gen_id"),
+        (F.col("vec_id") % fx.POSITIONS_PER_GEN).cast("int").alias("pos"),
+        F.transform("embedding", lambda x: x.cast("double") * F.lit(fx.GAIN)).alias("scores"),
+    )
+    # the vectors are reduced before anything moves
+    narrow = pos.select(
+        "language", "sampled", "gen_id", "pos", metric.argmax_token("scores").alias("am"), F.inline(metric.topk_masses("scores", (5, 20)))
+    ).withColumn("prompt_n", fx.prompt_positions())
+    kept = generated_only(narrow, ["language", "gen_id"], "pos", "prompt_n")
+    per_gen = kept.groupBy("language", "gen_id").agg(F.count(F.lit(1)).alias("n"), F.avg("m5").alias("m5"), F.avg("m20").alias("m20"))
+    a = kept.groupBy("language").agg(
+        F.countDistinct("am").cast("bigint").alias("vocab_used_argmax"),
+        F.countDistinct("sampled").cast("bigint").alias("vocab_used_sampled"),
+        F.count(F.lit(1)).cast("bigint").alias("total_gen_tokens"),
+    )
+    b = per_gen.groupBy("language").agg(
+        F.avg("m5").alias("mass_top_5"), F.avg("m20").alias("mass_top_20"), F.avg("n").alias("mean_gen_tokens"),
+        F.count(F.lit(1)).cast("bigint").alias("n_generations"),
+    )
+    return rounded(a.join(b, "language"))
+
+
 _SUMMARY_SQL = """
 metric AS (SELECT language, avg(ned_mean) AS ned_mean FROM runs_docs WHERE temp = 1.0 GROUP BY language),
 summary AS (

@@ -117,3 +117,17 @@ def test_counts_metric_equals_vector_metric(spark):
         assert a == pytest.approx(b, abs=1e-12)
     multi = {r.temp: r.ned for r in ned_from_counts_temps(cdf, ["k"], "cnt", (0.7, 1.3)).collect()}
     assert multi[1.3] == pytest.approx(ned_from_counts(cdf, ["k"], "cnt", temp=1.3).first().ned, abs=1e-12)
+
+
+def test_topk_masses_sort_once(spark):
+    """Several k and temperatures from one order equal the single masses."""
+    df = spark.createDataFrame([([0.1, 3.0, -2.0, 1.5],), ([1.0],), ([],), (None,)], "scores array<double>")
+    rows = df.select(
+        metric.topk_masses("scores", (1, 3, 10), (0.5, 2.0)).alias("a"),
+        *[metric.topk_mass("scores", k, t).alias(f"m{k}_{int(t * 10)}") for k in (1, 3, 10) for t in (0.5, 2.0)],
+    ).collect()
+    for r in rows[:2]:
+        for e in r.a:
+            for k in (1, 3, 10):
+                assert e[f"m{k}"] == pytest.approx(r[f"m{k}_{int(e.temp * 10)}"])
+    assert all(e["m1"] is None for r in rows[2:] for e in r.a or [])
