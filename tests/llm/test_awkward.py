@@ -4,7 +4,7 @@ import hashlib
 import zlib
 
 import pytest
-from cases import DOCUMENTS
+from cases import DOCUMENTS, awkward, empty  # noqa: F401 - fixtures
 
 from concentra.llm.queries import QUERIES
 
