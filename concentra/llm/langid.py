@@ -33,12 +33,15 @@ from .words import Piece, code_points, pieces
 
 #: bound of the broadcast model: trigrams over all languages. Past it the
 #: rarest trigrams are left out of the model (their mass goes to the back-off).
-MAX_TRIGRAMS = 8_000_000
+MAX_TRIGRAMS = 2_000_000
 #: standard deviations above the training mean at which a text is rejected,
 #: and the least standard deviation (nats per character) that counts
-Z_REJECT = 8.0
+Z_REJECT = 6.0
 LEAST_SPREAD = 0.25
 
+#: bytes of text looked at once: there are several numbers for every character
+PIECE_BYTES = 1 << 20
+
 _POINTS = 0x110000
 _BITS = 21
 _DENSE = 1 << 22
@@ -197,7 +200,7 @@ def _counter(text: str, lang: str) -> Callable:
     def run(batches):
         for batch in batches:
             langs = np.array(batch.column(lang).to_pylist(), object)
-            for piece in pieces(batch.column(text)):
+            for piece in pieces(batch.column(text), PIECE_BYTES):
                 g = trigrams(piece)
                 of = np.repeat(np.arange(len(g.first) - 1), np.diff(g.first))
                 names, index = np.unique(langs[piece.lo : piece.hi].astype(str), return_inverse=True)
@@ -249,7 +252,7 @@ def _limits(train: DataFrame, model: Model, text: str, lang: str, z: float) -> d
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch.column("text")):
+            for piece in pieces(batch.column("text"), PIECE_BYTES):
                 best, _, ce, count = score_piece(shared.value, piece)
                 ok = best >= 0
                 yield pa.record_batch([pa.array(best[ok], pa.int64()), pa.array(length_class(count[ok]), pa.int64()), pa.array(ce[ok])], ["best", "length", "ce"])
@@ -278,11 +281,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         model = shared.value
         labels = np.array([*model.languages, "und"], object)
+        widest: dict = {}
+        for (b, _), limit in model.limits.items():
+            widest[b] = max(limit, widest.get(b, limit))
         for batch in batches:
-            for piece in pieces(batch.column(at)):
+            for piece in pieces(batch.column(at), PIECE_BYTES):
                 best, posterior, ce, count = score_piece(model, piece)
                 length = length_class(count)
-                over = [b < 0 or c > model.limits.get((b, n), np.inf) for b, n, c in zip(best.tolist(), length.tolist(), ce.tolist(), strict=True)]
+                # a length without training texts takes the language's highest limit
+                over = [b < 0 or c > model.limits.get((b, n), widest.get(b, np.inf)) for b, n, c in zip(best.tolist(), length.tolist(), ce.tolist(), strict=True)]
                 part = batch.slice(piece.lo, piece.hi - piece.lo)
                 yield pa.record_batch([*part.columns, pa.array(labels[best], pa.string()), pa.array(posterior), pa.array(ce), pa.array(over, pa.bool_())], names)
 

@@ -16,7 +16,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 #: words are runs of bytes other than space, tab, LF, VT, FF and CR
 BLANK = np.zeros(256, bool)
@@ -81,6 +81,7 @@ def pieces(column, limit: int = PIECE_BYTES) -> Iterator[Piece]:
         hi = min(max(hi, lo + 1), n)
         yield Piece(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
+    pa.default_memory_pool().release_unused()  # a worker lives on; what a batch needed goes back
 
 
 def mix(h: np.ndarray) -> np.ndarray:
