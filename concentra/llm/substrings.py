@@ -7,11 +7,12 @@ document with a smaller id. All windows are judged on the input.
    windows have equal anchors. Anchors of one text only are left out: (anchor,
    text) rows are sorted by anchor, and a group is read as a stream. The most
    frequent anchors are taken as shared without that (a bounded list).
-2. Documents with shared anchors are cut into segments: runs of windows with the
-   same anchor. Equal texts lie side by side here, so all but the first are
-   settled at once, and of equal segments within a piece only the one with the
-   smallest id goes on. Segments go to shards by anchor; the windows of the most
-   frequent anchors go one by one, by their own hash, so no anchor loads a shard.
+2. Of equal texts (a 128-bit hash) only the first goes on: the others lose every
+   word, or keep all if they are shorter than a window. The first ones with shared
+   anchors are cut into segments: runs of windows with the same anchor. Of equal
+   segments within a piece only the one with the smallest id goes on. Segments go
+   to shards by anchor; the windows of the most frequent anchors go one by one,
+   by their own hash, so no anchor loads a shard.
 3. A shard is sorted by key and read in parts of bounded size that never split a
    key. A part gets an FM-index (suffix order, Burrows-Wheeler transform, wavelet
    matrix). Its segments are streamed against the index: backward search gives the
@@ -31,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +51,11 @@ SPLIT = 2_000
 #: words in a part of a shard that is indexed at once
 PART_WORDS = 1 << 19
 MAX_BROADCAST_IDS = 1_000_000
+#: bytes of text looked at once; equal segments are found within them
+PIECE_BYTES = 4 << 20
 LEAST_ID = -(1 << 63)
 
-_FINAL, _ASK, _PENDING, _GONE = 0, 1, 2, 3
+_ASK, _PENDING, _GONE = 1, 2, 3
 
 
 class Anchors:
@@ -83,7 +87,7 @@ class Anchors:
 def _anchor_rows(batches, window: int, anchor: int):
     """(hash, document index in the piece, piece) of the distinct anchors."""
     for batch in batches:
-        for piece in pieces(batch.column("text")):
+        for piece in pieces(batch.column("text"), PIECE_BYTES):
             words = split_words(piece)
             doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
             found = Anchors(words, window, anchor)
@@ -108,21 +112,47 @@ def _contains(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return sorted_keys[at] == keys
 
 
+def describe(rows: DataFrame) -> DataFrame:
+    """(id, class, text_id, n_words, sha) of every row: a 128-bit hash of the text,
+    and the hash of its words as they are."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch.column("text"), PIECE_BYTES):
+                words, n = split_words(piece), piece.hi - piece.lo
+                raw, bounds = piece.data.tobytes(), piece.offsets.tolist()
+                ids = [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                part = batch.slice(piece.lo, n)
+                sha = kept_hashes(piece, words, np.zeros(len(words.hashes), bool), np.arange(n))
+                yield pa.record_batch([part.column("id"), part.column("class"), pa.array(ids, pa.binary()), pa.array(np.diff(words.first)), pa.array(sha)], ["id", "class", "text_id", "n_words", "sha"])
+
+    return rows.mapInArrow(run, "id bigint, class bigint, text_id binary, n_words bigint, sha string")
+
+
 def shared_anchors(docs: DataFrame, frequent, window: int, anchor: int) -> DataFrame:
-    """(class, anchors) of the texts with anchors that another text has too;
-    without the frequent ones."""
+    """(class, anchors) of the texts with anchors that another text has too; the
+    frequent anchors are not listed, but texts that have one are."""
 
     def emit(batches):
         for batch, piece, hashes, doc in _anchor_rows(batches, window, anchor):
-            rare = ~_contains(frequent.value[0], hashes)
+            often = _contains(frequent.value[0], hashes)
             classes = batch.column("class").slice(piece.lo, piece.hi - piece.lo).to_numpy()
-            yield pa.record_batch([pa.array(hashes[rare].view(np.int64)), pa.array(classes[doc[rare]])], ["anchor", "class"])
+            # one row for a text with frequent anchors, spread by the text
+            marked = classes[np.unique(doc[often])]
+            key = np.concatenate([hashes[~often], mix(marked.view(np.uint64))]).view(np.int64)
+            sure = np.repeat([False, True], [int((~often).sum()), len(marked)])
+            yield pa.record_batch([pa.array(key), pa.array(np.concatenate([classes[doc[~often]], marked])), pa.array(sure)], ["anchor", "class", "sure"])
 
     def several(batches):
         """From rows sorted by (anchor, class): one row per pair, of anchors with
         two classes or more. The last anchor of a batch waits for the next one."""
         open_anchor, waiting, known = None, None, False
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            sure = batch.filter(batch.column("sure"))
+            yield pa.record_batch([sure.column("class"), sure.column("anchor")], ["class", "anchor"])
+            batch = batch.filter(pc.invert(batch.column("sure")))
             if not batch.num_rows:
                 continue
             a, c = batch.column("anchor").to_numpy(), batch.column("class").to_numpy()
@@ -144,17 +174,17 @@ def shared_anchors(docs: DataFrame, frequent, window: int, anchor: int) -> DataF
             yield pa.record_batch([pa.array(c[out]), pa.array(a[out])], ["class", "anchor"])
             open_anchor, waiting, known = a[-1], c[-1], bool(many[-1])
 
-    rows = docs.select("text", "class").mapInArrow(emit, "anchor bigint, class bigint")
+    rows = docs.select("text", "class").mapInArrow(emit, "anchor bigint, class bigint, sure boolean")
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "class")
     pairs = ordered.mapInArrow(several, "class bigint, anchor bigint")
     return pairs.groupBy("class").agg(F.collect_list("anchor").alias("anchors"))
 
 
-_SEGMENTS = "kind int, key bigint, id bigint, class bigint, at int, n int, words binary, n_words bigint, n_removed bigint, sha string"
+_SEGMENTS = "kind int, key bigint, id bigint, class bigint, at int, n int, words binary"
 
 
 def _rows(kind: int, **columns) -> pa.RecordBatch:
-    types = {"key": pa.int64(), "id": pa.int64(), "class": pa.int64(), "at": pa.int32(), "n": pa.int32(), "words": pa.binary(), "n_words": pa.int64(), "n_removed": pa.int64(), "sha": pa.string()}
+    types = {"key": pa.int64(), "id": pa.int64(), "class": pa.int64(), "at": pa.int32(), "n": pa.int32(), "words": pa.binary()}
     size = len(columns["id"])
     arrays = [pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in types.items()]
     return pa.record_batch([pa.array([kind] * size, pa.int32()), *arrays], ["kind", *types])
@@ -185,29 +215,21 @@ def kept_hashes(piece: Piece, words: Words, removed: np.ndarray, which: np.ndarr
 
 
 def _cut(window: int, anchor: int, frequent):
-    """Segments, settled documents and marks of pending ones, from rows (id, text,
-    class, anchors) sorted by class and id."""
+    """Segments, settled windows and marks of pending documents, from rows (id,
+    text, class, anchors) of distinct texts."""
 
     def run(batches):
-        last = None  # class, text and id of the first of the equal texts at hand
         hot, hot_n = frequent.value
         for batch in batches:
             ids = batch.column("id").to_numpy()
             classes = batch.column("class").to_numpy()
             anchors = batch.column("anchors")
             text = batch.column("text")
-            for piece in pieces(text):
+            for piece in pieces(text, PIECE_BYTES):
                 words = split_words(piece)
                 n = piece.hi - piece.lo
                 here, cls = ids[piece.lo : piece.hi], classes[piece.lo : piece.hi]
                 count = np.diff(words.first)
-                copy = np.zeros(n, bool)
-                for d in range(n):
-                    raw = piece.data[piece.offsets[d] : piece.offsets[d + 1]]
-                    if last is not None and last[0] == cls[d] and np.array_equal(last[1], raw):
-                        copy[d] = here[d] > last[2]
-                    else:
-                        last = cls[d], raw.copy(), here[d]
                 found = Anchors(words, window, anchor)
                 doc = np.repeat(np.arange(n), count)
                 start, size = found.runs(doc)
@@ -215,14 +237,11 @@ def _cut(window: int, anchor: int, frequent):
                 hashes = found.hash[start]
                 often = _contains(hot, hashes)
                 ok = often.copy()
-                listed = [anchors[piece.lo + d].values.to_numpy() if anchors[piece.lo + d].is_valid else None for d in range(n)]
                 bounds = np.searchsorted(of, np.arange(n + 1))
                 for d in range(n):
                     a, b = bounds[d], bounds[d + 1]
-                    if copy[d]:
-                        ok[a:b] = False
-                    elif listed[d] is not None and b > a:
-                        ok[a:b] |= np.isin(hashes[a:b].view(np.int64), listed[d])
+                    if b > a:
+                        ok[a:b] |= np.isin(hashes[a:b].view(np.int64), anchors[piece.lo + d].values.to_numpy())
                 start, size, of, hashes, often = start[ok], size[ok], of[ok], hashes[ok], often[ok]
                 # windows of the most frequent anchors one by one
                 if often.any():
@@ -256,14 +275,6 @@ def _cut(window: int, anchor: int, frequent):
                 if pending.any():
                     p = np.flatnonzero(pending)
                     yield _rows(_PENDING, key=mix(here[p].view(np.uint64)).view(np.int64), id=here[p], **{"class": cls[p]})
-                done = np.flatnonzero(~pending)
-                removed = np.zeros(len(words.hashes), bool)
-                removed[copy[doc] & (count[doc] >= window)] = True
-                if len(done):
-                    yield _rows(
-                        _FINAL, key=mix(here[done].view(np.uint64)).view(np.int64), id=here[done], **{"class": cls[done]}, n_words=count[done],
-                        n_removed=np.where(copy[done] & (count[done] >= window), count[done], 0), sha=kept_hashes(piece, words, removed, done),
-                    )
 
     return run
 
@@ -349,7 +360,7 @@ def _finish(window: int):
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch.column("text")):
+            for piece in pieces(batch.column("text"), PIECE_BYTES):
                 words = split_words(piece)
                 n = piece.hi - piece.lo
                 cover = np.zeros(len(words.hashes) + 1, np.int64)
@@ -377,21 +388,27 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(LEAST_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("class", F.xxhash64("text"))
+    texts = stored(describe(rows), "texts")
+    firsts = texts.groupBy("text_id").agg(F.min("id").alias("first"), F.first("class").alias("class"))
     frequent = spark.sparkContext.broadcast(frequent_anchors(rows, window, anchor))
-    shared = stored(shared_anchors(rows, frequent, window, anchor), "shared-anchors")
+    shared = shared_anchors(rows, frequent, window, anchor)
+    # the first document of each text with shared anchors speaks for its copies
+    speak = stored(firsts.join(shared, "class").select(F.col("first").alias("id"), "class", "anchors"), "shared-anchors")
     release(spark)
-    joined = rows.join(shared, "class", "left").select("id", "text", "class", "anchors").sortWithinPartitions("class", "id")
-    segments = joined.mapInArrow(_cut(window, anchor, frequent), _SEGMENTS)
+    segments = rows.join(speak, ["id", "class"]).select("id", "text", "class", "anchors").mapInArrow(_cut(window, anchor, frequent), _SEGMENTS)
     found = segments.repartition("key").sortWithinPartitions("key").mapInArrow(_search(window), _SEGMENTS)
     found = stored(found.drop("key", "words"), "repeats")
     release(spark)
-    gone = found.where(F.col("kind").isin(_GONE, _PENDING)).groupBy("id", "class").agg(F.collect_list(F.when(F.col("kind") == _GONE, F.struct("at", "n"))).alias("gone"))
-    ids = found.where(F.col("kind") == _PENDING).select("id").distinct()
+    gone = found.groupBy("id", "class").agg(F.collect_list(F.when(F.col("kind") == _GONE, F.struct("at", "n"))).alias("gone"))
+    pending = found.where(F.col("kind") == _PENDING).select("id", "class").distinct()
+    ids = pending.select("id").distinct()
     few = ids.count() <= MAX_BROADCAST_IDS  # then only the texts that are needed move
-    texts = rows.join(F.broadcast(ids), "id", "left_semi") if few else rows
-    rest = texts.join(gone, ["id", "class"]).select("id", "text", "gone")
+    some = rows.join(F.broadcast(ids), "id", "left_semi") if few else rows
+    rest = some.join(gone, ["id", "class"]).select("id", "text", "gone")
     rest = rest.mapInArrow(_finish(window), "id bigint, n_words bigint, n_removed bigint, sha string")
-    done = found.where(F.col("kind") == _FINAL).select("id", "n_words", "n_removed", "sha")
+    copy = (F.col("id") > F.col("first")) & (F.col("n_words") >= window)  # of a smaller document: every word is covered
+    done = texts.join(pending, ["id", "class"], "left_anti").join(firsts.select("text_id", "first"), "text_id")
+    done = done.select("id", "n_words", F.when(copy, F.col("n_words")).otherwise(0).alias("n_removed"), F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("sha"))
     return done.unionByName(rest).select(F.when(F.col("id") != LEAST_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
 
 
