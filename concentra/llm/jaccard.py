@@ -4,16 +4,22 @@ Sets of word shingles are linked when ``den * |x & y| >= num * |x | y|``.
 
 1. Equal sets are one class (only the smallest id goes on): copies never meet
    each other.
-2. Every set has a prefix of ``n - ceil(n * num / den) + 1`` tokens in one global
-   order (frequent tokens last, else by hash); linked sets share a prefix token.
-   Tokens of one set only are left out.
-3. Grouping: every set is compared with one pivot per prefix token (the smallest
-   id among the sets of about its size that hold the token); the linked ones
-   form groups of similar documents (connected components). That is linear in
-   the number of tokens, also for groups of many near copies.
+2. With ``o = ceil(n * num / den)``, the least overlap of a set of n tokens with any set
+   it is linked to, and ``l = min(SHARED, o)``, every set has a prefix of ``n - o + l``
+   tokens in one global order (frequent tokens last, else by hash); linked sets
+   share at least the smaller ``l`` of the two in their prefixes. Tokens of one set
+   only are left out, and then sets with fewer than ``l`` tokens left.
+3. Grouping: a token's pivot is, among the sets of about one size that hold it,
+   the one whose prefix tokens are the most common (the text that near copies have
+   in the middle). Every set is compared with the pivots that share enough of its
+   prefix; the linked ones form groups of similar documents (connected
+   components). That is linear in the number of tokens, also for groups of many
+   near copies, and only prepares the exact step.
 4. Token-group matrix: for each (token, group) one entry with the group's sizes.
-   A set is a query for another group only where the matrix has one of its
-   prefix tokens and a compatible size; the smaller group asks the larger one.
+   A set is a query for another group only where the matrix has ``l`` of its
+   prefix tokens at a compatible size; of both prefixes only the part counts that
+   the overlap asked of two sets of these sizes leaves. The smaller group asks
+   the larger one.
    Each group is laid out in blocks of bounded size with the block's token
    union. The number of the query's tokens in the union bounds every overlap
    within; only blocks that reach the least overlap are opened, and their
@@ -39,12 +45,17 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .folders import stored
+from .frequent import most_frequent, release
 from .registry import read_table, register
 from .words import pieces, split_words, windows
 
 #: how many frequent tokens the global order knows (8 MB); it only decides in
 #: which order tokens are tried, not which links are found
 MAX_FREQUENT = 1_000_000
+#: prefix tokens that linked sets share at least (fewer for very small sets)
+SHARED = 2
+#: ids up to which the driver lets a table of ids be broadcast (8 MB)
+MAX_BROADCAST_IDS = 1_000_000
 #: tokens in a block of a group (and in a block of queries)
 BLOCK_TOKENS = 1 << 18
 
@@ -85,23 +96,13 @@ def frequent_tokens(docs: DataFrame, k: int, most: int = MAX_FREQUENT) -> tuple[
                     tokens, n = np.unique(np.concatenate(sets), return_counts=True)
                     yield pa.record_batch([pa.array(tokens[n > 1].view(np.int64)), pa.array(n[n > 1])], ["token", "n"])
 
-    counts = stored(docs.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")), "frequent")
-    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).limit(10_000).collect()
-    total, least = 0, None
-    for r in sizes:
-        if total + r.c > most:
-            break
-        total, least = total + r.c, r.n
-    if not total:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    table = counts.where(F.col("n") >= least).toArrow()
-    tokens = table.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], table.column("n").to_numpy()[order]
+    counts = docs.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return most_frequent(counts, most)
 
 
 def prefix(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
-    size = len(tokens) - least_overlap(len(tokens), num, den) + 1
+    least = least_overlap(len(tokens), num, den)
+    size = len(tokens) - least + min(SHARED, least)
     if not len(frequent):
         return tokens[:size]
     at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
@@ -147,8 +148,10 @@ def token_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                     ["id", "n", "tokens"],
                 )
 
-    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "id bigint, n bigint, tokens binary").dropDuplicates(["id"])
+    ids = ids.select(F.col("id").alias("doc_id"))
+    few = ids.count() <= MAX_BROADCAST_IDS  # then the texts need not move
+    wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return wanted.mapInArrow(run, "id bigint, n bigint, tokens binary")
 
 
 def _pair_links(num: int, den: int):
@@ -220,6 +223,7 @@ def _open_groups(asks: DataFrame, groups: DataFrame, sets: DataFrame, num: int,
     right = asks.join(plan, "comp").withColumn("part", spread("parts", 2)).withColumn("block", every("blocks"))
     keys = ["comp", "block", "part"]
     left, right = left.select(*keys, "id", "tokens"), right.select(*keys, "id", "tokens")
+    release(sets.sparkSession)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_group_links(num, den), "u bigint, v bigint")
 
 
@@ -231,35 +235,56 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
     classes = stored(classes, "set-classes")
 
     ratio = float(np.log(den / num))
-    tokens = classes.where("id is not null").select("id", "n", F.floor(F.log("n") / ratio).cast("int").alias("size_class"), F.explode("prefix").alias("token"))
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    tokens = classes.where("id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    overlap = lambda n: F.ceil(n * num / F.lit(den))  # noqa: E731  with anything linked to a set of n tokens
+    least = lambda n: F.least(F.lit(SHARED), overlap(n))
+    behind = lambda n: overlap(n) - least(n)  # noqa: E731  tokens behind the prefix
+    joint = lambda n, m: F.ceil((n + m) * num / F.lit(num + den))  # noqa: E731  overlap of linked sets of n and m tokens
     shared = stored(tokens.join(common, "token"), "shared-tokens")
-
-    pivots = shared.groupBy("token", "size_class").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    pairs = shared.join(pivots.drop("c"), ["token", "size_class"]).where("id != v").select(F.col("id").alias("u"), "v").distinct()
-    pairs = stored(pairs, "pivot-pairs")
-    full = stored(token_sets(docs, shared.select("id").distinct(), k), "token-sets")
+    release(docs.sparkSession)
+    n = F.col("n")
+    able = shared.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("s"), F.first("n").alias("n"))
+    able = able.where(F.col("k") >= least(n)).select("id", (F.col("s") / (n - behind(n))).alias("w"))
+    size_class = F.floor(F.log("n") / ratio).cast("int").alias("size_class")
+    shared = stored(shared.join(able, "id").select("id", "n", "pos", "token", "w", size_class), "shared-tokens")
+    release(docs.sparkSession)
+    pivots = shared.groupBy("token", "size_class").agg(F.max_by("id", "w").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    pairs = shared.join(pivots.drop("c"), ["token", "size_class"]).where("id != v").groupBy(F.col("id").alias("u"), "v", "n").count()
+    # a set's tokens may have different pivots, so half of what a link implies is asked for
+    enough = F.greatest(least(n), (joint(n, n) - behind(n)) / 2)
+    pairs = stored(pairs.where(F.col("count") >= enough).select("u", "v"), "pivot-pairs")
+    ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "pivot-ids")
+    full = stored(token_sets(docs, ids, k), "token-sets")
     side = lambda c: full.select(F.col("id").alias(c), F.col("tokens").alias(f"tokens_{c}"))
     links = pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_pair_links(num, den), "u bigint, v bigint")
     links = stored(links, "pivot-links")
+    release(docs.sparkSession)
 
     grouped = components(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
-    grouped = stored(shared.select("id").distinct().join(grouped, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "groups")
+    members = shared.select("id").distinct().join(grouped, "id", "left")
+    grouped = stored(members.select("id", F.coalesce("comp", "id").alias("comp")), "groups")
     sizes = grouped.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    rows = stored(shared.join(grouped, "id").join(sizes, "comp").select("token", "id", "n", "comp", "size"), "token-groups")
-    matrix = rows.groupBy("token", "comp", "size").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
+    rows = stored(shared.join(grouped, "id").join(sizes, "comp").select("token", "id", "n", "pos", "comp", "size"), "token-groups")
+    matrix = rows.groupBy("token", "comp", "size").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("pos").alias("pos_min"))
     many = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    matrix = matrix.join(many, "token", "left_semi").select("token", F.col("comp").alias("other"), F.col("size").alias("other_size"), "n_min", "n_max")
+    matrix = matrix.join(many, "token", "left_semi").select("token", F.col("comp").alias("other"), F.col("size").alias("other_size"), "n_min", "n_max", "pos_min")
+    n_min, n_max = F.col("n_min"), F.least("n_max", F.floor(n * den / F.lit(num)))
     asks = (
         rows.join(many, "token", "left_semi").join(matrix, "token")
         .where("comp != other and (size < other_size or size = other_size and comp > other)")
         .where(f"{den} * n >= {num} * n_min and {num} * n <= {den} * n_max")
-        .select("id", F.col("other").alias("comp"), (F.col("size") + F.col("other_size") == 2).alias("alone")).distinct()
+        .where((F.col("pos") < n - joint(n, n_min) + least(n)) & (F.col("pos_min") < n_max - joint(n, n_min) + F.lit(SHARED)))
+        .groupBy("id", "n", F.col("other").alias("comp"), (F.col("size") + F.col("other_size") == 2).alias("alone"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min("n_min").alias("n_min"))
+        .where(F.col("c") >= F.least(least(n), least(n_min))).select("id", "comp", "alone")
     )
     # two single sets that were a pivot pair are known not to be linked
     tested = pairs.select(F.greatest("u", "v").alias("id"), F.least("u", "v").alias("comp"), F.lit(True).alias("alone"))
     asks = stored(asks.join(tested, ["id", "comp", "alone"], "left_anti").select("id", "comp"), "group-queries")
-    more = stored(_open_groups(asks, grouped, full, num, den), "group-links")
+    asked = grouped.join(asks.select("comp").distinct(), "comp", "left_semi").select("id").unionByName(asks.select("id")).distinct()
+    rest = stored(token_sets(docs, stored(asked.join(ids, "id", "left_anti"), "query-ids"), k), "token-sets")
+    more = stored(_open_groups(asks, grouped, full.unionByName(rest), num, den), "group-links")
 
     found = components(links.unionByName(more)).select(F.col("node").alias("id"), "component")
     ids = classes.select("set_id", "id").join(found, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
