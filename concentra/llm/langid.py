@@ -4,9 +4,11 @@ One model of order three per language. Texts are lower-cased, every run of
 non-letters becomes one blank, and a blank stands before and after a text.
 Trigram counts are gathered from ALL training texts (counted per piece in
 numpy, summed in Spark); continuation counts, discounts and back-off weights
-follow from them. A model is a set of sorted key arrays with values beside
-them, read by binary search. The language with the lowest cross-entropy per
-character wins. Rejection is calibrated on the training texts: a text goes
+follow from all of them by groupBy in Spark. A model is a set of sorted key
+arrays with values beside them, in one file that every machine gets and maps,
+read by binary search: neither the driver nor a worker holds it as a whole, and
+its size is bounded by the trigrams there are. The language with the lowest
+cross-entropy per character wins. Rejection is calibrated on the training texts: a text goes
 when its cross-entropy exceeds the mean of training texts of that language and
 length class by ``z`` standard deviations.
 
@@ -18,22 +20,27 @@ id may be null; other columns pass through untouched.
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .folders import stored
 from .registry import read_table, register
 from .words import Piece, code_points, pieces
 
-#: bound of the broadcast model: trigrams over all languages. Past it the
-#: rarest trigrams are left out of the model (their mass goes to the back-off).
-MAX_TRIGRAMS = 2_000_000
+#: rows of the model that pass through the driver at once, on their way to the file
+SLICE_ROWS = 1_000_000
 #: standard deviations above the training mean at which a text is rejected,
 #: and the least standard deviation (nats per character) that counts
 Z_REJECT = 6.0
@@ -164,12 +171,37 @@ def log_probability(model: KneserNey, keys: np.ndarray) -> np.ndarray:
     return np.log(p)
 
 
+@lru_cache(maxsize=2)
+def _opened(path: str, sizes: tuple, floors: tuple) -> tuple[KneserNey, ...]:
+    """The models in a file: the sorted keys of every level of every language,
+    then the values of all. The file is mapped, not read."""
+    rows = sum(map(sum, sizes))
+    keys = np.memmap(path, "<i8", "r", 0, (rows,))
+    values = np.memmap(path, "<f8", "r", 8 * rows, (rows,))
+    parts, at = [], 0
+    for levels, floor in zip(sizes, floors, strict=True):
+        arrays = []
+        for n in levels:
+            arrays += [keys[at : at + n].view(np.ndarray), values[at : at + n].view(np.ndarray)]
+            at += n
+        parts.append(KneserNey(*arrays, floor))
+    return tuple(parts)
+
+
 class Model(NamedTuple):
     languages: tuple[str, ...]
-    parts: tuple[KneserNey, ...]
+    #: name among the files of the application, rows of each level by language,
+    #: probability of a character never seen by language
+    file: str
+    sizes: tuple[tuple[int, ...], ...]
+    floors: tuple[float, ...]
     #: (language, length class) -> highest accepted cross-entropy
     limits: dict
 
+    @property
+    def parts(self) -> tuple[KneserNey, ...]:
+        return _opened(SparkFiles.get(self.file), self.sizes, self.floors) if self.languages else ()
+
 
 def length_class(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
@@ -182,7 +214,7 @@ def score_piece(model: Model, piece: Piece):
     count = np.diff(g.first)
     total = np.zeros((len(model.languages), n))
     some = count > 0
-    for i, part in enumerate(model.parts):
+    for i, part in enumerate(model.parts):  # one language's values at a time
         table = np.zeros(g.size, np.float32)
         table[g.used] = log_probability(part, g.keys)
         if some.any():
@@ -221,13 +253,77 @@ def count_trigrams(train: DataFrame, text: str = "text", lang: str = "lang") ->
     return rows.mapInArrow(_counter("text", "lang"), "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", z: float = Z_REJECT, max_trigrams: int = MAX_TRIGRAMS) -> Model:
+def _spark_discount(entries: DataFrame) -> DataFrame:
+    """``_discount`` of each language: (lang, d)."""
+    one, two = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+    d = F.when(one > 0, one / (one + 2 * two)).otherwise(F.lit(0.5))
+    return entries.groupBy("lang").agg(F.least(F.greatest(d, F.lit(0.1)), F.lit(0.9)).alias("d"))
+
+
+def _spark_level(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``_level`` of all languages: (lang, key, value) of entries and of contexts."""
+    entries = entries.withColumn("c", F.shiftright("key", _BITS))
+    ctx = entries.groupBy("lang", "c").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k"))
+    ctx = ctx.join(F.broadcast(_spark_discount(entries)), "lang")
+    share = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("t")
+    shares = entries.join(ctx, ["lang", "c"]).select("lang", "key", share.alias("value"))
+    return shares, ctx.select("lang", F.col("c").alias("key"), (F.col("d") * F.col("k") / F.col("t")).alias("value"))
+
+
+def _tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``fit_language`` makes, of all languages: (lang, level, key, value)
+    with the levels in the order of ``KneserNey``, and (lang, floor)."""
+    bi = counts.groupBy("lang", F.col("key").bitwiseAND((1 << (2 * _BITS)) - 1).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    uni = bi.groupBy("lang", F.col("key").bitwiseAND((1 << _BITS) - 1).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    alphabet = uni.select("key").distinct().count() + 1
+    totals = uni.groupBy("lang").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k")).join(_spark_discount(uni), "lang")
+    floors = totals.select("lang", "d", "t", (F.col("d") * F.col("k") / F.col("t") / F.lit(alphabet)).alias("floor"))
+    ends = uni.join(F.broadcast(floors), "lang").select("lang", "key", ((F.col("n") - F.col("d")) / F.col("t") + F.col("floor")).alias("value"))
+    levels = [*_spark_level(counts), *_spark_level(bi), ends]
+    levels = [x.select("lang", F.lit(i).alias("level"), "key", "value") for i, x in enumerate(levels)]
+    return reduce(DataFrame.unionAll, levels), floors.select("lang", "floor")
+
+
+def _packed(batches):
+    for batch in batches:
+        keys, values = batch.column(0).to_numpy().astype("<i8"), batch.column(1).to_numpy().astype("<f8")
+        yield pa.record_batch([pa.array([keys.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["k", "v"])
+
+
+def _to_file(counts: DataFrame) -> Model:
+    """The models of all languages, in a file of the application. The rows pass
+    through the driver in sorted slices and are held there one slice at a time."""
+    spark = counts.sparkSession
+    table, floors = _tables(counts)
+    table = stored(table, "langid-model")
+    rows = {(r["lang"], r["level"]): r["n"] for r in table.groupBy("lang", "level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not rows:
+        return Model((), "", (), (), {})
+    floors = {r["lang"]: r["floor"] for r in floors.collect()}  # one row per language
+    names = tuple(sorted(floors))
+    sizes = tuple(tuple(rows[x, level] for level in range(5)) for x in names)
+    order = ["lang", "level", "key"]
+    slices = table.repartitionByRange(-(-sum(rows.values()) // SLICE_ROWS), *order).sortWithinPartitions(*order)
+    folder = tempfile.mkdtemp(prefix="concentra-langid-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors ask for it until then
+    path = os.path.join(folder, os.path.basename(folder))
+    with open(path, "wb") as keys, open(path, "r+b") as values:
+        values.seek(8 * sum(rows.values()))
+        for row in slices.select("key", "value").mapInArrow(_packed, "k binary, v binary").toLocalIterator():
+            keys.write(row.k)
+            values.write(row.v)
+    spark.sparkContext.addFile(path)
+    return Model(names, os.path.basename(path), sizes, tuple(floors[x] for x in names), {})
+
+
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", z: float = Z_REJECT, max_trigrams: int | None = None) -> Model:
     """Models of all languages and their rejection limits, from all rows of
-    ``train``. What comes to the driver is bounded by ``max_trigrams``."""
+    ``train`` and all their trigrams. Only a caller who names ``max_trigrams``
+    gets a model without the rarest ones."""
     counts = count_trigrams(train, text, lang).persist()
     try:
         least = 1
-        if (size := counts.count()) > max_trigrams:
+        if max_trigrams is not None and (size := counts.count()) > max_trigrams:
             by_n = counts.groupBy("n").count().orderBy(F.desc("n")).limit(max_trigrams)
             kept, least = 0, None
             for row in by_n.toLocalIterator():
@@ -235,14 +331,9 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", z: float = Z_R
                     break
                 kept, least = kept + row["count"], row["n"]
             least = least or size
-        table = counts.where(F.col("n") >= least).toArrow()
+        model = _to_file(counts.where(F.col("n") >= least) if least > 1 else counts)
     finally:
         counts.unpersist()
-    langs = np.array(table.column("lang").to_pylist(), object)
-    keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-    names = tuple(sorted(set(langs)))
-    alphabet = len(np.unique(keys & ((1 << _BITS) - 1))) + 1
-    model = Model(names, tuple(fit_language(keys[langs == x], n[langs == x], alphabet) for x in names), {})
     return model._replace(limits=_limits(train, model, text, lang, z))
 
 

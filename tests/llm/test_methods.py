@@ -453,6 +453,31 @@ def test_op9_rejects_other_scripts_and_scores_nothing_unseen(spark):
     assert {r.lang_pred for r in langid.identify(odd.where("doc_id = 2"), small).collect()} == {"en"}
 
 
+def test_op9_keeps_a_rare_language_beside_large_ones(spark):
+    """Many trigrams of large languages (more than the old bound of 2,000,000)
+    take nothing from a rare one, and the model is that of all counts."""
+    from concentra.llm import langid
+
+    fi = ["hyvää huomenta kaikille ystäville", "tänään on kaunis päivä metsässä"]
+    rare = spark.createDataFrame([(t, "fi") for t in fi], "text string, lang string")
+    # made-up words of 20,000 letters: about 2.1 million trigrams, each of them twice
+    letters = np.random.default_rng(0).integers(0x4E00, 0x4E00 + 20_000, (4200, 500)).tolist()
+    large = spark.createDataFrame([("".join(map(chr, x)), "zz") for x in letters], "text string, lang string").repartition(8)
+    train = rare.unionAll(large).unionAll(large)
+    assert langid.count_trigrams(train).where("n > 1").count() > 2_000_000
+    asked = spark.createDataFrame([(1, "kaunis huomenta ystäville"), (2, fi[0])], "doc_id long, text string")
+    alone, beside = langid.fit(rare), langid.fit(train)
+    assert alone.languages == ("fi",) and beside.languages == ("fi", "zz")
+    assert [r.lang_pred for r in langid.identify(asked, beside).orderBy("doc_id").collect()] == ["fi", "fi"]
+    for name in ("tri", "tri_p", "ctx2", "ctx2_w", "bi", "bi_p", "ctx1", "ctx1_w", "uni"):
+        assert np.array_equal(getattr(alone.parts[0], name), getattr(beside.parts[0], name))
+    alphabet = len(np.unique(np.concatenate([p.uni for p in beside.parts]))) + 1
+    rows = langid.count_trigrams(rare).collect()
+    truth = langid.fit_language(np.array([r.key for r in rows]), np.array([r.n for r in rows]), alphabet)
+    for got, want in zip(beside.parts[0], truth):
+        assert np.allclose(got, want, rtol=1e-12, atol=0)
+
+
 # ------------------------------------------------------------------ op 10
 
 
