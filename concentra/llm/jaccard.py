@@ -293,10 +293,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
     )
 
 
-def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` without the documents that aren't the smallest of their component."""
-    gone = found.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One row of ``docs`` of each group of near copies: the one with the smallest
+    doc_id, null ids last, then by a hash of id and text.
+
+    Rows without id and rows that share an id are judged by themselves, by their
+    texts (known by a 64-bit hash of id and text). Of rows with one id and one
+    text, one is kept: the one with the smallest hash of all columns. Rows
+    without a word are copies of nothing and all stay."""
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
+    ids = stored(ids.where("__n > 1").select("doc_id", F.lit(True).alias("__own")), "repeated-ids")
+    keyed = docs.join(ids, "doc_id", "left").withColumn("__own", F.col("doc_id").isNull() | F.coalesce("__own", F.lit(False)))
+    row = F.when(F.col("__own"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("bigint"))
+    keyed = keyed.withColumn("__row", row).select(*docs.columns, "__own", "__row")
+    found = near_duplicates(keyed, k, num, den, key="__row").where("n_shingles > 0")
+    found = stored(found.select(F.col("doc_id").alias("__row"), "component_id"), "near-copies")
+    own = stored(keyed.where("__own").groupBy("__row").agg(F.first("doc_id").alias("__id"), F.count(F.lit(1)).alias("__n")), "rows-by-text")
+    known = found.join(own.withColumn("__own", F.lit(True)), "__row", "left")
+    name = F.when(F.col("__own"), F.col("__id")).otherwise(F.col("__row"))
+    best = known.groupBy("component_id").agg(F.min(F.struct(name.isNull(), name, F.col("__row").alias("row"))).alias("b"))
+    gone = found.select("__row").distinct().join(best.select(F.col("b.row").alias("__row")), "__row", "left_anti")
+    kept = keyed.join(gone, "__row", "left_anti")
+    twice = own.where("__n > 1").join(found, "__row", "left_semi").select("__row")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    cells = [F.col(f"`{c}`") for c in docs.columns]
+    one = kept.join(twice, "__row", "left_semi").groupBy("__row").agg(F.min_by(F.struct(*cells), F.xxhash64(*cells)).alias("__r"))
+    return kept.join(twice, "__row", "left_anti").select(*docs.columns).unionByName(one.select("__r.*"))
 
 
 ORACLE_OP8 = r"""

@@ -29,8 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard
-    0.8 or more): the one with the smallest id."""
-    return jaccard.keep_one(docs, jaccard.near_duplicates(docs, k=5, num=4, den=5))
+    0.8 or more): the one with the smallest id, rows without id last."""
+    return jaccard.keep_one(docs, k=5, num=4, den=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -561,6 +561,25 @@ def test_op10_round_trip(spark):
 # ------------------------------------------------------------------ pipeline
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    from concentra.llm.jaccard import keep_one
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [
+        (3, a, "x"), (None, a, "x"), (None, a, "y"), (7, a + " more", "x"),  # one group with an id
+        (4, b, "x"), (4, b, "x"), (4, b, "y"),  # one document, repeated
+        (5, a, "x"), (5, c, "x"),  # one id, two texts: the first is a copy
+        (None, d, "x"), (None, d + " more", "x"), (None, d, "x"),  # a group without ids
+        (None, "", "x"), (None, None, "x"), (8, "", "x"),  # no words
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == len(set(got)) == 7
+    assert set(got) - {(None, d), (None, d + " more")} == {(3, a), (4, b), (5, c), (None, ""), (None, None), (8, "")}
+
+
 def test_pipeline_against_brute_force(spark):
     """Every stage on its own input, and the whole."""
     import corpus_pipeline
