@@ -8,7 +8,10 @@ sidebars, ...), and hidden ones. Every paragraph gives points for its length
 and its commas, all of them to its parent, half of them to the next ancestor
 and less to those above. A container's points are discounted by the share of
 its text that is within links. The best container is kept, with those of its
-siblings that score well or read like text.
+siblings that score well or read like text. If it lies in an article or main
+element, the headings and the parts with few links beside it and beside its
+ancestors, up to the outermost such element, are kept too; so are its own
+siblings if none of them holds a link.
 
 A block is a run of text between block-level boundaries; two line breaks in a
 row end a block, one is white space. White space in a block becomes one blank.
@@ -194,6 +197,13 @@ def _blocks(root: Node):
 
 _START = {"article": 10.0, "main": 8.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "address": -3.0}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 th".split())
+#: share of linked text below which a part of an article is text
+_LOW_LINK = 0.25
+
+
+def _beside(node: Node) -> list[Node]:
+    """The siblings that hold text of kept parts."""
+    return [n for n in node.parent.children if isinstance(n, Node) and not n.dropped and n is not node and n.length] if node.parent is not None else []
 
 
 def extract(html: str | None) -> list[str]:
@@ -225,13 +235,21 @@ def extract(html: str | None) -> list[str]:
     kept = {id(best)}
     if best.parent is not None:
         least = max(10.0, 0.2 * score.get(id(best), 0.0))
-        for node in best.parent.children:
-            if not isinstance(node, Node) or node.dropped or node is best or not node.length:
-                continue
+        for node in _beside(best):
             density = node.linked / node.length
             if score.get(id(node), 0.0) >= least or node.tag == "p" and (node.length > 80 and density < 0.25 or node.length <= 80 and not density):
                 kept.add(id(node))
-    return [text for owner, text, _ in blocks if any(id(n) in kept for n in _up(owner))]
+    path = [n for n in _up(best) if n.parent is not None]
+    top = max((i for i, n in enumerate(path) if n.tag in ("article", "main")), default=0)
+    for node in path[:top]:
+        kept.update(id(n) for n in _beside(node) if n.tag in _HEADINGS or n.linked < _LOW_LINK * n.length)
+    if not top and best.tag not in ("article", "main") and not any(n.linked for n in _beside(best)):
+        kept.update(id(n) for n in _beside(best))
+    around = {id(n) for n in path[1 : top + 1]}  # text that stands in these themselves
+    return [
+        text for owner, text, linked in blocks
+        if id(owner) in around and linked < _LOW_LINK * len(text) or any(id(n) in kept for n in _up(owner))
+    ]
 
 
 def main_text(pages: DataFrame, html: str = "html", name: str = "main_text") -> DataFrame:

@@ -252,6 +252,17 @@ def test_op4_leaves_out_what_is_no_article():
     assert extract("a < b <!-- c <p>d</p> --> e") == ["a < b e"]
 
 
+def test_op4_keeps_what_stands_beside_the_body_of_an_article():
+    from concentra.llm.html_text import extract
+
+    body = [f"Paragraph {i}, with some words, and more." for i in range(20)]
+    inner = "<div class=body>" + "".join(f"<p>{x}</p>" for x in body) + "</div>"
+    links = "<ul><li><a href=a>Other story</a></li><li><a href=b>Next story</a></li></ul>"
+    page = f"<body><div>Site</div><article><h1>T</h1>By line<div>{inner}<div><p>short</p></div></div><div>{links}</div><h2><a href=#n>Notes</a></h2><div><p>end</p></div></article></body>"
+    assert extract(page) == ["T", "By line", *body, "short", "Notes", "end"]
+    assert extract(f"<body><div><h1>T</h1>{inner}<div><p>short</p></div></div><div>{links}</div></body>") == ["T", *body, "short"]
+
+
 # ------------------------------------------------------------------ op 5
 
 
