@@ -4,7 +4,10 @@ A page is read into a tree of elements (with the implied ends that browsers
 assume, so unclosed paragraphs are no trouble). Subtrees that can't be part of
 an article are left out: by element (scripts, styles, menus, footers, asides,
 forms, ...), by what class, id and role say (adverts, notices, comments,
-sidebars, ...), and hidden ones. Every paragraph gives points for its length
+sidebars, ...), and hidden ones. A name alone does not drop an element with
+more than half of the page's text outside links (comments apart), and if what
+is kept is less than a tenth of that text, the page is scored again without the
+names, those of comments last. Every paragraph gives points for its length
 and its commas, all of them to its parent, half of them to the next ancestor
 and less to those above. A container's points are discounted by the share of
 its text that is within links. The best container is kept, with those of its
@@ -16,8 +19,8 @@ siblings if none of them holds a link.
 A block is a run of text between block-level boundaries; two line breaks in a
 row end a block, one is white space. White space in a block becomes one blank.
 
-Defined cases: a null or empty page, or one without text outside the dropped
-parts, has the empty text; equal containers: the first of the page wins; text
+Defined cases: a null or empty page, or one without text outside the parts
+dropped by element or hidden, has the empty text; equal containers: the first of the page wins; text
 that stands in no paragraph counts as one; repeated rows are answered each;
 other columns are ignored; an empty table gives an empty result.
 """
@@ -64,35 +67,42 @@ _UNLIKELY = frozenset(
     "masthead footer comment comments commentlist disqus discussion reply replies respond related recommended recommendations share sharing social "
     "widget login signin signup register search pagination pager toolbar copyright legal disclaimer complementary contentinfo".split()
 )
+_COMMENTS = frozenset("comment comments commentlist disqus discussion reply replies respond".split())
+#: share of the page's text above which a name drops nothing, and share of it
+#: that is too little to be the whole article
+_MOST, _LITTLE = 0.5, 0.1
 _KEEPS = frozenset("with has no without".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "points", "dropped", "length", "linked")
+    __slots__ = ("tag", "parent", "children", "points", "dropped", "named", "length", "linked")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list = []  # nodes and strings; None: a line break
         self.points = 0.0
         self.dropped = False
+        self.named = ""  # what dropped it, if only a name did: "part" or "comments"
         self.length = self.linked = 0
 
 
-def _unlikely(attributes: str) -> bool:
+def _unlikely(attributes: str) -> str:
+    """"hidden", or what the first unlikely name stands for, or nothing."""
+    found = ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         value = values[0] or values[1] or values[2]
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return "hidden"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role"):
+            return "hidden"
+        if name in ("class", "id", "role") and found != "comments":
             for word in value.split():
                 parts = [p.lower() for p in _PARTS.findall(word)]
                 if parts and not _KEEPS.intersection(parts) and (parts[0] in _UNLIKELY or parts[-1] in _UNLIKELY):
-                    return True
-    return False
+                    found = "comments" if _COMMENTS.intersection((parts[0], parts[-1])) else found or "part"
+    return found
 
 
 def parse(html: str) -> Node:
@@ -134,7 +144,10 @@ def parse(html: str) -> Node:
             continue
         node = Node(tag, here)
         inside = any(n.tag in ("article", "main") for n in _up(here))
-        node.dropped = tag in _DROPPED or tag == "header" and not inside or (tag not in ("html", "body", "article", "main") and bool(attributes) and _unlikely(attributes))
+        node.dropped = tag in _DROPPED or tag == "header" and not inside
+        if not node.dropped and attributes and tag not in ("html", "body", "article", "main"):
+            why = _unlikely(attributes)
+            node.dropped, node.named = bool(why), why if why != "hidden" else ""
         here.children.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
@@ -206,11 +219,52 @@ def _beside(node: Node) -> list[Node]:
     return [n for n in node.parent.children if isinstance(n, Node) and not n.dropped and n is not node and n.length] if node.parent is not None else []
 
 
+def _plain(root: Node) -> tuple[int, list[tuple[Node, int]]]:
+    """Characters outside links of the page, without what an element or hiding
+    drops and without comments; and those of each part dropped by name."""
+    named, total = [], 0
+    stack = [(root, False, False)]  # (node, in a link or comments, left)
+    open_at: list[tuple[Node, int]] = []
+    while stack:
+        node, aside, left = stack.pop()
+        if left:
+            if node.named:
+                named.append((node, total - open_at.pop()[1]))
+            continue
+        if node.named:
+            open_at.append((node, total))
+        stack.append((node, aside, True))
+        aside = aside or node.named == "comments" or node.tag == "a"
+        for child in reversed(node.children):
+            if isinstance(child, str):
+                total += 0 if aside else len(" ".join(child.split()))
+            elif child is not None and (not child.dropped or child.named):
+                stack.append((child, aside, False))
+    return total, named
+
+
 def extract(html: str | None) -> list[str]:
     """Blocks of the page's main text, in page order."""
     if not html:
         return []
     root = parse(html)
+    total, named = _plain(root)
+    for node, size in named:
+        if size > _MOST * total:
+            node.dropped = False
+    texts = _main(root)
+    for kinds in (("part",), ("part", "comments")):
+        if not any(n.dropped for n, _ in named) or texts and (sum(map(len, texts)) >= _LITTLE * total or "comments" in kinds):
+            break
+        root = parse(html)
+        total, named = _plain(root)
+        for node, _ in named:
+            node.dropped = node.named not in kinds
+        texts = _main(root)
+    return texts
+
+
+def _main(root: Node) -> list[str]:
     blocks = _blocks(root)
     seen: dict[int, Node] = {}
     for owner, text, linked in blocks:

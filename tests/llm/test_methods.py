@@ -263,6 +263,22 @@ def test_op4_keeps_what_stands_beside_the_body_of_an_article():
     assert extract(f"<body><div><h1>T</h1>{inner}<div><p>short</p></div></div><div>{links}</div></body>") == ["T", *body, "short"]
 
 
+def test_op4_names_of_layout_drop_no_page():
+    from concentra.llm.html_text import extract
+
+    body = [f"Paragraph {i}, with some words, and more." for i in range(5)]
+    text = "".join(f"<p>{x}</p>" for x in body)
+    notice = "<div class=cookie-notice><p>We use cookies, a lot.</p></div>"
+    comments = "<section id=comments>" + "<p>Nice, really, great, wow, long, comment, more</p>" * 30 + "</section>"
+    for name in ("content sidebar-right", "header-fixed"):
+        assert extract(f"<body>{notice}<div class='{name}'>{text}</div></body>") == body
+        assert extract(f"<body><div class='{name}'><div id=x>{text}</div>{notice}{comments}</div></body>") == body
+    assert extract(f"<body><div>{text}</div>{comments}{notice}</body>") == body
+    # two named halves: neither holds most, but nothing else is there
+    assert extract(f"<body><div class=header-a>{text}</div><div class=header-b>{text}</div></body>") == body * 2
+    assert extract(f"<body><div hidden>{text}</div><p style='display:none'>x</p></body>") == []
+
+
 # ------------------------------------------------------------------ op 5
 
 
