@@ -83,8 +83,9 @@ def _place(salt: str, epoch, key):
 
 def mix(docs: DataFrame, repeats: float | None = REPEATS, target_entropy: float | None = None, budget: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` as the mixture takes them, one row per time taken, with ``mix_epoch``
-    (0: first pass), ``mix_block`` and ``mix_weight`` (of the source) appended."""
-    added = ["mix_epoch", "mix_block", "mix_weight"]
+    (0: first pass), ``mix_block``, ``mix_place`` (orders the documents of a block
+    in that pass) and ``mix_weight`` (of the source) appended."""
+    added = ["mix_epoch", "mix_block", "mix_place", "mix_weight"]
     docs = docs.select(*[c for c in docs.columns if c not in added])
     n_tokens = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
@@ -125,14 +126,15 @@ def mix(docs: DataFrame, repeats: float | None = REPEATS, target_entropy: float
     ends = stored(ends, "mix-ends")
     part = slim.where("rest > 0").withColumn("_b", F.pmod(_place("block", F.col("whole"), F.col("_i")), F.col("blocks")).cast("int"))
     part = part.join(ends, ["_s", "_b"]).withColumn("_q", place)
-    part = part.where("not cut or _q < _p or (_q = _p and _i <= _e)").withColumn("mix_epoch", F.col("whole")).withColumn("mix_block", F.col("_b"))
+    part = part.where("not cut or _q < _p or (_q = _p and _i <= _e)").withColumn("mix_epoch", F.col("whole")).withColumn("mix_block", F.col("_b")).withColumn("mix_place", F.col("_q"))
     whole = slim.where("whole > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
     whole = whole.withColumn("mix_block", F.pmod(_place("block", F.col("mix_epoch"), F.col("_i")), F.col("blocks")).cast("int"))
-    columns = [*docs.columns, "mix_epoch", "mix_block", F.col("w").alias("mix_weight")]
+    whole = whole.withColumn("mix_place", _place("place", F.col("mix_epoch"), F.col("_i")))
+    columns = [*docs.columns, "mix_epoch", "mix_block", "mix_place", F.col("w").alias("mix_weight")]
     return whole.select(*columns).unionByName(part.select(*columns))
 
 
 @register("op3_source_mixing")
 def op3_source_mixing(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "source", "mix_epoch", "mix_block", "mix_weight")
+    return mix(docs).select("doc_id", "source", "mix_epoch", "mix_block", "mix_place", "mix_weight")

@@ -225,6 +225,18 @@ def test_op3_budgets(spark, monkeypatch):
     assert 990 <= sum(len(r.text.split()) for r in part) <= 1000 + 11 * len(tokens)
 
 
+def test_op3_places_order_every_pass(spark):
+    from concentra.llm import mixing as m
+
+    docs = spark.createDataFrame([(i, "w " * 20, "a" if i % 10 else "b") for i in range(200)], "doc_id long, text string, source string")
+    orders = {}
+    for r in m.mix(docs, repeats=2.0).collect():
+        orders.setdefault((r.source, r.mix_epoch, r.mix_block), []).append((r.mix_place, r.doc_id))
+    assert all(len({p for p, _ in x}) == len(x) for x in orders.values())  # no ties in a block
+    first, second = ([i for _, i in sorted(orders["b", e, 0])] for e in (0, 1))
+    assert sorted(first) == list(range(0, 200, 10)) and first != sorted(first) and first != second
+
+
 # ------------------------------------------------------------------ op 4
 
 
