@@ -44,6 +44,23 @@ DOCUMENTS = [
 CLASHING = ["id", "key", "class", "score", "lang_pred", "component_id", "n", "n_words", "mix_epoch", "row", "kind", "tokens", "held_out", "x", "y", "_s", "_key", "main_text"]
 
 
+def vector(seed, n=64):
+    rnd = random.Random(seed)
+    return [rnd.gauss(0, 0.2) for _ in range(n)]
+
+
+NAN = float("nan")
+VECTORS = [
+    *[(i, vector(i), i % 7) for i in range(1, 60)],
+    *[(i, vector(77), None) for i in range(100, 141)],  # copies
+    (40, vector(500), 1), (40, vector(500), 1), (20, vector(501), 1),  # repeated ids
+    (None, vector(600), 1), (None, None, None),
+    (200, None, 1), (220, [], 1), (240, [0.0] * 64, 1), (260, [NAN, *vector(3, 63)], 1), (280, [None, *vector(3, 63)], 1),
+    (300, [float("inf"), *vector(3, 63)], 1), (320, vector(8, 5), 1), (321, vector(9, 5), 1), (340, vector(10, 65), 1),
+    (-20, [1e-42] * 64, 1), (360, [-1e3] * 64, 1), (361, [1e-3] + [0.0] * 63, 1),
+]
+
+
 def tables(spark, folder, rows):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("bigint"))
     for c in CLASHING:
@@ -58,6 +75,8 @@ def tables(spark, folder, rows):
     spark.createDataFrame(labels if some else [], "doc_id bigint, quality int, toxic int").withColumn("x", F.lit("clash")).write.parquet(f"{folder}/labels.parquet")
     bench = [(1, ITEM), (2, None), (3, ""), (None, "two words"), (4, ITEM)]
     spark.createDataFrame(bench if some else [], "item_id bigint, text string").withColumn("doc_id", F.lit(1)).write.parquet(f"{folder}/benchmark.parquet")
+    vectors = spark.createDataFrame(VECTORS if some else [], "vec_id bigint, embedding array<float>, label int")
+    vectors.withColumn("row", F.lit("clash")).withColumn("part", F.lit("clash")).withColumn("x", F.lit(1)).withColumn("score", F.lit("clash")).repartition(3).write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 

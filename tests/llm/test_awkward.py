@@ -4,7 +4,7 @@ import hashlib
 import zlib
 
 import pytest
-from cases import DOCUMENTS, awkward, empty  # noqa: F401 - fixtures
+from cases import DOCUMENTS, VECTORS, awkward, empty  # noqa: F401 - fixtures
 
 from concentra.llm.queries import QUERIES
 
@@ -16,7 +16,7 @@ def rows(spark, name, folder):
 
 
 def test_one_query_for_each_operator():
-    assert [int(n[2:].split("_")[0]) for n in NAMES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in NAMES] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -135,6 +135,35 @@ def test_op10(spark, awkward):
     assert all(r["n_tokens"] == 1 and r["ids_crc32"] == zlib.crc32(b"\0\0\0\0") for r in empty)
 
 
+def test_op11(spark, awkward):
+    from brute import filter_audit
+
+    found = rows(spark, "op11_filter_audit", awkward)
+    docs = [(d[0], d[1], d[3]) for d in DOCUMENTS]
+    labels = [(i, int(i % 2), 0) for i in range(1, 15)] + [(2, None, None), (None, 1, 0), (3, 1, 1), (77, 0, 0)]
+    keys = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    assert sorted(tuple(r[k] for k in keys) for r in found) == filter_audit(docs, labels)
+    assert len(found) == 600 * len({d[3] or "" for d in DOCUMENTS})
+
+
+def test_op12(spark, awkward):
+    from brute import neighbours
+
+    found = rows(spark, "op12_nearest_neighbours", awkward)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == neighbours(VECTORS, lambda i: i % 20 == 0, 20)
+    assert {r["vec_id"] for r in found if r["query_id"] == 320} == {321}
+    assert not {r["query_id"] for r in found} & {200, 220, 240, 260, 280, 300, 340, None}
+
+
+def test_op13(spark, awkward):
+    from brute import clusters
+
+    found = rows(spark, "op13_centroid_clustering", awkward)
+    got = sorted(((r["vec_id"], r["cluster"], r["distance"], r["cluster_inertia"], r["inertia"], r["centroid_sha256"]) for r in found), key=str)
+    assert got == sorted(clusters(VECTORS), key=str)
+    assert sum(r["vec_id"] is None for r in found) == 1
+
+
 @pytest.mark.parametrize("kind", ["awkward", "empty"])
 def test_pipeline(spark, tmp_path, request, kind):
     import corpus_pipeline

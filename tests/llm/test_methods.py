@@ -636,3 +636,145 @@ def test_pipeline_against_brute_force(spark):
     assert names == ["language_id", "near_duplicates", "decontamination", "source_mixing", "token_output"]
     clean = {r.doc_id for r in stage["decontamination"](spark, docs, SF_SMALL).collect()}
     assert {r.doc_id for r in out.collect()} == kept & clean
+
+
+# ------------------------------------------------------------------ op 11
+
+
+def test_op11_removals_are_the_rows_not_only_counts(spark):
+    from concentra.llm.filter_audit import removals
+
+    rows = spark.createDataFrame([(i, "p") for i in range(32)], "row bigint, part string")
+    fails = {f: spark.createDataFrame([(i,) for i in range(32) if i >> n & 1], "row bigint") for n, f in enumerate("ABCDE")}
+    got = sorted((r["filter"], r["before"], r["row"]) for r in removals(rows, fails).collect())
+    # row i fails the filters that are set in i
+    assert got == [(f, s, i) for f in range(5) for s in range(32) if not s >> f & 1 for i in range(32) if i >> f & 1 and not i & s]
+
+
+def test_op11_plan_has_no_task_of_one_text(spark, tmp_path):
+    from concentra.llm.filter_audit import failing, judged
+
+    docs = spark.createDataFrame([(i, "same text", "s") for i in range(300)] + [(1000 + i, f"t{i}", None) for i in range(9)], "doc_id bigint, text string, source string")
+    fails = failing(judged(docs))
+    assert fails["E"].count() == 299 and fails["A"].count() == 309 and fails["C"].count() == 0
+
+
+# ------------------------------------------------------------------ op 12
+
+
+@pytest.mark.parametrize("dim", [3, 64, 1500])
+def test_int8_tiles_bound_the_product(dim):
+    from concentra.llm.neighbours import exact, quantise, tile
+
+    rng = np.random.default_rng(dim)
+    a, b = rng.normal(size=(40, dim)) * rng.lognormal(size=(40, 1)), rng.normal(size=(50, dim)) ** 3
+    (p, s, n, r), (q, t, m, u) = quantise(a), quantise(b)
+    whole = tile(p, q)
+    assert (whole == p.astype(np.int64) @ q.astype(np.int64).T).all()
+    gap = np.abs(whole * s[:, None] * t - a @ b.T)
+    assert (gap <= n[:, None] * u + r[:, None] * (m + u) + 1e-9).all()
+    assert exact(a[:7], b[:7]).tolist() == [sum_in_order(x, y) for x, y in zip(a[:7].tolist(), b[:7].tolist())]
+
+
+def sum_in_order(x, y):
+    s = 0.0
+    for a, b in zip(x, y):
+        s += a * b
+    return s
+
+
+@pytest.mark.parametrize("kind", ["random", "copies", "double"])
+def test_op12_equals_brute_force(spark, monkeypatch, kind):
+    from brute import neighbours
+
+    from concentra.llm import neighbours as nn
+
+    monkeypatch.setattr(nn, "BLOCK", 40)
+    monkeypatch.setattr(nn, "STRIPE", 9)
+    monkeypatch.setattr(nn, "SEED_EVERY", 3)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 12)).astype(np.float32)
+    if kind == "copies":  # a third are one vector, many more are near it
+        x[::3] = x[0]
+        x[1::3] = x[0] + (rng.integers(-1, 2, x[1::3].shape) * 1e-3).astype(np.float32)
+    vectors = [(int(i), v.tolist()) for i, v in zip(rng.permutation(400), x)]
+    frame = spark.createDataFrame(vectors, f"vec_id bigint, vector array<{'double' if kind == 'double' else 'float'}>").repartition(5)
+    import pyspark.sql.functions as F
+
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in nn.nearest(frame, F.col("vec_id") % 10 == 0, 7).collect())
+    assert got == neighbours(vectors, lambda i: i % 10 == 0, 7)
+
+
+def test_op12_computes_few_pairs_exactly():
+    from concentra.llm import neighbours as nn
+
+    rng = np.random.default_rng(1)
+    key, pairs = (pa.scalar(0),), 0
+    pack = nn._packer(21)
+
+    def block(n, first):
+        table = pa.table({"vec_id": np.arange(first, first + n), "vector": pa.array(rng.normal(size=(n, 64)).astype(np.float32).tolist(), pa.list_(pa.float32()))})
+        return nn.Block(pack(key, table).to_pylist()[0], np.float32)
+
+    heaps = nn.Heaps(block(200, 100_000), 20, None)
+    plain = heaps._push
+
+    def count(i, j, b):
+        nonlocal pairs
+        pairs += len(i)
+        plain(i, j, b)
+
+    heaps._push = count
+    for n in range(6):
+        heaps.show(block(2000, n * 2000))
+    assert 200 * 20 <= pairs < 0.06 * 200 * 12_000
+
+
+def test_op12_plan_has_no_cross_join_and_no_broadcast_of_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from concentra.llm.neighbours import nearest
+
+    rows = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    plan = nearest(rows, F.col("vec_id") % 20 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "Broadcast" not in plan
+
+
+# ------------------------------------------------------------------ op 13
+
+
+def test_bounds_are_below_distances_and_save_most_of_them():
+    from concentra.llm import centroids as cc
+
+    rng = np.random.default_rng(2)
+    axes = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    spread = np.exp(-np.arange(64) / 6)
+    groups = rng.integers(-60, 60, (16, 64)) * spread
+    x = np.floor(groups[rng.integers(0, 16, 3000)] + rng.normal(size=(3000, 64)) * spread * 9).astype(np.int64)
+    c = x[:16].copy()
+    c[5] = c[3]  # equal centroids: the smaller number
+    lead, rest = cc.rotated(x, axes, 12)
+    c_lead, c_rest = cc.rotated(c, axes, 12)
+    true = ((x[:, None] - c) ** 2).sum(axis=2)
+    bound = ((lead[:, None] - c_lead) ** 2).sum(axis=2) + (rest[:, None] - c_rest) ** 2
+    assert (bound <= true * (1 + 1e-9) + 1e-6).all()
+    cluster, distance, checked = cc.nearest_centroid(x, lead, rest, c, c_lead, c_rest)
+    assert (cluster == true.argmin(axis=1)).all() and (distance == true.min(axis=1)).all() and 5 not in cluster
+    assert checked <= x.shape[0] * 16
+
+
+def test_op13_equals_brute_force(spark):
+    import brute
+
+    from concentra.llm.centroids import clusters
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8)) * 3
+    x[::3] = x[0]
+    vectors = [(int(i), v) for i, v in enumerate(x.astype(np.float32).tolist())]
+    frame = spark.createDataFrame(vectors, "vec_id bigint, vector array<float>").repartition(7)
+    rows, centroids = clusters(frame, k=9, rounds=4, dim=8, scale=100, leading=3)
+    expected = brute.clusters(vectors, k=9, rounds=4, dim=8, scale=100)
+    assert sorted((r.vec_id, r.cluster, r.distance) for r in rows.collect()) == sorted(e[:3] for e in expected)
+    names = {hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()}
+    assert {e[5] for e in expected} <= names
