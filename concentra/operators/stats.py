@@ -5,7 +5,11 @@ Every test returns a statistics frame with the columns of ``STAT_COLS``
 input (too few rows or groups, zero variance) gives a NULL statistic and a
 ``note``, never an error: ANSI division by zero is avoided with ``nullif``.
 
-NaN in the value column is turned into NULL at the door (nan_policy 'omit').
+Missing values (NULL or NaN; a file of runs cannot tell them apart) follow
+``nan_policy``. With "omit" (the default) they are left out. With "propagate" F1, F2,
+F2p, F4, F6 and F7 give a NULL result and a note as soon as one value they would read
+is missing; F3, F5 and F8 drop incomplete rows or pairs under either policy. The flag is
+one more aggregate beside the moments, so the policy costs no pass.
 """
 
 from __future__ import annotations
@@ -17,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions.tails import tukey_quantile_udf, with_p_value
 from .ordinal import materialize, with_ranges
-from .ranks import average_ranks, value_counts
+from .regress import ols_slope
+from .ranks import average_ranks
 
 STAT_COLS = ["test_id", "statistic", "df1", "df2", "estimate", "n", "note"]
 
@@ -44,6 +49,34 @@ def _nz(c: Column) -> Column:
     return F.nullif(c, F.lit(0.0))
 
 
+POLICIES = ("omit", "propagate")
+MISSING = "missing values"
+
+
+def _spoils(nan_policy: str, *cols: str) -> Column:
+    """True for a row whose missing values make the result NULL."""
+    if nan_policy not in POLICIES:
+        raise ValueError(f"nan_policy is one of {POLICIES}, not {nan_policy!r}")
+    if nan_policy == "omit":
+        return F.lit(False)
+    out = F.lit(False)
+    for c in cols:
+        x = F.col(c).cast("double")
+        out = out | x.isNull() | F.isnan(x)
+    return out
+
+
+def _unless(spoiled: Column, parts: tuple, applies: Column | None = None) -> tuple:
+    """The parts of a result row, with NULLs and a note where ``spoiled``; a test that does
+    not apply at all keeps its own note."""
+    bad = F.coalesce(spoiled, F.lit(False))
+    if applies is not None:
+        bad = bad & applies
+    statistic, df1, df2, estimate, n, note = parts
+    keep = lambda c: F.when(~bad, c)
+    return keep(statistic), keep(df1), keep(df2), keep(estimate), n, F.when(bad, F.lit(MISSING)).otherwise(note)
+
+
 def _row(test_id: str, statistic, df1, df2, estimate, n, note) -> list[Column]:
     return [
         F.lit(test_id).alias("test_id"),
@@ -72,42 +105,45 @@ def with_p(stats: DataFrame) -> DataFrame:
 
 
 def ttest_1samp(
-    df: DataFrame, y: str = "ned_mean", mu: float = 0.0, test_id: str = "F1", groups: Sequence[str] = ()
+    df: DataFrame, y: str = "ned_mean", mu: float = 0.0, test_id: str = "F1", groups: Sequence[str] = (), nan_policy: str = "omit"
 ) -> DataFrame:
     """one-sample t-test against ``mu`` (per ``groups`` when given)."""
     m = df.groupBy(*groups).agg(
         F.count(_num(y)).alias("n"),
         F.avg(_num(y)).alias("mean"),
         F.stddev_samp(_num(y)).alias("sd"),
+        F.bool_or(_spoils(nan_policy, y)).alias("spoiled"),
     )
     t = (F.col("mean") - F.lit(mu)) / _nz(F.col("sd") / F.sqrt(F.col("n")))
     note = F.when(F.col("n") < 2, F.lit("fewer than 2 values")).when(
         F.col("sd") == 0, F.lit("zero variance")
     )
-    return m.select(
-        *groups, *_row(test_id, F.when(F.col("n") >= 2, t), F.col("n") - 1, _null(), F.col("mean"), F.col("n"), note)
-    )
+    parts = F.when(F.col("n") >= 2, t), F.col("n") - 1, _null(), F.col("mean"), F.col("n"), note
+    return m.select(*groups, *_row(test_id, *_unless(F.col("spoiled"), parts)))
 
 
 # --- F2 and post-hoc ---------------------------------------------------------
 
 
-def group_moments(df: DataFrame, y: str, by: str, groups: Sequence[str] = ()) -> DataFrame:
-    """n, mean, var_samp per non-null level of ``by`` (within ``groups``)."""
+def group_moments(df: DataFrame, y: str, by: str, groups: Sequence[str] = (), nan_policy: str = "omit") -> DataFrame:
+    """n, mean, var_samp per non-null level of ``by`` (within ``groups``), and whether a
+    missing value spoils the level."""
+    spoils = _spoils(nan_policy, y)
     return (
-        df.select(*groups, F.col(by).alias("level"), _num(y).alias("y"))
-        .where(F.col("level").isNotNull() & F.col("y").isNotNull())
+        df.select(*groups, F.col(by).alias("level"), _num(y).alias("y"), spoils.alias("spoils"))
+        .where(F.col("level").isNotNull() & (F.col("y").isNotNull() | F.col("spoils")))
         .groupBy(*groups, "level")
         .agg(
-            F.count(F.lit(1)).alias("n"),
+            F.count("y").alias("n"),
             F.avg("y").alias("mean"),
             F.var_samp("y").alias("var"),
+            F.bool_or("spoils").alias("spoiled"),
         )
     )
 
 
 def anova(
-    df: DataFrame, y: str = "ned_mean", by: str = "temp", test_id: str = "F2", groups: Sequence[str] = ()
+    df: DataFrame, y: str = "ned_mean", by: str = "temp", test_id: str = "F2", groups: Sequence[str] = (), nan_policy: str = "omit"
 ) -> DataFrame:
     """One-way F over the levels of ``by`` (NULL levels dropped), per ``groups``.
 
@@ -116,15 +152,16 @@ def anova(
     difference of total and within sums would cancel).
     """
     gs = list(groups)
-    g = group_moments(df, y, by, gs)
+    g = group_moments(df, y, by, gs, nan_policy)
     one = F.lit(1).alias("_one")  # without groups the totals are one row: joined on a constant
-    total = g.groupBy(*gs).agg(F.sum("n").alias("_total"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_grand"))
+    total = g.groupBy(*gs).agg(F.sum("n").alias("_total"), (F.sum(F.col("n") * F.col("mean")) / _nz(F.sum("n"))).alias("_grand"))
     wide = g.select("*", one).join(total.select("*", one), [*gs, "_one"])
     s = wide.groupBy(*gs).agg(
         F.count(F.lit(1)).alias("k"),
         F.max("_total").alias("total"),
         F.sum(F.col("n") * (F.col("mean") - F.col("_grand")) ** 2).alias("ssb"),
         F.sum(F.coalesce(F.col("var"), F.lit(0.0)) * (F.col("n") - 1)).alias("ssw"),
+        F.bool_or("spoiled").alias("spoiled"),
     )
     k, n = F.col("k"), F.coalesce("total", F.lit(0))
     ok = (k >= 2) & (n > k)
@@ -132,22 +169,24 @@ def anova(
     note = F.when(k < 2, F.lit("fewer than 2 groups")).when(n <= k, F.lit("no within-group df")).when(
         F.col("ssw") == 0, F.lit("zero within-group variance")
     )
-    return s.select(*groups, *_row(test_id, F.when(ok, f), k - 1, n - k, _null(), n, note))
+    return s.select(*groups, *_row(test_id, *_unless(F.col("spoiled"), (F.when(ok, f), k - 1, n - k, _null(), n, note))))
 
 
 def tukey_hsd(
-    df: DataFrame, y: str = "ned_mean", by: str = "temp", alpha: float = 0.05, groups: Sequence[str] = (), baseline=None
+    df: DataFrame, y: str = "ned_mean", by: str = "temp", alpha: float = 0.05, groups: Sequence[str] = (), baseline=None,
+    nan_policy: str = "omit",
 ) -> DataFrame:
     """F2p: all pairs of levels, meandiff = mean(group2) - mean(group1); with
     ``baseline`` only the pairs of that level with every other (linear in the levels).
 
     Tukey-Kramer standard error for unequal sizes; p from the studentized
-    range with k groups and N - k df; confidence limits at 1 - alpha.
+    range with k groups and N - k df; confidence limits at 1 - alpha. A spoiled level
+    (nan_policy) takes the common variance with it: no pair has more than a difference.
     Without a baseline the levels (a small set: one row each) are gathered into
     one sorted array to form the pairs.
     """
     gs = list(groups)
-    g = group_moments(df, y, by, gs)
+    g = group_moments(df, y, by, gs, nan_policy).withColumn("mean", F.when(~F.col("spoiled"), F.col("mean")))
     level = F.struct("level", "n", "mean", "var")
     s = g.groupBy(*gs).agg(
         F.array_sort(F.collect_list(level)).alias("groups") if baseline is None
@@ -155,9 +194,10 @@ def tukey_hsd(
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("N"),
         F.sum(F.coalesce(F.col("var"), F.lit(0.0)) * (F.col("n") - 1)).alias("ssw"),
+        F.bool_or("spoiled").alias("spoiled"),
     ).where(F.col("k") > 2)
     s = s.withColumn("df", (F.col("N") - F.col("k")).cast("double")).withColumn(
-        "msw", F.col("ssw") / _nz(F.col("df"))
+        "msw", F.when(~F.col("spoiled"), F.col("ssw") / _nz(F.col("df")))
     )
     s = s.withColumn("q_crit", tukey_quantile_udf(F.lit(1.0 - alpha), F.col("k"), F.col("df")))
     if baseline is None:
@@ -176,7 +216,7 @@ def tukey_hsd(
         others = g.where(F.col("level") != F.lit(baseline)).select(*gs, one, level.alias("other"))
         j = others.join(s.where(F.col("base").isNotNull()).select("*", one), [*gs, "_one"])
         p = j.select(*gs, "k", "df", "msw", "q_crit", F.struct(F.col("base").alias("g1"), F.col("other").alias("g2")).alias("pr"))
-    se = F.sqrt(F.col("msw") / 2.0 * (1.0 / F.col("pr.g1.n") + 1.0 / F.col("pr.g2.n")))
+    se = F.sqrt(F.col("msw") / 2.0 * (1.0 / _nz(F.col("pr.g1.n")) + 1.0 / _nz(F.col("pr.g2.n"))))
     diff = F.col("pr.g2.mean") - F.col("pr.g1.mean")
     out = p.select(
         *gs,
@@ -248,21 +288,33 @@ def ols(
     extra: DataFrame | None = None,
     test_id: str = "F3",
     transform: str | None = None,
+    groups: Sequence[str] = (),
 ) -> DataFrame:
-    """F3 (E7 with transform='ln'): slope t-test of y ~ x on complete rows.
+    """F3 (E7 with transform='ln'): slope t-test of y ~ x on complete rows, per ``groups``.
 
-    ``extra`` runs are added by name for this test only.
+    ``extra`` runs are added for this test only, and to every group: their moments are
+    one row, merged with the moments of each group.
     """
-    src = df if extra is None else df.unionByName(extra, allowMissingColumns=True)
-    data = _complete(src, [y, x])
-    if transform == "ln":
-        data = data.where(F.col(x) > 0).withColumn(x, F.log(F.col(x)))
-    m = data.agg(*_moment_aggs(y, x))
-    return m.select(*_ols_cols(y, x, test_id))
-
+    gs = list(groups)
 
-def _pearson_cols(test_id: str, gate: Column | None = None) -> list[Column]:
-    return _row(test_id, *_pearson_parts(gate))
+    def moments(src: DataFrame, keys: list[str]) -> DataFrame:
+        xx = _num(x) if transform != "ln" else F.when(_num(x) > 0, F.log(_num(x)))
+        data = src.select(*keys, _num(y).alias("_y"), xx.alias("_x"))
+        means = [F.avg(F.when(F.col("_x").isNotNull(), F.col("_y"))).alias("my"), F.avg(F.when(F.col("_y").isNotNull(), F.col("_x"))).alias("mx")]
+        return data.groupBy(*keys).agg(*_moment_aggs("_y", "_x"), *means)
+
+    m = moments(df, gs)
+    if extra is not None:
+        one = F.lit(1).alias("_one")  # one row beside every group
+        more = moments(extra, []).select(one, *[F.col(c).alias(f"e_{c}") for c in ("n", "sxx", "syy", "sxy", "mx", "my")])
+        both = m.select("*", one).join(more, "_one")
+        n = F.col("n") + F.col("e_n")
+        cross = F.col("n") * F.col("e_n") / _nz(n.cast("double"))
+        gap = {c: F.coalesce(F.col(f"e_m{c}") - F.col(f"m{c}"), F.lit(0.0)) for c in "xy"}
+        whole = lambda c: F.coalesce(F.col(c), F.lit(0.0)) + F.coalesce(F.col(f"e_{c}"), F.lit(0.0))
+        merged = {f"s{a}{b}": whole(f"s{a}{b}") + cross * gap[a] * gap[b] for a, b in ("xx", "yy", "xy")}
+        m = both.select(*gs, n.alias("n"), *[v.alias(k) for k, v in merged.items()])
+    return m.select(*gs, *_ols_cols(y, x, test_id))
 
 
 def _pearson_parts(gate: Column | None = None):
@@ -280,17 +332,23 @@ def _pearson_parts(gate: Column | None = None):
     return F.when(ok, t), n - 2, _null(), r, n, note
 
 
-def pearson(df: DataFrame, y: str = "ned_mean", x: str = "temp", test_id: str = "F4") -> DataFrame:
+def _pair_moments(df: DataFrame, y: str, x: str, nan_policy: str) -> DataFrame:
+    """Moments of the complete pairs (regr_* pass over the others) and the spoiled flag."""
+    pairs = df.select(_num(y).alias("_y"), _num(x).alias("_x"), _spoils(nan_policy, y, x).alias("spoils"))
+    return pairs.agg(*_moment_aggs("_y", "_x"), F.bool_or("spoils").alias("spoiled"))
+
+
+def pearson(df: DataFrame, y: str = "ned_mean", x: str = "temp", test_id: str = "F4", nan_policy: str = "omit") -> DataFrame:
     """Pearson r with r = s_xy / sqrt(s_xx s_yy) (never ``corr``:
     it raises on a constant column in ANSI mode); t = r sqrt((n-2)/(1-r^2))."""
-    m = _complete(df, [y, x]).agg(*_moment_aggs(y, x))
-    return m.select(*_pearson_cols(test_id))
+    return _pair_moments(df, y, x, nan_policy).select(*_row(test_id, *_unless(F.col("spoiled"), _pearson_parts())))
 
 
-def pearson_gated(df: DataFrame, y: str = "ned_mean", x: str = "seq_len", test_id: str = "F6") -> DataFrame:
+def pearson_gated(df: DataFrame, y: str = "ned_mean", x: str = "seq_len", test_id: str = "F6", nan_policy: str = "omit") -> DataFrame:
     """as F4, not applicable when x takes a single value."""
-    m = _complete(df, [y, x]).agg(*_moment_aggs(y, x))
-    return m.select(*_pearson_cols(test_id, gate=F.col("sxx") > 0))
+    gate = F.col("sxx") > 0
+    parts = _unless(F.col("spoiled"), _pearson_parts(gate), gate)
+    return _pair_moments(df, y, x, nan_policy).select(*_row(test_id, *parts))
 
 
 # --- F5: lag-1 persistence ----------------------------------------------------
@@ -346,24 +404,28 @@ def lag1_persistence(
 
 
 def kruskal(
-    df: DataFrame, y: str = "ned_mean", by: str = "domain", test_id: str = "F7", groups: Sequence[str] = ()
+    df: DataFrame, y: str = "ned_mean", by: str = "domain", test_id: str = "F7", groups: Sequence[str] = (), nan_policy: str = "omit"
 ) -> DataFrame:
     """H with tie correction; ranks from the distributed rank helper.
 
+    Missing values are counted as one more value of their group, so the policy needs
+    no second scan.
+
     Only (group, value) counts are joined to the value ranks; the statistic
     is one aggregation over the union of the per-group rank sums and the
     per-value tie terms.
     """
     gs = list(groups)
-    clean = df.select(*gs, F.col(by).alias("g"), _num(y).alias("v")).where(
-        F.col("g").isNotNull() & F.col("v").isNotNull()
-    )
-    gv = materialize(value_counts(clean, "v", by=[*gs, "g"]))  # one scan of the input
-    vc = gv.groupBy(*gs, "v").agg(F.sum("cnt").alias("cnt"))
-    ranked = average_ranks(vc, "v", by=gs).select(*gs, "v", "rank", F.col("cnt").alias("t"))
+    rows = df.select(*gs, F.col(by).alias("_g"), _num(y).alias("_v"), _spoils(nan_policy, y).alias("spoils"))
+    rows = rows.where(F.col("_g").isNotNull() & (F.col("_v").isNotNull() | F.col("spoils")))
+    # one scan of the input
+    every = materialize(rows.groupBy(*gs, "_g", "_v").agg(F.count(F.lit(1)).alias("cnt")))
+    gv = every.where("_v is not null")
+    vc = gv.groupBy(*gs, "_v").agg(F.sum("cnt").alias("cnt"))
+    ranked = average_ranks(vc, "_v", by=gs).select(*gs, "_v", "rank", F.col("cnt").alias("t"))
     per_group = (
-        gv.join(ranked.select(*gs, "v", "rank"), [*gs, "v"])
-        .groupBy(*gs, "g")
+        gv.join(ranked.select(*gs, "_v", "rank"), [*gs, "_v"])
+        .groupBy(*gs, "_g")
         .agg(F.sum(F.col("cnt") * F.col("rank")).alias("R"), F.sum("cnt").alias("n_g"))
     )
     # centred form: sum n_g (mean rank_g - (N + 1) / 2)^2, no cancellation
@@ -378,6 +440,7 @@ def kruskal(
         F.lit(1).alias("is_g"),
         F.lit(0.0).alias("tie"),
         F.lit(0).cast("bigint").alias("t"),
+        F.lit(False).alias("spoiled"),
     ).unionByName(
         ranked.select(
             *gs,
@@ -385,22 +448,30 @@ def kruskal(
             F.lit(0).alias("is_g"),
             (F.col("t").cast("double") ** 3 - F.col("t").cast("double")).alias("tie"),
             F.col("t").cast("bigint").alias("t"),
+            F.lit(False).alias("spoiled"),
         )
     )
+    if nan_policy == "propagate":  # a group of missing values alone is a group too
+        lost = every.where("_v is null").select(
+            *gs, F.lit(0.0).alias("r2n"), F.lit(0).alias("is_g"), F.lit(0.0).alias("tie"), F.lit(0).cast("bigint").alias("t"), F.lit(True).alias("spoiled")
+        )
+        parts = parts.unionByName(lost)
     s = parts.groupBy(*gs).agg(
         F.sum("r2n").alias("sr2n"),
         F.coalesce(F.sum("is_g"), F.lit(0)).alias("k"),
         F.sum("tie").alias("ties"),
         F.sum("t").alias("N"),
+        F.bool_or("spoiled").alias("spoiled"),
     )
     n = F.col("N").cast("double")
-    h0 = F.lit(12.0) / (n * (n + 1)) * F.col("sr2n")
+    h0 = F.lit(12.0) / _nz(n * (n + 1)) * F.col("sr2n")
     corr = F.lit(1.0) - F.col("ties") / _nz(n * n * n - n)
     ok = (F.col("k") > 1) & (n > 1)
     note = F.when(F.col("k") <= 1, F.lit("fewer than 2 groups")).when(
         corr.isNull() | (corr == 0), F.lit("all values equal")
     )
-    return s.select(*gs, *_row(test_id, F.when(ok, h0 / _nz(corr)), F.col("k") - 1, _null(), _null(), F.col("N"), note))
+    result = F.when(ok, h0 / _nz(corr)), F.col("k") - 1, _null(), _null(), F.col("N"), note
+    return s.select(*gs, *_row(test_id, *_unless(F.col("spoiled"), result)))
 
 
 # --- F8: partial slope -----------------------------------------------------------
@@ -409,23 +480,9 @@ def kruskal(
 def ols_partial(
     df: DataFrame, y: str = "ned_mean", x: str = "rank", covariate: str | None = "temp", test_id: str = "F8"
 ) -> DataFrame:
-    """Slope of x in y ~ x + covariate (closed-form 2x2 solve from centred
-    moments, df n - 3); without variation in the covariate, y ~ x."""
-    cols = [y, x] + ([covariate] if covariate else [])
-    data = _complete(df, cols)
-    c = covariate
-    aggs = [
-        F.count(F.lit(1)).alias("n"),
-        F.var_samp(x).alias("c11"),
-        F.covar_samp(x, y).alias("c1y"),
-        F.var_samp(y).alias("cyy"),
-    ]
-    if c:
-        aggs += [F.var_samp(c).alias("c22"), F.covar_samp(x, c).alias("c12"), F.covar_samp(c, y).alias("c2y")]
-    m = data.agg(*aggs)
-    if not c:
-        m = m.select("*", F.lit(0.0).alias("c22"), F.lit(0.0).alias("c12"), F.lit(0.0).alias("c2y"))
-    return _partial_from_moments(m, test_id)
+    """Slope of x in y ~ x + covariate (df n - 3); without variation in the covariate,
+    y ~ x. See ``regress.ols_slope`` for more covariates and for run dummies."""
+    return ols_slope(df, y, x, [covariate] if covariate else [], test_id=test_id)
 
 
 # --- F9: the battery --------------------------------------------------------------
@@ -442,6 +499,8 @@ def battery(
     chkpt: Sequence[str] | None = None,
     extra: DataFrame | None = None,
     groups: Sequence[str] = (),
+    nan_policy: str = "omit",
+    runs: Sequence[str] = (),
 ) -> DataFrame:
     """F1..F8 in order with p-values; a missing column gives a NULL row.
 
@@ -455,11 +514,14 @@ def battery(
     F5 groups by (model, chkpt_id) when there is a model column, so that
     checkpoint ids of different runs in a combined table are not chained
     together; ``chkpt=("chkpt_id",)`` reproduces grouping by checkpoint only.
+    Ranks of different runs overlap in the same way: ``runs`` names the columns that
+    tell the runs of a combined table apart, and F8 then has a dummy per run.
+
+    ``extra`` runs are added for F3 only, to every group (they need not have the
+    group columns). See the module for ``nan_policy``.
     """
     cols = set(df.columns)
     groups = list(groups)
-    if extra is not None and groups:
-        raise ValueError("extra runs are for the ungrouped battery")
     if chkpt is None:
         chkpt = ("model", "chkpt_id") if "model" in cols and "model" not in groups else ("chkpt_id",)
     rows: list[DataFrame] = []
@@ -478,11 +540,11 @@ def battery(
         return with_p(out)
 
     shared = _shared_moments(df, y, temp if has(temp) else None, size if has(size) and extra is None else None,
-                             seq_len if has(seq_len) else None, rank if has(rank) else None, groups)
+                             seq_len if has(seq_len) else None, rank if has(rank) and not runs else None, groups, nan_policy)
     rows.append(shared.where(F.col("test_id") == "F1"))
-    rows.append(anova(df, y, temp, groups=groups) if has(temp) else missing("F2", temp))
+    rows.append(anova(df, y, temp, groups=groups, nan_policy=nan_policy) if has(temp) else missing("F2", temp))
     if has(size):
-        rows.append(ols(df, y, size, extra=extra) if extra is not None else shared.where(F.col("test_id") == "F3"))
+        rows.append(ols(df, y, size, extra=extra, groups=groups) if extra is not None else shared.where(F.col("test_id") == "F3"))
     else:
         rows.append(missing("F3", size))
     rows.append(shared.where(F.col("test_id") == "F4") if has(temp) else missing("F4", temp))
@@ -490,8 +552,13 @@ def battery(
         lag1_persistence(df, y, list(chkpt), [rank], groups=groups) if has(*chkpt, rank) else missing("F5", "chkpt_id")
     )
     rows.append(shared.where(F.col("test_id") == "F6") if has(seq_len) else missing("F6", seq_len))
-    rows.append(kruskal(df, y, domain, groups=groups) if has(domain) else missing("F7", domain))
-    rows.append(shared.where(F.col("test_id") == "F8") if has(rank) else missing("F8", rank))
+    rows.append(kruskal(df, y, domain, groups=groups, nan_policy=nan_policy) if has(domain) else missing("F7", domain))
+    if not has(rank):
+        rows.append(missing("F8", rank))
+    elif runs:
+        rows.append(ols_slope(df, y, rank, [temp] if has(temp) else [], runs, groups))
+    else:
+        rows.append(shared.where(F.col("test_id") == "F8"))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -507,10 +574,13 @@ def battery(
     return with_p(one).sortWithinPartitions("test_no").drop("test_no")
 
 
-def _shared_moments(df: DataFrame, y: str, temp, size, seq_len, rank, groups: Sequence[str] = ()) -> DataFrame:
+def _shared_moments(df: DataFrame, y: str, temp, size, seq_len, rank, groups: Sequence[str] = (), nan_policy: str = "omit") -> DataFrame:
     """One aggregation with the moments of F1, F3, F4, F6 and F8, unpacked into rows."""
     yy = _num(y)
     aggs = [F.count(yy).alias("f1_n"), F.avg(yy).alias("f1_mean"), F.stddev_samp(yy).alias("f1_sd")]
+    for tid, x in (("f1_", None), ("f4_", temp), ("f6_", seq_len)):
+        if x or tid == "f1_":
+            aggs.append(F.bool_or(_spoils(nan_policy, *([y, x] if x else [y]))).alias(tid + "spoiled"))
 
     def pair(prefix: str, x: str):
         xx = _num(x)
@@ -549,32 +619,36 @@ def _shared_moments(df: DataFrame, y: str, temp, size, seq_len, rank, groups: Se
     fields = ["n", "mean", "sd", "sxx", "syy", "sxy", "c11", "c1y", "cyy", "c22", "c12", "c2y"]
 
     def entry(tid: str, src: dict[str, str]) -> Column:
+        flag = f"{tid.lower()}_spoiled"
         return F.struct(
             F.lit(tid).alias("test_id"),
+            (F.col(flag) if flag in m.columns else F.lit(False)).alias("spoiled"),
             *[(F.col(src[f]).cast("double") if f in src else _null()).alias(f) for f in fields],
         )
 
     entries = [entry("F1", {"n": "f1_n", "mean": "f1_mean", "sd": "f1_sd"})]
     parts: dict[str, tuple] = {}
     nn, mean, sd = F.col("n"), F.col("mean"), F.col("sd")
-    parts["F1"] = (
+    spoiled = F.col("spoiled")
+    parts["F1"] = _unless(spoiled, (
         F.when(nn >= 2, mean / _nz(sd / F.sqrt(nn))),
         nn - 1,
         _null(),
         mean,
         nn,
         F.when(nn < 2, F.lit("fewer than 2 values")).when(sd == 0, F.lit("zero variance")),
-    )
+    ))
     pair = lambda p: {k: p + k for k in ("n", "sxx", "syy", "sxy")}
     if size:
         entries.append(entry("F3", pair("f3_")))
         parts["F3"] = _ols_parts()
     if temp:
         entries.append(entry("F4", pair("f4_")))
-        parts["F4"] = _pearson_parts()
+        parts["F4"] = _unless(spoiled, _pearson_parts())
     if seq_len:
         entries.append(entry("F6", pair("f6_")))
-        parts["F6"] = _pearson_parts(gate=F.col("sxx") > 0)
+        gate = F.col("sxx") > 0
+        parts["F6"] = _unless(spoiled, _pearson_parts(gate), gate)
     if rank:
         entries.append(entry("F8", {k: "f8_" + k for k in ("n", "c11", "c1y", "cyy", "c22", "c12", "c2y")}))
         parts["F8"] = _partial_parts()
@@ -594,11 +668,8 @@ def _shared_moments(df: DataFrame, y: str, temp, size, seq_len, rank, groups: Se
     )
 
 
-def _partial_from_moments(m: DataFrame, test_id: str = "F8") -> DataFrame:
-    return m.select(*_row(test_id, *_partial_parts()))
-
-
 def _partial_parts():
+    """Slope of rank beside one covariate from the centred moments of the shared row."""
     n = F.col("n").cast("double")
     two = F.col("c22") > 0
     det = F.col("c11") * F.col("c22") - F.col("c12") * F.col("c12")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import regress
 from ..operators import stats as st
 from ..session import table
 from ..sources import fixtures as fx
@@ -273,3 +274,73 @@ def f2p_tukey_by_model_stat(spark, sf_dir):
 @register("f2p_tukey_by_model")
 def f2p_tukey_by_model(spark, sf_dir):
     return rounded(st.tukey_hsd(_runs(spark, sf_dir), groups=["model"]))
+
+
+# F8 in general form: several covariates, and a dummy for every run of a combined table
+_pair(
+    "f8_partial_runs",
+    RUNS_T_CTES,
+    q.slope("runs_t", "ned_mean", "rank", ["temp"], ["model"]),
+    lambda s, d: regress.ols_slope(_runs_t(s, d, ranked=True), "ned_mean", "rank", ["temp"], ["model"]),
+)
+_LINE = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _line_terms_sql() -> str:
+    terms = []
+    for x in _LINE:
+        others = [c for c in _LINE if c != x]
+        terms.append(f"(SELECT *, '{x}' AS term FROM ({q.slope('lineitem', 'l_extendedprice', x, others, ['l_returnflag', 'l_linestatus'])}))")
+    return "\nUNION ALL\n".join(terms)
+
+
+@register("f8_multi_lineitem", p_sql(_line_terms_sql()))
+def f8_multi_lineitem(spark, sf_dir):
+    """All slopes of one regression with three predictors and a dummy per flag and status."""
+    t = regress.ols_table(table(spark, sf_dir, "lineitem"), "l_extendedprice", _LINE, ["l_returnflag", "l_linestatus"])
+    return rounded(st.with_p(t))
+
+
+# F3 with extra runs beside every group
+def _extra_by_model_sql() -> str:
+    parts = []
+    for m in fx.MODELS:
+        both = f"(SELECT ned_mean, model_size FROM runs WHERE model = '{m}' UNION ALL SELECT ned_mean, model_size FROM runs_t)"
+        parts.append(f"(SELECT '{m}' AS model, * FROM ({q.f3(both, 'ned_mean', 'model_size')}))")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("f3_ols_size_extra_by_model", with_ctes(POS_NED, runs_vec_sql(), runs_vec_sql("pos_trim", "runs_t"), body=p_sql(_extra_by_model_sql())))
+def f3_ols_size_extra_by_model(spark, sf_dir):
+    extra = _runs_t(spark, sf_dir).drop("model")
+    return rounded(st.with_p(st.ols(_runs(spark, sf_dir), "ned_mean", "model_size", extra=extra, groups=["model"])))
+
+
+# F9 with nan_policy "propagate": one-word documents have no metric, so some languages are
+# spoiled and others are not
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+def _propagate_sql() -> str:
+    parts = []
+    for lang in LANGUAGES:
+        src = f"(SELECT * FROM {_ROUNDED} WHERE language = '{lang}')"
+        y = "ned_mean"
+        tests = [
+            q.propagated(q.f1(src, y), src, [y]),
+            q.propagated(q.f2(src, y, "temp"), src, [y], "temp IS NOT NULL"),
+            "SELECT 'F3' AS test_id, NULL::DOUBLE AS statistic, NULL::DOUBLE AS df1, NULL::DOUBLE AS df2, NULL::DOUBLE AS estimate, "
+            "NULL::BIGINT AS n, 'missing column model_size' AS note",
+            q.propagated(q.f4(src, y, "temp"), src, [y, "temp"]),
+            q.f5(src, y, ["chkpt_id"], ["rank"]),
+            q.propagated(q.f4(src, y, "seq_len", "F6", gated=True), src, [y, "seq_len"], applies="note IS DISTINCT FROM 'single value of x'"),
+            q.propagated(q.f7(src, y, "domain"), src, [y], "domain IS NOT NULL"),
+            q.f8(src, y, "rank", "temp"),
+        ]
+        parts += [f"(SELECT '{lang}' AS language, * FROM ({t}))" for t in tests]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("f9_battery_docs_propagate", with_ctes(*DOCS_CTES, DOCS9, body=p_sql(_propagate_sql())))
+def f9_battery_docs_propagate(spark, sf_dir):
+    return rounded(st.battery(docs_runs(spark, sf_dir), groups=["language"], nan_policy="propagate"))

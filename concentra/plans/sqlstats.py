@@ -131,3 +131,34 @@ FROM (
          ELSE (nn - 1) * (cyy - c1y / nullif(c11, 0) * c1y) / nullif(nn - 2, 0) / nullif((nn - 1) * c11, 0) END AS vb1,
     CASE WHEN c22 > 0 THEN nn - 3 ELSE nn - 2 END AS dfr
   FROM (SELECT *, CAST(n AS DOUBLE) AS nn, c11 * c22 - c12 * c12 AS det FROM ({mom})))"""
+
+
+def propagated(sql: str, src: str, cols: list[str], where: str = "true", applies: str = "true") -> str:
+    """A statistics query under nan_policy "propagate": NULLs and a note where a value of
+    ``cols`` is missing in a row of ``src`` that the test reads."""
+    missing = " OR ".join(f"{c} IS NULL OR isnan(CAST({c} AS DOUBLE))" for c in cols)
+    kept = ", ".join(f"CASE WHEN bad AND {applies} THEN NULL ELSE {c} END AS {c}" for c in ("statistic", "df1", "df2", "estimate"))
+    return f"""
+SELECT test_id, {kept}, n, CASE WHEN bad AND {applies} THEN 'missing values' ELSE note END AS note
+FROM ({sql}), (SELECT coalesce(bool_or({missing}), false) AS bad FROM {src} WHERE {where})"""
+
+
+def slope(src: str, y: str, x: str, covariates: list[str], factor: list[str] = (), test_id: str = "F8") -> str:
+    """Slope of x beside covariates and dummies of a factor, by residuals: means of the
+    factor's levels are taken away, then every column is freed of one covariate after
+    another. All covariates are taken to vary."""
+    names = {c: f"c{i}" for i, c in enumerate(covariates)} | {x: "x", y: "y"}
+    level = ", ".join(factor) if factor else "1"
+    sql = (
+        f"SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {a}' for c, a in names.items())}, ({level if len(factor) < 2 else f'({level})'}) AS lev FROM {src} "
+        f"WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*names, *factor])}"
+    )
+    cols = list(names.values())
+    sql = f"SELECT lev, {', '.join(f'{a} - avg({a}) OVER (PARTITION BY lev) AS {a}' for a in cols)} FROM ({sql})"
+    for i in range(len(covariates)):
+        rest = cols[i + 1 :]
+        sql = f"SELECT lev, {', '.join(f'{a} - c{i} * (sum({a} * c{i}) OVER () / sum(c{i} * c{i}) OVER ()) AS {a}' for a in rest)} FROM ({sql})"
+    return f"""
+SELECT {_row(test_id, "b / nullif(sqrt((syy - b * sxy) / df / sxx), 0)", "df", "NULL", "b", "n", "NULL")}
+FROM (SELECT *, sxy / nullif(sxx, 0) AS b, n - levels - {len(covariates)} - 1 AS df
+      FROM (SELECT count(*) AS n, count(DISTINCT lev) AS levels, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM ({sql})))"""

@@ -196,3 +196,125 @@ def test_anova_sums_between_groups_directly(spark):
     ssb = sum(len(p) * (p.mean() - m) ** 2 for p in parts)
     ssw = sum(((p - p.mean()) ** 2).sum() for p in parts)
     assert got.statistic == pytest.approx(float(ssb / (ssw / (n - 2))), rel=1e-6)
+
+
+# --- missing values -----------------------------------------------------------
+
+
+def _by_id(frame):
+    return {r.test_id: r for r in frame.collect()}
+
+
+@pytest.mark.parametrize("missing", [float("nan"), None])
+def test_one_missing_value_spoils_f1_f2_f4_f6_f7_only(spark, missing):
+    pdf, df = _runs(spark)
+    whole = _by_id(st.battery(df))
+    rows = [tuple(missing if i == 7 and c == "ned_mean" else (v.item() if hasattr(v, "item") else v) for c, v in zip(pdf.columns, r)) for i, r in enumerate(pdf.itertuples(index=False))]
+    df = spark.createDataFrame(rows, df.schema)
+    got = _by_id(st.battery(df, nan_policy="propagate"))
+    for t in ("F1", "F2", "F4", "F6", "F7"):
+        assert got[t].statistic is None and got[t].p_value is None and got[t].note == "missing values"
+    for t in ("F3", "F5", "F8"):  # these drop the row, or the two pairs with it
+        assert got[t].statistic is not None and got[t].note is None
+    assert got["F3"].n == whole["F3"].n - 1
+    omitted = _by_id(st.battery(df))
+    assert all(omitted[t].statistic is not None for t in ("F1", "F2", "F4", "F6", "F7"))
+    # without a missing value the policies agree
+    again = _by_id(st.battery(_runs(spark)[1], nan_policy="propagate"))
+    assert {t: r.statistic for t, r in again.items()} == pytest.approx({t: r.statistic for t, r in whole.items()})
+
+
+def test_propagate_reads_only_the_rows_of_the_test(spark):
+    # the missing value has no level: F2 and F7 don't read it, F1 does
+    rows = [(float(i % 5) + i / 7, "a" if i % 2 else "b", 1.0 * i) for i in range(20)] + [(None, None, 3.0)]
+    df = spark.createDataFrame(rows, "ned_mean double, domain string, temp double")
+    assert st.anova(df, by="domain", nan_policy="propagate").first().statistic is not None
+    assert st.kruskal(df, nan_policy="propagate").first().statistic is not None
+    assert st.ttest_1samp(df, nan_policy="propagate").first().statistic is None
+    # a missing x spoils a correlation as a missing y does
+    df = spark.createDataFrame([(1.0 * i, 2.0 * i % 3) for i in range(9)] + [(1.0, None)], "ned_mean double, temp double")
+    assert st.pearson(df, nan_policy="propagate").first().note == "missing values"
+    assert st.pearson(df).first().statistic is not None
+    # a single value of x is said before
+    df = spark.createDataFrame([(1.0 * i, 5.0) for i in range(9)] + [(None, 5.0)], "ned_mean double, seq_len double")
+    assert st.pearson_gated(df, nan_policy="propagate").first().note == "single value of x"
+    with pytest.raises(ValueError):
+        st.ttest_1samp(df, nan_policy="raise")
+
+
+def test_propagate_by_group_and_in_tukey(spark):
+    pdf, df = _runs(spark)
+    both = df.selectExpr("*", "'a' AS g").unionByName(df.selectExpr("* EXCEPT (ned_mean)", "if(rank = 3, NULL, ned_mean) AS ned_mean", "'b' AS g"))
+    got = {(r.g, r.test_id): r for r in st.battery(both, groups=["g"], nan_policy="propagate").collect()}
+    for t in ("F1", "F2", "F4", "F6", "F7"):
+        assert got["a", t].statistic is not None and got["b", t].statistic is None
+    t = {(r.g, r.group1, r.group2): r for r in st.tukey_hsd(both, groups=["g"], nan_policy="propagate").collect()}
+    assert len(t) == 6
+    assert all((r.q is None) == (k[0] == "b") for k, r in t.items())
+    assert t["b", 0.7, 1.0].meandiff is None and t["b", 1.0, 1.3].meandiff is not None
+
+
+# --- regression with any number of covariates ------------------------------------
+
+
+def _lstsq(X, y, at):
+    beta, *_ = np.linalg.lstsq(X, y, rcond=None)
+    rank = np.linalg.matrix_rank(X)
+    df = len(y) - rank
+    s2 = ((y - X @ beta) ** 2).sum() / df
+    return beta[at], beta[at] / math.sqrt(s2 * np.linalg.pinv(X.T @ X)[at, at]), df
+
+
+def test_general_regression_matches_lstsq(spark):
+    from concentra.operators.regress import ols_slope, ols_table
+
+    rng = np.random.default_rng(3)
+    n = 240
+    runs = rng.integers(0, 7, n)
+    a, b, c = rng.normal(size=n) + runs, rng.normal(size=n) * 1e6, rng.integers(0, 3, n) * 0.3 + 0.7
+    y = 0.4 * a - 2e-6 * b + c + runs**2 + rng.normal(size=n)
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "a": a, "b": b, "c": c, "run": runs}))
+    dummies = np.eye(7)[runs]
+    plain = np.column_stack([np.ones(n), b, c, a])
+    est, t, dof = _lstsq(plain, y, 3)
+    r = ols_slope(df, "y", "a", ["b", "c"]).first()
+    assert (r.estimate, r.statistic, r.df1) == pytest.approx((est, t, dof), rel=1e-6)
+    for k, x in enumerate("abc"):
+        est, t, dof = _lstsq(np.column_stack([dummies, a, b, c]), y, 7 + k)
+        r = ols_table(df, "y", ["a", "b", "c"], absorb=["run"]).where(f"term = '{x}'").first()
+        assert (r.estimate, r.statistic, r.df1, r.n) == pytest.approx((est, t, dof, n), rel=1e-6)
+
+
+def test_covariates_without_variation_take_no_degree_of_freedom(spark):
+    from concentra.operators.regress import ols_slope
+
+    rng = np.random.default_rng(4)
+    x, z = rng.normal(size=50), rng.normal(size=50)
+    pdf = pd.DataFrame({"y": x + rng.normal(size=50), "x": x, "z": z, "z2": 3 * z - 1, "one": 5.0})
+    pdf.loc[3, "z"] = float("nan")
+    df = spark.createDataFrame(pdf)
+    full = pdf.dropna()
+    est, t, dof = _lstsq(np.column_stack([np.ones(49), full.z, full.x]), full.y.values, 2)
+    r = ols_slope(df, "y", "x", ["one", "z", "z2"]).first()
+    assert (r.estimate, r.statistic, r.df1, r.n) == pytest.approx((est, t, dof, 49), rel=1e-8)
+    assert ols_slope(df, "y", "z2", ["z"]).first().note == "predictor given by the covariates"
+    assert ols_slope(df, "y", "one", ["z"]).first().note == "single value of predictor"
+    assert ols_slope(df.limit(2), "y", "x", ["z"]).first().statistic is None
+    assert ols_slope(df.where("false"), "y", "x", ["z"]).first().n == 0
+
+
+def test_battery_with_run_dummies_and_extra_runs_by_group(spark):
+    pdf, df = _runs(spark, seed=1)
+    both = pd.concat([pdf.assign(run="a"), pdf.assign(run="b", ned_mean=pdf.ned_mean * 2 + 0.1 * np.arange(60) % 0.7)])
+    frame = spark.createDataFrame(both)
+    r = _by_id(st.battery(frame, runs=["run"]))["F8"]
+    X = np.column_stack([np.eye(2)[(both.run == "b").astype(int)], both.temp, both["rank"]])
+    est, t, dof = _lstsq(X, both.ned_mean.values, 3)
+    assert (r.estimate, r.statistic, r.df1) == pytest.approx((est, t, dof), rel=1e-7)
+
+    extra = spark.createDataFrame(pdf[["ned_mean"]].assign(model_size=1e9, other="x"))
+    got = {(x.run, x.test_id): x for x in st.battery(frame, groups=["run"], extra=extra).collect()}
+    for run in "ab":
+        mine = pd.concat([both[both.run == run][["ned_mean", "model_size"]], pdf[["ned_mean"]].assign(model_size=1e9)])
+        est, t, dof = _lstsq(np.column_stack([np.ones(len(mine)), mine.model_size / 1e9]), mine.ned_mean.values, 1)
+        assert (got[run, "F3"].estimate * 1e9, got[run, "F3"].statistic, got[run, "F3"].df1) == pytest.approx((est, t, dof), rel=1e-6)
