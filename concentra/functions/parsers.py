@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 BLANKS = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 BLANK = f"[{BLANKS}]"
 NON_BLANK = f"[^{BLANKS}]"
+_RANGES = [part.split("-") for part in BLANKS.replace(r"\x{", "").rstrip("}").replace("}-", "-").split("}")]
+BLANK_CHARS = "".join(chr(c) for r in _RANGES for c in range(int(r[0], 16), int(r[-1], 16) + 1))
 
 
 def _col(c) -> Column:
@@ -18,8 +20,9 @@ def _col(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Remove leading/trailing whitespace of any kind (``trim`` drops blanks only)."""
-    return F.regexp_replace(_col(c), rf"\A{BLANK}+|{BLANK}+\z", "")
+    """Remove leading/trailing whitespace of any kind (``trim`` alone drops blanks only):
+    read from both ends, not searched through the whole text."""
+    return F.btrim(_col(c), F.lit(BLANK_CHARS))
 
 
 def domain_of(prompt) -> Column:

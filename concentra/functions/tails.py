@@ -14,20 +14,17 @@ the same expression holds for 3 rows and for 10^12, and everything is done
 with logarithms, so p-values far below 1e-300 keep their ``log10_p``.
 
 The Kolmogorov tail uses the two series that converge fast on either side of
-lambda = 1. The studentized range needs a double integral and runs as an Arrow
-UDF on its few rows (one per pair of groups); its upper tail is integrated
-itself, in log space, not as a difference from 1.
+lambda = 1. The studentized range needs a double integral: see ``tukey``.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from . import tukey
 
 # nodes u = s exp(t - exp(-t)), t = FIRST + STEP j, j = 0 .. NODES - 1
 FIRST, STEP, NODES = -3.5, 0.0625, 137
@@ -94,129 +91,11 @@ def log_ks_upper(d: Column, n: Column) -> Column:
 
 def norm_cdf(z: Column) -> Column:
     """Standard normal cdf: Hart's rational form, a continued fraction far out."""
-    # fixed values: coefficients of the approximation, highest power first
-    top = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
-    bottom = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
     x = F.abs(z)
-
-    def poly(cs) -> Column:
-        out = F.lit(cs[0])
-        for k in cs[1:]:
-            out = out * x + k
-        return out
-
-    fraction = x + 0.65
-    for k in (4.0, 3.0, 2.0, 1.0):
-        fraction = x + F.lit(k) / fraction
-    e = F.exp(-x * x / 2.0)
-    upper = F.when(x < 7.07106781186547, e * poly(top) / poly(bottom)).otherwise(e / fraction / math.sqrt(2 * math.pi))
+    upper = F.exp(-x * x / 2.0) * tukey.tail_ratio(x)
     return F.when(z > 0, F.lit(1.0) - upper).otherwise(upper)
 
 
-# --- studentized range -----------------------------------------------------
-
-_GL_X, _GL_W = np.polynomial.legendre.leggauss(24)
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-
-
-def _panels(lo: np.ndarray, hi: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
-    """Gauss-Legendre nodes and weights on ``pieces`` panels of each [lo, hi]."""
-    lo, hi = np.atleast_1d(lo)[:, None, None], np.atleast_1d(hi)[:, None, None]
-    half = (hi - lo) / pieces / 2.0
-    mid = lo + half * (2 * np.arange(pieces)[None, :, None] + 1)
-    x, w = mid + half * _GL_X, np.broadcast_to(half * _GL_W, mid.shape[:2] + (24,))
-    return x.reshape(len(x), -1), w.reshape(len(x), -1)
-
-
-def _log_cdf(x: np.ndarray) -> np.ndarray:
-    """ln of the normal cdf, far into the lower tail."""
-    near = np.maximum(x, -36.0)
-    out = np.log(0.5 * _erfc(-near / math.sqrt(2.0)).astype(float))
-    y = np.maximum(-x, 36.0)
-    far = -y * y / 2.0 - np.log(y * math.sqrt(2 * math.pi)) + np.log1p(-1 / y**2 + 3 / y**4 - 15 / y**6)
-    return np.where(x < -36.0, far, out)
-
-
-def _log_sum(a: np.ndarray) -> np.ndarray:
-    top = a.max(axis=1)
-    return top + np.log(np.exp(a - top[:, None]).sum(axis=1))
-
-
-def _log_range_upper(w: np.ndarray, k: int) -> np.ndarray:
-    """ln P(range of k standard normals > w) = ln of
-    k Int phi(z) Phi(z)^(k-1) (1 - (1 - Phi(z - w) / Phi(z))^(k-1)) dz."""
-    w = np.maximum(np.atleast_1d(w).astype(float), 0.0)
-    z, weight = _panels(np.full(len(w), -9.0), w / 2.0 + 10.0, 24)
-    above = _log_cdf(z)
-    r = np.minimum(_log_cdf(z - w[:, None]) - above, -1e-300)
-    with np.errstate(divide="ignore"):  # r rounds to 0 where z - w is as good as z
-        grown = np.log(np.maximum(-np.expm1((k - 1) * np.log1p(-np.exp(np.maximum(r, -700.0)))), 1e-320))
-    hit = np.where(r < -30.0, math.log(max(k - 1, 1)) + r, grown)
-    return np.minimum(math.log(k) + _log_sum(np.log(weight) - z * z / 2.0 - 0.5 * math.log(2 * math.pi) + (k - 1) * above + hit), 0.0)
-
-
-def log_tukey_upper(q: float, k: int, df: float) -> float:
-    """ln P(Q > q) of the studentized range with k groups and df degrees of freedom."""
-    if q <= 0.0:
-        return 0.0
-    if math.isinf(df):
-        return float(_log_range_upper(np.array([q]), k)[0])
-
-    # s = sqrt(chi2_df / df); v = ln s has the log-concave weight exp(df (v - e^2v / 2 + 1/2))
-    def log_weight(v):
-        return df * (v - np.expm1(2 * v) / 2.0)
-
-    def both(v):
-        return log_weight(v) + _log_range_upper(q * np.exp(v), k)
-
-    width = 1.0 / math.sqrt(2.0 * df)
-    lo, hi = -0.5 * math.log1p(q * q / (2.0 * df)) - 4 * width, 4 * width  # the largest value lies between
-    for _ in range(60):
-        a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
-        fa, fb = both(np.array([a, b]))
-        lo, hi = (a, hi) if fa < fb else (lo, b)
-    peak = (lo + hi) / 2
-    v, weight = _panels(np.array([peak - 14 * width]), np.array([peak + 14 * width]), 8)
-    top = _log_sum((np.log(weight) + both(v[0])[None, :]))
-    v, weight = _panels(np.array([-14 * width]), np.array([14 * width]), 8)
-    return float(min(0.0, top[0] - _log_sum(np.log(weight) + log_weight(v))[0]))
-
-
-def ptukey(q: float, k: int, df: float) -> float:
-    """P(Q < q)."""
-    return -math.expm1(log_tukey_upper(q, k, df))
-
-
-def qtukey(p: float, k: int, df: float) -> float:
-    """Quantile of the studentized range: bisection on the log of the upper tail."""
-    target = math.log1p(-p)
-    lo, hi = 0.0, 2.0
-    while log_tukey_upper(hi, k, df) > target:
-        lo, hi = hi, 2.0 * hi
-    while hi - lo > 1e-10 * hi:
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if log_tukey_upper(mid, k, df) > target else (lo, mid)
-    return (lo + hi) / 2
-
-
-def _missing(*values) -> bool:
-    return any(v is None or v != v for v in values)
-
-
-@F.pandas_udf(T.DoubleType())
-def _tukey_log_udf(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(
-        [math.nan if _missing(a, b) or b < 2 or c <= 0 else log_tukey_upper(float(a), int(b), math.inf if _missing(c) else float(c)) for a, b, c in zip(q, k, df)]
-    )
-
-
-@F.pandas_udf(T.DoubleType())
-def tukey_quantile_udf(p: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(
-        [math.nan if _missing(a, b) or b < 2 else qtukey(float(a), int(b), math.inf if _missing(c) else float(c)) for a, b, c in zip(p, k, df)]
-    )
-
-
 # --- one entry for the statistics frames -----------------------------------
 
 
@@ -233,8 +112,11 @@ def with_p_value(stats: DataFrame, kind: str, stat: str = "statistic", df1="df1"
     s, a, b = _as_double(stats, stat), _as_double(stats, df1), _as_double(stats, df2)
     s = F.when(~F.isnan(s), s)
     if kind == "tukey":
-        out = stats.withColumn("_lp", _tukey_log_udf(s, a, b))
-        out = out.withColumn("_lp", F.when(~F.isnan("_lp"), F.col("_lp")))
+        out = stats.withColumn("_x", s).withColumn("_d1", a).withColumn("_d2", b)
+        keys = ["_x", "_d1", "_d2"]  # a tail for each different triple, joined back
+        tails = tukey.log_upper(out.select(keys).distinct(), keys, *keys, name="_lp")
+        tails = tails.select("_lp", *[F.col(c).alias(f"{c}_t") for c in keys])
+        out = out.join(tails, [F.col(c).eqNullSafe(F.col(f"{c}_t")) for c in keys])
     elif kind == "ks":
         out = stats.withColumn("_lp", F.when(a > 0, log_ks_upper(s, a)))
     else:

@@ -37,13 +37,13 @@ def sentence_array(text, lang) -> Column:
     delimiter with the sentence and keep a trailing rest; en/pl split after
     [.!?] + whitespace; other languages split on '.', which is dropped.
     """
-    t = strip_ws(F.regexp_replace(F.col(text) if isinstance(text, str) else text, "\n", " "))
+    t = strip_ws(F.translate(F.col(text) if isinstance(text, str) else text, "\n", " "))
     lg = F.col(lang) if isinstance(lang, str) else lang
     expr = None
     for code, delims in KEEP_DELIMS.items():
         arr = _split_marked(F.regexp_replace(t, f"([{delims}])", f"$1{MARK}"))
         expr = F.when(lg == code, arr) if expr is None else expr.when(lg == code, arr)
-    latin = _split_marked(F.regexp_replace(t, f"([.!?]){BLANK}+", f"$1{MARK}"))
+    latin = F.split(t, f"(?<=[.!?]){BLANK}+")
     expr = expr.when(lg.isin(*LATIN_RULE_LANGS), latin)
     return expr.otherwise(F.split(t, r"\."))
 

@@ -6,13 +6,16 @@ p-values, where they exist, are added with ``functions.tails``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import norm_cdf
-from .ordinal import materialize, range_bucket
+from .ordinal import in_order, materialize
 from .ranks import average_ranks, value_counts
 from .stats import _null, _num, _nz, lag_pairs, ttest_1samp
 
@@ -91,7 +94,7 @@ def mann_whitney(df: DataFrame, y: str, by: str, baseline=None, pairs: Sequence[
 
     Values are counted once per (value, group), as one row per value with a
     column per group. In order of the value, running counts (per range of
-    values, and inside the ranges) give how many values of each group are
+    values, whose number follows that of the values, and inside the ranges) give how many values of each group are
     smaller, and every U is a sum over the values:
     U(a, b) = sum c_a (less_b + c_b / 2). No row is copied per pair.
     """
@@ -114,13 +117,13 @@ def mann_whitney(df: DataFrame, y: str, by: str, baseline=None, pairs: Sequence[
         return df.sparkSession.createDataFrame([], f"group1 {kind}, group2 {kind}, n1 bigint, n2 bigint, u double, z double")
     count = [F.sum(F.when(F.col("g") == F.lit(g), F.col("cnt")).otherwise(0)).alias(f"c{i}") for g, i in at.items()]
     wide = gv.where(F.col("g").isin(*names)).groupBy((F.col("v").cast("double") + F.lit(0.0)).alias("v")).agg(*count)
-    ranged = range_bucket(wide, "v")
+    ranged = in_order(wide, ["v"])
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    totals = ranged.groupBy(F.col("_bkt").alias("_r")).agg(*[F.sum(f"c{i}").alias(f"t{i}") for i in at.values()])
+    totals = ranged.groupBy(F.col("_range").alias("_r")).agg(*[F.sum(f"c{i}").alias(f"t{i}") for i in at.values()])
     offsets = totals.select("_r", *[F.coalesce(F.sum(f"t{i}").over(before), F.lit(0)).alias(f"o{i}") for i in at.values()])
-    inside = Window.partitionBy("_bkt").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     less = ranged.select("*", *[F.coalesce(F.sum(f"c{i}").over(inside), F.lit(0)).alias(f"l{i}") for i in at.values()])
-    j = less.join(offsets, F.col("_bkt") == F.col("_r"))
+    j = less.join(offsets, F.col("_range") == F.col("_r"))
     aggs = [F.sum(f"c{i}").cast("double").alias(f"n{i}") for i in at.values()]
     for k, (a, b) in enumerate(pairs):
         ca, cb = F.col(f"c{at[a]}").cast("double"), F.col(f"c{at[b]}").cast("double")
@@ -368,24 +371,109 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 # E18
-MAX_PCA_WIDTH = 4096
-
-
-def pca_fingerprint(df: DataFrame, vec: str, group: str, k: int = 3) -> DataFrame:
-    """Project vectors on their first k principal components (Spark ML PCA:
-    a distributed covariance), then mean coordinates per group. The width x
-    width covariance is decomposed on the driver, so wider vectors than
-    ``MAX_PCA_WIDTH`` are refused: reduce them first."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    width = df.agg(F.max(F.size(vec)).alias("w")).first().w or 0
-    if width > MAX_PCA_WIDTH:
-        raise ValueError(f"vectors of width {width}: the covariance matrix is bounded to {MAX_PCA_WIDTH} columns")
-    data = df.select(group, array_to_vector(F.col(vec)).alias("features"))
-    model = PCA(k=k, inputCol="features", outputCol="pc").fit(data)
-    proj = model.transform(data).select(group, vector_to_array("pc").alias("pc"))
-    return proj.groupBy(group).agg(
-        *[F.avg(F.col("pc")[i]).alias(f"pc{i + 1}") for i in range(k)], F.count(F.lit(1)).cast("bigint").alias("n")
-    )
-
+OVERSAMPLE = 24
+MAX_PASSES = 60
+_CHUNK = 1 << 16  # values of a partial sum in one row
+
+
+def _rows_of(batch, width: int) -> np.ndarray:
+    """The vectors of a batch as a matrix of doubles; rows without a full finite vector are left out."""
+    column = batch.column("_v")
+    full = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), width), False).to_numpy(zero_copy_only=False))
+    x = column.take(pa.array(full)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+    return x[np.isfinite(x).all(axis=1)]
+
+
+def _summed(vectors: DataFrame, width: int, part) -> np.ndarray:
+    """Sum over all partitions of the flat arrays that ``part(matrix)`` gives. A task adds up its
+    batches first and returns its sum in chunks, which are added per chunk."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                x = _rows_of(batch.slice(i, 1024), width)
+                if len(x):
+                    total = part(x) if total is None else total + part(x)
+        if total is not None:
+            for c in range(0, len(total), _CHUNK):
+                yield pa.record_batch([pa.array([c // _CHUNK], pa.int32()), pa.array([total[c : c + _CHUNK].tobytes()])], names=["c", "s"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # one chunk's partial sums
+        total = None
+        for batch in batches:
+            for c, s in zip(batch.column("c").to_pylist(), batch.column("s")):
+                x = np.frombuffer(s.as_buffer())
+                total = (c, x) if total is None else (c, total[1] + x)
+        yield pa.record_batch([pa.array([total[0]], pa.int32()), pa.array([total[1].tobytes()])], names=["c", "s"])
+
+    sums = vectors.mapInArrow(run, "c int, s binary").groupBy("c").applyInArrow(add, "c int, s binary").collect()
+    return np.concatenate([np.frombuffer(r.s) for r in sorted(sums, key=lambda r: r.c)]) if sums else np.zeros(0)
+
+
+def principal_axes(df: DataFrame, vec: str, k: int = 3, seed: int = 42, tol: float = 1e-6, max_passes: int = MAX_PASSES) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """The first k principal axes (width x k, each with its largest loading positive), the
+    variances along them, the total variance and the number of vectors.
+
+    Subspace iteration from a random start of k + OVERSAMPLE columns W: a pass over
+    the vectors returns the sums of (x - m) (x - m)' W, a width x columns matrix, from which
+    the next W comes by a tall-skinny QR; the axes are the Ritz vectors of the last one.
+    There is no width x width matrix anywhere, so a vocabulary of 256K entries is
+    well within reach: memory is width x (k + OVERSAMPLE) doubles. Passes stop when the
+    variances and axes of two passes agree within ``tol``.
+    """
+    vectors = materialize(df.select(F.col(vec).cast("array<double>").alias("_v")).where(F.col("_v").isNotNull()))
+    width = vectors.agg(F.max(F.size("_v")).alias("w")).first().w or 0
+    if not width:
+        return np.zeros((0, k)), np.zeros(k), 0.0, 0
+    first = _summed(vectors, width, lambda x: np.concatenate([[len(x)], x.sum(axis=0)]))
+    if not len(first):
+        return np.zeros((width, k)), np.zeros(k), 0.0, 0
+    n, mean = int(first[0]), first[1:] / first[0]
+    w = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, min(width, k + OVERSAMPLE))))[0]
+    before = None
+    for _ in range(max_passes):
+        def part(x, w=w):
+            c = x - mean
+            return np.concatenate([[(c * c).sum()], (c.T @ (c @ w)).ravel()])
+
+        got = _summed(vectors, width, part)
+        total, z = got[0], got[1:].reshape(w.shape)
+        values, turn = np.linalg.eigh((w.T @ z + z.T @ w) / 2)
+        axes = (w @ turn[:, ::-1])[:, :k]
+        axes *= np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+        variance = values[::-1][:k] / max(n - 1, 1)
+        if before is not None and np.abs(axes - before[0]).max() <= tol and np.abs(variance - before[1]).max() <= tol * max(variance[0], 1e-300):
+            break
+        before = axes, variance
+        w = np.linalg.qr(z)[0]
+    return axes, variance, total / max(n - 1, 1), n
+
+
+def pca_variance(df: DataFrame, vec: str, k: int = 3, tol: float = 1e-6) -> DataFrame:
+    """(component, variance, share of the total variance)."""
+    _, variance, total, _ = principal_axes(df, vec, k, tol=tol)
+    rows = [(i + 1, float(v), float(v / total) if total else None) for i, v in enumerate(variance)]
+    return df.sparkSession.createDataFrame(rows, "component int, variance double, share double")
+
+
+def pca_fingerprint(df: DataFrame, vec: str, group: str, k: int = 3, tol: float = 1e-6) -> DataFrame:
+    """Mean coordinates per group on the first k principal axes (see ``principal_axes``): the
+    vectors are projected where they are, and only k numbers a row are aggregated. Rows
+    without a full finite vector are left out."""
+    axes = principal_axes(df, vec, k, tol=tol)[0]
+    width, k = axes.shape
+
+    def run(batches):
+        for batch in batches:
+            column, keys = batch.column("_v"), batch.column(0)
+            full = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), width), False).to_numpy(zero_copy_only=False))
+            x = column.take(pa.array(full)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+            good = np.isfinite(x).all(axis=1)
+            y = x[good] @ axes
+            yield pa.record_batch([keys.take(pa.array(full[good])), *[pa.array(np.ascontiguousarray(y[:, i])) for i in range(k)]], names=[group, *[f"_pc{i}" for i in range(k)]])
+
+    data = df.select(group, F.col(vec).cast("array<double>").alias("_v")).where(F.col("_v").isNotNull() & (F.size("_v") == width) & (F.size("_v") > 0))
+    kind = dict(df.dtypes)[group]
+    pcs = data.mapInArrow(run, f"`{group}` {kind}, " + ", ".join(f"_pc{i} double" for i in range(k)))
+    return pcs.groupBy(group).agg(*[F.avg(f"_pc{i}").alias(f"pc{i + 1}") for i in range(k)], F.count(F.lit(1)).cast("bigint").alias("n"))

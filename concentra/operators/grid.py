@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinal import global_ordinal
+from .ordinal import global_ordinal, materialize
 
 DEFAULT_TEMPS = (0.7, 1.0, 1.3)
 
@@ -73,12 +73,20 @@ def with_rank_offline(scores_runs: DataFrame, bundle: str = "bundle_id", order=(
     return ranked.withColumn("chkpt_id", F.col(bundle).cast("bigint"))
 
 
-def distinct_prompts(df: DataFrame, keys: Sequence[str] = ("language", "prompt")) -> DataFrame:
+def distinct_prompts(df: DataFrame, keys: Sequence[str] = ("language", "prompt"), order: Sequence[str] = (), name: str = "first_seen") -> DataFrame:
     """Distinct prompts per language (undoes the x temps repetition). The last
-    key is the text: rows are grouped by its hash, not by the text itself."""
+    key is the text: rows are grouped by its hash, not by the text itself.
+
+    With ``order`` (the columns of the row order) each prompt also has ``name``, its number from
+    0 within its language in order of first occurrence: the least order key of a text
+    comes from the same aggregation, and only the distinct prompts are numbered.
+    """
     *groups, text = keys
-    d = df.select(*keys, F.md5(F.col(text)).alias("_md5")).dropDuplicates([*groups, "_md5"])
-    return d.select(*keys)
+    hashed = df.select(*keys, F.md5(F.col(text)).alias("_md5"), *([F.struct(*order).alias("_at")] if order else []))
+    if not order:
+        return hashed.dropDuplicates([*groups, "_md5"]).select(*keys)
+    first = hashed.groupBy(*groups, "_md5").agg(F.min_by(text, "_at").alias(text), F.min("_at").alias("_at"))
+    return global_ordinal(first, ["_at"], name=name, by=groups).select(*keys, name)
 
 
 HASH_BINS = 4096
@@ -91,10 +99,12 @@ def hash_draw(df: DataFrame, group: str, n: int, seed, *keys: str, name: str = "
     The hash's leading digits are bins of even size. Their counts (a table of
     HASH_BINS rows a group) tell which bins the draw reaches and at which
     number each starts; only rows of those bins are ranked, bin by bin. The
-    work is the same for every ``n``, and no group is sorted as a whole.
+    work is the same for every ``n``, and no group is sorted as a whole. The rows are
+    stored with their hashes first: counts and draw read them, and the input is
+    evaluated once.
     """
     hashed = df.withColumn("_h", shuffle_key(seed, *keys))
-    hashed = hashed.withColumn("_bin", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    hashed = materialize(hashed, "to-draw").withColumn("_bin", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
     before = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     counts = hashed.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_c"))
     reach = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).where(F.col("_off") < n)

@@ -1,15 +1,20 @@
-"""Global ordinals and order-bucketing without a single-partition window.
+"""Global ordinals and ranges of an order without a single-partition window.
 
 ``Window.orderBy(...)`` with no ``partitionBy`` moves every row to one task.
-The helpers here cut the order into ranges instead. The cut points are read
-once (a bounded list on the driver) and stand as literals in the plan, so a range
-is a function of the row: recomputation after a lost executor gives the same
-ranges, and nothing has to be checkpointed.
-
-* ``with_ranges``: number of the range of a row, for any list of order columns.
-* ``global_ordinal``: rows per range (a small table) give every range its offset,
-  and ``row_number`` inside the range the rest: one shuffle of the rows.
-* ``with_buckets``: the same for one numeric column (Spark ML's ``Bucketizer``).
+The helpers here store the rows once in the order asked for, as a run of ranges: the
+input is evaluated once (into a table), range-partitioned from that table by
+Spark's own sampled cut points, sorted within the partitions and written with the number
+of the range and the place in it. Everything else is read from that run:
+
+* ``in_order``: the run, with ``_range`` and ``_place``.
+* ``global_ordinal``: rows per range (a small table) give every range its offset, the
+  place the rest; no window over the rows, and no second evaluation of the input, whose
+  keys may be sums of doubles that differ from one evaluation to the next.
+* ``running_starts``: running sums in the order.
+
+Any cut points give a right order; they only decide how even the ranges are. The number
+of ranges follows the number of rows. Lost executors cost the tasks that they ran: both
+tables lie in the shared folder.
 """
 
 from __future__ import annotations
@@ -21,49 +26,30 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-ROWS_PER_RANGE = 100_000
-#: cut points are literals of the plan, so their number is bounded; beyond
-#: ROWS_PER_RANGE x MAX_RANGES rows the ranges grow instead
-MAX_RANGES = 10_000
-SAMPLED_PER_RANGE = 20
-
-
-def order_cuts(df: DataFrame, keys: Sequence[str], rows_per_range: int = ROWS_PER_RANGE, seed: int = 42) -> list[tuple]:
-    """Ascending cut points (tuples of key values) that split ``df`` into ranges of
-    about ``rows_per_range`` rows, from a sample of bounded size. Any cut points
-    give a right order; the sample only decides how even the ranges are."""
-    slim = df.select(*keys)
-    n = slim.count()
-    ranges = min(MAX_RANGES, -(-n // rows_per_range))
-    if ranges < 2:
-        return []
-    wanted = ranges * SAMPLED_PER_RANGE
-    rows = slim.sample(min(1.0, 1.2 * wanted / n), seed).orderBy(*keys).limit(2 * wanted).collect()
-    cuts: list[tuple] = []
-    for i in range(1, ranges):
-        cut = tuple(rows[i * len(rows) // ranges]) if rows else None
-        if cut is not None and (not cuts or cut != cuts[-1]):
-            cuts.append(cut)
-    return cuts
-
-
-def with_ranges(df: DataFrame, keys: Sequence[str], rows_per_range: int = ROWS_PER_RANGE, name: str = "_range") -> DataFrame:
-    """``df`` with the number of the range of the order ``keys``: how many cut points
-    are at or below the row. The search goes over every k-th cut point and then
-    over the k between two of them."""
-    cuts = order_cuts(df, keys, rows_per_range)
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    types = {f.name: f.dataType for f in df.select(*keys).schema.fields}
-    names = df.select(*keys).columns
-    here = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)])
-    literal = lambda cut: F.struct(*[F.lit(v).cast(types[c]).alias(f"k{i}") for i, (c, v) in enumerate(zip(names, cut))])
-    step = max(1, int(len(cuts) ** 0.5))
-    below = lambda arr: F.size(F.filter(arr, lambda x: x <= here))
-    coarse = below(F.array(*[literal(c) for c in cuts[step - 1 :: step]]))
-    fine = F.array(*[F.array(*[literal(c) for c in cuts[i : i + step]]) for i in range(0, len(cuts), step)])
-    inside = F.coalesce(below(F.get(fine, coarse)), F.lit(0))
-    return df.withColumn(name, (coarse * step + inside).cast("int"))
+ROWS_PER_RANGE = 1_000_000
+_PLACE_BITS = 33  # monotonically_increasing_id: the partition above, the row in it below
+
+
+def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
+    """Write a reused intermediate (aggregated counts, token tables) once as
+    parquet under the shared folder and read it back, so that its several
+    consumers do not each rescan the raw input; lineage is cut there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_order(df: DataFrame, keys: Sequence[str], rows_per_range: int = ROWS_PER_RANGE, stored: bool = False) -> DataFrame:
+    """The rows of ``df`` as a stored run in the order ``keys``, with ``_range`` (ascending in
+    the order; equal keys share one) and ``_place`` (from 0 in each range). ``stored``
+    says that ``df`` is a table already."""
+    rows = df if stored else materialize(df, "to-order")
+    ranges = max(1, -(-rows.count() // rows_per_range))  # the count comes from the files' footers
+    at = F.monotonically_increasing_id()
+    run = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("_run_at", at)
+    run = materialize(run, "run")
+    place = F.col("_run_at").bitwiseAND((1 << _PLACE_BITS) - 1)
+    return run.select(*df.columns, F.shiftright("_run_at", _PLACE_BITS).cast("int").alias("_range"), place.alias("_place"))
 
 
 def global_ordinal(
@@ -75,74 +61,31 @@ def global_ordinal(
 ) -> DataFrame:
     """0-based row number in ``order_cols`` order (within ``by`` groups).
 
-    Hot ``by`` groups are split over ranges like any other rows, and a group's
-    first number follows from the same counts, without a join on the group
-    alone. Ties in ``order_cols`` are broken arbitrarily, as with
-    ``row_number``; pass a unique order key for a reproducible result.
+    Hot ``by`` groups are split over ranges like any other rows: a group has its
+    rows of earlier ranges and its first place in each range from one small
+    aggregation. Ties in ``order_cols`` are broken arbitrarily, as with
+    ``row_number``, but once: the numbers are those of the stored run.
     """
     by = list(by)
-    keys = [*by, *order_cols]
-    ranged = with_ranges(df, keys, rows_per_range)
+    run = in_order(df, [*by, *order_cols], rows_per_range)
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_cnt"))  # ranges (x groups) rows
+    counts = run.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_place").alias("_first"))  # ranges (x groups) rows
     offsets = counts.select(
-        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), (F.coalesce(F.sum("_cnt").over(before), F.lit(0)) - F.col("_first")).alias("_off")
     )
-    inside = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order_cols)) - 1
-    numbered = ranged.withColumn("_local", inside)
     same = F.col("_range") == F.col("_r")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    out = numbered.join(offsets, same)
-    return out.select(*df.columns, (F.col("_off") + F.col("_local")).cast("bigint").alias(name))
+    return run.join(offsets, same).select(*df.columns, (F.col("_off") + F.col("_place")).cast("bigint").alias(name))
 
 
 def running_starts(df: DataFrame, keys: Sequence[str], count: str, name: str = "start", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """``df`` with the sum of ``count`` over all rows before the row in the order
     ``keys`` (unique): range totals, and running sums inside the ranges."""
-    ranged = with_ranges(df, keys, rows_per_range)
+    run = in_order(df, keys, rows_per_range)
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy(F.col("_range").alias("_r")).agg(F.sum(count).alias("_t"))  # one row per range
+    totals = run.groupBy(F.col("_range").alias("_r")).agg(F.sum(count).alias("_t"))  # one row per range
     offsets = totals.select("_r", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.withColumn("_in", F.coalesce(F.sum(count).over(inside), F.lit(0))).join(offsets, F.col("_range") == F.col("_r"))
+    inside = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    out = run.withColumn("_in", F.coalesce(F.sum(count).over(inside), F.lit(0))).join(offsets, F.col("_range") == F.col("_r"))
     return out.select(*df.columns, (F.col("_off") + F.col("_in")).alias(name))
-
-
-def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
-    """Write a reused intermediate (aggregated counts, token tables) once as
-    parquet under the shared folder and read it back, so that its several
-    consumers do not each rescan the raw input; lineage is cut there."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def quantile_boundaries(df: DataFrame, col: str, buckets: int) -> list[float]:
-    """At most ``buckets - 1`` distinct cut points of ``col`` (a bounded driver-side
-    list); the error of each is a small part of a bucket."""
-    if buckets <= 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, max(10_000, 20 * buckets)).alias("q")).first()
-    return sorted({float(c) for c in row["q"] or [] if c is not None and c == c})
-
-
-def with_buckets(df: DataFrame, col: str, cuts: Sequence[float], name: str = "_bkt") -> DataFrame:
-    """Order-preserving bucket id: number of cut points <= value (NaN: the last)."""
-    cuts = list(cuts)
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    from pyspark.ml.feature import Bucketizer
-
-    tmp = f"{name}_in"
-    b = Bucketizer(
-        splits=[float("-inf"), *cuts, float("inf")], inputCol=tmp, outputCol=name, handleInvalid="keep"
-    )
-    out = b.transform(df.withColumn(tmp, F.col(col).cast("double")))
-    return out.withColumn(name, F.col(name).cast("int")).drop(tmp)
-
-
-def range_bucket(df: DataFrame, col: str, buckets: int = 64, name: str = "_bkt") -> DataFrame:
-    """Add an order-preserving bucket id for numeric ``col``."""
-    return with_buckets(df, col, quantile_boundaries(df, col, buckets), name)

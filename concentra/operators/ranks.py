@@ -3,11 +3,11 @@
 Input is a value-count table (one row per distinct value and partition key,
 so a hot value is one row whatever its count). Ranks are computed as:
 
-1. order-preserving buckets of the value from quantile cut points (a bounded
-   list, see ``ordinal.quantile_boundaries``);
-2. per (key, bucket) totals -> running offset over buckets inside each key
-   (a table of keys x buckets rows);
-3. inside each (key, bucket) the running count of smaller values;
+1. a stored run of the keys and values in order (``ordinal.in_order``), whose ranges
+   follow the number of distinct values;
+2. per (key, range) totals -> running offset over the ranges inside each key
+   (a table of keys x ranges rows);
+3. inside each (key, range) the running count of smaller values;
 4. average rank = offset + smaller + (count + 1) / 2, ties share it.
 
 The rank of a row is then looked up on its value; tests that only need rank
@@ -22,22 +22,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinal import materialize, range_bucket
-
-DEFAULT_BUCKETS = 64
-VALUES_PER_BUCKET = 1_000_000
-#: cut points are a list on the driver; with more distinct values than
-#: VALUES_PER_BUCKET x MAX_BUCKETS the buckets grow, and sort externally
-MAX_BUCKETS = 20_000
+from .ordinal import ROWS_PER_RANGE, in_order
 
 
 def average_ranks(
-    counts: DataFrame,
-    value: str,
-    count: str = "cnt",
-    by: Sequence[str] = (),
-    buckets: int | None = None,
-    name: str = "rank",
+    counts: DataFrame, value: str, count: str = "cnt", by: Sequence[str] = (), name: str = "rank", values_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Add ``name`` = average (mid) rank of ``value`` within ``by``, weighted by ``count``.
 
@@ -46,37 +35,15 @@ def average_ranks(
     """
     by = list(by)
     v = (F.col(value).cast("double") + F.lit(0.0)).alias(value)
-    # value counts are small (a hot value is one row) and read three times
-    base = materialize(counts.select(*by, v, F.col(count).cast("bigint").alias(count)))
-    if buckets is None:
-        # about VALUES_PER_BUCKET distinct values per bucket, so the window
-        # inside a bucket stays a bounded sort whatever the table size
-        buckets = min(MAX_BUCKETS, max(DEFAULT_BUCKETS, -(-base.count() // VALUES_PER_BUCKET)))
-    b = range_bucket(base, value, buckets, "_bkt")
-    totals = b.groupBy(*by, "_bkt").agg(F.sum(count).alias("_bcnt"))
-    w_off = (
-        Window.partitionBy(*by).orderBy("_bkt")
-        if by
-        else Window.orderBy("_bkt")  # at most `buckets` rows
-    ).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_bcnt").over(w_off), F.lit(0))).drop(
-        "_bcnt"
-    )
-    w_in = Window.partitionBy(*by, "_bkt").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    inside = b.withColumn("_before", F.coalesce(F.sum(count).over(w_in), F.lit(0)))
-    joined = inside.join(offsets, [*by, "_bkt"])
-    return joined.select(
-        *by,
-        value,
-        count,
-        (
-            F.col("_off").cast("double")
-            + F.col("_before").cast("double")
-            + (F.col(count).cast("double") + F.lit(1.0)) / F.lit(2.0)
-        ).alias(name),
-    )
+    run = in_order(counts.select(*by, v, F.col(count).cast("bigint").alias(count)), [*by, value], values_per_range)
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # without keys: one row per range
+    totals = run.groupBy(*by, "_range").agg(F.sum(count).alias("_t"))
+    offsets = totals.select(*by, "_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*by, "_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    smaller = run.withColumn("_before", F.coalesce(F.sum(count).over(inside), F.lit(0)))
+    joined = smaller.join(offsets, [*by, "_range"])
+    rank = (F.col("_off") + F.col("_before")).cast("double") + (F.col(count).cast("double") + F.lit(1.0)) / F.lit(2.0)
+    return joined.select(*by, value, count, rank.alias(name))
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), count: str = "cnt") -> DataFrame:

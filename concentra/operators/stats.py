@@ -19,8 +19,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tails import tukey_quantile_udf, with_p_value
-from .ordinal import materialize, with_ranges
+from ..functions import tukey
+from ..functions.tails import with_p_value
+from .ordinal import in_order, materialize
 from .regress import ols_slope
 from .ranks import average_ranks
 
@@ -180,13 +181,14 @@ def tukey_hsd(
     ``baseline`` only the pairs of that level with every other (linear in the levels).
 
     Tukey-Kramer standard error for unequal sizes; p from the studentized
-    range with k groups and N - k df; confidence limits at 1 - alpha. A spoiled level
+    range with k groups and N - k df; confidence limits at 1 - alpha. The level rows are
+    stored: tails and limits read them, not the input. A spoiled level
     (nan_policy) takes the common variance with it: no pair has more than a difference.
     Without a baseline the levels (a small set: one row each) are gathered into
     one sorted array to form the pairs.
     """
     gs = list(groups)
-    g = group_moments(df, y, by, gs, nan_policy).withColumn("mean", F.when(~F.col("spoiled"), F.col("mean")))
+    g = materialize(group_moments(df, y, by, gs, nan_policy)).withColumn("mean", F.when(~F.col("spoiled"), F.col("mean")))
     level = F.struct("level", "n", "mean", "var")
     s = g.groupBy(*gs).agg(
         F.array_sort(F.collect_list(level)).alias("groups") if baseline is None
@@ -199,7 +201,9 @@ def tukey_hsd(
     s = s.withColumn("df", (F.col("N") - F.col("k")).cast("double")).withColumn(
         "msw", F.when(~F.col("spoiled"), F.col("ssw") / _nz(F.col("df")))
     )
-    s = s.withColumn("q_crit", tukey_quantile_udf(F.lit(1.0 - alpha), F.col("k"), F.col("df")))
+    s = s.withColumn("levels", F.col("k").cast("double"))
+    crit = tukey.quantile(s.select("levels", "df").distinct(), ["levels", "df"], 1.0 - alpha, "levels", "df")
+    s = s.join(crit, ["levels", "df"])
     if baseline is None:
         pairs = F.flatten(
             F.transform(
@@ -357,15 +361,14 @@ def pearson_gated(df: DataFrame, y: str = "ned_mean", x: str = "seq_len", test_i
 def lag_pairs(df: DataFrame, y: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """(by..., prev, cur) for consecutive rows inside each group.
 
-    The order is cut into ranges (see ``ordinal``), so a hot group is spread over
-    many tasks. Inside a range the pairs come from ``lag``; the pair that spans two
-    ranges of a group comes from the ranges' first and last rows, a small table.
+    The rows are stored once as a run of ranges (see ``ordinal``), so a hot group is
+    spread over many tasks. Inside a range the pairs come from ``lag``; the pair that
+    spans two ranges of a group comes from the ranges' first and last rows, a small table.
     """
-    base = with_ranges(df.select(*by, *order, _num(y).alias("_y")), [*by, *order])
-    prev = F.lag(F.struct("_y")).over(Window.partitionBy("_range", *by).orderBy(*order))
+    base = in_order(df.select(*by, *order, _num(y).alias("_y")), [*by, *order])
+    prev = F.lag(F.struct("_y")).over(Window.partitionBy("_range", *by).orderBy("_place"))
     inside = base.withColumn("_prev", prev).where(F.col("_prev").isNotNull())
-    at = F.struct(*order)
-    ends = base.groupBy("_range", *by).agg(F.min_by("_y", at).alias("cur"), F.max_by("_y", at).alias("_last"))
+    ends = base.groupBy("_range", *by).agg(F.min_by("_y", "_place").alias("cur"), F.max_by("_y", "_place").alias("_last"))
     across = F.lag(F.struct("_last")).over(Window.partitionBy(*by).orderBy("_range"))
     spans = ends.withColumn("_prev", across).where(F.col("_prev").isNotNull())
     return inside.select(*by, F.col("_prev._y").alias("prev"), F.col("_y").alias("cur")).unionByName(

@@ -225,6 +225,29 @@ def usage_approx(prompts: DataFrame, lang: str = "lang", text: str = "text", rsd
     return d.where(F.col("token").isNotNull()).groupBy("language").agg(F.approx_count_distinct("token", rsd).cast("bigint").alias("vocab_used_approx"))
 
 
+LG_K = 12  # 2^12 registers a sketch: a standard error of 1.04 / 64
+
+
+def usage_sketches(prompts: DataFrame, by: Sequence[str], lang: str = "lang", text: str = "text", lg_k: int = LG_K) -> DataFrame:
+    """G6a as a table that can be kept: ``by`` (e.g. the day), language and the sketch of
+    its distinct tokens, a few KB however many tokens there were."""
+    d = prompts.select(*by, F.col(lang).alias("language"), F.explode_outer(prompt_tokens(prompts, text)).alias("token"))
+    return d.where(F.col("token").isNotNull()).groupBy(*by, "language").agg(F.hll_sketch_agg("token", F.lit(lg_k)).alias("sketch"))
+
+
+def store_sketches(sketches: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Keep sketches as one folder per value of ``by``; what is stored again for a value
+    replaces it, so a repeated delivery counts once."""
+    sketches.write.option("partitionOverwriteMode", "dynamic").partitionBy(*by).mode("overwrite").parquet(path)
+
+
+def merged_usage(sketches: DataFrame, by: Sequence[str] = ("language",)) -> DataFrame:
+    """Distinct tokens per ``by`` over all given sketches (select days before): their union,
+    which is the sketch of all their tokens; no text is read."""
+    union = F.hll_union_agg("sketch")
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(union).alias("vocab_used_approx"))
+
+
 def topk_share(token_counts: DataFrame, ks: Sequence[int] = (100, 1000, 5000), lang: str = "language",
                cnt: str = "cnt") -> DataFrame:
     """Share of all token occurrences held by the k most frequent tokens.

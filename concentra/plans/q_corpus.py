@@ -152,7 +152,8 @@ neutral AS (
 def _templates(spark, sf_dir):
     """(category, slot, text): what the caller of P6 supplies, taken from the tables."""
     user = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(strip_ws("text").alias("text"))
-    first = F.slice(F.filter(F.split("text", f"{BLANK}+"), lambda w: w != ""), 1, 2)
+    # two words, perhaps behind a leading blank: no more of the text is split
+    first = F.slice(F.filter(F.slice(F.split("text", f"{BLANK}+", 4), 1, 3), lambda w: w != ""), 1, 2)
     stubs = table(spark, sf_dir, "documents").select(F.array_join(first, " ").alias("text"))
     both = user.withColumn("category", F.lit("explicit")).unionByName(stubs.withColumn("category", F.lit("neutral")))
     drawn = grid.sample_per_group(both.where(F.col("text") != ""), "category", "text", N_TEMPLATES, seed=42)

@@ -385,6 +385,50 @@ def e17_mutual_information_events_p(spark, sf_dir):
     return rounded(with_p_value(m, "chi2", stat="g", df1="df1", df2=None))
 
 
-@register("e18_pca_fingerprint")
+def _pca_ctes(k: int = 3, squarings: int = 14) -> list[str]:
+    """Principal axes in SQL: the covariance is squared until it has the first axis in every
+    column; then that axis is taken out and the rest squared again."""
+    ctes = [
+        "x AS (SELECT row_number() OVER () AS r, label, embedding FROM embeddings)",
+        "e AS MATERIALIZED (SELECT r, label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS v FROM x)",
+        "mu AS (SELECT i, avg(v) AS m FROM e GROUP BY i)",
+        "c AS MATERIALIZED (SELECT e.r, e.i, v - m AS v FROM e JOIN mu USING (i))",
+        "cov0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) / ((SELECT count(*) FROM x) - 1) AS v FROM c a JOIN c b ON a.r = b.r GROUP BY a.i, b.i)",
+    ]
+    for q in range(k):
+        src = f"cov{q}"
+        for s in range(squarings):
+            ctes.append(f"p{q}_{s} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) / any_value(t) AS v FROM {src} a JOIN {src} b ON a.j = b.i, (SELECT sqrt(sum(v * v)) AS t FROM {src}) GROUP BY a.i, b.j)")
+            src = f"p{q}_{s}"
+        # the column with the largest diagonal, of length 1, its largest loading positive
+        ctes.append(f"col{q} AS (SELECT i, v FROM {src} WHERE j = (SELECT arg_max(i, v) FROM {src} WHERE i = j))")
+        ctes.append(f"w{q} AS MATERIALIZED (SELECT i, v / (SELECT sqrt(sum(v * v)) FROM col{q}) * (SELECT sign(arg_max(v, abs(v))) FROM col{q}) AS v FROM col{q})")
+        ctes.append(f"l{q} AS (SELECT sum(a.v * m.v * b.v) AS lam FROM cov{q} m JOIN w{q} a ON a.i = m.i JOIN w{q} b ON b.i = m.j)")
+        ctes.append(f"cov{q + 1} AS MATERIALIZED (SELECT m.i, m.j, m.v - lam * a.v * b.v AS v FROM cov{q} m JOIN w{q} a ON a.i = m.i JOIN w{q} b ON b.i = m.j, l{q})")
+    return ctes
+
+
+@register(
+    "e18_pca_fingerprint",
+    with_ctes(
+        *_pca_ctes(),
+        body="SELECT label, avg(pc1) AS pc1, avg(pc2) AS pc2, avg(pc3) AS pc3, count(*) AS n FROM (SELECT r, label, "
+        "sum(e.v * w0.v) AS pc1, sum(e.v * w1.v) AS pc2, sum(e.v * w2.v) AS pc3 FROM e JOIN w0 USING (i) JOIN w1 USING (i) JOIN w2 USING (i) GROUP BY r, label) GROUP BY label",
+    ),
+    doubles=["pc1", "pc2", "pc3"],
+)
 def e18_pca_fingerprint(spark, sf_dir):
-    return rounded(ef.pca_fingerprint(table(spark, sf_dir, "embeddings"), "embedding", "label"))
+    return rounded(ef.pca_fingerprint(table(spark, sf_dir, "embeddings"), "embedding", "label", tol=1e-9))
+
+
+@register(
+    "e18_pca_variance",
+    with_ctes(
+        *_pca_ctes(),
+        "tr AS (SELECT sum(v) AS total FROM cov0 WHERE i = j)",
+        body="SELECT component, lam AS variance, lam / total AS share FROM (SELECT 1 AS component, lam FROM l0 UNION ALL SELECT 2, lam FROM l1 UNION ALL SELECT 3, lam FROM l2), tr",
+    ),
+    doubles=["variance", "share"],
+)
+def e18_pca_variance(spark, sf_dir):
+    return rounded(ef.pca_variance(table(spark, sf_dir, "embeddings"), "embedding", tol=1e-9))

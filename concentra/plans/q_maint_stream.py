@@ -142,7 +142,7 @@ FROM events GROUP BY ALL""",
     doubles=["mean", "std", "share_above"],
 )
 def s2_monitor(spark, sf_dir):
-    src = ss.parquet_stream(spark, sf_dir, "events.parquet")
+    src = ss.parquet_stream(ss.state_session(spark), sf_dir, "events.parquet")
     mon = ss.monitor(src, "event_type", "value", window="1 day", watermark="1 hour", limit=10.0)
     out, ckpt = _scratch(spark, "s2")
     sink = ss.run_available(mon, out, ckpt, mode="update")
@@ -167,7 +167,7 @@ GROUP BY ALL""",
 )
 def s2_monitor_sliding(spark, sf_dir):
     """1-day windows sliding every 12 hours: every event counts in two windows."""
-    src = ss.parquet_stream(spark, sf_dir, "events.parquet")
+    src = ss.parquet_stream(ss.state_session(spark), sf_dir, "events.parquet")
     mon = ss.monitor(src, "event_type", "value", window="1 day", slide="12 hours", watermark="1 hour", limit=10.0)
     out, ckpt = _scratch(spark, "s2s")
     sink = ss.run_available(mon, out, ckpt, mode="update")
@@ -216,8 +216,8 @@ def s3_rolling_battery(spark, sf_dir):
         "n", *[(F.col(c) / dof).alias(k) for c, k in (
             ("m2_hour", "c11"), ("c_hour", "c1y"), ("m2", "cyy"), ("m2_weekday", "c22"), ("c_hour_weekday", "c12"), ("c_weekday", "c2y"))]
     )
-    rows = f1.unionByName(pair.select(*st._pearson_cols("S3r"))).unionByName(pair.select(*st._ols_cols("value", "hour", "S3o")))
-    return rounded(rows.unionByName(st._partial_from_moments(both, "S3p")))
+    rows = f1.unionByName(pair.select(*st._row("S3r", *st._pearson_parts()))).unionByName(pair.select(*st._ols_cols("value", "hour", "S3o")))
+    return rounded(rows.unionByName(both.select(*st._row("S3p", *st._partial_parts()))))
 
 
 @register(
@@ -234,6 +234,33 @@ def s3_day_moments(spark, sf_dir):
     )
 
 
+WINDOW_DAYS = 7
+
+
+@register(
+    "s3_rolling_window",
+    f"""
+WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE value IS NOT NULL),
+m AS (SELECT d.day, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, corr(value, hour(ts)) AS r, regr_slope(value, hour(ts)) AS slope
+      FROM d JOIN events e ON CAST(e.ts AS DATE) BETWEEN d.day - {WINDOW_DAYS - 1} AND d.day WHERE value IS NOT NULL GROUP BY d.day)
+SELECT strftime(day, '%Y-%m-%d') AS day, CAST(n AS BIGINT) AS n, mean / nullif(sd / sqrt(n), 0) AS t_mean,
+       r * sqrt((n - 2) / nullif(1 - r * r, 0)) AS t_hour, slope FROM m""",
+    doubles=["t_mean", "t_hour", "slope"],
+)
+def s3_rolling_window(spark, sf_dir):
+    """For every day the tests over the week up to it (mean against 0; value ~ hour), from the
+    moments that the stream keeps per day: no event is read again for a window."""
+    m = ss.merge_moments(_moments_sink(spark, sf_dir), covariates=["hour", "weekday"], last_days=WINDOW_DAYS)
+    nz = lambda c: F.nullif(c, F.lit(0.0))
+    r = F.col("r_hour")
+    return rounded(m.select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "n",
+        (F.col("mean") / nz(F.col("sd") / F.sqrt("n"))).alias("t_mean"),
+        (r * F.sqrt((F.col("n") - 2) / nz(1.0 - r * r))).alias("t_hour"),
+        (F.col("c_hour") / nz(F.col("m2_hour"))).alias("slope"),
+    ))
+
+
 @register(
     "s4_session_runs",
     f"""
@@ -274,7 +301,7 @@ HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1
 def s4_session_stream(spark, sf_dir):
     """The sessions as a stream: those that the watermark (an hour behind the last
     event) has closed are out, the others are still open."""
-    src = ss.parquet_stream(spark, sf_dir, "events.parquet")
+    src = ss.parquet_stream(ss.state_session(spark), sf_dir, "events.parquet")
     out, ckpt = _scratch(spark, "s4")
     s = ss.run_available(ss.session_runs(src, "user_id", gap="30 minutes", watermark="1 hour"), out, ckpt)
     return s.select(
@@ -291,8 +318,9 @@ def s4_session_stream(spark, sf_dir):
 )
 def s5_stream_dedup(spark, sf_dir):
     """Every event is delivered twice (two sources); each counts once."""
-    a = ss.parquet_stream(spark, sf_dir, "events.parquet")
-    b = ss.parquet_stream(spark, sf_dir, "events.parquet")
+    own = ss.state_session(spark)  # the keys of a watermark's span lie on disk
+    a = ss.parquet_stream(own, sf_dir, "events.parquet")
+    b = ss.parquet_stream(own, sf_dir, "events.parquet")
     d = ss.stream_dedup(a.unionByName(b), ["event_id"])
     out, ckpt = _scratch(spark, "s5")
     sink = ss.run_available(d.select("event_id", "event_type", "ts"), out, ckpt)

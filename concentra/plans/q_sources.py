@@ -538,6 +538,20 @@ def b9_distinct_prompts(spark, sf_dir):
     return grid.distinct_prompts(runs, ("language", "prompt_md5"))
 
 
+@register(
+    "b9_first_seen",
+    """
+SELECT language, prompt_md5, CAST(row_number() OVER (PARTITION BY language ORDER BY first_at) - 1 AS BIGINT) AS first_seen
+FROM (SELECT lang AS language, md5(text) AS prompt_md5, min(doc_id) AS first_at FROM documents GROUP BY ALL)""",
+)
+def b9_first_seen(spark, sf_dir):
+    """Distinct prompts with their number in order of first occurrence, per language."""
+    docs = table(spark, sf_dir, "documents")
+    hashes = docs.select("doc_id", F.col("lang").alias("language"), F.md5("text").alias("prompt_md5"))
+    runs = hashes.select("*", fx.temps_col().alias("temp"))
+    return grid.distinct_prompts(runs, ("language", "prompt_md5"), order=["doc_id", "temp"])
+
+
 @register(
     "b10_sample_per_group",
     """

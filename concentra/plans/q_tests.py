@@ -16,7 +16,7 @@ from ..sources import fixtures as fx
 from . import sqlstats as q
 from .registry import register, round_sql, rounded
 from .sqlparts import DOC_WORDS, POS_NED, RUNS_DOCS, runs_vec_sql, with_ctes
-from .sqltails import exact, with_p
+from .sqltails import exact, range_quantile, range_tail, with_p
 
 RUNS_CTES = (POS_NED, runs_vec_sql())
 RUNS_T_CTES = (POS_NED, runs_vec_sql("pos_trim", "runs_t"))
@@ -171,7 +171,30 @@ def f2p_tukey_stat(spark, sf_dir):
     return rounded(st.tukey_hsd(_runs(spark, sf_dir)).select("group1", "group2", "meandiff", "q"))
 
 
-@register("f2p_tukey")
+def _tukey_sql(by: str = "") -> str:
+    """All pairs with tails and limits, per ``by`` (a column, or none)."""
+    b, on = (f"{by}, ", f"a.{by} = b.{by} AND ") if by else ("", "")
+    gk = f"JOIN gk ON gk.{by} = a.{by}" if by else ", gk"
+    out = "group1, group2, meandiff, q, greatest(p, 0) AS p_adj, meandiff - q_crit * se AS lower, meandiff + q_crit * se AS upper, p < 0.05 AS reject"
+    return with_ctes(
+        *RUNS_CTES,
+        f"""
+gs AS (SELECT {b}temp AS level, count(*) AS n, avg(ned_mean) AS mean, var_samp(ned_mean) AS v
+       FROM runs WHERE temp IS NOT NULL AND ned_mean IS NOT NULL GROUP BY {b}temp),
+gk AS (SELECT {b}count(*)::DOUBLE AS k, (sum(n) - count(*))::DOUBLE AS df, sum(coalesce(v, 0) * (n - 1)) / (sum(n) - count(*)) AS msw FROM gs {f"GROUP BY {by}" if by else ""}),
+pr AS (SELECT {f"a.{by}, " if by else ""}a.level AS group1, b.level AS group2, b.mean - a.mean AS meandiff, sqrt(gk.msw / 2 * (1.0 / a.n + 1.0 / b.n)) AS se, k, df
+       FROM gs a JOIN gs b ON {on}a.level < b.level {gk} WHERE gk.k > 2),
+pq AS (SELECT *, abs(meandiff) / se AS q FROM pr)""",
+        f"tl AS MATERIALIZED ({range_tail('SELECT DISTINCT q, k, df FROM pq', 'q, k, df')})",
+        *range_quantile("gk"),
+        body=f"SELECT {b}{out} FROM pq JOIN tl USING (q, k, df) JOIN crit USING (k, df)",
+    )
+
+
+_TUKEY = ["group1", "group2", "meandiff", "q", "p_adj", "lower", "upper"]
+
+
+@register("f2p_tukey", _tukey_sql(), doubles=_TUKEY)
 def f2p_tukey(spark, sf_dir):
     return rounded(st.tukey_hsd(_runs(spark, sf_dir)))
 
@@ -271,7 +294,7 @@ def f2p_tukey_by_model_stat(spark, sf_dir):
     return rounded(t.select("model", "group1", "group2", "meandiff", "q"))
 
 
-@register("f2p_tukey_by_model")
+@register("f2p_tukey_by_model", _tukey_sql("model"), doubles=_TUKEY)
 def f2p_tukey_by_model(spark, sf_dir):
     return rounded(st.tukey_hsd(_runs(spark, sf_dir), groups=["model"]))
 

@@ -11,7 +11,7 @@ from ..operators.ordinal import materialize
 from ..functions import metric
 from ..functions.parsers import BLANK
 from ..functions.tails import with_p_value
-from ..session import table
+from ..session import scratch_path, table
 from ..sources import fixtures as fx
 from .registry import register, round_sql, rounded
 from .sqlparts import DOC_WORDS, RUNS_DOCS, TEMPS_SQL, with_ctes
@@ -181,6 +181,26 @@ def g6a_usage_approx_check(spark, sf_dir):
     return j.select("language", "vocab_used", ok.alias("within_3_rsd"))
 
 
+@register(
+    "g6a_usage_sketches",
+    with_ctes(_USAGE_SQL, body="SELECT language, vocab_used, true AS within_3_se, true AS same_as_one_pass FROM usage"),
+)
+def g6a_usage_sketches(spark, sf_dir):
+    """Sketches kept per source and language, merged over the sources: within three
+    standard errors of the exact count, and the same as of one pass over all texts."""
+    docs = _docs(spark, sf_dir)
+    path = scratch_path(spark, "usage-sketches")
+    vb.store_sketches(vb.usage_sketches(docs, ["source"]), path, ["source"])
+    merged = vb.merged_usage(spark.read.parquet(path))
+    # merged with itself, so that it is estimated from its registers as every merge is
+    one = materialize(vb.usage_sketches(docs, []))
+    once = vb.merged_usage(one.unionByName(one)).withColumnRenamed("vocab_used_approx", "once")
+    exact = vb.usage(docs).select("language", "vocab_used")
+    j = exact.join(merged, "language").join(once, "language")
+    ok = F.abs(F.col("vocab_used_approx") - F.col("vocab_used")) <= 3 * 1.04 / 2 ** (vb.LG_K / 2) * F.col("vocab_used")
+    return j.select("language", "vocab_used", ok.alias("within_3_se"), (F.col("vocab_used_approx") == F.col("once")).alias("same_as_one_pass"))
+
+
 def _token_counts(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     d = docs.select("doc_id", F.col("lang").alias("language"), "text").join(vb.first_copies(docs), "doc_id", "left_semi")

@@ -7,6 +7,7 @@ normal cdf is summed with the same rule, where the operator uses a rational form
 
 from __future__ import annotations
 
+from ..functions import tukey
 from ..functions.tails import FIRST, NODES, STEP
 
 _T = f"({FIRST} + {STEP} * j)"
@@ -81,3 +82,44 @@ def phi(z: str) -> str:
     x = f"abs({z})"
     tail = f"exp(-{x} * {x} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, {NODES}), lambda j: exp(-{x} * {_U} - {_U} * {_U} / 2) * {_U} * {_W}))"
     return f"CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+def cdf(z: str) -> str:
+    """Normal cdf from the rational form (z: a column)."""
+
+    def poly(cs) -> str:
+        out = str(cs[0])
+        for k in cs[1:]:
+            out = f"({out} * abs({z}) + {k})"
+        return out
+
+    tail = f"(CASE WHEN abs({z}) < 7 THEN exp(-{z} * {z} / 2) * {poly(tukey.TOP)} / {poly(tukey.BOTTOM)} ELSE 0.0 END)"
+    return f"(CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+def range_tail(src: str, keys: str) -> str:
+    """SELECT {keys}, p over ``src`` (keys, q, k, df): the upper tail of the studentized range as
+    1 - cdf, by the double integral itself on fixed nodes of ln s and z."""
+    return f"""
+SELECT {keys}, 1 - sum(inside * weight) / sum(weight) AS p FROM (
+  SELECT {keys}, j, any_value(weight) AS weight, k * 0.1 * sum(exp(-z * z / 2) / sqrt(2 * pi()) * (({cdf('z')}) - ({cdf('zw')})) ** (k - 1)) AS inside FROM (
+    SELECT *, -8.0 + 0.1 * i AS z, -8.0 + 0.1 * i - q * exp(v) AS zw FROM (
+      SELECT *, exp(df * (v - (exp(2 * v) - 1) / 2)) AS weight FROM (
+        SELECT *, j / 4.0 / sqrt(2.0 * df) AS v FROM ({src}), (SELECT unnest(range(-40, 25)) AS j))),
+      (SELECT unnest(range(0, 161)) AS i))
+  GROUP BY {keys}, j, k) GROUP BY {keys}"""
+
+
+def range_quantile(src: str) -> list[str]:
+    """CTEs that end in crit (k, df, q_crit): the 95 % point for each (k, df) of ``src``, from three
+    grids of q, each between two neighbours of the one before."""
+    ctes = [f"g0 AS (SELECT DISTINCT CAST(k AS DOUBLE) AS k, CAST(df AS DOUBLE) AS df, 0.0::DOUBLE AS base FROM {src})"]
+    for i, (step, n) in enumerate(((1.0, 40), (0.025, 42), (0.000625, 42))):
+        grid = f"SELECT k, df, base + {step} * n AS q FROM g{i}, (SELECT unnest(range(0, {n})) AS n) WHERE base + {step} * n > 0"
+        ctes.append(f"t{i} AS MATERIALIZED ({range_tail(grid, 'k, df, q')})")
+        ctes.append(f"g{i + 1} AS (SELECT k, df, max(q) AS base FROM t{i} WHERE p >= 0.05 GROUP BY k, df)")
+    ctes.append(
+        "crit AS (SELECT a.k, a.df, a.q + (a.p - 0.05) / (a.p - b.p) * (b.q - a.q) AS q_crit FROM g3 JOIN t2 a ON a.k = g3.k AND a.df = g3.df AND a.q = g3.base "
+        "JOIN t2 b ON b.k = a.k AND b.df = a.df AND b.q > a.q QUALIFY row_number() OVER (PARTITION BY a.k, a.df ORDER BY b.q) = 1)"
+    )
+    return ctes

@@ -57,10 +57,42 @@ def _batch_writer(out: str, transform: Callable[[DataFrame, int], DataFrame] | N
     return write
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session for streams with state (S2, S4, S5): their state lies in RocksDB on the
+    executors' disks and in the checkpoint folder, not on the JVM heap, and is stored by
+    changes. Tables, temporary views aside, are those of ``spark``, whose own
+    settings stay as they are."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return own
+
+
+def state_report(progress) -> list[dict]:
+    """Per micro-batch and stateful operator of a query's progress: rows and bytes of state,
+    rows dropped as later than the watermark, and whether RocksDB holds the state."""
+    out = []
+    for p in progress:
+        for op in p.stateOperators:
+            custom = dict(op.customMetrics)
+            out.append({
+                "batch_id": p.batchId, "operator": op.operatorName, "state_rows": op.numRowsTotal, "state_bytes": op.memoryUsedBytes,
+                "late_rows": op.numRowsDroppedByWatermark, "rocksdb": any(k.startswith("rocksdb") for k in custom),
+            })
+    return out
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
-                  transform: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+                  transform: Callable[[DataFrame, int], DataFrame] | None = None, report: list | None = None) -> DataFrame:
     """Process everything available now, then read the sink back (batch). When
-    nothing arrived the result is an empty frame of the sink's schema."""
+    nothing arrived the result is an empty frame of the sink's schema. ``report`` takes the
+    rows of ``state_report``; a query of a ``state_session`` whose state is not in
+    RocksDB is an error."""
     spark = stream.sparkSession
     q = (
         stream.writeStream.outputMode(mode)
@@ -72,6 +104,11 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    states = state_report(q.recentProgress)
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") == ROCKSDB and not all(s["rocksdb"] for s in states):
+        raise RuntimeError("the state of the query is not in RocksDB")
+    if report is not None:
+        report.extend(states)
     empty = spark.createDataFrame([], stream.schema)
     empty = empty if transform is None else transform(empty, 0)
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in empty.schema.fields], T.StructField("batch_id", T.LongType())])
@@ -154,12 +191,8 @@ def day_moments(batch: DataFrame, _bid: int, value: str = "value", ts: str = "ts
     return b.groupBy(F.to_date(ts).alias("day")).agg(*aggs)
 
 
-def _merge_step(m: DataFrame, keys: Sequence[str], variables: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Merge moment rows that agree in ``keys`` (Chan et al.), as one fold over each
-    group's rows: n, mean_v, m2_v and c_v_w of variables and pairs."""
-    fields = ["n", *[f"mean_{v}" for v in variables], *[f"m2_{v}" for v in variables], *[f"c_{a}_{b}" for a, b in pairs]]
-    rows = F.collect_list(F.struct(*[F.col(f).cast("double").alias(f) for f in fields]))
-    zero = F.struct(*[F.lit(0.0).alias(f) for f in fields])
+def _adder(variables: Sequence[str], pairs: Sequence[tuple[str, str]]) -> Callable[[Column, Column], Column]:
+    """Merge of two moment structs (Chan et al.)."""
 
     def add(acc: Column, x: Column) -> Column:
         n = acc["n"] + x["n"]
@@ -171,7 +204,17 @@ def _merge_step(m: DataFrame, keys: Sequence[str], variables: Sequence[str], pai
         out += [(acc[f"c_{a}_{b}"] + x[f"c_{a}_{b}"] + part * delta[a] * delta[b]).alias(f"c_{a}_{b}") for a, b in pairs]
         return F.struct(*out)
 
-    merged = m.where(F.col("n") > 0).groupBy(*keys).agg(F.aggregate(rows, zero, add).alias("_m"))
+    return add
+
+
+def _merge_step(m: DataFrame, keys: Sequence[str], variables: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Merge moment rows that agree in ``keys`` (Chan et al.), as one fold over each
+    group's rows: n, mean_v, m2_v and c_v_w of variables and pairs."""
+    fields = ["n", *[f"mean_{v}" for v in variables], *[f"m2_{v}" for v in variables], *[f"c_{a}_{b}" for a, b in pairs]]
+    rows = F.collect_list(F.struct(*[F.col(f).cast("double").alias(f) for f in fields]))
+    zero = F.struct(*[F.lit(0.0).alias(f) for f in fields])
+
+    merged = m.where(F.col("n") > 0).groupBy(*keys).agg(F.aggregate(rows, zero, _adder(variables, pairs)).alias("_m"))
     return merged.select(*keys, *[F.col(f"_m.{f}").alias(f) for f in fields])
 
 
@@ -186,14 +229,47 @@ def merge_all(moments: DataFrame, variables: Sequence[str], pairs: Sequence[tupl
     return _merge_step(first, list(by), variables, pairs)
 
 
-def merge_moments(moments: DataFrame, by: Sequence[str] = (), covariates: Sequence[str] = ()) -> DataFrame:
-    """Exact merge of ``day_moments`` rows. Output: n, mean, sample sd of the value,
+def _last_days(daily: DataFrame, days: int, variables: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """For every day of ``daily`` (one row a day) the merge of the last ``days`` calendar days.
+
+    Moments cannot be taken out of a merge again, so days are cut into blocks of ``days`` and
+    every block is folded twice, from its first day on and back from its last. A
+    window is the tail of one block and the head of the next: two folds of a block and
+    one merge a day, however long the window is.
+    """
+    fields = [c for c in daily.columns if c != "day"]
+    add = _adder(variables, pairs)
+    zero = F.struct(*[F.lit(0.0).alias(f) for f in fields])
+    number = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    block = F.floor(number / days).cast("int")
+    rows = daily.select(block.alias("_b"), F.pmod(number, F.lit(days)).alias("_p"), F.struct(*[F.col(f).cast("double").alias(f) for f in fields]).alias("_m"))
+    blocks = rows.groupBy("_b").agg(F.collect_list(F.struct("_p", "_m")).alias("_rows"))  # at most ``days`` rows
+    on = lambda p: F.coalesce(F.get(F.filter("_rows", lambda r: r["_p"] == p), F.lit(0))["_m"], zero)
+    every = blocks.withColumn("_days", F.transform(F.sequence(F.lit(0), F.lit(days - 1)), on))
+    fold = lambda c: F.slice(F.aggregate(c, F.array(zero), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x)))), 2, days)
+    folds = every.select("_b", fold(F.col("_days")).alias("_heads"), F.reverse(fold(F.reverse("_days"))).alias("_tails"))
+    heads = folds.select("_b", F.posexplode("_heads").alias("_p", "_head"))
+    # the tail from place p of a block goes before the head up to place p - 1 of the next
+    tails = folds.select((F.col("_b") + 1).alias("_b"), F.posexplode("_tails").alias("_p", "_tail")).withColumn("_p", F.col("_p") - 1)
+    ends = daily.select("day", block.alias("_b"), F.pmod(number, F.lit(days)).alias("_p"))
+    both = ends.join(heads, ["_b", "_p"]).join(tails, ["_b", "_p"], "left")
+    merged = both.select("day", add(F.coalesce("_tail", zero), F.col("_head")).alias("_m"))
+    return merged.select("day", *[F.col(f"_m.{f}").alias(f) for f in fields])
+
+
+def merge_moments(moments: DataFrame, by: Sequence[str] = (), covariates: Sequence[str] = (), last_days: int | None = None) -> DataFrame:
+    """Exact merge of ``day_moments`` rows; with ``last_days`` one row for every day, over the
+    calendar days up to it. Output: n, mean, sample sd of the value,
     and per covariate its mean, sd, sum of squares, co-moment and r; for two
     covariates also their co-moment."""
     named = moments.withColumnsRenamed({"mean": "mean_y", "m2": "m2_y", **{f"c_{x}": f"c_y_{x}" for x in covariates}})
     variables = ["y", *covariates]
     pairs = [("y", x) for x in covariates] + [(a, b) for i, a in enumerate(covariates) for b in covariates[i + 1 :]]
-    s = merge_all(named, variables, pairs, by)
+    if last_days is None:
+        s = merge_all(named, variables, pairs, by)
+    else:
+        by = ["day"]
+        s = _last_days(merge_all(named, variables, pairs, by), last_days, variables, pairs)
     n1 = F.nullif(F.col("n") - 1, F.lit(0.0))
     out = [*by, F.col("n").cast("bigint").alias("n"), F.col("mean_y").alias("mean"), F.sqrt(F.col("m2_y") / n1).alias("sd"), F.col("m2_y").alias("m2")]
     for x in covariates:

@@ -27,7 +27,7 @@ def test_average_ranks_global_with_buckets(spark):
     pdf = pd.DataFrame({"v": vals})
     df = spark.createDataFrame(pdf)
     vc = ranks.value_counts(df, "v")
-    got = ranks.average_ranks(vc, "v", buckets=16).toPandas().set_index("v")["rank"]
+    got = ranks.average_ranks(vc, "v", values_per_range=16).toPandas().set_index("v")["rank"]
     exp = pdf.assign(r=pdf["v"].rank(method="average")).drop_duplicates("v").set_index("v")["r"]
     assert np.allclose(got.sort_index().values, exp.sort_index().values)
 
@@ -59,22 +59,15 @@ def test_lag_pairs_match_shift(spark):
     assert np.allclose(np.sort(got["cur"].values), np.sort(exp["y"].values))
 
 
-def test_bucket_expression(spark):
-    cuts = [1.0, 2.0, 3.0]
-    df = spark.createDataFrame([(0.5,), (1.0,), (2.5,), (3.0,), (9.0,)], "v double")
-    got = [r.b for r in ordinal.with_buckets(df, "v", cuts, "b").orderBy("v").collect()]
-    assert got == [0, 1, 2, 3, 3]
-
-
-@pytest.mark.parametrize("buckets", [1, 4])
-def test_rank_without_cuts(spark, buckets):
+@pytest.mark.parametrize("per_range", [1, 4])
+def test_rank_in_one_or_more_ranges(spark, per_range):
     df = spark.createDataFrame([(1.0,), (1.0,), (2.0,)], "v double")
-    got = ranks.average_ranks(ranks.value_counts(df, "v"), "v", buckets=buckets).orderBy("v").collect()
+    got = ranks.average_ranks(ranks.value_counts(df, "v"), "v", values_per_range=per_range).orderBy("v").collect()
     assert [r["rank"] for r in got] == [1.5, 3.0]
 
 
 def test_global_ordinal_with_aqe_coalescing(spark):
-    """Ranges are literals of the plan: merged partitions leave ordinals unchanged."""
+    """The run is stored: partitions merged at run time leave ordinals unchanged."""
     rng = np.random.default_rng(12)
     pdf = pd.DataFrame({"a": rng.integers(0, 50, 5000), "b": rng.permutation(5000)})
     df = spark.createDataFrame(pdf)
@@ -90,3 +83,28 @@ def test_global_ordinal_with_aqe_coalescing(spark):
     exp["o"] = range(len(exp))
     m = got.merge(exp, on=["a", "b"], suffixes=("", "_exp"))
     assert len(m) == len(pdf) and (m["o"] == m["o_exp"]).all()
+
+
+def test_an_ordinal_evaluates_its_input_once(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    df = spark.range(500).select(counted("id").alias("id"), (F.col("id") % 3).alias("g"))
+    assert ordinal.global_ordinal(df, ["id"], by=["g"], rows_per_range=50).agg(F.max("ordinal")).first()[0] == 166
+    assert seen.value == 500
+    # the order key may be a sum that another evaluation would round otherwise: numbers stay whole
+    noise = spark.range(500).select((F.rand() + F.col("id")).alias("x"))
+    got = ordinal.global_ordinal(noise, ["x"], rows_per_range=50)
+    assert sorted(r.ordinal for r in got.collect()) == list(range(500))
+
+
+def test_empty_tables_have_ordinals(spark):
+    df = spark.range(0).withColumn("g", __import__("pyspark").sql.functions.lit(1))
+    assert ordinal.global_ordinal(df, ["id"], by=["g"]).count() == 0
+    assert ordinal.running_starts(df, ["id"], "g").count() == 0

@@ -29,15 +29,16 @@ def test_hot_group_is_spread_over_ranges(spark, skewed):
     _, df = skewed
     from pyspark.sql import functions as F
 
-    ranged = ordinal.with_ranges(df, ["g", "t"], rows_per_range=200)
+    ranged = ordinal.in_order(df, ["g", "t"], rows_per_range=200)
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("g") == "hot").alias("hot")).collect()
     assert sum(r.hot > 0 for r in sizes) >= 4 and max(r.n for r in sizes) < 600
-    # a range is a function of the row, and ascends with the order
+    # range and place ascend with the order
     rows = ranged.orderBy("g", "t").toPandas()
     assert rows["_range"].is_monotonic_increasing
+    assert rows.groupby("_range")["_place"].apply(lambda p: (p.values == np.arange(len(p))).all()).all()
 
 
-def test_ranges_with_nulls_and_many_cuts(spark):
+def test_ranges_with_nulls_and_many_ranges(spark):
     pdf = pd.DataFrame({"a": [None, 1.0, 2.0, None, 1.0] * 200, "b": range(1000)})
     df = spark.createDataFrame(pdf).selectExpr("if(isnan(a), null, a) as a", "b")
     got = ordinal.global_ordinal(df, ["a", "b"], name="o", rows_per_range=10).orderBy("o").collect()

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from concentra.session import table
@@ -133,3 +135,41 @@ def test_event_time_is_utc_in_any_session_zone(spark):
         assert got[0] == got[1]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_state_lies_in_rocksdb_and_late_rows_are_reported(spark, tmp_path):
+    import datetime as dt
+
+    own = ss.state_session(spark)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ss.ROCKSDB
+    day = dt.datetime(2024, 1, 1)
+    for i, hours in enumerate(([0, 1, 1, 30], [2, 31, 31])):  # hour 2 is late by the second file
+        rows = [(f"{h}", day + dt.timedelta(hours=h)) for h in hours]
+        spark.createDataFrame(rows, "k string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    report = []
+    stream = ss.parquet_stream(own, str(tmp_path), "events.parquet", max_files=1)
+    out = ss.run_available(ss.stream_dedup(stream, ["k"], watermark="1 hour"), f"{tmp_path}/out", f"{tmp_path}/ckpt", report=report)
+    kept = sorted(r.k for r in out.collect())
+    assert kept.count("1") == 1 and kept.count("31") == 1
+    assert report and all(r["rocksdb"] for r in report) and any(r["state_rows"] > 0 for r in report)
+    assert sum(r["late_rows"] for r in report) == len([0, 1, 1, 30, 2, 31, 31]) - 2 - len(kept)
+
+
+@pytest.mark.parametrize("days", [1, 3, 7])
+def test_rolling_moments_equal_a_pass_per_window(spark, days):
+    import datetime as dt
+
+    import numpy as np
+
+    rng = np.random.default_rng(days)
+    start = dt.date(2023, 12, 28)
+    rows = [(start + dt.timedelta(days=int(d)), float(v), float(h)) for d, v, h in zip(rng.choice([0, 1, 2, 5, 6, 7, 8, 20, 21], 300), rng.normal(size=300) + 1e6, rng.integers(0, 24, 300))]
+    events = spark.createDataFrame(rows, "day date, value double, hour double")
+    # two batches a day
+    parts = [ss.day_moments(events.where(c), 0, ts="day", covariates=["hour"]) for c in ("hour < 9", "hour >= 9")]
+    got = {r.day: r for r in ss.merge_moments(parts[0].unionByName(parts[1]), covariates=["hour"], last_days=days).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for day, r in got.items():
+        mine = np.array([(v, h) for d, v, h in rows if day - dt.timedelta(days=days - 1) <= d <= day])
+        assert r.n == len(mine) and r["mean"] == pytest.approx(mine[:, 0].mean())
+        assert r.sd == pytest.approx(mine[:, 0].std(ddof=1)) and r.r_hour == pytest.approx(np.corrcoef(mine.T)[0, 1])

@@ -97,28 +97,36 @@ def test_normal_cdf(spark):
     assert got == pytest.approx([0.5 * math.erfc(-x / math.sqrt(2)) for x in z], rel=1e-8)
 
 
-def test_studentized_range():
-    assert t.qtukey(0.95, 3, math.inf) == pytest.approx(3.314, abs=1e-3)
-    assert t.qtukey(0.95, 3, 10) == pytest.approx(3.877, abs=1e-3)
-    assert t.qtukey(0.95, 4, 20) == pytest.approx(3.958, abs=1e-3)
-    assert t.qtukey(0.95, 2, 10) == pytest.approx(3.151, abs=1e-3)
-    assert t.ptukey(3.314, 3, math.inf) == pytest.approx(0.95, abs=1e-3)
-    # two groups: the range of two normals is |z| sqrt(2)
-    for q in (0.5, 3.0, 12.0, 40.0):
-        assert t.log_tukey_upper(q, 2, math.inf) == pytest.approx(math.log(math.erfc(q / 2.0)), rel=1e-9)
-
-
-def test_studentized_range_far_out():
-    """The tail itself is integrated: no floor, and no step at large degrees of freedom."""
-    far = [t.log_tukey_upper(q, 3, 300) for q in (8.0, 12.0, 40.0)]
-    assert far[0] > far[1] > far[2] and far[2] == pytest.approx(-196.714, abs=0.01)
-    # with two groups Q / sqrt(2) is |t|: P(|t| > 40 / sqrt(2)) at 300 degrees of freedom
-    near = [t.log_tukey_upper(q, 3, 25_000 * f) for q in (3.3, 30.0) for f in (0.99, 1.01)]
-    assert near[0] == pytest.approx(near[1], abs=1e-4) and near[2] == pytest.approx(near[3], rel=1e-3)
-    assert t.log_tukey_upper(3.314, 3, 1e9) == pytest.approx(t.log_tukey_upper(3.314, 3, math.inf), rel=1e-6)
-
-
-def test_studentized_range_of_two_groups_is_t(spark):
-    for q, d in ((3.151, 10.0), (40.0, 300.0)):
-        lp = tail(spark, [("t", q / math.sqrt(2), d, None)])[0][1]
-        assert t.log_tukey_upper(q, 2, d) == pytest.approx(lp * LN10, rel=1e-8)
+def ranges(spark, rows):
+    """ln P(Q > q) of (q, k, df) rows, in their order."""
+    from concentra.functions import tukey
+
+    df = spark.createDataFrame([(i, *map(lambda x: None if x is None else float(x), r)) for i, r in enumerate(rows)], "i int, q double, k double, df double")
+    got = {r.i: r.lp for r in tukey.log_upper(df, ["i"], "q", "k", "df", "lp").collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_studentized_range_quantiles(spark):
+    from concentra.functions import tukey
+
+    # textbook values of the 95 % point; df None: infinitely many
+    table = [(3, None, 3.314), (3, 10, 3.877), (4, 20, 3.958), (2, 10, 3.151), (3, 1, 26.98), (10, 5, 6.995), (1, 10, None), (3, 0, None), (None, 5, None)]
+    df = spark.createDataFrame([(i, k and float(k), None if d is None else float(d)) for i, (k, d, _) in enumerate(table)], "i int, k double, df double")
+    got = {r.i: r.q for r in tukey.quantile(df, ["i"], 0.95, "k", "df", "q").collect()}
+    assert [got[i] for i in range(len(table))] == [None if q is None else pytest.approx(q, abs=1.5e-3 * max(1, q / 4)) for *_, q in table]
+    back = ranges(spark, [(got[i], k, d) for i, (k, d, q) in enumerate(table) if q])
+    assert back == pytest.approx([math.log(0.05)] * len(back), abs=1e-7)
+
+
+def test_studentized_range_tail(spark):
+    # two groups: the range of two normals is |z| sqrt(2), Q / sqrt(2) is |t|
+    qs = (0.5, 3.0, 12.0, 40.0)
+    assert ranges(spark, [(q, 2, None) for q in qs]) == pytest.approx([math.log(math.erfc(q / 2.0)) for q in qs], rel=1e-9)
+    pairs = ((3.151, 10.0), (40.0, 300.0), (1.0, 1.0), (500.0, 2.0))
+    t_tail = [lp * LN10 for _, lp in tail(spark, [("t", q / math.sqrt(2), d, None) for q, d in pairs])]
+    assert ranges(spark, [(q, 2, d) for q, d in pairs]) == pytest.approx(t_tail, rel=1e-7)
+    # far out: no floor, and no step at large degrees of freedom
+    a, b, c, d, e, f, g = ranges(spark, [(8, 3, 300), (40, 3, 300), (3.3, 3, 24_750), (3.3, 3, 25_250), (3.314, 3, 1e9), (3.314, 3, None), (100, 3, 1000)])
+    assert a > b and b == pytest.approx(-196.7143623, abs=1e-6) and g == pytest.approx(-898.37008, abs=1e-4)
+    assert c == pytest.approx(d, abs=1e-4) and e == pytest.approx(f, rel=1e-6)
+    assert ranges(spark, [(0, 3, 5), (-1, 3, 5), (None, 3, 5), (2, 1, 5), (2, 3, 0), (float("nan"), 3, 5)]) == [0.0, 0.0, None, None, None, None]
