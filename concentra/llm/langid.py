@@ -316,24 +316,11 @@ def _to_file(counts: DataFrame) -> Model:
     return Model(names, os.path.basename(path), sizes, tuple(floors[x] for x in names), {})
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", z: float = Z_REJECT, max_trigrams: int | None = None) -> Model:
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", z: float = Z_REJECT) -> Model:
     """Models of all languages and their rejection limits, from all rows of
-    ``train`` and all their trigrams. Only a caller who names ``max_trigrams``
-    gets a model without the rarest ones."""
-    counts = count_trigrams(train, text, lang).persist()
-    try:
-        least = 1
-        if max_trigrams is not None and (size := counts.count()) > max_trigrams:
-            by_n = counts.groupBy("n").count().orderBy(F.desc("n")).limit(max_trigrams)
-            kept, least = 0, None
-            for row in by_n.toLocalIterator():
-                if kept + row["count"] > max_trigrams:
-                    break
-                kept, least = kept + row["count"], row["n"]
-            least = least or size
-        model = _to_file(counts.where(F.col("n") >= least) if least > 1 else counts)
-    finally:
-        counts.unpersist()
+    ``train`` and all their trigrams. The counts are a stored table: they are read
+    several times, and kept on no executor's heap."""
+    model = _to_file(stored(count_trigrams(train, text, lang), "trigram-counts"))
     return model._replace(limits=_limits(train, model, text, lang, z))
 
 

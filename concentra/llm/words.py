@@ -9,6 +9,7 @@ batch. A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -71,6 +72,23 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim  # glibc only
+    except (AttributeError, OSError, TypeError):
+        return lambda _: 0
+
+
+_TRIM = _trimmer()
+
+
+def give_back() -> None:
+    """Return what a batch needed to the system: a worker lives on and serves the next stage,
+    and freed arrays would else count against the executor until it ends."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
 def pieces(column, limit: int = PIECE_BYTES) -> Iterator[Piece]:
     """Cut a column into runs of rows of about ``limit`` bytes (one row at least)."""
     data, offsets = text_bytes(column)
@@ -81,7 +99,7 @@ def pieces(column, limit: int = PIECE_BYTES) -> Iterator[Piece]:
         hi = min(max(hi, lo + 1), n)
         yield Piece(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
-    pa.default_memory_pool().release_unused()  # a worker lives on; what a batch needed goes back
+    give_back()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
