@@ -1,6 +1,7 @@
-"""A compressed full-text index over sequences of words: suffix array order, the
-Burrows-Wheeler transform in a wavelet matrix of packed bit vectors with rank
-counts, and backward search, all for many queries at once."""
+"""A full-text index over sequences of words: suffix array order, the Burrows-Wheeler
+transform in a wavelet matrix of packed bit vectors with rank counts, and backward
+search, all for many queries at once. It is not compressed: the suffix order, the
+owners and the doubling ranks are kept beside the matrix."""
 
 from __future__ import annotations
 
