@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tails import norm_cdf
 from .ordinal import in_order, materialize
-from .ranks import average_ranks, value_counts
+from .ranks import average_ranks, pair_ranks, value_counts
 from .stats import _null, _num, _nz, lag_pairs, ttest_1samp
 
 
@@ -43,16 +43,14 @@ def profile_similarity(df: DataFrame, y: str, unit: str, item: str, digits: int
     Profiles are joined on the item, and the means are rounded before ranking
     so that equal means tie in any engine.
     """
-    prof = df.groupBy(unit, item).agg(F.round(F.avg(_num(y)), digits).alias("m")).where(F.col("m").isNotNull())
+    prof = materialize(df.groupBy(unit, item).agg(F.round(F.avg(_num(y)), digits).alias("m")).where(F.col("m").isNotNull()))
     a = prof.select(F.col(unit).alias("u1"), F.col(item).alias("item"), F.col("m").alias("x"))
     b = prof.select(F.col(unit).alias("u2"), F.col(item).alias("item"), F.col("m").alias("y"))
     if baseline is None:
         pairs = a.join(b, "item").where(F.col("u1") < F.col("u2"))
     else:
         pairs = a.where(F.col("u1") == F.lit(baseline)).join(b.where(F.col("u2") != F.lit(baseline)), "item")
-    rx = average_ranks(value_counts(pairs, "x", ["u1", "u2"]), "x", by=["u1", "u2"], name="rx").drop("cnt")
-    ry = average_ranks(value_counts(pairs, "y", ["u1", "u2"]), "y", by=["u1", "u2"], name="ry").drop("cnt")
-    r = pairs.join(rx, ["u1", "u2", "x"]).join(ry, ["u1", "u2", "y"])
+    r = pair_ranks(materialize(pairs), "x", "y", ["u1", "u2"])
     m = r.groupBy("u1", "u2").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_items"),
         F.regr_sxy("ry", "rx").alias("sxy"),

@@ -55,6 +55,21 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), count: str =
     )
 
 
+def pair_ranks(pairs: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
+    """``pairs`` with the average ranks ``rx`` and ``ry`` of both columns within ``by``: one run of
+    values for both (the side is one more key), joined back on the values. ``pairs`` is read
+    three times: a stored table."""
+    by = list(by)
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("_side"), (F.col(c).cast("double") + F.lit(0.0)).alias("_v")) for i, c in enumerate((x, y))]))
+    values = pairs.select(*by, sides.alias("_s")).select(*by, "_s.*").where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    ranks = average_ranks(values.groupBy(*by, "_side", "_v").agg(F.count(F.lit(1)).alias("cnt")), "_v", by=[*by, "_side"])
+    out = pairs
+    for i, (c, name) in enumerate(((x, "rx"), (y, "ry"))):
+        side = ranks.where(F.col("_side") == i).select(*by, F.col("_v").alias(f"_{name}"), F.col("rank").alias(name))
+        out = out.withColumn(f"_{name}", F.col(c).cast("double") + F.lit(0.0)).join(side, [*by, f"_{name}"])
+    return out.drop("_rx", "_ry")
+
+
 def rank_rows(df: DataFrame, value: str, name: str = "rank", by: Sequence[str] = ()) -> DataFrame:
     """Attach the average rank of ``value`` to every row (join on the value).
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsers import BLANK, NON_BLANK
 from .ordinal import materialize
-from .ranks import average_ranks
+from .ranks import pair_ranks
 
 # Script classes and code-point ranges (checked in this order
 # after the Unicode category tests; first match wins).
@@ -278,20 +278,14 @@ def spearman(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame:
     Rows are unpivoted and ranked per column by the distributed rank helper;
     the ranks are joined back on (column, value).
     """
-    # read by both rankings and the join: the input is evaluated once
+    # read by the ranking and its joins: the input is evaluated once
     stacked = materialize(df.select(
         F.col(y).cast("double").alias("_y"),
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_x")) for c in columns])
         ).alias("_s"),
     ).select("_y", "_s.column", "_s._x").where(F.col("_y").isNotNull() & F.col("_x").isNotNull()))
-    rx = average_ranks(
-        stacked.groupBy("column", "_x").agg(F.count(F.lit(1)).alias("cnt")), "_x", by=["column"], name="rx"
-    ).drop("cnt")
-    ry = average_ranks(
-        stacked.groupBy("column", "_y").agg(F.count(F.lit(1)).alias("cnt")), "_y", by=["column"], name="ry"
-    ).drop("cnt")
-    r = stacked.join(rx, ["column", "_x"]).join(ry, ["column", "_y"])
+    r = pair_ranks(stacked, "_x", "_y", ["column"])
     m = r.groupBy("column").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.regr_sxx("ry", "rx").alias("sxx"),

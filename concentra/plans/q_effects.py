@@ -68,6 +68,24 @@ def e2_profile_similarity(spark, sf_dir):
     return rounded(ef.profile_similarity(_runs(spark, sf_dir), "ned_mean", "model", "domain"))
 
 
+@register(
+    "e2_profile_similarity_baseline",
+    with_ctes(
+        *RUNS_CTES,
+        "prof AS (SELECT model AS u, domain AS item, round(avg(ned_mean), 9) AS m FROM runs GROUP BY model, domain)",
+        _spearman_pairs_sql("prof"),
+        body=f"""
+SELECT u1 AS unit1, u2 AS unit2, CAST(count(*) AS BIGINT) AS n_items,
+       regr_sxy(ry, rx) / nullif(sqrt(regr_sxx(ry, rx) * regr_syy(ry, rx)), 0) AS rho
+FROM pr WHERE u1 = '{fx.MODELS[0]}' GROUP BY u1, u2""",
+    ),
+    doubles=["rho"],
+)
+def e2_profile_similarity_baseline(spark, sf_dir):
+    """One model against every other: linear in the models."""
+    return rounded(ef.profile_similarity(_runs(spark, sf_dir), "ned_mean", "model", "domain", baseline=fx.MODELS[0]))
+
+
 def _cohens_sql(src: str, y: str, by: str, base: str) -> str:
     return f"""
 SELECT "group", CAST(n AS BIGINT) AS n, mean,

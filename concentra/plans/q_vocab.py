@@ -32,10 +32,10 @@ def _char_script_sql(c: str) -> str:
 
 _VOCAB_SQL = f"""
 vocab AS (SELECT DISTINCT word AS token FROM doc_words),
-vchars AS (SELECT token, pos, substr(token, CAST(pos AS BIGINT), 1) AS ch
-           FROM (SELECT token, unnest(range(1, length(token) + 1)) AS pos FROM vocab)),
-vper AS (SELECT token, {_char_script_sql('ch')} AS script, count(*) AS n, min(pos) AS first
-         FROM vchars GROUP BY ALL),
+vchars AS (SELECT token, unnest(range(1, length(token) + 1)) AS pos, unnest(string_split(token, '')) AS ch FROM vocab WHERE token <> ''),
+vclass AS MATERIALIZED (SELECT ch, {_char_script_sql('ch')} AS script FROM (SELECT DISTINCT ch FROM vchars)),
+vper AS (SELECT token, script, count(*) AS n, min(pos) AS first
+         FROM vchars JOIN vclass USING (ch) GROUP BY ALL),
 scripts AS (
   SELECT v.token, coalesce(b.script, 'empty') AS script
   FROM vocab v LEFT JOIN (
@@ -57,8 +57,7 @@ def _scripts(spark, sf_dir):
     with_ctes(
         DOC_WORDS,
         """
-chars AS (SELECT DISTINCT substr(text, CAST(i AS BIGINT), 1) AS ch
-          FROM (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM documents))""",
+chars AS (SELECT DISTINCT ch FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '')""",
         body=f"SELECT ch, {_char_script_sql('ch')} AS script FROM chars",
     ),
 )

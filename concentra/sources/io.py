@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.parsers import bundle_index_of_file, strip_ws
-from ..operators.ordinal import running_starts
+from ..operators.ordinal import in_order, running_starts
 from ..session import scratch_path
 
 # Run row (D4): the columns of a result table, with nullable optional columns.
@@ -181,14 +181,22 @@ def merge_bundles(scores: DataFrame, order_in_bundle=("gen_id", "pos")) -> DataF
     return j.select(*scores.columns, ordinal.cast("bigint").alias("merged_pos"))
 
 
-def write_merged(scores: DataFrame, path: str) -> None:
+def write_merged(scores: DataFrame, path: str, order_in_bundle=("gen_id", "pos"), rows_per_range: int = 4096) -> None:
     """A5 as a compaction job: one merged table in merged-position order
-    (nothing is written when no bundle matched). The rows move once, to
-    their range of positions, and are sorted there."""
-    merged = merge_bundles(scores)
+    (nothing is written when no bundle matched). The vectors cross one shuffle, to their
+    range of (bundle, generation, position), and are sorted there; their
+    number is the offset of the range (a small table) and their place in it, so no
+    join moves them again. ``rows_per_range`` bounds a file: fewer for wider vectors."""
     if scores.isEmpty():
         return
-    merged.repartitionByRange("merged_pos").sortWithinPartitions("merged_pos").write.mode("overwrite").parquet(path)
+    keyed = scores.withColumn("_b", F.coalesce(F.col("bundle_id"), F.lit(9223372036854775807)))
+    run = in_order(keyed, ["_b", *order_in_bundle], rows_per_range, stored=True)
+    counts = run.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    numbered = run.join(F.broadcast(offsets), F.col("_range") == F.col("_r"))
+    merged = numbered.select(*scores.columns, (F.col("_off") + F.col("_place")).cast("bigint").alias("merged_pos"))
+    merged.write.mode("overwrite").parquet(path)
 
 
 # --- A6 / A7 / A8 / A9 -------------------------------------------------------------
