@@ -153,7 +153,9 @@ def mann_whitney(df: DataFrame, y: str, by: str, baseline=None, pairs: Sequence[
 # E5
 def residualize(df: DataFrame, y: str, x: str, name: str = "residual") -> DataFrame:
     """OLS residuals of y on x. The two coefficients are one aggregated row,
-    read once on the driver and inlined as literals."""
+    read once on the driver and inlined as literals. ``df`` is read for them and for
+    the residuals: it is evaluated once, into a table."""
+    df = materialize(df, "to-residualize")
     coef = df.select(_num(y).alias("y"), _num(x).alias("x")).agg(
         F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a")
     ).first()
