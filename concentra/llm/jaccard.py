@@ -24,7 +24,8 @@ Sets of word shingles are linked when ``den * |x & y| >= num * |x | y|``.
    union. The number of the query's tokens in the union bounds every overlap
    within; only blocks that reach the least overlap are opened, and their
    members are compared exactly. Sets of one group are not compared again, as
-   more links inside it can't change a component.
+   more links inside it can't change a component. Texts are what is moved for a
+   comparison; their sets are made where they meet.
 5. Components over all links.
 
 Defined cases: a null or empty text has no shingle and is alone; a text with
@@ -54,7 +55,7 @@ from .words import pieces, split_words, windows
 MAX_FREQUENT = 1_000_000
 #: prefix tokens that linked sets share at least (fewer for very small sets)
 SHARED = 2
-#: ids up to which the driver lets a table of ids be broadcast (8 MB)
+#: values up to which the driver lets a table with ids be broadcast (8 MB)
 MAX_BROADCAST_IDS = 1_000_000
 #: tokens in a block of a group (and in a block of queries)
 BLOCK_TOKENS = 1 << 18
@@ -115,7 +116,7 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num: int,
 
 
 def describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, set_id, prefix) per row; set_id is null for an empty set."""
+    """(doc_id, n, size, set_id, prefix) per row, size in bytes of text; set_id is null for an empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, k))
 
     def run(batches):
@@ -127,45 +128,43 @@ def describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     [
                         batch.column("doc_id").slice(piece.lo, piece.hi - piece.lo),
                         pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(np.diff(piece.offsets).astype(np.int64)),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([prefix(s, frequent, rank, num, den).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n", "set_id", "prefix"],
+                    ["doc_id", "n", "size", "set_id", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, set_id binary, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, size bigint, set_id binary, prefix array<bigint>")
 
 
-def token_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, n, tokens) of the documents in ``ids``, tokens as packed bytes."""
+def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (with an ``id``) with the text of that document. Only texts move: a set
+    is a hash of 8 bytes for each shingle, which nothing compresses."""
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    if rows.count() * len(rows.columns) <= MAX_BROADCAST_IDS:  # then the texts need not move here
+        return texts.join(F.broadcast(rows), "id")
+    ids = rows.select("id").distinct()
+    if ids.count() <= MAX_BROADCAST_IDS:  # then no others move
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
+    return texts.join(rows, "id")
 
-    def run(batches):
-        for batch in batches:
-            for piece in pieces(batch.column("text")):
-                sets = shingle_sets(piece, k)
-                yield pa.record_batch(
-                    [batch.column("doc_id").slice(piece.lo, piece.hi - piece.lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["id", "n", "tokens"],
-                )
 
-    ids = ids.select(F.col("id").alias("doc_id"))
-    few = ids.count() <= MAX_BROADCAST_IDS  # then the texts need not move
-    wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "id bigint, n bigint, tokens binary")
+def _sets(column, k: int) -> list[np.ndarray]:
+    return [s for piece in pieces(column) for s in shingle_sets(piece, k)]
 
 
-def _pair_links(num: int, den: int):
+def _pair_links(k: int, num: int, den: int):
     def run(batches):
         for batch in batches:
-            u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-            a, b = batch.column("tokens_u"), batch.column("tokens_v")
             keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if linked(both, len(x), len(y), num, den):
-                    keep.append(i)
-            yield pa.record_batch([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], ["u", "v"])
+            for piece in pieces(batch.column("text_u")):
+                rows = zip(shingle_sets(piece, k), _sets(batch.column("text_v").slice(piece.lo, piece.hi - piece.lo), k), strict=True)
+                for i, (x, y) in enumerate(rows, piece.lo):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if linked(both, len(x), len(y), num, den):
+                        keep.append(i)
+            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
     return run
 
@@ -194,13 +193,12 @@ class Block:
         return self.ids[linked(overlap, len(query), self.n, num, den)]
 
 
-def _group_links(num: int, den: int):
+def _group_links(k: int, num: int, den: int):
     def run(members: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
         if members.num_rows and queries.num_rows:
-            unpack = lambda t: [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens").combine_chunks()]
-            block = Block(members.column("id").to_numpy(), unpack(members))
-            for x, tokens in zip(queries.column("id").to_pylist(), unpack(queries), strict=True):
+            block = Block(members.column("id").to_numpy(), _sets(members.column("text_m"), k))
+            for x, tokens in zip(queries.column("id").to_pylist(), _sets(queries.column("text_q"), k), strict=True):
                 hits = block.links(tokens, num, den)
                 if len(hits):  # one link ties the query to the whole group
                     found.append((x, int(hits.min())))
@@ -209,33 +207,35 @@ def _group_links(num: int, den: int):
     return run
 
 
-def _open_groups(asks: DataFrame, groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _open_groups(docs: DataFrame, asks: DataFrame, members: DataFrame, weights: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (u, v) between queries and members of the groups they ask.
-    ``asks``: (id, comp); ``groups``: (id, comp) of every grouped set."""
-    asks = stored(asks.join(sets, "id"), "asks")
-    members = groups.join(asks.select("comp").distinct(), "comp", "left_semi").join(sets, "id")
-    blocks = members.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    asked = asks.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("parts"))
-    plan = stored(blocks.join(asked, "comp"), "group-blocks")
+    ``asks``, ``members``: (id, comp); ``weights``: (id, weight) in tokens."""
+    parts = lambda t, name: t.join(weights, "id").groupBy("comp").agg(F.ceil(F.sum("weight") / BLOCK_TOKENS).cast("int").alias(name))
+    plan = stored(parts(members, "blocks").join(parts(asks, "parts"), "comp"), "group-blocks")
     spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = members.join(plan, "comp").withColumn("block", spread("blocks", 1)).withColumn("part", every("parts"))
     right = asks.join(plan, "comp").withColumn("part", spread("parts", 2)).withColumn("block", every("blocks"))
     keys = ["comp", "block", "part"]
-    left, right = left.select(*keys, "id", "tokens"), right.select(*keys, "id", "tokens")
-    release(sets.sparkSession)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_group_links(num, den), "u bigint, v bigint")
+    left = texts_of(docs, stored(left.select("id", *keys), "group-members")).withColumnRenamed("text", "text_m")
+    right = texts_of(docs, stored(right.select("id", *keys), "group-askers")).withColumnRenamed("text", "text_q")
+    release(docs.sparkSession)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_group_links(k, num, den), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sets = stored(describe(docs, k, num, den), "shingle-sets")
-    classes = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = sets.where("set_id is not null").groupBy("set_id").agg(
+        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.max("size").alias("size"), F.first("prefix").alias("prefix")
+    )
     classes = stored(classes, "set-classes")
 
     ratio = float(np.log(den / num))
-    tokens = classes.where("id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    # size and place in one column: a token's row moves more than once
+    at = F.shiftleft("n", 31).bitwiseOR(F.col("pos"))
+    tokens = classes.where("id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("id", at.alias("at"), "token")
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     overlap = lambda n: F.ceil(n * num / F.lit(den))  # noqa: E731  with anything linked to a set of n tokens
     least = lambda n: F.least(F.lit(SHARED), overlap(n))
@@ -244,34 +244,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
     shared = stored(tokens.join(common, "token"), "shared-tokens")
     release(docs.sparkSession)
     n = F.col("n")
-    able = shared.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("s"), F.first("n").alias("n"))
-    able = able.where(F.col("k") >= least(n)).select("id", (F.col("s") / (n - behind(n))).alias("w"))
-    size_class = F.floor(F.log("n") / ratio).cast("int").alias("size_class")
-    shared = stored(shared.join(able, "id").select("id", "n", "pos", "token", "w", size_class), "shared-tokens")
+    # one row for each set from here on: its shared tokens and their places in the prefix
+    shared = shared.repartition("id").groupBy("id", F.shiftright("at", 31).alias("n")).agg(
+        F.collect_list(F.struct(F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos"), "token")).alias("t"), F.sum("c").alias("s")
+    )
+    # near copies often share all of a prefix: a part of the hash of the id makes them choose one pivot
+    tie = 1 + F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1e14
+    shared = shared.where(F.size("t") >= least(n)).select(
+        "id", "n", (F.col("s") / (n - behind(n)) * tie).alias("w"), F.col("t.pos").alias("places"), F.col("t.token").alias("tokens")
+    )
+    shared = stored(shared, "shared-sets")
     release(docs.sparkSession)
-    pivots = shared.groupBy("token", "size_class").agg(F.max_by("id", "w").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    pairs = shared.join(pivots.drop("c"), ["token", "size_class"]).where("id != v").groupBy(F.col("id").alias("u"), "v", "n").count()
+    size_class = F.floor(F.log("n") / ratio).cast("int")
+    by_size = shared.select("id", "n", "w", size_class.alias("size_class"), F.explode("tokens").alias("token"))
+    by_size = by_size.select("id", "n", "w", F.xxhash64("token", "size_class").alias("key"))
+    pivots = by_size.groupBy("key").agg(F.max_by("id", "w").alias("v"))
+    pairs = by_size.join(pivots, "key").where("id != v").groupBy(F.col("id").alias("u"), "v", "n").count()
     # a set's tokens may have different pivots, so half of what a link implies is asked for
     enough = F.greatest(least(n), (joint(n, n) - behind(n)) / 2)
-    pairs = stored(pairs.where(F.col("count") >= enough).select("u", "v"), "pivot-pairs")
-    ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "pivot-ids")
-    full = stored(token_sets(docs, ids, k), "token-sets")
-    side = lambda c: full.select(F.col("id").alias(c), F.col("tokens").alias(f"tokens_{c}"))
-    links = pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_pair_links(num, den), "u bigint, v bigint")
+    pairs = stored(pairs.where(F.col("count") >= enough).select("u", "v").distinct(), "pivot-pairs")
+    left = texts_of(docs, pairs.select(F.col("u").alias("id"), "v")).select(F.col("id").alias("u"), "v", F.col("text").alias("text_u"))
+    right = texts_of(docs, pairs.select(F.col("v").alias("id")).distinct()).select(F.col("id").alias("v"), F.col("text").alias("text_v"))
+    links = left.join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(_pair_links(k, num, den), "u bigint, v bigint")
     links = stored(links, "pivot-links")
     release(docs.sparkSession)
 
+    # a set without a link is a group by itself, of its own id and size 1
     grouped = components(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
-    members = shared.select("id").distinct().join(grouped, "id", "left")
-    grouped = stored(members.select("id", F.coalesce("comp", "id").alias("comp")), "groups")
-    sizes = grouped.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    rows = stored(shared.join(grouped, "id").join(sizes, "comp").select("token", "id", "n", "pos", "comp", "size"), "token-groups")
-    matrix = rows.groupBy("token", "comp", "size").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("pos").alias("pos_min"))
-    many = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    matrix = matrix.join(many, "token", "left_semi").select("token", F.col("comp").alias("other"), F.col("size").alias("other_size"), "n_min", "n_max", "pos_min")
+    grouped = stored(grouped.join(grouped.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp"), "groups")
+    rows = shared.join(grouped, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"), "places", "tokens")
+    rows = stored(rows, "set-groups").select("id", "n", "comp", "size", "places", F.posexplode("tokens").alias("i", "token"))
+    rows = rows.select("token", "id", "n", F.get("places", "i").alias("pos"), "comp", "size")
+    single = rows.where("size = 1").select("token", "comp", "size", F.col("n").alias("n_min"), F.col("n").alias("n_max"), F.col("pos").alias("pos_min"))
+    matrix = rows.where("size > 1").groupBy("token", "comp", "size").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("pos").alias("pos_min"))
+    matrix = matrix.unionByName(single).withColumnsRenamed({"comp": "other", "size": "other_size"})
     n_min, n_max = F.col("n_min"), F.least("n_max", F.floor(n * den / F.lit(num)))
     asks = (
-        rows.join(many, "token", "left_semi").join(matrix, "token")
+        rows.join(matrix, "token")
         .where("comp != other and (size < other_size or size = other_size and comp > other)")
         .where(f"{den} * n >= {num} * n_min and {num} * n <= {den} * n_max")
         .where((F.col("pos") < n - joint(n, n_min) + least(n)) & (F.col("pos_min") < n_max - joint(n, n_min) + F.lit(SHARED)))
@@ -281,10 +290,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
     )
     # two single sets that were a pivot pair are known not to be linked
     tested = pairs.select(F.greatest("u", "v").alias("id"), F.least("u", "v").alias("comp"), F.lit(True).alias("alone"))
-    asks = stored(asks.join(tested, ["id", "comp", "alone"], "left_anti").select("id", "comp"), "group-queries")
-    asked = grouped.join(asks.select("comp").distinct(), "comp", "left_semi").select("id").unionByName(asks.select("id")).distinct()
-    rest = stored(token_sets(docs, stored(asked.join(ids, "id", "left_anti"), "query-ids"), k), "token-sets")
-    more = stored(_open_groups(asks, grouped, full.unionByName(rest), num, den), "group-links")
+    asks = stored(asks.join(tested, ["id", "comp", "alone"], "left_anti").select("id", "comp").distinct(), "group-queries")
+    members = asks.select("comp").distinct().join(grouped.select("comp", "id"), "comp", "left").select(F.coalesce("id", "comp").alias("id"), "comp")
+    # a text counts by its bytes where they outweigh its set
+    weights = classes.groupBy("id").agg(F.sum(F.greatest("n", F.ceil(F.col("size") / 8))).alias("weight"))
+    more = stored(_open_groups(docs, asks, stored(members, "group-sets"), weights, k, num, den), "group-links")
 
     found = components(links.unionByName(more)).select(F.col("node").alias("id"), "component")
     ids = classes.select("set_id", "id").join(found, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))

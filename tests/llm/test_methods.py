@@ -442,6 +442,39 @@ def test_op8_near_copies_and_shared_passages(spark, monkeypatch, k, num, den):
     assert got == brute_components(rows, k, num, den)
 
 
+def test_op8_moves_a_row_for_each_set(spark, monkeypatch):
+    """Sets are not stored token by token after the join on tokens, nor their hashes for the
+    comparisons; a block is bounded by the bytes of its texts too."""
+    from concentra.llm import jaccard
+
+    kept, real = {}, jaccard.stored
+
+    def watch(df, name):
+        kept.setdefault(name, []).append(real(df, name))
+        return kept[name][-1]
+
+    monkeypatch.setattr(jaccard, "stored", watch)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 2000)
+    rnd = random.Random(5)
+    rows, base = [], [f"a{i}" for i in range(120)]
+    for i in range(60):  # near copies of one another, so they ask each other's groups
+        w = list(base)
+        for _ in range(rnd.randrange(1, 5)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(400)}"
+        rows.append((i, " ".join(w * (40 if i % 2 else 1))))  # the same set but for its seam, 40 times the bytes
+    rows += [(7, rows[9][1]), (100, " ".join(base)), (100, " ".join(base[:60])), (None, rows[3][1]), (101, None)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()
+    assert len(got) == len(rows)
+    for name, tables in kept.items():
+        for df in tables if name not in ("shared-tokens", "frequent") else []:
+            # (frequent counts and shared-tokens have a row for each token by nature)
+            assert df.count() <= 2 * len(rows) or name.startswith("group-"), name
+            assert "binary" not in {kind for c, kind in df.dtypes if c != "set_id"}, name
+    assert len(kept["shared-tokens"]) == 1
+    blocks = kept["group-blocks"][0].collect()
+    assert blocks and max(r.blocks for r in blocks) > 1
+
+
 def test_components_of_chains_and_hubs(spark):
     from concentra.llm.components import components
 
